@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, table
 from .nearest import nearest
 from .pieces import piece_digests
+from .secrets import find_secrets
 from .url_filter import judge_urls
 
 #: verdict, host, path
@@ -33,6 +34,10 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_MODEL))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 OP2_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
@@ -64,5 +69,5 @@ SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.verdict, 'allow') AS verdic
 FROM u LEFT JOIN f ON f.page_id = u.page_id AND f.n = 1
 """
 
-QUERIES = {"op2_nearest": op2_nearest, "op8_url_filter": op8_url_filter, "op9_pieces": op9_pieces}
+QUERIES = {"op2_nearest": op2_nearest, "op8_url_filter": op8_url_filter, "op9_pieces": op9_pieces, "op10_secrets": op10_secrets}
 ORACLES = {"op2_nearest": OP2_SQL, "op8_url_filter": OP8_SQL}
