@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, table
+from .licenses import scan_licenses
 from .nearest import nearest
 from .pieces import piece_digests
 from .secrets import find_secrets
@@ -26,6 +27,10 @@ def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -69,5 +74,5 @@ SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.verdict, 'allow') AS verdic
 FROM u LEFT JOIN f ON f.page_id = u.page_id AND f.n = 1
 """
 
-QUERIES = {"op2_nearest": op2_nearest, "op8_url_filter": op8_url_filter, "op9_pieces": op9_pieces, "op10_secrets": op10_secrets}
+QUERIES = {"op2_nearest": op2_nearest, "op7_licenses": op7_licenses, "op8_url_filter": op8_url_filter, "op9_pieces": op9_pieces, "op10_secrets": op10_secrets}
 ORACLES = {"op2_nearest": OP2_SQL, "op8_url_filter": OP8_SQL}
