@@ -10,6 +10,7 @@ from .licenses import scan_licenses
 from .nearest import nearest
 from .pieces import piece_digests
 from .secrets import find_secrets
+from .simhash import simhash_groups
 from .url_filter import judge_urls
 
 #: verdict, host, path
@@ -27,6 +28,10 @@ def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -74,5 +79,5 @@ SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.verdict, 'allow') AS verdic
 FROM u LEFT JOIN f ON f.page_id = u.page_id AND f.n = 1
 """
 
-QUERIES = {"op2_nearest": op2_nearest, "op7_licenses": op7_licenses, "op8_url_filter": op8_url_filter, "op9_pieces": op9_pieces, "op10_secrets": op10_secrets}
+QUERIES = {"op2_nearest": op2_nearest, "op3_simhash": op3_simhash, "op7_licenses": op7_licenses, "op8_url_filter": op8_url_filter, "op9_pieces": op9_pieces, "op10_secrets": op10_secrets}
 ORACLES = {"op2_nearest": OP2_SQL, "op8_url_filter": OP8_SQL}
