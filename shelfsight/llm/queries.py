@@ -9,6 +9,7 @@ from .common import LOWER, UPPER, table
 from .licenses import scan_licenses
 from .nearest import nearest
 from .pieces import piece_digests
+from .quality import score_quality
 from .secrets import find_secrets
 from .simhash import simhash_groups
 from .url_filter import judge_urls
@@ -24,6 +25,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
@@ -79,5 +84,5 @@ SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.verdict, 'allow') AS verdic
 FROM u LEFT JOIN f ON f.page_id = u.page_id AND f.n = 1
 """
 
-QUERIES = {"op2_nearest": op2_nearest, "op3_simhash": op3_simhash, "op7_licenses": op7_licenses, "op8_url_filter": op8_url_filter, "op9_pieces": op9_pieces, "op10_secrets": op10_secrets}
+QUERIES = {"op1_quality": op1_quality, "op2_nearest": op2_nearest, "op3_simhash": op3_simhash, "op7_licenses": op7_licenses, "op8_url_filter": op8_url_filter, "op9_pieces": op9_pieces, "op10_secrets": op10_secrets}
 ORACLES = {"op2_nearest": OP2_SQL, "op8_url_filter": OP8_SQL}
