@@ -17,12 +17,9 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, whole_text
+from .common import whole_text
 from .spans import match_spans
 
-WORD_CLASS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words in a text that isn't lower-cased yet.
-ANY_CASE_CLASS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAP_CLASS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Base phrases and their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -101,7 +98,7 @@ SIGNATURES = (
     ("warranty", "warranty-disclaimer", 20, 0.4, r"without warranty of any kind(?: express or implied)?"),
     ("warranty", "warranty-disclaimer", 20, 0.4, r"without any warranty"),
     ("merchantability", "warranty-disclaimer", 20, 0.4, r"warranty of merchantability or fitness for a particular purpose"),
-    ("as", "warranty-disclaimer", 15, 0.3, r"(?:software|work|material) is provided as is"),
+    ("provided", "warranty-disclaimer", 15, 0.3, r"(?:software|work|material) is provided as is"),
     ("foundation", "gpl", 85, 0.9, r"published by the free software foundation"),
     ("redistribute", "gpl", 85, 0.9, r"you can redistribute it and or modify it under the terms of"),
     ("domain", "public-domain", 60, 0.8, r"(?:released|dedicated|placed) (?:in)?to the public domain"),
@@ -140,7 +137,7 @@ def build_rules() -> list[Rule]:
         for keyword, name in (("creative", f"creative commons {long}"), ("cc", f"cc {short}")):
             out.append(Rule(keyword, f"cc-{suffix}", 35, 0.7, name))
             for v in CREATIVE_VERSIONS:
-                out.append(Rule(keyword, f"cc-{suffix}-{v.replace(' ', '.')}", 60, 1.0, rf"{name}(?: \w+)?(?: license)? {v}"))
+                out.append(Rule(keyword, f"cc-{suffix}-{v.replace(' ', '.')}", 60, 1.0, rf"{name}(?: license)? {v}"))
     assert len(out) < 2000
     return out
 
@@ -158,15 +155,18 @@ def rule_table() -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(ascii_lower(text), GAP_CLASS), lambda w: w != "")
+    """Lower-casing beyond A-Z changes no phrase or rule, which are in ASCII, and no word's extent."""
+    return F.filter(F.split(F.lower(text), GAP_CLASS), lambda w: w != "")
 
 
-def hits(words: Column) -> Column:
-    """Hits that stay, as array<struct<start, end, n, label, priority, weight>>, places in the joined words."""
+def hits(words: Column, named: Column) -> Column:
+    """Hits that stay, as array<struct<start, end, n, label, priority, weight>>, places in the joined words.
+
+    words, named: columns, so that they are computed once for all rules.
+    """
     joined = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
 
     def found(text: Column) -> Column:
-        named = F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?<= )(?:{'|'.join(KEYWORDS)})(?= )"), F.lit(0)))
         rules = F.filter(rule_table(), lambda r: F.array_contains(named, r["keyword"]))
         all_hits = F.flatten(F.transform(rules, lambda r: F.transform(match_spans(text, r["pattern"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), r["n"].alias("n"), r["label"].alias("label"), r["priority"].alias("priority"), r["weight"].alias("weight")))))
         return F.transform(F.array(all_hits), suppressed)[0]
@@ -209,14 +209,14 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     words, labels or places and scores 0. Repeated rows each give a row; other columns are left
     out.
     """
-    t = F.col("_t")
-    rows = docs.select(F.col(key), whole_text(F.col(text)).alias("_t"))
-    phrase_gate = "|".join(p.replace(" ", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+") for p, _ in PHRASES)
+    rows = docs.select(F.col(key), words_of(whole_text(F.col(text))).alias("_w"))
+    first_words = F.array(*(F.lit(p.split()[0]) for p, _ in PHRASES))
+    rows = rows.select(key, "_w", F.array_intersect("_w", F.array(*map(F.lit, KEYWORDS))).alias("_named"), F.arrays_overlap("_w", first_words).alias("_maybe"))
     rows = rows.select(
         key,
-        F.regexp_count(t, F.lit(ANY_CASE_CLASS)).cast("long").alias("n_words"),
-        F.when(t.rlike(f"(?i){phrase_gate}"), phrase_places(words_of(t))).otherwise(F.array().cast("array<struct<at:bigint,label:string>>")).alias("_base"),
-        F.when(t.rlike(rf"(?i)(?:{'|'.join(KEYWORDS)})"), hits(words_of(t))).otherwise(F.array().cast("array<struct<start:int,end:int,n:int,label:string,priority:int,weight:double>>")).alias("_hits"),
+        F.size("_w").cast("long").alias("n_words"),
+        F.when(F.col("_maybe"), phrase_places(F.col("_w"))).otherwise(F.array().cast("array<struct<at:bigint,label:string>>")).alias("_base"),
+        F.when(F.size("_named") > 0, hits(F.col("_w"), F.col("_named"))).otherwise(F.array().cast("array<struct<start:int,end:int,n:int,label:string,priority:int,weight:double>>")).alias("_hits"),
     )
     base_labels = F.array_distinct(F.transform("_base", lambda b: b["label"]))
     labels = F.array_sort(F.array_union(base_labels, F.transform("_hits", lambda h: h["label"])))

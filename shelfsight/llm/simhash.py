@@ -241,3 +241,113 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 3, key: str
     linked = groups.join(found, "id", "left").select("fp", "n", F.coalesce("component", "id").alias("component_id"), F.col("component").isNotNull().alias("linked"))
     shared = materialise(linked.where("n > 1 or linked").select("fp", "component_id"), "shared")
     return prints.join(shared, "fp", "left").select(key, F.lower(F.hex("fp")).alias("fingerprint"), F.coalesce("component_id", key).alias("component_id"))
+
+
+# --- near-duplicates by similarity, with SimHash to find the pairs
+
+#: Shingles of the similarity, its least value, bits that words' fingerprints may differ in.
+SIMILAR_WORDS, SIMILAR, WIDE_RADIUS = 5, 0.8, 12
+
+
+def alike(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> bool:
+    """Whether sorted distinct hashes have that Jaccard similarity."""
+    if not len(a) or not len(b):
+        return not len(a) and not len(b)
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= least * (len(a) + len(b) - both) - 1e-9
+
+
+def text_prints(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``id, whole, fp, size``: a digest of the words in order, their fingerprint, number of distinct shingles."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for d, t in zip(b["id"], b[text], strict=True):
+                words = words_of(t)
+                out.append((d, xxhash.xxh3_128_digest(" ".join(words)), word_print(words), len(np.unique(shingle_hashes(words, SIMILAR_WORDS)))))
+            yield pd.DataFrame(out, columns=["id", "whole", "fp", "size"])
+
+    return docs.select(F.col(key).alias("id"), text).mapInPandas(run, "id long, whole binary, fp binary, size int")
+
+
+def all_or_forest(block: pd.DataFrame, i: np.ndarray, j: np.ndarray, group: np.ndarray) -> pd.DataFrame:
+    """All pairs of small local groups; of large ones a link to each row's first neighbour, and the rows."""
+    ids = block["id"].to_numpy()
+    root = roots(len(block), i, j)
+    big = (np.bincount(root, minlength=len(block)) > SMALL)[root]
+    small = ~big[i]
+    first = np.full(len(block), len(block))
+    np.minimum.at(first, j[~small], i[~small])
+    has = np.flatnonzero(first < len(block))
+    a, b = np.concatenate([i[small], first[has]]), np.concatenate([j[small], has])
+    pairs = pd.DataFrame({"a": ids[a], "b": ids[b], "key": pd.array([None] * len(a), dtype="Int64"), "lo": 0, "hi": 0, "fp": None})
+    rest = block[big]
+    again = pd.DataFrame({"a": rest["id"].to_numpy(), "b": rest["id"].to_numpy(), "key": rest["key"].astype("Int64"), "lo": rest["lo"], "hi": rest["hi"], "fp": rest["fp"]})
+    return pd.concat([pairs, again], ignore_index=True)
+
+
+def across(block: pd.DataFrame, i: np.ndarray, j: np.ndarray, group: np.ndarray) -> pd.DataFrame:
+    """Pairs of different components."""
+    ids, component = block["id"].to_numpy(), block["component"].to_numpy()
+    apart = component[i] != component[j]
+    return pd.DataFrame({"a": ids[i[apart]], "b": ids[j[apart]]})
+
+
+def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """The pairs ``a, b`` of keys whose texts have the similarity."""
+    pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
+    wanted = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "near-wanted")
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"id": b["id"], "s": [np.unique(shingle_hashes(words_of(t), SIMILAR_WORDS)).tobytes() for t in b[text]]})
+
+    texts = docs.select(F.col(key).alias("id"), text).join(wanted, "id", "left_semi").mapInPandas(hashed, "id long, s binary")
+    # a repeated row gives its id twice; equal rows then give equal links
+    sets = materialise(texts, "near-sets")
+    side = lambda n: sets.select(F.col("id").alias(n), F.col("s").alias(f"s{n}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
+
+    def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            fine = [alike(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)) for x, y in zip(b["sa"], b["sb"], strict=True)]
+            yield b.loc[np.array(fine, dtype=bool), ["a", "b"]]
+
+    return both.mapInPandas(test, "a long, b long").distinct()
+
+
+def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """``id, whole`` of every row, and ``whole, keep``: the id that stays of each group of texts.
+
+    Texts are alike if their sets of five-word shingles have Jaccard similarity of 0.8 or more,
+    or if they have the same words in order. SimHash fingerprints of the words (128 bits, counts
+    weighted by their root) within ``WIDE_RADIUS`` bits, of sets whose sizes allow the similarity,
+    give the pairs; every pair is verified on the texts. Copies are one row before that.
+    """
+    prints = materialise(text_prints(docs, key, text), "text-prints")
+    groups = materialise(prints.where("id is not null").groupBy("whole").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.min("size").alias("size")), "text-groups")
+    rows = dealt(keyed(groups.where("size > 0"), WIDE_RADIUS, 1, "size"))
+    found = materialise(compare(rows, WIDE_RADIUS, all_or_forest, [], "a long, b long, key long, lo int, hi int, fp binary"), "near-found")
+    links = materialise(verified(found.where("key is null").select("a", "b"), docs, key, text), "near-links")
+    again = found.where("key is not null").select(F.col("a").alias("id"), "key", "lo", "hi", "fp").distinct()
+    if not again.isEmpty():
+        part = materialise(components(links, "a", "b"), "near-parts")
+        again = again.join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        more = compare(again, WIDE_RADIUS, across, ["component"], "a long, b long")
+        links = links.union(verified(more, docs, key, text))
+    part = components(links, "a", "b")
+    keep = groups.join(part, "id", "left").select("whole", F.coalesce("component", "id").alias("keep"))
+    return prints.select("id", "whole"), materialise(keep, "near-keep")
+
+
+def drop_similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of alike texts, the one with the least key, and all columns.
+
+    Texts without words are one group. Of repeated rows with the least key one stays. Rows without
+    a key stay.
+    """
+    _, keep = similar_groups(docs, key, text)
+    stays = keep.select(F.col("keep").alias(key)).distinct()
+    known = docs.where(F.col(key).isNotNull()).join(stays, key, "left_semi").select(*docs.columns).dropDuplicates([key])
+    return known.union(docs.where(F.col(key).isNull()))
