@@ -3,8 +3,8 @@
 A line is the set of its lower-cased words. It goes if an earlier line of the corpus, by document
 id and place, has Jaccard similarity of NUM/DEN or more with it, whether or not that one stays.
 
-1. Rarity: words are counted over all documents in a fixed number of hash classes; rare classes
-   come first in a line's order of words, ties by hash. Any fixed order is exact.
+1. Rarity: words are counted over all documents in a fixed number of hash classes; words of the
+   most frequent classes come last in a line's order, by their count. Any fixed order is exact.
 2. Lines of equal sets are one row after a partial minimum; all but the first occurrence go.
 3. A first occurrence of n words puts its n - ceil(tn) + 1 rarest words into an index. Two lines
    of similarity t share one of them. Length, position and a 64-bit parity map of the words
@@ -13,9 +13,9 @@ id and place, has Jaccard similarity of NUM/DEN or more with it, whether or not
    only, and a line that is gone needs no other partner. What is left then meets all.
 5. Candidate lines are read again from their documents and verified word by word.
 
-Words are compared by 57 bits of their hashes. No list of lines is gathered for a key, pairs are
+Words are compared by their 64-bit hashes. No list of lines is gathered for a key, pairs are
 never expanded within a group of equal lines, and no step depends on one task or the driver; the
-driver sees the class counts only.
+driver sees the counts of the most frequent classes only.
 """
 
 from __future__ import annotations
@@ -27,34 +27,37 @@ from .common import SPACE, materialise, whole_text
 
 #: Similarity 4/5.
 NUM, DEN = 4, 5
-CLASSES = 8192
-CROWD = 32
+#: Hash classes in which words are counted, the most frequent of them that are told apart, slots of their table.
+FINE, FREQUENT, SLOTS = 1 << 22, 16_384, 1 << 16
+CROWD = 200
 #: A line of fewer words has no partner but its equals.
 LEAST_WORDS = NUM
 END = (1 << 63) - 1
 
 
 def line_words(line: Column) -> Column:
-    return F.split(F.lower(line), SPACE)
+    return F.array_remove(F.split(F.lower(line), SPACE), "")
 
 
-def _class(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(CLASSES)).cast("int")
+def rarity(docs: DataFrame, text: str) -> Column:
+    """A table of ranks by the low bits of a word's hash: 0 for rare words, else by the count in all documents."""
+    words = docs.select(F.explode(F.split(F.lower(text), SPACE)).alias("w"))
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(FINE - 1).alias("h")).count()
+    ranks = [0] * SLOTS
+    for r in counts.orderBy(F.desc("count"), "h").limit(FREQUENT).collect():
+        ranks[r["h"] % SLOTS] = max(ranks[r["h"] % SLOTS], r["count"].bit_length())
+    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<int>")
 
 
-def rarity(docs: DataFrame, text: str) -> Column:
-    """For each hash class, twice the binary logarithm of the count of its words in all documents."""
-    words = docs.select(F.explode(line_words(F.col(text))).alias("w")).where("w <> ''")
-    counts = dict(words.groupBy(_class(F.col("w")).alias("c")).count().collect())
-    steps = ",".join(str(2 * counts.get(c, 0).bit_length() + (counts.get(c, 0).bit_length() > 1 and counts[c] >> counts[c].bit_length() - 2 & 1)) for c in range(CLASSES))
-    return F.split(F.lit(steps), ",").cast("array<int>")
+def word_hashes(line: Column) -> Column:
+    """Hashes of the line's distinct words."""
+    return F.array_distinct(F.transform(line_words(line), lambda w: F.xxhash64(w)))
 
 
-def word_keys(line: Column, rank: Column) -> Column:
-    """The line's words as sorted numbers, rare ones first."""
-    key = lambda w: F.shiftleft(F.get(rank, _class(w)).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 7))
-    words = F.filter(line_words(line), lambda w: w != "")
-    return F.sort_array(F.array_distinct(F.transform(words, key)))
+def word_keys(hashes: Column, rank: Column) -> Column:
+    """The same as sorted numbers, rare words first."""
+    key = lambda h: F.shiftleft(F.get(rank, h.bitwiseAND(SLOTS - 1).cast("int")).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
+    return F.sort_array(F.transform(hashes, key))
 
 
 def _up(a: Column, b: int) -> Column:
@@ -68,9 +71,15 @@ def overlap(n: Column, m: Column) -> Column:
 
 
 def probe_length(n: Column) -> Column:
+    """Rarest words of n that a partner of any size shares one of."""
     return n - _up(n * NUM, DEN) + 1
 
 
+def index_length(n: Column) -> Column:
+    """The same for partners of no fewer words."""
+    return n - overlap(n, n) + 1
+
+
 def parity(keys: Column) -> Column:
     return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))))
 
@@ -91,6 +100,10 @@ def _may_match(x: str, y: str) -> Column:
     )
 
 
+def _shorter(y: str, x: str) -> Column:
+    return (F.col(f"{y}n") < F.col(f"{x}n")) | ((F.col(f"{y}n") == F.col(f"{x}n")) & _earlier(y, x))
+
+
 def _earlier(y: str, x: str) -> Column:
     return (F.col(f"{y}d") < F.col(f"{x}d")) | ((F.col(f"{y}d") == F.col(f"{x}d")) & (F.col(f"{y}l") < F.col(f"{x}l")))
 
@@ -99,54 +112,56 @@ def _named(df: DataFrame, side: str) -> DataFrame:
     return df.select("k", *(F.col(c).alias(f"{side}{c}") for c in ("d", "l", "n", "i", "b")))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, rank: Column) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     """The later lines ``d, l`` of pairs ``xd, xl, yd, yl`` whose sets have the similarity."""
     pairs = materialise(pairs.distinct(), "line-pairs")
     wanted = materialise(pairs.select(F.col("xd").alias("d"), F.col("xl").alias("l")).union(pairs.select("yd", "yl")).distinct(), "line-wanted")
-    texts = docs.withColumn("_d", F.coalesce(F.col(key).cast("long"), F.lit(END))).join(wanted.select(F.col("d").alias("_d")).distinct(), "_d", "left_semi").select(F.col("_d").alias("_key"), F.col(text).alias("_text"))
-    words = lines_of(texts, "_key", "_text").join(wanted, ["d", "l"], "left_semi").select("d", "l", word_keys(F.col("line"), rank).alias("w"))
+    texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(END)).alias("_key"), F.col(text).alias("_text"))
+    texts = texts.join(wanted.select(F.col("d").alias("_key")).distinct(), "_key", "left_semi")
+    words = lines_of(texts, "_key", "_text").join(wanted, ["d", "l"], "left_semi").select("d", "l", word_hashes(F.col("line")).alias("w"))
     words = materialise(words, "line-words")
     side = lambda s: words.select(F.col("d").alias(f"{s}d"), F.col("l").alias(f"{s}l"), F.col("w").alias(f"{s}w"))
     both = pairs.join(side("x"), ["xd", "xl"]).join(side("y"), ["yd", "yl"])
     shared = F.size(F.array_intersect("xw", "yw"))
     alike = shared * (NUM + DEN) >= (F.size("xw") + F.size("yw")) * NUM
-    return both.where(alike & (F.size("xw") > 0)).select(F.col("xd").alias("d"), F.col("xl").alias("l")).distinct()
+    later = _earlier("y", "x")
+    return both.where(alike & (F.size("xw") > 0)).select(F.when(later, F.col("xd")).otherwise(F.col("yd")).alias("d"), F.when(later, F.col("xl")).otherwise(F.col("yl")).alias("l")).distinct()
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """All lines ``d, l, n`` and those that go ``d, l``."""
     rank = rarity(docs, text)
-    lines = lines_of(docs, key, text).select("d", "l", word_keys(F.col("line"), rank).alias("w"))
+    lines = lines_of(docs, key, text).select("d", "l", word_hashes(F.col("line")).alias("h"))
+    lines = lines.select("d", "l", F.size("h").alias("n"), parity(F.col("h")).alias("b"), word_keys(F.col("h"), rank).alias("w"))
     lines = lines.select(
-        "d", "l", F.size("w").alias("n"),
-        F.when(F.size("w") > 0, F.xxhash64("w")).alias("h1"), F.when(F.size("w") > 0, F.xxhash64("w", F.lit(1))).alias("h2"),
-        F.when(F.size("w") >= LEAST_WORDS, F.transform(F.slice("w", F.lit(1), F.greatest(probe_length(F.size("w")), F.lit(0))), lambda k: k.bitwiseAND(0x7FFFFFFF).cast("int"))).alias("p"),
-        parity(F.col("w")).alias("b"),
+        "d", "l", "n", "b",
+        F.when(F.col("n") > 0, F.xxhash64("w")).alias("h1"), F.when(F.col("n") > 0, F.xxhash64("w", F.lit(1))).alias("h2"),
+        F.when(F.col("n") >= LEAST_WORDS, F.transform(F.slice("w", F.lit(1), F.greatest(probe_length(F.col("n")), F.lit(0))), lambda k: k.bitwiseAND(0x7FFFFFFF).cast("int"))).alias("p"),
     )
     lines = materialise(lines, "lines")
-    place = F.col("d").cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(20,0)") + F.col("l")
-    place = place.cast("decimal(38,0)")
+    place = (F.col("d").cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(20,0)") + F.col("l")).cast("decimal(38,0)")
     first = materialise(lines.where("n > 0").groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"), "line-firsts")
-    marked = lines.where("n > 0").join(first, ["h1", "h2"], "left").withColumn("again", F.coalesce(F.col("first") < place, F.lit(False)))
+    again = F.coalesce(F.col("first") < place, F.lit(False))
+    gone = materialise(lines.where("n > 0").select("d", "l", "h1", "h2").join(first, ["h1", "h2"]).where(again).select("d", "l"), "line-copies")
     # a repeated row has lines with the same place twice; both are firsts, and equal
-    rows = marked.select("d", "l", "n", "b", "again", F.when(~F.col("again"), F.col("p")).alias("p"))
-    rows = materialise(rows, "line-sets")
-    gone = rows.where("again").select("d", "l")
-    post = rows.where("p is not null").select("d", "l", "n", "b", F.posexplode("p").alias("i", "k"))
+    sets = lines.where("p is not null").join(first, ["h1", "h2"], "left").where(~again)
+    post = sets.select("d", "l", "n", "b", F.posexplode("p").alias("i", "k"))
     post = post.withColumn("c", F.count("*").over(Window.partitionBy("k"))).where("c > 1")
 
     few = post.where(F.col("c") <= CROWD)
-    pairs = _named(few, "x").join(_named(few, "y"), "k").where(_earlier("y", "x") & _may_match("x", "y")).select("xd", "xl", "yd", "yl")
+    pairs = _named(few, "x").join(_named(few.where(F.col("i") < index_length(F.col("n"))), "y"), "k").where(_shorter("y", "x") & _may_match("x", "y")).select("xd", "xl", "yd", "yl")
+    # one job writes both, so that the words are dealt out once
+    both = pairs.unionByName(post.where(F.col("c") > CROWD).drop("c"), allowMissingColumns=True)
+    both = materialise(both, "line-candidates")
+    pairs, crowd = both.where("k is null").select("xd", "xl", "yd", "yl"), both.where("k is not null").select("k", "d", "l", "n", "i", "b")
 
-    crowd = materialise(post.where(F.col("c") > CROWD).drop("c"), "line-crowds")
     lead = crowd.groupBy("k", "n").agg(F.min(F.struct("d", "l", "i", "b")).alias("s")).select("k", "n", "s.*")
     led = _named(crowd, "x").join(materialise(_named(lead, "y"), "line-leads"), "k").where(_earlier("y", "x") & _may_match("x", "y")).select("xd", "xl", "yd", "yl")
-
-    similar = materialise(_verified(pairs.union(led), docs, key, text, rank), "line-similar")
+    similar = materialise(_verified(pairs.union(led), docs, key, text), "line-similar")
     left = crowd.join(similar, ["d", "l"], "left_anti")
     rest = materialise(_named(left, "x").join(_named(crowd, "y"), "k").where(_earlier("y", "x") & _may_match("x", "y")).select("xd", "xl", "yd", "yl"), "line-rest")
     if not rest.isEmpty():
-        similar = similar.union(_verified(rest, docs, key, text, rank))
+        similar = similar.union(_verified(rest, docs, key, text))
     return lines.select("d", "l", "n"), gone.union(similar).distinct()
 
 
