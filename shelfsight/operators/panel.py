@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..config import DEMAND_LAGS, HORIZON, SPLITS, VIP_CUSTOMERS, Splits
 from ..functions.columns import iso_week, iso_year, monday, positive, quantile, ratio, season_group
 
-BY_SKU = Window.partitionBy("sku_id").orderBy("week")
+
+def by_sku() -> WindowSpec:
+    return Window.partitionBy("sku_id").orderBy("week")
 
 
 def calendar(df: DataFrame, splits: Splits = SPLITS) -> DataFrame:
@@ -67,8 +70,8 @@ def value_metrics(fact: DataFrame) -> DataFrame:
     return out
 
 
-def _before(weeks: int) -> Window:
-    return BY_SKU.rowsBetween(-weeks, -1)
+def _before(weeks: int) -> WindowSpec:
+    return by_sku().rowsBetween(-weeks, -1)
 
 
 def _std(weeks: int) -> Column:
@@ -82,11 +85,11 @@ def features(panel: DataFrame, splits: Splits = SPLITS) -> DataFrame:
     divided by the frame's full length in early weeks too.
     """
     mean = lambda k: F.avg("y").over(_before(k))
-    out = panel.withColumns({f"lag_{k}": F.lag("y", k).over(BY_SKU) for k in DEMAND_LAGS})
+    out = panel.withColumns({f"lag_{k}": F.lag("y", k).over(by_sku()) for k in DEMAND_LAGS})
     out = out.withColumns({f"mean_{k}": mean(k) for k in (4, 8, 12, 13)} | {f"std_{k}": _std(k) for k in (4, 12, 13)})
     hits = lambda c, k: F.coalesce(F.sum(F.when(c, 1).otherwise(0)).over(_before(k)), F.lit(0))
     out = out.withColumns({
-        "sold_before": F.coalesce(F.max((F.col("y") > 0).cast("int")).over(BY_SKU.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "sold_before": F.coalesce(F.max((F.col("y") > 0).cast("int")).over(by_sku().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
         "sale_freq_12w": hits(F.col("y") > 0, 12) / 12.0,
         "zero_share_13w": hits(F.col("y") == 0, 13) / 13.0,
         "zero_share_26w": hits(F.col("y") == 0, 26) / 26.0,
@@ -101,12 +104,12 @@ def features(panel: DataFrame, splits: Splits = SPLITS) -> DataFrame:
     })
     busy = (F.col("sale_freq_12w") > 0.25) | (F.coalesce("mean_4", F.lit(0.0)) > 5) | (F.coalesce("lag_1", F.lit(0.0)) > 5) | (F.coalesce("mean_13", F.lit(0.0)) > 5)
     out = out.withColumn("oos_proxy", F.when((F.col("y") == 0) & (F.col("sold_before") == 1) & busy, 1).otherwise(0))
-    return out.withColumns({f"oos_lag_{k}": F.coalesce(F.lag("oos_proxy", k).over(BY_SKU), F.lit(0)) for k in (1, 2, 4)})
+    return out.withColumns({f"oos_lag_{k}": F.coalesce(F.lag("oos_proxy", k).over(by_sku()), F.lit(0)) for k in (1, 2, 4)})
 
 
 def forward_labels(feats: DataFrame, horizon: int = HORIZON) -> DataFrame:
     """Labels of the ``horizon`` weeks after each week; the panel has no gaps, so rows are weeks."""
-    ahead = BY_SKU.rowsBetween(1, horizon)
+    ahead = by_sku().rowsBetween(1, horizon)
     base = F.coalesce("mean_12", "mean_13", "mean_4", F.lit(0.0))
     lost = F.when(F.col("oos_proxy") == 1, positive(base - F.col("y"))).otherwise(0.0)
     return feats.withColumns({
