@@ -3,19 +3,20 @@
 A line is the set of its lower-cased words. It goes if an earlier line of the corpus, by document
 id and place, has Jaccard similarity of NUM/DEN or more with it, whether or not that one stays.
 
-1. Rarity: words are counted over all documents in a fixed number of hash classes; words of the
-   most frequent classes come last in a line's order, by their count. Any fixed order is exact.
+1. Rarity: words are counted over all documents in a fixed number of hash classes; a line's words
+   are ordered by the size of their class's count, then by hash. Any fixed order is exact.
 2. Lines of equal sets are one row after a partial minimum; all but the first occurrence go.
 3. A first occurrence of n words puts its n - ceil(tn) + 1 rarest words into an index. Two lines
-   of similarity t share one of them. Length, position and a 64-bit parity map of the words
-   (whose difference is at most that of the sets) filter pairs before any words are fetched.
+   of similarity t share one of them. Length, position and a parity map of the words (64 bits,
+   128 for long lines; its difference is at most that of the sets) filter pairs before any words
+   are joined to them.
 4. Words shared by more than ``CROWD`` lines: a line first meets the earliest line of each length
    only, and a line that is gone needs no other partner. What is left then meets all.
 5. Candidate lines are read again from their documents and verified word by word.
 
 Words are compared by their 64-bit hashes. No list of lines is gathered for a key, pairs are
 never expanded within a group of equal lines, and no step depends on one task or the driver; the
-driver sees the counts of the most frequent classes only.
+driver sees the counts of the classes only.
 """
 
 from __future__ import annotations
@@ -23,41 +24,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialise, whole_text
+from .common import materialise, whole_text
 
 #: Similarity 4/5.
 NUM, DEN = 4, 5
-#: Hash classes in which words are counted, the most frequent of them that are told apart, slots of their table.
-FINE, FREQUENT, SLOTS = 1 << 22, 16_384, 1 << 16
+#: Hash classes in which words are counted.
+SLOTS = 1 << 16
 CROWD = 200
+#: Lines of more words have a parity map of 128 bits.
+LONG = 64
 #: A line of fewer words has no partner but its equals.
 LEAST_WORDS = NUM
 END = (1 << 63) - 1
 
 
-def line_words(line: Column) -> Column:
-    return F.array_remove(F.split(F.lower(line), SPACE), "")
+def _spaced(text: Column) -> Column:
+    """Lower-cased, with spaces for the other white space of ASCII but line feeds."""
+    low = F.lower(text)
+    out = low
+    for c in "\t\x0b\x0c\r":
+        out = F.replace(out, F.lit(c), F.lit(" "))
+    return F.when(text.rlike(r"[\t\x0B-\r]"), out).otherwise(low)
 
 
 def rarity(docs: DataFrame, text: str) -> Column:
-    """A table of ranks by the low bits of a word's hash: 0 for rare words, else by the count in all documents."""
-    words = docs.select(F.explode(F.split(F.lower(text), SPACE)).alias("w"))
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(FINE - 1).alias("h")).count()
+    """A table by the low bits of a word's hash: the binary length of the class's count in all documents."""
+    words = docs.select(F.explode(F.split(F.replace(_spaced(F.col(text)), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''")
     ranks = [0] * SLOTS
-    for r in counts.orderBy(F.desc("count"), "h").limit(FREQUENT).collect():
-        ranks[r["h"] % SLOTS] = max(ranks[r["h"] % SLOTS], r["count"].bit_length())
+    for r in words.groupBy(F.xxhash64("w").bitwiseAND(SLOTS - 1).alias("h")).count().collect():
+        ranks[r["h"]] = r["count"].bit_length()
     return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<int>")
 
 
-def word_hashes(line: Column) -> Column:
-    """Hashes of the line's distinct words."""
-    return F.array_distinct(F.transform(line_words(line), lambda w: F.xxhash64(w)))
+def word_keys(line: Column, rank: Column) -> Column:
+    """Sorted numbers of a spaced line's distinct words, rare words first."""
 
+    def key(w: Column) -> Column:
+        h = F.xxhash64(w)
+        return F.shiftleft(F.get(rank, h.bitwiseAND(SLOTS - 1).cast("int")).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
 
-def word_keys(hashes: Column, rank: Column) -> Column:
-    """The same as sorted numbers, rare words first."""
-    key = lambda h: F.shiftleft(F.get(rank, h.bitwiseAND(SLOTS - 1).cast("int")).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
-    return F.sort_array(F.transform(hashes, key))
+    return F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), key)))
 
 
 def _up(a: Column, b: int) -> Column:
@@ -84,20 +90,30 @@ def parity(keys: Column) -> Column:
     return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))))
 
 
+def odd_parity(n: Column, keys: Column) -> Column:
+    """Of long lines the part of the map that comes from half of all words; else zero."""
+    return F.when(n > LONG, parity(F.filter(keys, lambda k: k.bitwiseAND(64) != 0))).otherwise(F.lit(0).cast("long"))
+
+
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``d, l, line``; documents without an id come last."""
-    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(END)).alias("d"), F.posexplode(F.split(whole_text(F.col(text)), "\n")).alias("l", "line"))
+    """``d, l, line``, spaced; documents without an id come last."""
+    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(END)).alias("d"), F.posexplode(F.split(_spaced(whole_text(F.col(text))), "\n")).alias("l", "line"))
 
 
 def _may_match(x: str, y: str) -> Column:
     """Length, position and parity filters of two rows of one key."""
     n, m, i, j = F.col(f"{x}n"), F.col(f"{y}n"), F.col(f"{x}i"), F.col(f"{y}i")
     need = overlap(n, m)
-    return (
-        (m * DEN >= n * NUM) & (n * DEN >= m * NUM)
-        & (F.least(n - i, m - j) >= need)
-        & (F.bit_count(F.col(f"{x}b").bitwiseXOR(F.col(f"{y}b"))) <= n + m - 2 * need)
-    )
+    apart = F.bit_count(F.col(f"{x}b").bitwiseXOR(F.col(f"{y}b")))
+    return (m * DEN >= n * NUM) & (n * DEN >= m * NUM) & (F.least(n - i, m - j) >= need) & (apart <= n + m - 2 * need)
+
+
+def _near(x: str, y: str) -> Column:
+    """Parity filter with all bits of both maps."""
+    n, m = F.col(f"{x}n"), F.col(f"{y}n")
+    whole, odd = F.col(f"{x}b").bitwiseXOR(F.col(f"{y}b")), F.col(f"{x}o").bitwiseXOR(F.col(f"{y}o"))
+    apart = F.when((n > LONG) & (m > LONG), F.bit_count(odd) + F.bit_count(whole.bitwiseXOR(odd))).otherwise(F.bit_count(whole))
+    return apart <= n + m - 2 * overlap(n, m)
 
 
 def _shorter(y: str, x: str) -> Column:
@@ -112,16 +128,17 @@ def _named(df: DataFrame, side: str) -> DataFrame:
     return df.select("k", *(F.col(c).alias(f"{side}{c}") for c in ("d", "l", "n", "i", "b")))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+def _verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame, key: str, text: str, rank: Column) -> DataFrame:
     """The later lines ``d, l`` of pairs ``xd, xl, yd, yl`` whose sets have the similarity."""
-    pairs = materialise(pairs.distinct(), "line-pairs")
-    wanted = materialise(pairs.select(F.col("xd").alias("d"), F.col("xl").alias("l")).union(pairs.select("yd", "yl")).distinct(), "line-wanted")
+    side = lambda df, s, *c: df.select(*(F.col(x).alias(f"{s}{x}") for x in ("d", "l", *c)))
+    near = pairs.distinct().join(side(lines, "x", "n", "b", "o"), ["xd", "xl"]).join(side(lines, "y", "n", "b", "o"), ["yd", "yl"]).where(_near("x", "y"))
+    near = materialise(near.select("xd", "xl", "yd", "yl").distinct(), "line-near")
+    wanted = materialise(near.select(F.col("xd").alias("d"), F.col("xl").alias("l")).union(near.select("yd", "yl")).distinct(), "line-wanted")
     texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(END)).alias("_key"), F.col(text).alias("_text"))
     texts = texts.join(wanted.select(F.col("d").alias("_key")).distinct(), "_key", "left_semi")
-    words = lines_of(texts, "_key", "_text").join(wanted, ["d", "l"], "left_semi").select("d", "l", word_hashes(F.col("line")).alias("w"))
+    words = lines_of(texts, "_key", "_text").join(wanted, ["d", "l"], "left_semi").select("d", "l", word_keys(F.col("line"), rank).alias("w"))
     words = materialise(words, "line-words")
-    side = lambda s: words.select(F.col("d").alias(f"{s}d"), F.col("l").alias(f"{s}l"), F.col("w").alias(f"{s}w"))
-    both = pairs.join(side("x"), ["xd", "xl"]).join(side("y"), ["yd", "yl"])
+    both = near.join(side(words, "x", "w"), ["xd", "xl"]).join(side(words, "y", "w"), ["yd", "yl"])
     shared = F.size(F.array_intersect("xw", "yw"))
     alike = shared * (NUM + DEN) >= (F.size("xw") + F.size("yw")) * NUM
     later = _earlier("y", "x")
@@ -131,12 +148,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFra
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """All lines ``d, l, n`` and those that go ``d, l``."""
     rank = rarity(docs, text)
-    lines = lines_of(docs, key, text).select("d", "l", word_hashes(F.col("line")).alias("h"))
-    lines = lines.select("d", "l", F.size("h").alias("n"), parity(F.col("h")).alias("b"), word_keys(F.col("h"), rank).alias("w"))
+    lines = lines_of(docs, key, text).select("d", "l", word_keys(F.col("line"), rank).alias("w"))
     lines = lines.select(
-        "d", "l", "n", "b",
-        F.when(F.col("n") > 0, F.xxhash64("w")).alias("h1"), F.when(F.col("n") > 0, F.xxhash64("w", F.lit(1))).alias("h2"),
-        F.when(F.col("n") >= LEAST_WORDS, F.transform(F.slice("w", F.lit(1), F.greatest(probe_length(F.col("n")), F.lit(0))), lambda k: k.bitwiseAND(0x7FFFFFFF).cast("int"))).alias("p"),
+        "d", "l", F.size("w").alias("n"), parity(F.col("w")).alias("b"), odd_parity(F.size("w"), F.col("w")).alias("o"),
+        F.when(F.size("w") > 0, F.xxhash64("w")).alias("h1"), F.when(F.size("w") > 0, F.xxhash64("w", F.lit(1))).alias("h2"),
+        F.when(F.size("w") >= LEAST_WORDS, F.transform(F.slice("w", F.lit(1), F.greatest(probe_length(F.size("w")), F.lit(0))), lambda k: k.bitwiseAND(0x7FFFFFFF).cast("int"))).alias("p"),
     )
     lines = materialise(lines, "lines")
     place = (F.col("d").cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(20,0)") + F.col("l")).cast("decimal(38,0)")
@@ -145,23 +161,24 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     gone = materialise(lines.where("n > 0").select("d", "l", "h1", "h2").join(first, ["h1", "h2"]).where(again).select("d", "l"), "line-copies")
     # a repeated row has lines with the same place twice; both are firsts, and equal
     sets = lines.where("p is not null").join(first, ["h1", "h2"], "left").where(~again)
-    post = sets.select("d", "l", "n", "b", F.posexplode("p").alias("i", "k"))
+    post = sets.select("d", "l", "n", "b", F.posexplode("p").alias("i", "k")).where("k is not null").repartition("k")
     post = post.withColumn("c", F.count("*").over(Window.partitionBy("k"))).where("c > 1")
 
-    few = post.where(F.col("c") <= CROWD)
-    pairs = _named(few, "x").join(_named(few.where(F.col("i") < index_length(F.col("n"))), "y"), "k").where(_shorter("y", "x") & _may_match("x", "y")).select("xd", "xl", "yd", "yl")
-    # one job writes both, so that the words are dealt out once
-    both = pairs.unionByName(post.where(F.col("c") > CROWD).drop("c"), allowMissingColumns=True)
-    both = materialise(both, "line-candidates")
-    pairs, crowd = both.where("k is null").select("xd", "xl", "yd", "yl"), both.where("k is not null").select("k", "d", "l", "n", "i", "b")
+    # one join gives the pairs of small groups and keeps the rows of crowds, so that the words are dealt out once
+    x = post.select("k", F.col("c").alias("xc"), *(F.col(c).alias(f"x{c}") for c in ("d", "l", "n", "i", "b")))
+    y = _named(post.where((F.col("c") <= CROWD) & (F.col("i") < index_length(F.col("n")))), "y").withColumnRenamed("k", "yk")
+    met = x.join(y, (F.col("k") == F.col("yk")) & (F.col("xc") <= CROWD) & _shorter("y", "x") & _may_match("x", "y"), "left")
+    met = materialise(met.where((F.col("xc") > CROWD) | F.col("yd").isNotNull()).select("xc", "k", "xd", "xl", "xn", "xi", "xb", "yd", "yl"), "line-candidates")
+    pairs = met.where(F.col("xc") <= CROWD).select("xd", "xl", "yd", "yl")
+    crowd = met.where(F.col("xc") > CROWD).select("k", *(F.col(f"x{c}").alias(c) for c in ("d", "l", "n", "i", "b")))
 
     lead = crowd.groupBy("k", "n").agg(F.min(F.struct("d", "l", "i", "b")).alias("s")).select("k", "n", "s.*")
     led = _named(crowd, "x").join(materialise(_named(lead, "y"), "line-leads"), "k").where(_earlier("y", "x") & _may_match("x", "y")).select("xd", "xl", "yd", "yl")
-    similar = materialise(_verified(pairs.union(led), docs, key, text), "line-similar")
+    similar = materialise(_verified(pairs.union(led), lines, docs, key, text, rank), "line-similar")
     left = crowd.join(similar, ["d", "l"], "left_anti")
     rest = materialise(_named(left, "x").join(_named(crowd, "y"), "k").where(_earlier("y", "x") & _may_match("x", "y")).select("xd", "xl", "yd", "yl"), "line-rest")
     if not rest.isEmpty():
-        similar = similar.union(_verified(rest, docs, key, text))
+        similar = similar.union(_verified(rest, lines, docs, key, text, rank))
     return lines.select("d", "l", "n"), gone.union(similar).distinct()
 
 
