@@ -38,11 +38,17 @@ class CalibrationGrid:
     clip_low: float = 0.80
 
 
-#: zero_run, gap, hist_positive, season, p_oos, recent drop
+#: zero_run, gap, hist_positive, season, p_oos, recent drop (fixed values)
 OOS_WEIGHTS = {
     "A1": (0.40, 0.20, 0.15, 0.10, 0.10, 0.05),
-    "B1": (0.30, 0.25, 0.15, 0.10, 0.15, 0.05),
-    "C1": (0.25, 0.20, 0.20, 0.15, 0.15, 0.05),
+    "A2": (0.35, 0.25, 0.15, 0.10, 0.10, 0.05),
+    "B1": (0.15, 0.40, 0.20, 0.10, 0.10, 0.05),
+    "B2": (0.20, 0.35, 0.20, 0.10, 0.10, 0.05),
+    "C1": (0.15, 0.20, 0.35, 0.15, 0.10, 0.05),
+    "C2": (0.15, 0.20, 0.30, 0.20, 0.10, 0.05),
+    "D1": (0.25, 0.25, 0.20, 0.15, 0.10, 0.05),
+    "D2": (0.20, 0.20, 0.20, 0.20, 0.15, 0.05),
+    "E1": (0.45, 0.20, 0.15, 0.10, 0.05, 0.05),
     "E2": (0.50, 0.15, 0.15, 0.10, 0.05, 0.05),
 }
 OOS_THRESHOLDS = (0.30, 0.40, 0.50, 0.60)
@@ -59,4 +65,13 @@ class LayerGrid:
     quotas: dict = field(default_factory=lambda: {"Q1": (5, 8), "Q2": (10, 15), "Q3": (20, 30)})
 
 
+@dataclass(frozen=True)
+class RecallGrid:
+    """Gates, percentiles and quotas of the third layer, (high season, rest)."""
+
+    gates: tuple[str, ...] = ("C", "D", "E")
+    percentiles: dict = field(default_factory=lambda: {"P1": (0.87, 0.85), "P2": (0.83, 0.80), "P3": (0.80, 0.75)})
+    quotas: dict = field(default_factory=lambda: {"Q1": (30, 20), "Q2": (60, 40), "Q3": (90, 60)})
+
+
 SPLITS = Splits()

@@ -13,22 +13,24 @@ from ..operators import panel as P
 from ..operators import policy as A
 from ..operators import scoring as S
 from ..sources.retail import fact, sales_only
-
-Query = Callable[[SparkSession, str], DataFrame]
+from ..sources.stages import Query, phase
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.dense_spine(sales_only(spark, sf_dir))
 
 
+@phase("labelled")
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.forward_labels(P.features(panel(spark, sf_dir)))
 
 
+@phase("scores")
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.base_scores(S.closed_form(P.train_calib_split(labelled(spark, sf_dir))))
 
 
+@phase("forecast")
 def forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.forecast(scores(spark, sf_dir))
 

@@ -33,11 +33,11 @@ def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sales_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Date, sku and units without the customer joins, for the panel."""
+def sales_only(spark: SparkSession, sf_dir: str, per: int = 3) -> DataFrame:
+    """Date, sku and units without the customer joins, for the panel; a SKU is ``per`` suppliers."""
     lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_quantity", "l_returnflag", "l_shipdate")
     units = F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity"))
-    return lines.select(F.col("l_shipdate").cast("date").alias("date"), F.floor(F.col("l_suppkey") / 3).cast("string").alias("sku_id"), units.alias("units"))
+    return lines.select(F.col("l_shipdate").cast("date").alias("date"), F.floor(F.col("l_suppkey") / per).cast("string").alias("sku_id"), units.alias("units"))
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
