@@ -27,7 +27,7 @@ def plain(v):
         return v
     if hasattr(v, "isoformat"):
         return v.isoformat()[:10]
-    return "nan" if isinstance(v, float) and math.isnan(v) else float(v)
+    return "nan" if isinstance(v, float) and math.isnan(v) else float(v) + 0.0
 
 
 def alike(x, y):
@@ -41,7 +41,7 @@ def test_query_matches_sql(spark, duck, name):
     cur = duck.execute(ORACLES[name])
     names = [d[0] for d in cur.description]
     assert sorted(names) == columns
-    order = lambda rows: sorted(rows, key=lambda r: tuple(repr(round(x, 3) if isinstance(x, float) else x) for x in r))
+    order = lambda rows: sorted(rows, key=lambda r: tuple(repr(round(x, 3) + 0.0 if isinstance(x, float) else x) for x in r))
     got = order(tuple(plain(r[c]) for c in columns) for r in df.collect())
     want = order(tuple(plain(r[names.index(c)]) for c in columns) for r in cur.fetchall())
     assert len(got) == len(want)
