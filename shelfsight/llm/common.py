@@ -54,6 +54,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that go to Python at a time: texts can be long, so a batch of Spark's 10,000 could fill a worker.
+BATCH_ROWS = 2000
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """The same table, in a session that hands at most ``BATCH_ROWS`` rows to Python at a time."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -28,6 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 TOLERANCE = 0.1
 STEPS, REPEATS, SAMPLED = 96, 10, 5
 #: Steps before this one may still be within the pair of words that aligned the window.
@@ -36,7 +38,7 @@ FIRST_STEP = 24
 LEAST_REST = 28
 ITEM_BLOCK = 5000
 SLICE = 200_000
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 class WordHashes(dict):
@@ -223,14 +225,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
                 rows = [(d, bench.ids[n], x) for d, t in zip(b[key], b[text], strict=True) for n, x in bench.find(t, hashes).items()]
                 yield pd.DataFrame(rows, columns=[key, item, "distance"])
 
-        out = out.union(docs.select(key, text).mapInPandas(run, schema))
+        out = out.union(bounded_batches(docs).select(key, text).mapInPandas(run, schema))
     return out
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_block: int = ITEM_BLOCK) -> DataFrame:
     """The rows of ``docs`` whose text holds no item, with all columns."""
     for bench in _blocks(items, item, "text", item_block):
-        docs = docs.where(~holds_any(bench)(F.col(text)))
+        docs = bounded_batches(docs).where(~holds_any(bench)(F.col(text)))
     return docs
 
 

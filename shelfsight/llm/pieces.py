@@ -20,9 +20,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 MARK = "▁"
 CHUNK = re.compile(r" +[^ \n]*|[^ \n]+|\n")
-TABLE_ROWS = 200_000
+TABLE_ROWS = 100_000
 
 
 class ChunkTable:
@@ -104,7 +106,7 @@ def piece_digests(docs: DataFrame, model_path: str, key: str = "doc_id", text: s
 
 
 def _narrow(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias(text))
+    return bounded_batches(docs).select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias(text))
 
 
 def _schema(docs: DataFrame, key: str, rest: str) -> str:

@@ -21,15 +21,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 REPEAT = "\x00repeat"
 BITS = 18
 #: Bound of the training sample, rows of each class.
 PER_CLASS = 3000
-EPOCHS = 6
+#: Passes over the sample; more where it is small, until so many rows were seen.
+EPOCHS, UPDATES = 6, 12_000
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.5
 #: Distinct tokens whose hashes a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 class Hashes(dict):
@@ -99,14 +102,16 @@ def training_sample(docs: DataFrame, labels: DataFrame, fit_on, key: str, text:
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).alias("_label")).where(fit_on)
     counts = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
     total = sum(counts.values())
+    # a first cut by the hash leaves few more than are wanted, so that no task gathers rows of all others
+    place = F.shiftrightunsigned(F.xxhash64(key), 1) / float(1 << 63)
     chosen = None
     for c, n in sorted(counts.items()):
-        part = known.where(F.col("_label") == c).orderBy(F.xxhash64(key), key).limit(per_class).withColumn("_weight", F.lit(n / min(n, per_class) / total * sum(min(x, per_class) for x in counts.values())))
+        part = known.where(F.col("_label") == c).where(place < 2.0 * per_class / n).orderBy(place, key).limit(per_class).withColumn("_weight", F.lit(n / min(n, per_class) / total * sum(min(x, per_class) for x in counts.values())))
         chosen = part if chosen is None else chosen.union(part)
     if chosen is None:
         chosen = known.withColumn("_weight", F.lit(1.0))
     # at most 2 * per_class rows of three numbers
-    return docs.select(key, text).join(F.broadcast(chosen), key).groupBy(key, "_label", "_weight").agg(F.min(text).alias("_text"))
+    return bounded_batches(docs).select(key, text).join(F.broadcast(chosen), key).groupBy(key, "_label", "_weight").agg(F.min(text).alias("_text"))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, fit_on=None, key: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = PER_CLASS) -> QualityModel:
@@ -117,7 +122,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_on=None, key: str = "doc
         pdf = pdf.sort_values(key)
         rows = [(*features(t, hashes), int(y), float(w)) for t, y, w in zip(pdf["_text"], pdf["_label"], pdf["_weight"], strict=True)]
         rng = np.random.default_rng(0)
-        for _ in range(EPOCHS):
+        for _ in range(max(EPOCHS, -(-UPDATES // max(1, len(rows))))):
             for r in rng.permutation(len(rows)):
                 model.learn(*rows[r])
         w = model.weights(slice(None)).astype(np.float32)

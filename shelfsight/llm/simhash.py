@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, WORD, by_runs, materialise
+from .common import ASCII_LOWER, WORD, bounded_batches, by_runs, materialise
 from .graph import components
 
 WORDS = re.compile(WORD)
@@ -86,7 +86,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, key: str = "doc_id", text: s
         for b in batches:
             yield pd.DataFrame({key: b[key], "fp": [shingle_print(words_of(t), shingle) for t in b[text]]})
 
-    return docs.select(key, text).mapInPandas(run, f"`{key}` long, fp binary")
+    return bounded_batches(docs).select(key, text).mapInPandas(run, f"`{key}` long, fp binary")
 
 
 # --- bit-sliced comparison
@@ -268,7 +268,7 @@ def text_prints(docs: DataFrame, key: str, text: str) -> DataFrame:
                 out.append((d, xxhash.xxh3_128_digest(" ".join(words)), word_print(words), len(np.unique(shingle_hashes(words, SIMILAR_WORDS)))))
             yield pd.DataFrame(out, columns=["id", "whole", "fp", "size"])
 
-    return docs.select(F.col(key).alias("id"), text).mapInPandas(run, "id long, whole binary, fp binary, size int")
+    return bounded_batches(docs).select(F.col(key).alias("id"), text).mapInPandas(run, "id long, whole binary, fp binary, size int")
 
 
 def all_or_forest(block: pd.DataFrame, i: np.ndarray, j: np.ndarray, group: np.ndarray) -> pd.DataFrame:
