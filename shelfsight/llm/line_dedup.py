@@ -4,7 +4,8 @@ A line is the set of its lower-cased words. It goes if an earlier line of the co
 id and place, has Jaccard similarity of NUM/DEN or more with it, whether or not that one stays.
 
 1. Rarity: words are counted over all documents in a fixed number of hash classes; a line's words
-   are ordered by the size of their class's count, then by hash. Any fixed order is exact.
+   are ordered by the size of their class's count, in a class longer words first, then by hash.
+   Any fixed order is exact.
 2. Lines of equal sets are one row after a partial minimum; all but the first occurrence go.
 3. A first occurrence of n words puts its n - ceil(tn) + 1 rarest words into an index. Two lines
    of similarity t share one of them. Length, position and a parity map of the words (64 bits,
@@ -16,7 +17,7 @@ id and place, has Jaccard similarity of NUM/DEN or more with it, whether or not
 
 Words are compared by their 64-bit hashes. No list of lines is gathered for a key, pairs are
 never expanded within a group of equal lines, and no step depends on one task or the driver; the
-driver sees the counts of the classes only.
+driver sees the counts of the classes only, a fixed number.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from .common import materialise, whole_text
 
 #: Similarity 4/5.
 NUM, DEN = 4, 5
-#: Hash classes in which words are counted.
-SLOTS = 1 << 16
+#: Hash classes in which words are counted; the table has one byte for each, whatever the corpus.
+SLOTS, CHUNK = 1 << 20, 1 << 12
 CROWD = 200
 #: Lines of more words have a parity map of 128 bits.
 LONG = 64
@@ -47,13 +48,23 @@ def _spaced(text: Column) -> Column:
     return F.when(text.rlike(r"[\t\x0B-\r]"), out).otherwise(low)
 
 
+def word_class(hash_: Column) -> Column:
+    return hash_.bitwiseAND(SLOTS - 1).cast("int")
+
+
 def rarity(docs: DataFrame, text: str) -> Column:
-    """A table by the low bits of a word's hash: the binary length of the class's count in all documents."""
+    """A table of bytes by word class: the binary length of the class's count in all documents.
+
+    Counts come to the driver as lists of at most ``CHUNK`` classes.
+    """
     words = docs.select(F.explode(F.split(F.replace(_spaced(F.col(text)), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''")
-    ranks = [0] * SLOTS
-    for r in words.groupBy(F.xxhash64("w").bitwiseAND(SLOTS - 1).alias("h")).count().collect():
-        ranks[r["h"]] = r["count"].bit_length()
-    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<int>")
+    counts = words.groupBy(word_class(F.xxhash64("w")).alias("h")).count()
+    entry = F.struct((F.col("h") % CHUNK).alias("at"), F.length(F.bin("count")).alias("rank"))
+    table = bytearray(SLOTS)
+    for r in counts.groupBy(F.floor(F.col("h") / CHUNK).cast("int").alias("chunk")).agg(F.collect_list(entry).alias("e")).select("chunk", F.col("e.at").alias("at"), F.col("e.rank").alias("rank")).collect():
+        for at, rank in zip(r["at"], r["rank"], strict=True):
+            table[r["chunk"] * CHUNK + at] = rank
+    return F.lit(bytes(table))
 
 
 def word_keys(line: Column, rank: Column) -> Column:
@@ -61,7 +72,8 @@ def word_keys(line: Column, rank: Column) -> Column:
 
     def key(w: Column) -> Column:
         h = F.xxhash64(w)
-        return F.shiftleft(F.get(rank, h.bitwiseAND(SLOTS - 1).cast("int")).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
+        order = F.ascii(F.substr(rank, word_class(h) + 1, F.lit(1)).cast("string")) * 64 + 63 - F.least(F.length(w), F.lit(63))
+        return F.shiftleft(order.cast("long"), 51).bitwiseOR(F.shiftrightunsigned(h, 13))
 
     return F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), key)))
 
