@@ -23,11 +23,12 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, WORD, bounded_batches, by_runs, materialise
 from .graph import components
+from .line_dedup import index_length, overlap, probe_length
 
 WORDS = re.compile(WORD)
 SEED = 42
@@ -247,6 +248,8 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 3, key: str
 
 #: Shingles of the similarity, its least value, bits that words' fingerprints may differ in.
 SIMILAR_WORDS, SIMILAR, WIDE_RADIUS = 5, 0.8, 12
+#: Shingles in the prefixes of more texts are hot; at most so many of them come last in the order of shingles.
+HOT, LATE = 200, 50_000
 
 
 def alike(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> bool:
@@ -257,18 +260,27 @@ def alike(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> bool:
     return both >= least * (len(a) + len(b) - both) - 1e-9
 
 
+def prefix(hashes: np.ndarray, late: np.ndarray | None = None) -> np.ndarray:
+    """The first of sorted distinct hashes in the common order, ``late`` ones last: sets with the similarity share one."""
+    n = len(hashes)
+    if late is not None:
+        hashes = hashes[np.argsort(np.isin(hashes.view(np.int64), late), kind="stable")]
+    return hashes.view(np.int64)[: n - -(-n * 4 // 5) + 1 if n else 0]
+
+
 def text_prints(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``id, whole, fp, size``: a digest of the words in order, their fingerprint, number of distinct shingles."""
+    """``id, whole, fp, size, head``: a digest of the words in order, their fingerprint, number and prefix of distinct shingles."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for d, t in zip(b["id"], b[text], strict=True):
                 words = words_of(t)
-                out.append((d, xxhash.xxh3_128_digest(" ".join(words)), word_print(words), len(np.unique(shingle_hashes(words, SIMILAR_WORDS)))))
-            yield pd.DataFrame(out, columns=["id", "whole", "fp", "size"])
+                hashes = np.unique(shingle_hashes(words, SIMILAR_WORDS))
+                out.append((d, xxhash.xxh3_128_digest(" ".join(words)), word_print(words), len(hashes), prefix(hashes)))
+            yield pd.DataFrame(out, columns=["id", "whole", "fp", "size", "head"])
 
-    return bounded_batches(docs).select(F.col(key).alias("id"), text).mapInPandas(run, "id long, whole binary, fp binary, size int")
+    return bounded_batches(docs).select(F.col(key).alias("id"), text).mapInPandas(run, "id long, whole binary, fp binary, size int, head array<long>")
 
 
 def all_or_forest(block: pd.DataFrame, i: np.ndarray, j: np.ndarray, group: np.ndarray) -> pd.DataFrame:
@@ -317,16 +329,83 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFram
     return both.mapInPandas(test, "a long, b long").distinct()
 
 
+def _parted(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows with their component by the links, their own id without any."""
+    part = materialise(components(links, "a", "b"), "near-parts")
+    return rows.join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def _shared(post: DataFrame) -> DataFrame:
+    """``k, c``: shingles in the prefixes of texts of different components, and number of those texts."""
+    count = post.groupBy("k").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    return materialise(count.where("lo <> hi").select("k", "c"), "near-shared")
+
+
+def _post(heads: DataFrame) -> DataFrame:
+    return heads.select("id", "component", F.col("size").alias("n"), F.posexplode("head").alias("i", "k"))
+
+
+def _may_be_alike(x: str, y: str) -> Column:
+    """Different components, and room for the overlap from a shared shingle on."""
+    n, m, i, j = F.col(f"{x}n"), F.col(f"{y}n"), F.col(f"{x}i"), F.col(f"{y}i")
+    return (F.col(f"{x}component") != F.col(f"{y}component")) & (m * 5 >= n * 4) & (n * 5 >= m * 4) & (F.least(n - i, m - j) >= overlap(n, m))
+
+
+def remaining_links(groups: DataFrame, links: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Verified links ``a, b`` between all alike texts that ``links`` doesn't connect yet.
+
+    An exact prefix join: in any common order of shingles, sets with the similarity share one of
+    their first n - ceil(0.8 n) + 1, and the first shared one leaves room for the overlap. The order
+    is by hash; shingles that many unconnected texts share come last, so that a passage common to
+    different texts seldom makes pairs.
+    """
+    heads = materialise(_parted(groups.where("size > 0").select("id", "size", "head"), links), "near-heads")
+    shared = _shared(_post(heads))
+    late = np.array([r[0] for r in shared.where(F.col("c") > HOT).orderBy(F.desc("c"), "k").limit(LATE).collect()], dtype=np.int64)
+    if len(late):
+        hot = materialise(_post(heads).join(shared.where(F.col("c") > HOT), "k", "left_semi").select("id").distinct(), "near-hot")
+
+        def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield pd.DataFrame({"id": b["id"], "head": [prefix(np.unique(shingle_hashes(words_of(t), SIMILAR_WORDS)), late) for t in b[text]]})
+
+        texts = bounded_batches(docs).select(F.col(key).alias("id"), text).join(hot, "id", "left_semi")
+        # a repeated row gives its id twice
+        new = texts.mapInPandas(again, "id long, head array<long>").dropDuplicates(["id"])
+        new = heads.drop("head").join(new, "id").select(*heads.columns)
+        heads = materialise(heads.join(hot, "id", "left_anti").union(new), "near-heads")
+        shared = _shared(_post(heads))
+    post = materialise(_post(heads).join(shared, "k"), "near-post")
+
+    def named(df: DataFrame, side: str) -> DataFrame:
+        return df.select("k", *(F.col(c).alias(f"{side}{c}") for c in ("id", "component", "n", "i")))
+
+    # a group of many near copies is mostly connected by its first text
+    out = links.limit(0)
+    if len(late):
+        crowd = post.where(F.col("c") > HOT)
+        lead = crowd.groupBy("k", "n").agg(F.min(F.struct("id", "component", "i")).alias("s")).select("k", "n", "s.*")
+        led = named(crowd, "x").join(named(materialise(lead, "near-leads"), "y"), "k").where(_may_be_alike("x", "y"))
+        out = materialise(verified(led.select(F.col("xid").alias("a"), F.col("yid").alias("b")), docs, key, text), "near-star")
+        post = materialise(_parted(post.drop("component"), links.union(out)), "near-post")
+    x = named(post.where(F.col("i") < probe_length(F.col("n"))), "x")
+    y = named(post.where(F.col("i") < index_length(F.col("n"))), "y")
+    shorter = (F.col("yn") < F.col("xn")) | ((F.col("yn") == F.col("xn")) & (F.col("yid") < F.col("xid")))
+    pairs = x.join(y, "k").where(shorter & _may_be_alike("x", "y")).select(F.col("xid").alias("a"), F.col("yid").alias("b"))
+    return out.union(verified(pairs, docs, key, text))
+
+
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """``id, whole`` of every row, and ``whole, keep``: the id that stays of each group of texts.
 
     Texts are alike if their sets of five-word shingles have Jaccard similarity of 0.8 or more,
     or if they have the same words in order. SimHash fingerprints of the words (128 bits, counts
     weighted by their root) within ``WIDE_RADIUS`` bits, of sets whose sizes allow the similarity,
-    give the pairs; every pair is verified on the texts. Copies are one row before that.
+    give the first pairs, an exact prefix join of shingles those between texts that are not
+    connected by then; every pair is verified on the texts. Copies are one row before that.
     """
     prints = materialise(text_prints(docs, key, text), "text-prints")
-    groups = materialise(prints.where("id is not null").groupBy("whole").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.min("size").alias("size")), "text-groups")
+    groups = materialise(prints.where("id is not null").groupBy("whole").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("head").alias("head")), "text-groups")
     rows = dealt(keyed(groups.where("size > 0"), WIDE_RADIUS, 1, "size"))
     found = materialise(compare(rows, WIDE_RADIUS, all_or_forest, [], "a long, b long, key long, lo int, hi int, fp binary"), "near-found")
     links = materialise(verified(found.where("key is null").select("a", "b"), docs, key, text), "near-links")
@@ -335,7 +414,8 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         part = materialise(components(links, "a", "b"), "near-parts")
         again = again.join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
         more = compare(again, WIDE_RADIUS, across, ["component"], "a long, b long")
-        links = links.union(verified(more, docs, key, text))
+        links = materialise(links.union(verified(more, docs, key, text)), "near-links")
+    links = links.union(remaining_links(groups, links, docs, key, text))
     part = components(links, "a", "b")
     keep = groups.join(part, "id", "left").select("whole", F.coalesce("component", "id").alias("keep"))
     return prints.select("id", "whole"), materialise(keep, "near-keep")

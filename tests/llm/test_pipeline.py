@@ -46,6 +46,33 @@ def test_near_duplicates_against_brute_force(spark):
     assert drop_similar(spark.createDataFrame([(None, "a", "s"), (None, "a", "s"), (1, "a", "s")], df.schema)).count() == 3
 
 
+def test_contiguous_edits_against_brute_force(spark):
+    rng = random.Random(8)
+    vocabulary = ["w%d" % int(rng.paretovariate(0.6)) for _ in range(3000)]
+    passage = rng.choices(vocabulary, k=12)
+    words = []
+    for _ in range(70):
+        w = rng.choices(vocabulary, k=rng.choice([30, 90, 200, 300]))
+        cut = int(len(w) * rng.uniform(0.03, 0.19))
+        at = rng.randrange(len(w) - cut)
+        new = rng.choices(vocabulary, k=cut)
+        words += [w, w[:-cut], w[cut:], w + new, w[: -cut // 2] + new[: cut // 2], w[:at] + new[: cut // 2] + w[at + cut // 2 :]]
+    # texts that share a passage only, and near copies of one text that a few edits chain together
+    words += [rng.choices(vocabulary, k=25) + passage for _ in range(260)]
+    w = rng.choices(vocabulary, k=100)
+    for k in range(260):
+        words.append([*w[: rng.randint(80, 100)], *rng.choices(vocabulary, k=rng.randint(0, 8))])
+    order = rng.sample(range(5000), len(words))
+    rows = [(d, " ".join(w)) for d, w in zip(order, words, strict=True)]
+    got = {r.doc_id for r in drop_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [set(shingles(w, 5)) for w in words]
+    root = union(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    least = {}
+    for (d, _), r in zip(rows, root, strict=True):
+        least[r] = min(d, least.get(r, d))
+    assert got == set(least.values())
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     items = [" ".join(normalised_words(r.text)) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]
