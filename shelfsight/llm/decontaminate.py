@@ -188,7 +188,7 @@ class Benchmark:
         done: dict[int, int] = {}
         for n, at in sorted(found):
             item, most = self.texts[n], self.most[n]
-            if out.get(n) == 0 or at < done.get(n, -1):
+            if out.get(n) == 0 or at < done.get(n, at):
                 continue
             end = at + len(item) + 2 * most
             done[n] = at + max(1, most)

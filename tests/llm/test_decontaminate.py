@@ -1,7 +1,7 @@
 import random
 import string
 
-from shelfsight.llm.decontaminate import TOLERANCE, fitting_distance, find_leaks, normalised_words, without_leaks
+from shelfsight.llm.decontaminate import TOLERANCE, Benchmark, WordHashes, fitting_distance, find_leaks, normalised_words, without_leaks
 
 
 def slow_fit(item, text):
@@ -82,3 +82,15 @@ def test_recall_and_precision(spark):
     clean = {r.doc_id for r in without_leaks(df, bench).collect()}
     assert clean == {d for d, _ in docs + extra} - {d for d, _ in got}
     assert find_leaks(df, bench.limit(0)).count() == 0 and find_leaks(df.limit(0), bench).count() == 0
+
+
+def test_texts_that_begin_or_end_inside_an_item():
+    rng = random.Random(3)
+    for _ in range(40):
+        item = " ".join(["is", *words(rng, rng.randint(20, 40))])
+        most = int(TOLERANCE * len(item))
+        bench, rest = Benchmark([(5, item)]), " ".join(words(rng, 30))
+        for lost in range(most + 1):
+            for text in (item[lost:], item[lost:] + " " + rest, item[: len(item) - lost], rest + " " + item[: len(item) - lost]):
+                want = fitting_distance(item, " ".join(normalised_words(text)), most)
+                assert bench.find(text, WordHashes()) == ({0: want} if want <= most else {}), (lost, want)
