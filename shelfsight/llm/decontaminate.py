@@ -9,8 +9,15 @@ random walk, which turns edit distance into Hamming distance: at each step the c
 the pointer is written, and a random bit of step and character says whether the pointer moves.
 Each of ``REPEATS`` samples looks at ``SAMPLED`` steps; a window that agrees on all of one sample
 is a candidate. An occurrence has dozens of pairs, so one that a tenth of its characters edits
-is met by several windows and samples (recall is measured in the tests). Candidates are verified
-by the exact edit distance between the item and the best part of the text around.
+is met by several windows and samples.
+
+Occurrences without an intact pair of words are met by pieces of ``q`` characters: an item is cut into
+floor(m / q) of them, and each edit spoils one at most, so at least floor(m / q) - edits stand in the
+text unchanged, their places shifted against each other by no more than the edits. Runs of ``q``
+characters at all offsets are looked up, and a text with so many pieces of an item within such a
+band is a candidate. No occurrence within ``TOLERANCE`` is missed, with or without words.
+
+Candidates are verified by the exact edit distance between the item and the best part of the text around.
 
 One pass over the texts, no shuffle. Items travel to the tasks in blocks of ``item_block``; a
 larger benchmark takes one pass a block. Windows are worked off in slices, so memory is bounded
@@ -38,6 +45,10 @@ FIRST_STEP = 24
 LEAST_REST = 28
 ITEM_BLOCK = 5000
 SLICE = 200_000
+#: Length of pieces for items of at least so many and of fewer than so many characters; it leaves one piece or more beyond the edits.
+PIECES = ((8, 80, 1 << 31), (5, 10, 80), (4, 4, 10))
+#: Offsets of a text at which pieces are looked up together.
+OFFSETS = 50_000
 REMEMBERED = 150_000
 
 
@@ -62,6 +73,55 @@ def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
+def run_keys(text: np.ndarray, q: int) -> np.ndarray:
+    """A key for each run of q characters."""
+    out = np.zeros(max(0, len(text) - q + 1), dtype=np.uint64)
+    for j in range(q if len(out) else 0):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + text[j : j + len(out)]
+    return out * np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+class Pieces:
+    """Pieces of ``q`` characters of some items, found at all offsets of a text."""
+
+    def __init__(self, q: int, items: list[tuple[int, str, int]]):
+        self.q = q
+        keys = [run_keys(codes(t), q)[::q] for _, t, _ in items]
+        self.keys = np.concatenate(keys)
+        self.owner = np.repeat(np.array([n for n, _, _ in items], dtype=np.int64), list(map(len, keys)))
+        self.offset = np.concatenate([np.arange(len(k)) * q for k in keys])
+        order = np.argsort(self.keys, kind="stable")
+        self.keys, self.owner, self.offset = self.keys[order], self.owner[order], self.offset[order]
+        self.most, self.need = np.zeros(items[-1][0] + 1, dtype=np.int64), np.ones(items[-1][0] + 1, dtype=np.int64)
+        for (n, _, most), k in zip(items, keys, strict=True):
+            self.most[n], self.need[n] = most, len(k) - most
+        self.overlap = max(len(t) + 2 * most for _, t, most in items)
+        self.shift = np.uint64(64 - max(16, min(24, (8 * len(self.keys)).bit_length())))
+        self.maybe = np.zeros(1 << 64 - int(self.shift), dtype=bool)
+        self.maybe[self.keys >> self.shift] = True
+
+    def candidates(self, text: np.ndarray) -> set[tuple[int, int]]:
+        """Pairs (item, supposed start) with enough pieces in a band."""
+        out: set[tuple[int, int]] = set()
+        for s in range(0, len(text), OFFSETS):
+            h = run_keys(text[s : s + OFFSETS + self.overlap], self.q)
+            at = np.flatnonzero(self.maybe[h >> self.shift])
+            h = h[at]
+            low = np.searchsorted(self.keys, h)
+            many = np.searchsorted(self.keys, h, side="right") - low
+            if not many.any():
+                continue
+            entry = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            n, start = self.owner[entry], np.repeat(at, many) + s - self.offset[entry]
+            order = np.lexsort((start, n))
+            n, start = n[order], start[order]
+            last = np.arange(len(n)) + self.need[n] - 1
+            inside = np.minimum(last, len(n) - 1)
+            keep = (last < len(n)) & (n[inside] == n) & (start[inside] - start <= self.most[n])
+            out.update(zip(n[keep].tolist(), start[keep].tolist(), strict=True))
+        return out
+
+
 def fitting_distance(item: str, text: str, most: int) -> int:
     """Least edit distance between the item and any part of the text; ``most + 1`` if it is more.
 
@@ -127,6 +187,11 @@ class Benchmark:
         for h, n in singles:
             self.same_single.setdefault(h, []).append(n)
         self.most = [int(TOLERANCE * len(t)) for t in self.texts]
+        self.pieces = []
+        for q, least, below in PIECES:
+            if chosen := [(n, t, self.most[n]) for n, t in enumerate(self.texts) if least <= len(t) < below]:
+                self.pieces.append(Pieces(q, chosen))
+        self.tiny = [(n, t) for n, t in enumerate(self.texts) if len(t) < PIECES[-1][1]]
 
     def embed_rests(self, rests: list[str]) -> np.ndarray:
         out = np.zeros((len(rests), STEPS), dtype=np.uint32)
@@ -159,6 +224,10 @@ class Benchmark:
             return line, out
         h = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
         starts = None
+        text = codes(line)
+        for pieces in self.pieces:
+            out |= pieces.candidates(text)
+        out.update((n, line.index(t)) for n, t in self.tiny if t in line)
         if self.same_single:
             for at in np.flatnonzero(np.isin(h, np.fromiter(self.same_single, dtype=np.uint64))):
                 out.update((n, sum(map(len, words[:at])) + int(at)) for n in self.same_single[int(h[at])])
@@ -172,7 +241,6 @@ class Benchmark:
                 starts = np.concatenate([[0], starts[:-1]])
                 at = np.repeat(starts[hit], many)
                 entry = np.repeat(low[hit], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                text = codes(line)
                 for s in range(0, len(at), SLICE):
                     a, e = at[s : s + SLICE], entry[s : s + SLICE]
                     keep = self.direct[e]

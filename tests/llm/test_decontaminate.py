@@ -94,3 +94,32 @@ def test_texts_that_begin_or_end_inside_an_item():
             for text in (item[lost:], item[lost:] + " " + rest, item[: len(item) - lost], rest + " " + item[: len(item) - lost]):
                 want = fitting_distance(item, " ".join(normalised_words(text)), most)
                 assert bench.find(text, WordHashes()) == ({0: want} if want <= most else {}), (lost, want)
+
+
+def test_edits_that_leave_no_pair_of_words():
+    rng = random.Random(4)
+    items = [" ".join(words(rng, rng.randint(14, 55))) for _ in range(30)] + ["ab", "abcd", "abcdefghi", "klmn opqrst uv", "漢字仮名交じり文" * 3, "漢字仮名交じり文" * 15]
+    lines = [" ".join(normalised_words(t)) for t in items]
+    bench = Benchmark(list(enumerate(items)))
+    hashes = WordHashes()
+    met = 0
+    for line in lines:
+        w = line.split()
+        around = "".join(rng.choices("qrz", k=40))
+        second = " ".join(x if k % 2 else x[: len(x) // 2] + "#" + x[len(x) // 2 + 1 :] for k, x in enumerate(w))
+        joined = "".join(x + ("" if k % 2 else " ") for k, x in enumerate(w)).strip()
+        spread = list(line)
+        for k in range(4, 10 * (len(line) // 10), 10):
+            spread[k] = "#"
+        for text in (second, joined, "".join(spread), line):
+            for whole in (text, around + text + around, "x " * 49990 + around + text + around):
+                whole = " ".join(normalised_words(whole))
+                want = {n: fitting_distance(x, whole, len(x) // 10) for n, x in enumerate(lines)} if len(whole) < 9000 else None
+                got = bench.find(whole, hashes)
+                if want is None:
+                    assert set(seen) <= set(got)
+                else:
+                    seen = {n: d for n, d in want.items() if d <= len(lines[n]) // 10}
+                    assert got == seen
+                    met += len(seen)
+    assert met > 200
