@@ -54,6 +54,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``docs`` with ``_row``, a long for each pair of key and text, in the order of the keys, null last.
+
+    It is the key itself where no key is null or repeated.
+    """
+    if docs.groupBy(key).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col(key).isNull()).isEmpty():
+        return docs.withColumn("_row", F.col(key).cast("long"))
+    own = docs.select("*", F.xxhash64(text).alias("_h1"), F.xxhash64(text, F.lit(1)).alias("_h2"), F.col(text).isNull().alias("_none"))
+    marks = ["_h1", "_h2", "_none"]
+    rows = own.select(F.col(key).alias("_key"), *marks).distinct().orderBy(F.asc_nulls_last("_key"), *marks).withColumn("_row", F.monotonically_increasing_id())
+    rows = materialise(rows, "rows")
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    for m in marks:
+        same = same & (own[m] == rows[m])
+    return own.join(rows, same).select(*(own[c] for c in docs.columns), "_row")
+
+
 #: Rows that go to Python at a time: texts can be long, so a batch of Spark's 10,000 could fill a worker.
 BATCH_ROWS = 2000
 

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, whole_text
+from .common import materialise, numbered, whole_text
 
 #: Similarity 4/5.
 NUM, DEN = 4, 5
@@ -209,10 +209,14 @@ def line_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 
 def remove_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All rows and columns of ``docs``, texts without the lines that go."""
-    _, gone = repeated_lines(docs, key, text)
+    """All rows and columns of ``docs``, texts without the lines that go.
+
+    Rows with one id and different texts, and rows without an id, are documents of their own here;
+    those without an id come last. Rows with one id and one text are one document.
+    """
+    rows = numbered(docs, key, text)
+    _, gone = repeated_lines(rows, "_row", text)
     removed = materialise(gone.groupBy("d").agg(F.collect_set("l").alias("_gone")), "line-gone")
-    d = F.coalesce(F.col(key).cast("long"), F.lit(END))
-    out = docs.withColumn("_d", d).join(removed.withColumnRenamed("d", "_d"), "_d", "left")
+    out = rows.join(removed.withColumnRenamed("d", "_row"), "_row", "left")
     kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda s, i: ~F.array_contains("_gone", i)), "\n")
     return out.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept)).select(*docs.columns)

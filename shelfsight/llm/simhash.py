@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, WORD, bounded_batches, by_runs, materialise
+from .common import ASCII_LOWER, WORD, bounded_batches, by_runs, materialise, numbered
 from .graph import components
 from .line_dedup import index_length, overlap, probe_length
 
@@ -424,10 +424,11 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def drop_similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of alike texts, the one with the least key, and all columns.
 
-    Texts without words are one group. Of repeated rows with the least key one stays. Rows without
-    a key stay.
+    Texts without words are one group. Of repeated rows with the least key one stays; a different
+    text with a repeated key is a row of its own. Rows without a key stay.
     """
-    _, keep = similar_groups(docs, key, text)
-    stays = keep.select(F.col("keep").alias(key)).distinct()
-    known = docs.where(F.col(key).isNotNull()).join(stays, key, "left_semi").select(*docs.columns).dropDuplicates([key])
+    known = numbered(docs.where(F.col(key).isNotNull()), key, text)
+    _, keep = similar_groups(known, "_row", text)
+    stays = keep.select(F.col("keep").alias("_row")).distinct()
+    known = known.join(stays, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
     return known.union(docs.where(F.col(key).isNull()))

@@ -55,3 +55,10 @@ def test_odd_tables(spark):
     assert line_report(none).count() == 0 and remove_repeated_lines(none).count() == 0
     df = spark.createDataFrame([(None, "a b c\nq"), (1, "A  b c"), (None, "z")], "doc_id long, text string")
     assert sorted((r.d, r.l) for r in repeated_lines(df)[1].collect()) == [((1 << 63) - 1, 0)]
+
+
+def test_rows_without_an_id_or_with_a_repeated_one(spark):
+    a, b, c, d, e = ("one two three", "four five six", "seven eight nine", "ten eleven twelve", "p q r")
+    rows = [(1, f"{a}\n{b}", 0), (None, f"{c}\n{a}", 1), (None, f"{d}\nclean words here", 2), (1, f"{e}\n{e}", 3), (1, "s t u\nv w x", 4), (None, None, 5)]
+    got = {r.n: r.text for r in remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect()}
+    assert got == {0: f"{a}\n{b}", 1: c, 2: f"{d}\nclean words here", 3: e, 4: "s t u\nv w x", 5: None}

@@ -73,6 +73,13 @@ def test_contiguous_edits_against_brute_force(spark):
     assert got == set(least.values())
 
 
+def test_near_duplicates_with_repeated_ids(spark):
+    text = " ".join(map(str, range(100)))
+    rows = [(1, "a b c"), (1, text), (1, "a b c"), (2, text + " more"), (2, "d e f"), (None, "a b c")]
+    got = sorted(map(tuple, drop_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(1, "a b c"), (1, text), (2, "d e f"), (None, "a b c")], key=str)
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     items = [" ".join(normalised_words(r.text)) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]
