@@ -27,6 +27,7 @@ BASE_WEIGHT = 0.6
 
 
 class Rule(NamedTuple):
+    #: A word that every match contains.
     keyword: str
     label: str
     priority: int
@@ -37,7 +38,8 @@ class Rule(NamedTuple):
 #: label, keyword, names, versions
 FAMILIES = (
     ("apache", "apache", r"apache(?: software)?(?: license| licence)", ("1 0", "1 1", "2 0", "2")),
-    ("mit", "mit", r"(?:expat|mit)(?: style)? license", ()),
+    ("mit", "mit", r"mit(?: style)? license", ()),
+    ("mit", "expat", r"expat(?: style)? license", ()),
     ("mit-0", "mit", r"mit no attribution(?: license)?", ()),
     ("x11", "x11", r"x11 license", ()),
     ("bsd", "bsd", r"(?:new |simplified |modified |revised )?bsd(?: style)? license", ()),
@@ -71,7 +73,7 @@ FAMILIES = (
     ("ofl", "font", r"(?:sil )?open font license", ("1 0", "1 1")),
     ("eupl", "eupl", r"eupl", ("1 0", "1 1", "1 2")),
     ("eupl", "european", r"european union public licen[cs]e", ("1 0", "1 1", "1 2")),
-    ("osl", "osl", r"open software license", ("1 0", "2 0", "2 1", "3 0")),
+    ("osl", "software", r"open software license", ("1 0", "2 0", "2 1", "3 0")),
     ("afl", "academic", r"academic free license", ("1 2", "2 0", "2 1", "3 0")),
     ("ms-pl", "microsoft", r"microsoft public license", ()),
     ("ms-rl", "microsoft", r"microsoft reciprocal license", ()),
@@ -94,7 +96,7 @@ SIGNATURES = (
     ("granted", "mit", 90, 1.0, r"permission is hereby granted free of charge to any person obtaining a copy"),
     ("purpose", "isc", 90, 0.9, r"permission to use copy modify and(?: or)? distribute this software for any purpose"),
     ("redistribution", "bsd", 90, 1.0, r"redistribution and use in source and binary forms with or without modification(?: are permitted)?"),
-    ("endorse", "bsd", 80, 0.8, r"neither the name of (?:\S+ ){1,12}nor the names of its contributors"),
+    ("contributors", "bsd", 80, 0.8, r"neither the name of (?:\S+ ){1,12}nor the names of its contributors"),
     ("warranty", "warranty-disclaimer", 20, 0.4, r"without warranty of any kind(?: express or implied)?"),
     ("warranty", "warranty-disclaimer", 20, 0.4, r"without any warranty"),
     ("merchantability", "warranty-disclaimer", 20, 0.4, r"warranty of merchantability or fitness for a particular purpose"),
@@ -112,7 +114,8 @@ SIGNATURES = (
     ("confidential", "proprietary", 65, 0.8, r"confidential and proprietary"),
     ("permission", "restricted", 60, 0.7, r"(?:may not|not) be (?:reproduced|copied|redistributed|republished)(?: \S+){0,8} without(?: \S+){0,6} permission"),
     ("unauthorized", "restricted", 60, 0.7, r"unauthorized (?:copying|use|reproduction|distribution) (?:of this \S+ )?is (?:strictly )?prohibited"),
-    ("commercial", "non-commercial", 40, 0.6, r"for non ?commercial (?:use|purposes) only"),
+    ("commercial", "non-commercial", 40, 0.6, r"for non commercial (?:use|purposes) only"),
+    ("noncommercial", "non-commercial", 40, 0.6, r"for noncommercial (?:use|purposes) only"),
     ("attribution", "attribution", 25, 0.4, r"attribution required"),
     ("spdx", "spdx", 5, 0.5, r"spdx license identifier"),
     ("licensed", "licensed", 5, 0.3, r"licensed under(?: the)?"),

@@ -45,3 +45,38 @@ def test_against_brute_force(spark):
         assert tuple(r)[1:7] == want[:6], texts[r.doc_id]
         assert abs(r.score - want[6]) < 1e-9
     assert scan_licenses(df.limit(0)).count() == 0
+
+
+def any_match(rng, parsed):
+    out = []
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out.append(chr(arg))
+        elif name == "IN":
+            kind, what = rng.choice(arg)
+            out.append({"LITERAL": lambda: chr(what), "RANGE": lambda: chr(rng.randint(*what)), "CATEGORY": lambda: "7"}[str(kind)]())
+        elif name == "BRANCH":
+            out.append(any_match(rng, rng.choice(arg[1])))
+        elif name == "SUBPATTERN":
+            out.append(any_match(rng, arg[-1]))
+        else:
+            assert name == "MAX_REPEAT", name
+            least, most, part = arg
+            out += [any_match(rng, part) for _ in range(rng.randint(least, min(most, least + 2)))]
+    return "".join(out)
+
+
+def test_every_match_contains_the_keyword():
+    rng = random.Random(9)
+    for r in RULES:
+        for _ in range(40):
+            text = any_match(rng, re._parser.parse(r.pattern))
+            assert re.fullmatch(r.pattern, text) and r.keyword in text.split(), (r, text)
+
+
+def test_names_without_their_short_form(spark):
+    texts = {"Licensed under the Open Software License 3.0": "osl-3.0", "under the Expat license": "mit", "for noncommercial use only": "non-commercial", "Neither the name of X nor the names of its contributors": "bsd"}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.labels.split(",") for r in scan_licenses(df).collect()}
+    assert all(label in got[i] for i, label in enumerate(texts.values())), got
