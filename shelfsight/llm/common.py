@@ -71,6 +71,18 @@ def numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
     return own.join(rows, same).select(*(own[c] for c in docs.columns), "_row")
 
 
+#: Rows of a table that every task may hold.
+FEW = 1_000_000
+
+
+def few(rows: DataFrame, ids: DataFrame, *keys: str, how: str = "left_semi") -> DataFrame:
+    """``rows`` whose keys are in ``ids`` (or aren't): the ids go to every task while they are few, else both sides are shuffled.
+
+    ids: a written table, as it is counted first.
+    """
+    return rows.join(F.broadcast(ids) if ids.count() <= FEW else ids, list(keys), how)
+
+
 #: Rows that go to Python at a time: texts can be long, so a batch of Spark's 10,000 could fill a worker.
 BATCH_ROWS = 2000
 

@@ -11,13 +11,14 @@ id and place, has Jaccard similarity of NUM/DEN or more with it, whether or not
    of similarity t share one of them. Length, position and a parity map of the words (64 bits,
    128 for long lines; its difference is at most that of the sets) filter pairs before any words
    are joined to them.
-4. Words shared by more than ``CROWD`` lines: a line first meets the earliest line of each length
-   only, and a line that is gone needs no other partner. What is left then meets all.
-5. Candidate lines are read again from their documents and verified word by word.
-
-Words are compared by their 64-bit hashes. No list of lines is gathered for a key, pairs are
-never expanded within a group of equal lines, and no step depends on one task or the driver; the
-driver sees the counts of the classes only, a fixed number.
+4. Words shared by more than ``CROWD`` lines: a line first meets the earliest line of each class of
+   lengths only, and a line that is gone needs no other partner. What is left then meets all.
+5. Candidate lines are read again from their documents, and their words themselves are compared.
+
+Equal sets (step 2) are told by 128 bits of hashes: among N sets the odds that any two differ and
+agree are below N^2 / 2^129. No list of lines is gathered for a key, pairs are never expanded
+within a group of equal lines, and no step depends on one task or the driver; the driver sees the
+counts of the classes only, a fixed number. Their table is part of one plan, which has no exchange.
 """
 
 from __future__ import annotations
@@ -25,12 +26,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, numbered, whole_text
+from .common import few, materialise, numbered, whole_text
 
 #: Similarity 4/5.
 NUM, DEN = 4, 5
 #: Hash classes in which words are counted; the table has one byte for each, whatever the corpus.
 SLOTS, CHUNK = 1 << 20, 1 << 12
+#: Ranks of a doubling of the count.
+FINE = 4
 CROWD = 200
 #: Lines of more words have a parity map of 128 bits.
 LONG = 64
@@ -53,13 +56,13 @@ def word_class(hash_: Column) -> Column:
 
 
 def rarity(docs: DataFrame, text: str) -> Column:
-    """A table of bytes by word class: the binary length of the class's count in all documents.
+    """A table of bytes by word class: the logarithm of the class's count in all documents.
 
     Counts come to the driver as lists of at most ``CHUNK`` classes.
     """
-    words = docs.select(F.explode(F.split(F.replace(_spaced(F.col(text)), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''")
+    words = docs.select(F.explode(F.split(F.replace(_spaced(F.col(text)), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     counts = words.groupBy(word_class(F.xxhash64("w")).alias("h")).count()
-    entry = F.struct((F.col("h") % CHUNK).alias("at"), F.length(F.bin("count")).alias("rank"))
+    entry = F.struct((F.col("h") % CHUNK).alias("at"), F.least(F.floor(F.log2("count") * FINE) + 1, F.lit(127)).cast("int").alias("rank"))
     table = bytearray(SLOTS)
     for r in counts.groupBy(F.floor(F.col("h") / CHUNK).cast("int").alias("chunk")).agg(F.collect_list(entry).alias("e")).select("chunk", F.col("e.at").alias("at"), F.col("e.rank").alias("rank")).collect():
         for at, rank in zip(r["at"], r["rank"], strict=True):
@@ -70,12 +73,12 @@ def rarity(docs: DataFrame, text: str) -> Column:
 def word_keys(line: Column, rank: Column) -> Column:
     """Sorted numbers of a spaced line's distinct words, rare words first."""
 
-    def key(w: Column) -> Column:
-        h = F.xxhash64(w)
-        order = F.ascii(F.substr(rank, word_class(h) + 1, F.lit(1)).cast("string")) * 64 + 63 - F.least(F.length(w), F.lit(63))
-        return F.shiftleft(order.cast("long"), 51).bitwiseOR(F.shiftrightunsigned(h, 13))
+    def key(h: Column) -> Column:
+        order = F.ascii(F.substr(rank, word_class(h) + 1, F.lit(1)).cast("string"))
+        return F.shiftleft(order.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    return F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), key)))
+    hashes = F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)))
+    return F.sort_array(F.transform(F.array_remove(hashes, F.xxhash64(F.lit(""))), key))
 
 
 def _up(a: Column, b: int) -> Column:
@@ -116,16 +119,9 @@ def _may_match(x: str, y: str) -> Column:
     """Length, position and parity filters of two rows of one key."""
     n, m, i, j = F.col(f"{x}n"), F.col(f"{y}n"), F.col(f"{x}i"), F.col(f"{y}i")
     need = overlap(n, m)
-    apart = F.bit_count(F.col(f"{x}b").bitwiseXOR(F.col(f"{y}b")))
-    return (m * DEN >= n * NUM) & (n * DEN >= m * NUM) & (F.least(n - i, m - j) >= need) & (apart <= n + m - 2 * need)
-
-
-def _near(x: str, y: str) -> Column:
-    """Parity filter with all bits of both maps."""
-    n, m = F.col(f"{x}n"), F.col(f"{y}n")
     whole, odd = F.col(f"{x}b").bitwiseXOR(F.col(f"{y}b")), F.col(f"{x}o").bitwiseXOR(F.col(f"{y}o"))
     apart = F.when((n > LONG) & (m > LONG), F.bit_count(odd) + F.bit_count(whole.bitwiseXOR(odd))).otherwise(F.bit_count(whole))
-    return apart <= n + m - 2 * overlap(n, m)
+    return (m * DEN >= n * NUM) & (n * DEN >= m * NUM) & (F.least(n - i, m - j) >= need) & (F.bit_count(whole) <= n + m - 2 * need) & (apart <= n + m - 2 * need)
 
 
 def _shorter(y: str, x: str) -> Column:
@@ -136,21 +132,39 @@ def _earlier(y: str, x: str) -> Column:
     return (F.col(f"{y}d") < F.col(f"{x}d")) | ((F.col(f"{y}d") == F.col(f"{x}d")) & (F.col(f"{y}l") < F.col(f"{x}l")))
 
 
+POSTED = ("d", "l", "n", "i", "b", "o")
+
+
 def _named(df: DataFrame, side: str) -> DataFrame:
-    return df.select("k", *(F.col(c).alias(f"{side}{c}") for c in ("d", "l", "n", "i", "b")))
+    return df.select("k", *(F.col(c).alias(f"{side}{c}") for c in POSTED))
+
+
+def candidates(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``xd, xl, yd, yl`` that pass the filters, and rows of crowded words.
+
+    One join gives the pairs of words with few lines and keeps the rows of crowds, so that the
+    words are dealt out once.
+    """
+    post = sets.where("p is not null").select("d", "l", "n", "b", "o", F.posexplode("p").alias("i", "k")).where("k is not null").repartition("k")
+    post = post.withColumn("c", F.count("*").over(Window.partitionBy("k"))).where("c > 1")
+    x = post.select("k", F.col("c").alias("xc"), *(F.col(c).alias(f"x{c}") for c in POSTED))
+    y = _named(post.where((F.col("c") <= CROWD) & (F.col("i") < index_length(F.col("n")))), "y").withColumnRenamed("k", "yk")
+    met = x.join(y, (F.col("k") == F.col("yk")) & (F.col("xc") <= CROWD) & _shorter("y", "x") & _may_match("x", "y"), "left")
+    met = materialise(met.where((F.col("xc") > CROWD) | F.col("yd").isNotNull()).select("xc", "k", *(f"x{c}" for c in POSTED), "yd", "yl"), "line-candidates")
+    crowd = met.where(F.col("xc") > CROWD).select("k", *(F.col(f"x{c}").alias(c) for c in POSTED))
+    return met.where(F.col("xc") <= CROWD).select("xd", "xl", "yd", "yl"), crowd
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame, key: str, text: str, rank: Column) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     """The later lines ``d, l`` of pairs ``xd, xl, yd, yl`` whose sets have the similarity."""
-    side = lambda df, s, *c: df.select(*(F.col(x).alias(f"{s}{x}") for x in ("d", "l", *c)))
-    near = pairs.distinct().join(side(lines, "x", "n", "b", "o"), ["xd", "xl"]).join(side(lines, "y", "n", "b", "o"), ["yd", "yl"]).where(_near("x", "y"))
-    near = materialise(near.select("xd", "xl", "yd", "yl").distinct(), "line-near")
-    wanted = materialise(near.select(F.col("xd").alias("d"), F.col("xl").alias("l")).union(near.select("yd", "yl")).distinct(), "line-wanted")
+    pairs = materialise(pairs.distinct(), "line-pairs")
+    wanted = materialise(pairs.select(F.col("xd").alias("d"), F.col("xl").alias("l")).union(pairs.select("yd", "yl")).distinct(), "line-wanted")
     texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(END)).alias("_key"), F.col(text).alias("_text"))
-    texts = texts.join(wanted.select(F.col("d").alias("_key")).distinct(), "_key", "left_semi")
-    words = lines_of(texts, "_key", "_text").join(wanted, ["d", "l"], "left_semi").select("d", "l", word_keys(F.col("line"), rank).alias("w"))
+    texts = few(texts, wanted.select(F.col("d").alias("_key")).distinct(), "_key")
+    words = few(lines_of(texts, "_key", "_text"), wanted, "d", "l").select("d", "l", F.array_remove(F.array_distinct(F.split("line", " ")), "").alias("w"))
     words = materialise(words, "line-words")
-    both = near.join(side(words, "x", "w"), ["xd", "xl"]).join(side(words, "y", "w"), ["yd", "yl"])
+    side = lambda s: words.select(*(F.col(c).alias(f"{s}{c}") for c in ("d", "l", "w")))
+    both = pairs.join(side("x"), ["xd", "xl"]).join(side("y"), ["yd", "yl"])
     shared = F.size(F.array_intersect("xw", "yw"))
     alike = shared * (NUM + DEN) >= (F.size("xw") + F.size("yw")) * NUM
     later = _earlier("y", "x")
@@ -159,41 +173,39 @@ def _verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame, key: str, tex
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """All lines ``d, l, n`` and those that go ``d, l``."""
-    rank = rarity(docs, text)
-    lines = lines_of(docs, key, text).select("d", "l", word_keys(F.col("line"), rank).alias("w"))
+    lines = lines_of(docs, key, text).select("d", "l", word_keys(F.col("line"), rarity(docs, text)).alias("w"))
+    n = F.size("w")
     lines = lines.select(
-        "d", "l", F.size("w").alias("n"), parity(F.col("w")).alias("b"), odd_parity(F.size("w"), F.col("w")).alias("o"),
-        F.when(F.size("w") > 0, F.xxhash64("w")).alias("h1"), F.when(F.size("w") > 0, F.xxhash64("w", F.lit(1))).alias("h2"),
-        F.when(F.size("w") >= LEAST_WORDS, F.transform(F.slice("w", F.lit(1), F.greatest(probe_length(F.size("w")), F.lit(0))), lambda k: k.bitwiseAND(0x7FFFFFFF).cast("int"))).alias("p"),
+        "d", "l", n.alias("n"), parity(F.col("w")).alias("b"), odd_parity(n, F.col("w")).alias("o"),
+        F.when(n > 0, F.xxhash64("w")).alias("h1"), F.when(n > 0, F.xxhash64("w", F.lit(1))).alias("h2"),
+        F.when(n >= LEAST_WORDS, F.transform(F.slice("w", F.lit(1), F.greatest(probe_length(n), F.lit(0))), lambda k: k.bitwiseAND(0x7FFFFFFF).cast("int"))).alias("p"),
     )
     lines = materialise(lines, "lines")
-    place = (F.col("d").cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(20,0)") + F.col("l")).cast("decimal(38,0)")
-    first = materialise(lines.where("n > 0").groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"), "line-firsts")
-    again = F.coalesce(F.col("first") < place, F.lit(False))
-    gone = materialise(lines.where("n > 0").select("d", "l", "h1", "h2").join(first, ["h1", "h2"]).where(again).select("d", "l"), "line-copies")
+    named = lines.where("n > 0").withColumn("place", (F.col("d").cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(20,0)") + F.col("l")).cast("decimal(38,0)"))
     # a repeated row has lines with the same place twice; both are firsts, and equal
-    sets = lines.where("p is not null").join(first, ["h1", "h2"], "left").where(~again)
-    post = sets.select("d", "l", "n", "b", F.posexplode("p").alias("i", "k")).where("k is not null").repartition("k")
-    post = post.withColumn("c", F.count("*").over(Window.partitionBy("k"))).where("c > 1")
-
-    # one join gives the pairs of small groups and keeps the rows of crowds, so that the words are dealt out once
-    x = post.select("k", F.col("c").alias("xc"), *(F.col(c).alias(f"x{c}") for c in ("d", "l", "n", "i", "b")))
-    y = _named(post.where((F.col("c") <= CROWD) & (F.col("i") < index_length(F.col("n")))), "y").withColumnRenamed("k", "yk")
-    met = x.join(y, (F.col("k") == F.col("yk")) & (F.col("xc") <= CROWD) & _shorter("y", "x") & _may_match("x", "y"), "left")
-    met = materialise(met.where((F.col("xc") > CROWD) | F.col("yd").isNotNull()).select("xc", "k", "xd", "xl", "xn", "xi", "xb", "yd", "yl"), "line-candidates")
-    pairs = met.where(F.col("xc") <= CROWD).select("xd", "xl", "yd", "yl")
-    crowd = met.where(F.col("xc") > CROWD).select("k", *(F.col(f"x{c}").alias(c) for c in ("d", "l", "n", "i", "b")))
-
-    lead = crowd.groupBy("k", "n").agg(F.min(F.struct("d", "l", "i", "b")).alias("s")).select("k", "n", "s.*")
-    led = _named(crowd, "x").join(materialise(_named(lead, "y"), "line-leads"), "k").where(_earlier("y", "x") & _may_match("x", "y")).select("xd", "xl", "yd", "yl")
-    similar = materialise(_verified(pairs.union(led), lines, docs, key, text, rank), "line-similar")
-    left = crowd.join(similar, ["d", "l"], "left_anti")
-    rest = materialise(_named(left, "x").join(_named(crowd, "y"), "k").where(_earlier("y", "x") & _may_match("x", "y")).select("xd", "xl", "yd", "yl"), "line-rest")
-    if not rest.isEmpty():
-        similar = similar.union(_verified(rest, lines, docs, key, text, rank))
+    sets = named.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("c"), F.min_by(F.struct("d", "l", "n", "b", "o", "p"), "place").alias("s"))
+    sets = materialise(sets.select("h1", "h2", "first", "c", "s.*"), "line-sets")
+    gone = materialise(named.select("d", "l", "h1", "h2", "place").join(sets.where("c > 1").select("h1", "h2", "first"), ["h1", "h2"]).where("first < place").select("d", "l"), "line-copies")
+
+    pairs, crowd = candidates(sets)
+    if not crowd.isEmpty():
+        lead = crowd.groupBy("k", length_class(F.col("n")).alias("_n")).agg(F.min(F.struct("d", "l", "n", "i", "b", "o")).alias("s")).select("k", "s.*")
+        led = _named(crowd, "x").join(materialise(_named(lead, "y"), "line-leads"), "k").where(_earlier("y", "x") & _may_match("x", "y")).select("xd", "xl", "yd", "yl")
+        pairs = pairs.union(led)
+    similar = materialise(_verified(pairs, docs, key, text), "line-similar")
+    if not crowd.isEmpty():
+        left = few(crowd, similar, "d", "l", how="left_anti")
+        rest = materialise(_named(left, "x").join(_named(crowd, "y"), "k").where(_earlier("y", "x") & _may_match("x", "y")).select("xd", "xl", "yd", "yl"), "line-rest")
+        if not rest.isEmpty():
+            similar = similar.union(_verified(rest, docs, key, text))
     return lines.select("d", "l", "n"), gone.union(similar).distinct()
 
 
+def length_class(n: Column) -> Column:
+    """Classes of lengths, a tenth apart."""
+    return F.floor(F.log(n) / F.log(F.lit(1.1))).cast("int")
+
+
 def line_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_lines, n_removed, removed`` of every id: numbers of the removed lines, from 0, comma-joined.
 
@@ -202,7 +214,7 @@ def line_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     last. Other columns are left out.
     """
     lines, gone = repeated_lines(docs, key, text)
-    per_doc = lines.groupBy("d").agg(F.countDistinct("l").alias("n_lines"))
+    per_doc = lines.groupBy("d").agg((F.max("l") + 1).cast("long").alias("n_lines"))
     removed = gone.groupBy("d").agg(F.count("*").alias("n_removed"), F.array_join(F.transform(F.sort_array(F.collect_list("l")), lambda l: l.cast("string")), ",").alias("removed"))
     out = per_doc.join(removed, "d", "left")
     return out.select(F.when(F.col("d") != END, F.col("d")).alias(key), "n_lines", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("removed", F.lit("")).alias("removed"))
