@@ -14,6 +14,8 @@ TOP_K = 10
 LEVELS = (75, 80, 85, 90, 95, 99)
 NORMAL_Z = {75: 1.036, 80: 1.282, 85: 1.440, 90: 1.645, 95: 1.960, 99: 2.576}
 MIN_CHILD, MIN_SEASON = 30, 20
+#: Share of the validation weeks that tune.
+TUNE_SHARE = 0.67
 ACCURACY = 100_000
 
 
@@ -58,7 +60,7 @@ SEASON_DEFAULT = 0.20
 
 @dataclass(frozen=True)
 class LayerGrid:
-    """Gates (forecast, expected loss, suspicion, probability), percentiles and quotas by season."""
+    """Gates (forecast, expected loss, suspicion, probability), percentiles and quotas by season (fixed values)."""
 
     gates: dict = field(default_factory=lambda: {"A": (5.0, 1.0, 0.05, 0.05), "B": (3.0, 0.5, 0.03, 0.03), "C": (1.0, 0.25, 0.01, 0.01)})
     percentiles: dict = field(default_factory=lambda: {"P1": (0.94, 0.94), "P2": (0.90, 0.92), "P3": (0.85, 0.87)})
@@ -67,7 +69,7 @@ class LayerGrid:
 
 @dataclass(frozen=True)
 class RecallGrid:
-    """Gates, percentiles and quotas of the third layer, (high season, rest)."""
+    """Gates, percentiles and quotas of the third layer, (high season, rest) (fixed values)."""
 
     gates: tuple[str, ...] = ("C", "D", "E")
     percentiles: dict = field(default_factory=lambda: {"P1": (0.87, 0.85), "P2": (0.83, 0.80), "P3": (0.80, 0.75)})

@@ -72,6 +72,12 @@ def share(condition: Column) -> Column:
     return F.avg(F.when(condition, 1.0).otherwise(0.0))
 
 
+def fixed(x: Column | str, digits: int) -> Column:
+    """Rounded to so many digits, half away from zero, after scaling: exact at halves on any engine."""
+    unit = 10.0**digits
+    return F.round(col(x) * F.lit(unit)) / F.lit(unit)
+
+
 def rounded(df, *keys: str, digits: int = 6):
     """Doubles rounded for reports and comparison; other columns as they are."""
-    return df.select(*(F.round(c, digits).alias(c) if t == "double" and c not in keys else c for c, t in df.dtypes))
+    return df.select(*(fixed(c, digits).alias(c) if t == "double" and c not in keys else c for c, t in df.dtypes))

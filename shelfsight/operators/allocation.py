@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SPLITS
-from ..functions.columns import monday, ratio
+from ..functions.columns import fixed, monday, ratio
 
 #: Days of trailing sales; sales exactly that old are out, those of the decision week are in.
 TRAILING = 364
@@ -110,8 +110,8 @@ def service_tier(p: Column) -> Column:
 def national_export(rows: DataFrame, metadata: DataFrame) -> DataFrame:
     """Forecast, buffers, tier and alert score of each validation row, with the SKU's family."""
     out = rows.where("split = 'VAL'").join(metadata.select("sku_id", "family"), "sku_id", "left")
-    score = F.round(F.col("p") * F.col("q90"), 9)
-    return out.select("sku_id", "week", "family", "yhat", "q80", "q90", "q95", (F.col("q90") - F.col("yhat")).alias("buffer_90"), (F.col("q95") - F.col("yhat")).alias("buffer_95"), service_tier(F.round("p", 9)).alias("tier"), score.alias("score"))
+    score = fixed(F.col("p") * F.col("q90"), 9)
+    return out.select("sku_id", "week", "family", "yhat", "q80", "q90", "q95", (F.col("q90") - F.col("yhat")).alias("buffer_90"), (F.col("q95") - F.col("yhat")).alias("buffer_95"), service_tier(fixed("p", 9)).alias("tier"), score.alias("score"))
 
 
 def blind(rows: DataFrame) -> DataFrame:

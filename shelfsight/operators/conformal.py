@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import LEVELS, MIN_CHILD, MIN_SEASON, NORMAL_Z, CalibrationGrid
-from ..functions.columns import clip, quantile, ratio, segment, share
+from ..config import LEVELS, MIN_CHILD, MIN_SEASON, NORMAL_Z, TUNE_SHARE, CalibrationGrid
+from ..functions.columns import clip, fixed, greatest_strict, least_strict, quantile, ratio, segment, share
 from .scoring import conformal_score
 
 BUCKETS = 5
@@ -57,14 +57,16 @@ def z_of(rows: DataFrame, resid: DataFrame) -> DataFrame:
     return out.withColumns({f"z{k}": F.coalesce(f"z{k}", f"s{k}", F.lit(NORMAL_Z[k])) for k in LEVELS}).drop(*(f"s{k}" for k in LEVELS))
 
 
-def is_tune(week: Column) -> Column:
-    """The first two thirds of the validation year."""
-    return F.weekofyear(week) <= 35
+def with_tune(rows: DataFrame) -> DataFrame:
+    """``tune``: whether a week is among the first ``TUNE_SHARE`` of the distinct validation weeks, rounded down."""
+    weeks = rows.where("split = 'VAL'").agg(F.array_sort(F.collect_set("week")).alias("_w"))  # at most 53 weeks
+    cut = weeks.select(F.get("_w", F.floor(F.lit(TUNE_SHARE) * F.size("_w")).cast("int") - 1).alias("_cut"))
+    return rows.crossJoin(F.broadcast(cut)).withColumn("tune", F.coalesce(F.col("week") <= F.col("_cut"), F.lit(False))).drop("_cut")
 
 
 def correction_factors(scores: DataFrame, resid: DataFrame) -> DataFrame:
     """By segment: how often the provisional 90 % quantile is exceeded on the tuning weeks, over 0.10, clipped."""
-    rows = z_of(with_segments(scores, bucket_cuts(scores)), resid).where(F.col("active") & (F.col("split") == "VAL") & is_tune(F.col("week")))
+    rows = z_of(with_segments(with_tune(scores), bucket_cuts(scores)), resid).where("active and split = 'VAL' and tune")
     rows = rows.withColumn("exceeded", (F.col("y_12w") > F.greatest(F.lit(0.0), F.col("yhat") + F.col("z90") * F.col("scale"))).cast("int"))
     both = rows.groupingSets([["season_group", "child"], ["season_group"]], "season_group", "child").agg(F.grouping("child").alias("_up"), F.count("*").alias("n"), F.avg("exceeded").alias("viol"))
     kids = both.where("_up = 0")
@@ -82,12 +84,12 @@ def forecast(scores: DataFrame) -> DataFrame:
     resid = residuals(scores)
     rows = z_of(with_segments(scores), resid)
     rows = rows.join(F.broadcast(correction_factors(scores, resid).select("child", "factor")), "child", "left").join(F.broadcast(quantile_caps(scores)), "season_group", "left")
-    raw = {f"r{k}": F.greatest(F.lit(0.0), F.col("yhat") + F.col(f"z{k}") * F.coalesce("factor", F.lit(1.0)) * F.col("scale")) for k in LEVELS}
+    raw = {f"r{k}": greatest_strict(F.lit(0.0), F.col("yhat") + F.col(f"z{k}") * F.coalesce("factor", F.lit(1.0)) * F.col("scale")) for k in LEVELS}
     rows = rows.withColumns(raw)
     out = {}
     for before, k in zip((None, *LEVELS), LEVELS, strict=False):
-        top = F.col(f"r{k}") if before is None else F.greatest(F.col(f"r{before}"), F.col(f"r{k}"))
-        out[f"q{k}"] = F.when(F.col("cap").isNull(), top).otherwise(F.least(top, F.col("cap")))
+        top = F.col(f"r{k}") if before is None else greatest_strict(F.col(f"r{before}"), F.col(f"r{k}"))
+        out[f"q{k}"] = F.when(F.col("cap").isNull(), top).otherwise(least_strict(top, F.col("cap")))
     return rows.withColumns(out).drop(*raw)
 
 
@@ -103,7 +105,7 @@ def quantile_sanity(fc: DataFrame) -> DataFrame:
 
 def coverage(fc: DataFrame) -> DataFrame:
     """Violation rates of active validation rows, all and the test weeks, by season and in total: one pass."""
-    rows = fc.where("split = 'VAL' and active").withColumn("scope", F.explode(F.when(is_tune(F.col("week")), F.array(F.lit("FULL_VAL"))).otherwise(F.array(F.lit("FULL_VAL"), F.lit("VAL_TEST")))))
+    rows = with_tune(fc).where("split = 'VAL' and active").withColumn("scope", F.explode(F.when(F.col("tune"), F.array(F.lit("FULL_VAL"))).otherwise(F.array(F.lit("FULL_VAL"), F.lit("VAL_TEST")))))
     out = rows.groupingSets([["scope", "season_group"], ["scope"]], "scope", "season_group").agg(F.count("*").alias("n"), *(share(F.col("y_12w") > F.col(f"q{k}")).alias(f"viol_{k}") for k in (80, 90, 95, 99)))
     return out.withColumn("season_group", F.coalesce("season_group", F.lit("ALL")))
 
@@ -171,12 +173,53 @@ def grid_eval(scores: DataFrame, part: str = "DEV_TUNE", grid: CalibrationGrid |
     pick = lambda name: F.coalesce(*(F.when(F.col(name) == k, F.col(f"x{k}")) for k in levels))
     width = f * F.col("scale") * F.col("scale_multiplier")
     rows = rows.select("config_id", "y_12w", "yhat", (F.col("yhat") + F.col("x80") * width).alias("q80"), (F.col("yhat") + pick("q90_level") * width).alias("q90"))
-    ratio_ = F.when(F.col("yhat") > 0, F.round(ratio("q90", "yhat"), 9))
+    ratio_ = F.when(F.col("yhat") > 0, fixed(ratio("q90", "yhat"), 9))
     out = rows.groupBy("config_id").agg(F.count("*").alias("n"), share(F.col("y_12w") > F.greatest(F.lit(0.0), F.col("q80"))).alias("viol_80"), share(F.col("y_12w") > F.greatest(F.lit(0.0), F.col("q90"))).alias("viol_90"), quantile(ratio_, 50).alias("ratio_median"), share(ratio_ > 5).alias("ratio_over_5"))
     h = lambda x: F.greatest(x, F.lit(0.0))
     loss = 20 * h(F.col("viol_90") - 0.12) + 20 * h(0.08 - F.col("viol_90")) + 5 * F.abs(F.col("viol_90") - 0.10) + 3 * h(F.coalesce("ratio_median", F.lit(0.0)) - 3) + 2 * h(F.col("ratio_over_5") - 0.05) + F.abs(2 * F.col("viol_90") - 0.20)
-    return out.withColumn("loss", F.round(loss, 9))
+    return out.withColumn("loss", fixed(loss, 9))
 
 
 def grid_argmin(evaluated: DataFrame) -> DataFrame:
     return evaluated.orderBy("loss", "config_id").limit(1)
+
+
+def recalibrated(scores: DataFrame, config: DataFrame, grid: CalibrationGrid | None = None) -> DataFrame:
+    """Quantiles of every validation row by one configuration of the grid, in cumulative order.
+
+    config: one row with ``config_id``. The cap of the season is carried and flagged, not applied;
+    labels stay out of the strict parts (``OUTSIDE``).
+    """
+    g = grid or CalibrationGrid()
+    resid = residuals(scores)
+    levels = sorted({*g.q90, *g.q95})
+    quantiles = lambda name: [quantile("score", k).alias(f"{name}{k}") for k in (80, *levels)]
+    known = resid.where("score is not null")
+    by_parent, by_season = known.groupBy("parent").agg(*quantiles("x")), known.groupBy("season_group").agg(*quantiles("s"))
+    rows = with_segments(scores).where("split = 'VAL'").withColumn("part", contract(F.col("week")))
+    rows = rows.join(F.broadcast(by_parent), "parent", "left").join(F.broadcast(by_season), "season_group", "left")
+    rows = rows.join(F.broadcast(correction_factors(scores, resid).select("child", "viol")), "child", "left").join(F.broadcast(quantile_caps(scores)), "season_group", "left")
+    one = calibration_grid(scores.sparkSession, g).join(config.select("config_id"), "config_id")
+    rows = rows.crossJoin(F.broadcast(one))
+    z = lambda k: F.coalesce(f"x{k}", f"s{k}", F.lit(NORMAL_Z.get(k)))
+    pick = lambda name: F.coalesce(*(F.when(F.col(name) == k, z(k)) for k in levels))
+    width = F.least(F.greatest(F.coalesce("viol", F.lit(0.10)) / 0.10, F.lit(g.clip_low)), F.col("clip_high")) * F.col("scale") * F.col("scale_multiplier")
+    raw = [F.col("yhat") + f * width for f in (z(80), pick("q90_level"), pick("q95_level"))]
+    q80 = greatest_strict(F.lit(0.0), raw[0])
+    q90 = greatest_strict(q80, raw[1])
+    q95 = greatest_strict(q90, raw[2])
+    return rows.select(
+        "sku_id", "week", "season_group", "part", "config_id", "yhat", q80.alias("q80"), q90.alias("q90"), q95.alias("q95"), "cap", (q95 > F.col("cap")).alias("over_cap"),
+        *(F.when(F.col("part") != "OUTSIDE", F.col(c)).alias(c) for c in ("y_12w", "event_12w")),
+    )
+
+
+def recalibrated_metrics(rows: DataFrame) -> DataFrame:
+    """Error, coverage and width of labelled recalibrated rows by part and season, and by part."""
+    miss = lambda k: share(F.col("y_12w") > F.col(f"q{k}")).alias(f"viol_{k}")
+    out = rows.where("y_12w is not null").groupingSets([["part", "season_group"], ["part"]], "part", "season_group").agg(
+        F.count("*").alias("n"), ratio(F.sum(F.abs(F.col("y_12w") - F.col("yhat"))), F.sum("y_12w")).alias("wmape"), *map(miss, (80, 90, 95)),
+        ratio(F.sum("q90"), F.sum("yhat")).alias("width"), share(F.col("over_cap")).alias("capped"),
+    )
+    out = out.withColumn("season_group", F.coalesce("season_group", F.lit("ALL")))
+    return out.withColumn("status", F.when(F.col("part") != "LOCKED_TEST", "REPORT").when(F.col("viol_90").between(0.08, 0.12), "PASS").otherwise("FAIL"))

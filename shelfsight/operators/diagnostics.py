@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import HORIZON, SPLITS
-from ..functions.columns import quantile, ratio, share
-from .conformal import coverage_gate, demand_eval, is_tune, quantile_sanity, residuals, with_segments
+from ..functions.columns import fixed, quantile, ratio, share
+from .conformal import coverage_gate, demand_eval, quantile_sanity, residuals, with_segments, with_tune
 from .scoring import conformal_score
 
 
@@ -29,7 +29,7 @@ def difficulty(fc: DataFrame) -> DataFrame:
     """Additive score of how hard each season and decile is to forecast."""
     miss = F.abs(F.col("y_12w") - F.col("yhat"))
     rows = fc.where("split = 'VAL'").groupBy("season_group", "decile").agg(
-        F.count("*").alias("n"), F.avg("zero_share_26w").alias("zero_rate"), F.round(ratio(F.stddev_samp("y"), F.avg("y")), 9).alias("cv"),
+        F.count("*").alias("n"), F.avg("zero_share_26w").alias("zero_rate"), fixed(ratio(F.stddev_samp("y"), F.avg("y")), 9).alias("cv"),
         ratio(F.sum(F.when(F.col("y_12w") > 0, miss)), F.sum(F.when(F.col("y_12w") > 0, F.col("y_12w")))).alias("wmape_positive"), share((F.col("y_12w") == 0) & (F.col("yhat") > 0)).alias("zero_over"),
     )
     band = lambda c, *cuts: sum((F.when(F.coalesce(c, F.lit(0.0)) >= x, 1).otherwise(0) for x in cuts), F.lit(0))
@@ -54,7 +54,7 @@ def quantile_collapse(fc: DataFrame) -> DataFrame:
 def guardrails(fc: DataFrame) -> DataFrame:
     """Balance of the upper quantile by season: ratios to the forecast, over and under forecast, cap, and the first failing rule."""
     rows = fc.where("split = 'VAL'")
-    big = F.when(F.col("yhat") >= 5, F.round(ratio("q90", "yhat"), 9))
+    big = F.when(F.col("yhat") >= 5, fixed(ratio("q90", "yhat"), 9))
     over, under = F.sum(F.greatest(F.col("q90") - F.col("y_12w"), F.lit(0.0))), F.sum(F.greatest(F.col("y_12w") - F.col("q90"), F.lit(0.0)))
     out = rows.groupBy("season_group").agg(F.count("*").alias("n"), quantile(big, 50).alias("ratio_median"), quantile(big, 90).alias("ratio_90"), ratio(F.sum("q90"), F.sum("yhat")).alias("ratio_weighted"), ratio(over, under).alias("over_under"), share(F.col("q90") >= F.col("cap")).alias("cap_rate"), share(F.col("y_12w") > F.col("q90")).alias("viol_90"))
     status = (
@@ -117,14 +117,14 @@ def run_summary(fc: DataFrame, verdict: DataFrame) -> DataFrame:
 
 def split_weeks(scores: DataFrame) -> DataFrame:
     """Validation weeks in order and the part each belongs to: the first two thirds tune."""
-    weeks = scores.where("split = 'VAL'").select("week").distinct()
-    return weeks.select("week", F.row_number().over(Window.orderBy("week")).alias("number"), F.when(is_tune(F.col("week")), "TUNE").otherwise("TEST").alias("part"))
+    weeks = with_tune(scores).where("split = 'VAL'").select("week", "tune").distinct()
+    return weeks.select("week", F.row_number().over(Window.orderBy("week")).alias("number"), F.when(F.col("tune"), "TUNE").otherwise("TEST").alias("part"))
 
 
 def split_profile(scores: DataFrame) -> DataFrame:
     """Moments, percentiles, zero share and intermittency of demand by split."""
     y = F.col("y_12w")
-    return scores.groupBy("split").agg(F.count("*").alias("n"), F.avg(y).alias("mean"), F.stddev_samp(y).alias("std"), F.round(F.skewness(y), 6).alias("skew"), *(quantile(y, k).alias(f"p{k}") for k in (5, 25, 50, 75, 95, 99)), share(F.col("y") == 0).alias("zero_weeks"), F.round(ratio(F.stddev_samp(y), F.avg(y)), 9).alias("cv"))
+    return scores.groupBy("split").agg(F.count("*").alias("n"), F.avg(y).alias("mean"), F.stddev_samp(y).alias("std"), fixed(F.skewness(y), 6).alias("skew"), *(quantile(y, k).alias(f"p{k}") for k in (5, 25, 50, 75, 95, 99)), share(F.col("y") == 0).alias("zero_weeks"), fixed(ratio(F.stddev_samp(y), F.avg(y)), 9).alias("cv"))
 
 
 def segment_diagnostics(fc: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import LayerGrid, RecallGrid
-from ..functions.columns import positive, ratio
+from ..functions.columns import fixed, positive, ratio
 
 #: Shares of the percentiles of suspicion, priority, expected loss, probability, forecast.
 DIFFICULT_WEIGHTS = (0.30, 0.25, 0.20, 0.15, 0.10)
@@ -35,11 +35,11 @@ def passes(gate: tuple[float, float, float, float]) -> Column:
 
 def percentiles(rows: DataFrame, by: Sequence[str], columns: Sequence[str] = RANKED) -> DataFrame:
     """``pr_<column>``: percent rank within the groups."""
-    return rows.withColumns({f"pr_{c}": F.percent_rank().over(Window.partitionBy(*by).orderBy(F.round(c, 9))) for c in columns})
+    return rows.withColumns({f"pr_{c}": F.percent_rank().over(Window.partitionBy(*by).orderBy(fixed(c, 9))) for c in columns})
 
 
 def weighted(weights: Sequence[float]) -> Column:
-    return F.round(sum((w * F.col(f"pr_{c}") for w, c in zip(weights, RANKED, strict=False) if w), F.lit(0.0)), 9)
+    return fixed(sum((w * F.col(f"pr_{c}") for w, c in zip(weights, RANKED, strict=False) if w), F.lit(0.0)), 9)
 
 
 def difficult_scores(layers: DataFrame, grid: LayerGrid | None = None) -> DataFrame:
@@ -56,12 +56,12 @@ def layer_grid(spark, grid: LayerGrid | None = None) -> DataFrame:
     return spark.createDataFrame(rows, "policy string, gate string, pct_high double, pct_rest double, quota_high int, quota_rest int")
 
 
-def _alerts(rows: DataFrame, policies: DataFrame, gates: Sequence[str]) -> DataFrame:
-    """Rows x policies that alert: gate, percentile of the season, quota of the season."""
+def _alerts(rows: DataFrame, policies: DataFrame, gates: Sequence[str], by: str | None = None) -> DataFrame:
+    """Rows x policies (those of equal ``by``, if named) that alert: gate, percentile of the season, quota of the season."""
     gate = F.lit(0)
     for k in gates:
         gate = F.when(F.col("gate") == k, F.col(f"gate_{k}")).otherwise(gate)
-    both = rows.crossJoin(F.broadcast(policies))
+    both = rows.join(F.broadcast(policies), by) if by else rows.crossJoin(F.broadcast(policies))
     high = F.col("season_group") == "HIGH_SEASON"
     return both.where((gate == 1) & (F.col("score") >= F.when(high, F.col("pct_high")).otherwise(F.col("pct_rest"))) & (F.col("rank") <= F.when(high, F.col("quota_high")).otherwise(F.col("quota_rest"))))
 
@@ -83,7 +83,7 @@ def layer_eval(layers: DataFrame, part: str = "DEV_SELECT", grid: LayerGrid | No
     base = ratio("events", "all")
     out = out.withColumns({
         "precision": ratio("hits", "alerts"), "recall": ratio("hits", "events"), "lift": ratio(ratio("hits", "alerts"), base), "fpr": ratio(F.col("alerts") - F.col("hits"), F.col("all") - F.col("events")),
-        "weekly_std": F.round(spread, 9), "combined_precision": ratio(F.col("hits") + F.col("stable_hits"), F.col("alerts") + F.col("stable_n")), "combined_recall": ratio(F.col("hits") + F.col("stable_hits"), "events"),
+        "weekly_std": fixed(spread, 9), "combined_precision": ratio(F.col("hits") + F.col("stable_hits"), F.col("alerts") + F.col("stable_n")), "combined_recall": ratio(F.col("hits") + F.col("stable_hits"), "events"),
     })
     precision, volume = F.coalesce("precision", F.lit(0.0)), ratio("alerts", "all")
     loss = (
@@ -92,7 +92,7 @@ def layer_eval(layers: DataFrame, part: str = "DEV_SELECT", grid: LayerGrid | No
         + F.when(F.col("weekly_std") > 5, 1.5).when(F.col("weekly_std") > 3, 0.5).otherwise(0.0)
     )
     valid = (F.col("alerts") > 0) & (precision >= base) & (F.coalesce("lift", F.lit(0.0)) > 1)
-    return out.withColumns({"loss": F.round(loss, 9), "valid": valid.cast("int")}).drop("_sq", "all", "events", "weeks", "stable_n", "stable_hits")
+    return out.withColumns({"loss": fixed(loss, 9), "valid": valid.cast("int")}).drop("_sq", "all", "events", "weeks", "stable_n", "stable_hits")
 
 
 def frozen_layer(evaluated: DataFrame, none: str = "NONE_VALID") -> DataFrame:
@@ -136,7 +136,7 @@ def uplift_verdict(metrics: DataFrame) -> DataFrame:
 
 def candidate_type() -> Column:
     """Ordered reasons for a third look at a row that has no alert yet."""
-    run, zero, gap, p = F.col("c_run"), F.round("true_zero", 9), F.round("c_gap", 9), F.round("p", 9)
+    run, zero, gap, p = F.col("c_run"), fixed("true_zero", 9), fixed("c_gap", 9), fixed("p", 9)
     return (
         F.when(F.col("alert") == 1, "NOT_CANDIDATE")
         .when((run >= 0.15) & (zero < 0.75), "T1_ZERO_RUN").when((run >= 0.30) & (zero < 0.85) & (p >= 0.05), "T2_LONG_RUN")
@@ -151,7 +151,7 @@ def recall_scores(rows: DataFrame) -> DataFrame:
     size = F.count("*").over(Window.partitionBy("part", "season_group", "type"))
     rows = rows.withColumn("segment", F.when(size >= LEAST_SEGMENT, F.concat("season_group", F.lit("::"), "type")).otherwise(F.col("season_group")))
     rows = percentiles(rows, ["part", "segment"])
-    zero = F.round("true_zero", 9) < 0.90
+    zero = fixed("true_zero", 9) < 0.90
     gates = {"C": passes(LayerGrid().gates["C"]), "D": passes((0.5, 0.10, 0.005, 0.005)) & zero, "E": (F.col("expected_lost") >= 1) & (F.col("gated") >= 1) & zero}
     return rows.withColumns({f"score_{k}": weighted(w) for k, w in SCORES.items()} | {f"gate_{k}": v.cast("int") for k, v in gates.items()})
 
@@ -173,7 +173,7 @@ def recall_eval(rows: DataFrame, part: str = "DEV_SELECT", grid: RecallGrid | No
     total = own.agg(F.count("*").alias("all"), F.sum("event_12w").alias("events"), F.sum("alert").alias("prior"), F.sum(F.col("alert") * F.col("event_12w")).alias("prior_hits"))
     long = recall_scores(own).select("sku_id", "week", "season_group", "event_12w", "expected_lost", "gate_C", "gate_D", "gate_E", F.explode(F.array(*(F.struct(F.lit(k).alias("formula"), F.col(f"score_{k}").alias("score")) for k in SCORES))).alias("s")).select("*", "s.formula", F.col("s.score").alias("raw")).drop("s")
     long = long.withColumns({"score": F.percent_rank().over(Window.partitionBy("formula", "week").orderBy("raw")), "rank": F.row_number().over(Window.partitionBy("formula", "week", "season_group").orderBy(F.desc("raw"), "sku_id"))})
-    hits = _alerts(long.withColumnRenamed("formula", "_f"), recall_grid(spark, g), g.gates).where("formula = _f")
+    hits = _alerts(long, recall_grid(spark, g), g.gates, "formula")
     found = hits.groupBy("policy").agg(F.count("*").alias("alerts"), F.sum("event_12w").alias("hits"), F.sum("expected_lost").alias("lost"))
     out = recall_grid(spark, g).select("policy").join(found, "policy", "left").crossJoin(F.broadcast(total))
     out = out.withColumns({"alerts": F.coalesce("alerts", F.lit(0)), "hits": F.coalesce("hits", F.lit(0)), "lost": F.coalesce("lost", F.lit(0.0))})
@@ -186,7 +186,7 @@ def recall_eval(rows: DataFrame, part: str = "DEV_SELECT", grid: RecallGrid | No
     valid = (F.col("alerts") > 0) & (z("precision") >= F.col("floor")) & (z("combined_precision") >= F.col("floor")) & (z("lift") >= 1.5) & (z("fpr") <= 0.02)
     penalty = F.when(z("precision") < F.col("floor"), 10.0).when(z("combined_precision") < F.col("floor"), 5.0).otherwise(0.0)
     loss = -4 * z("recall") - 2 * z("lift") - F.col("lost") / 1000 + 2 * z("fpr") + 2 * penalty + F.when(F.col("volume") > 0.03, 2.0).when(F.col("volume") > 0.015, 0.5).otherwise(0.0)
-    return out.withColumns({"loss": F.round(loss, 9), "valid": valid.cast("int")}).drop("all", "events", "prior", "prior_hits")
+    return out.withColumns({"loss": fixed(loss, 9), "valid": valid.cast("int")}).drop("all", "events", "prior", "prior_hits")
 
 
 def recall_verdict(frozen: DataFrame, evaluated: DataFrame) -> DataFrame:
@@ -201,6 +201,45 @@ def recall_verdict(frozen: DataFrame, evaluated: DataFrame) -> DataFrame:
     return rows.select("policy", "alerts", "hits", verdict.alias("verdict"))
 
 
+def least_loss(evaluated: DataFrame) -> DataFrame:
+    """The policy of least loss, valid or not."""
+    return evaluated.orderBy("loss", "policy").limit(1).select("policy", "loss")
+
+
+def third_layer(rows: DataFrame, frozen: DataFrame, grid: RecallGrid | None = None) -> DataFrame:
+    """All rows with the third layer of one policy and the source of their alert; without a policy nothing is added.
+
+    Percentile and rank are over all rows of a week and season, rows that aren't candidates lowest.
+    """
+    g = grid or RecallGrid()
+    keys = ["sku_id", "week"]
+    policy = recall_grid(rows.sparkSession, g).join(frozen.select("policy"), "policy").drop("policy")
+    scored = recall_scores(rows).select(*keys, F.col("type").alias("candidate"), *(f"score_{k}" for k in SCORES), *(f"gate_{k}" for k in g.gates))
+    both = rows.join(scored, keys, "left").join(F.broadcast(policy), F.lit(True), "left")
+    pick = lambda name, of, kind: F.coalesce(*(F.when(F.col(name) == k, F.col(f"{kind}_{k}")) for k in of))
+    both = both.withColumns({"third_score": pick("formula", SCORES, "score"), "_gate": pick("gate", g.gates, "gate")})
+    week = Window.partitionBy("week", "season_group")
+    both = both.withColumns({"_pct": F.percent_rank().over(week.orderBy(F.asc_nulls_first("third_score"))), "_rank": F.row_number().over(week.orderBy(F.desc_nulls_last("third_score"), "sku_id"))})
+    high = F.col("season_group") == "HIGH_SEASON"
+    on = (F.col("alert") == 0) & F.col("candidate").isNotNull() & (F.col("_gate") == 1) & (F.col("_pct") >= F.when(high, F.col("pct_high")).otherwise(F.col("pct_rest"))) & (F.col("_rank") <= F.when(high, F.col("quota_high")).otherwise(F.col("quota_rest")))
+    third = F.coalesce(on, F.lit(False)).cast("int")
+    source = F.when(third == 1, "RECALL_SAFE").otherwise(F.col("source"))
+    return both.select(*rows.columns, F.coalesce("candidate", F.lit("NOT_CANDIDATE")).alias("candidate"), "third_score", third.alias("third"), source.alias("source_3"), F.greatest("alert", third).alias("alert_3"))
+
+
+def third_metrics(rows: DataFrame, part: str = "LOCKED_TEST") -> DataFrame:
+    """Stable, prior, incremental and combined alerts of one part: in total, by season and by type of candidate, in one pass."""
+    own = rows.where(F.col("part") == part)
+    layers = {"STABLE": "stable", "PRIOR": "alert", "INCREMENTAL": "third", "COMBINED": "alert_3"}
+    kinds = F.array(*(F.struct(F.lit(k).alias("layer"), F.col(c).alias("on")) for k, c in layers.items()))
+    long = own.select("season_group", "candidate", "event_12w", "expected_lost", F.explode(kinds).alias("s")).select("*", "s.layer", "s.on")
+    out = long.groupingSets([["layer", "season_group"], ["layer", "candidate"], ["layer"]], "layer", "season_group", "candidate").agg(
+        F.count("*").alias("n"), F.sum("on").alias("alerts"), F.sum(F.col("on") * F.col("event_12w")).alias("hits"), F.sum("event_12w").alias("events"), F.sum(F.col("on") * F.col("expected_lost")).alias("lost"),
+    )
+    scope = F.coalesce(F.concat(F.lit("SEASON "), "season_group"), F.concat(F.lit("TYPE "), "candidate"), F.lit("ALL"))
+    return out.select("layer", scope.alias("scope"), "n", "alerts", "hits", "events", "lost", ratio("hits", "alerts").alias("precision"), ratio("hits", "events").alias("recall"), ratio(F.col("alerts") - F.col("hits"), F.col("n") - F.col("events")).alias("fpr"), ratio(ratio("hits", "alerts"), ratio("events", "n")).alias("lift"))
+
+
 def missed_events(rows: DataFrame, part: str = "LOCKED_TEST") -> DataFrame:
     """Where events without an alert were lost, with their expected loss."""
     own = rows.where((F.col("part") == part) & (F.col("event_12w") == 1))

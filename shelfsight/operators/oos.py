@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import OOS_THRESHOLDS, OOS_WEIGHTS, SEASON_COMPONENT, SEASON_DEFAULT
-from ..functions.columns import clip, positive, ratio
+from ..functions.columns import clip, fixed, positive, ratio
 from .panel import by_sku
 
 RUN = 12
@@ -63,9 +63,9 @@ def weight_table(spark) -> DataFrame:
 def suspicion(rows: DataFrame) -> DataFrame:
     """Rows with w1 to w6 get ``suspected``, ``expected_lost`` and ``priority``."""
     raw = sum((F.col(f"w{i}") * F.col(c) for i, c in enumerate(COMPONENTS, 1)), F.lit(0.0))
-    rows = rows.withColumn("suspected", F.round(clip(raw * (1 - F.col("true_zero")), 0.0, 1.0), 9))
+    rows = rows.withColumn("suspected", fixed(clip(raw * (1 - F.col("true_zero")), 0.0, 1.0), 9))
     boost = F.when(F.col("season_group") == "HIGH_SEASON", 1.2).otherwise(1.0)
-    return rows.withColumns({"expected_lost": F.round(F.col("suspected") * F.col("gap"), 9), "priority": F.round(F.col("suspected") * F.log1p("gap") * boost, 9)})
+    return rows.withColumns({"expected_lost": fixed(F.col("suspected") * F.col("gap"), 9), "priority": fixed(F.col("suspected") * F.log1p("gap") * boost, 9)})
 
 
 def policy_grid(spark) -> DataFrame:
@@ -99,7 +99,7 @@ def policy_eval(features: DataFrame, part: str = "DEV_SELECT") -> DataFrame:
     out = out.withColumns({"precision": precision, "recall": recall, "f1": ratio(2 * F.col("hits"), F.col("flags") + F.col("events")), "lift": ratio(precision, rate), "fpr": ratio(F.col("flags") - F.col("hits"), F.col("all") - F.col("events"))})
     violation = F.when(F.coalesce("precision", F.lit(0.0)) < rate, 1).otherwise(0)
     loss = (2 - F.coalesce("lift", F.lit(0.0))) + 0.01 * positive(F.col("flags") - F.col("events").cast("double")) + 10 * violation
-    return out.withColumn("loss", F.round(loss, 9)).drop("all", "events")
+    return out.withColumn("loss", fixed(loss, 9)).drop("all", "events")
 
 
 def frozen_policy(evaluated: DataFrame) -> DataFrame:

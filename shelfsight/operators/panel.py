@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from ..config import DEMAND_LAGS, HORIZON, SPLITS, VIP_CUSTOMERS, Splits
-from ..functions.columns import iso_week, iso_year, monday, positive, quantile, ratio, season_group
+from ..functions.columns import fixed, iso_week, iso_year, monday, positive, quantile, ratio, season_group
 
 
 def by_sku() -> WindowSpec:
@@ -41,7 +41,7 @@ def sku_customer_sales(fact: DataFrame) -> DataFrame:
 
 def vip_customers(fact: DataFrame, most: int = VIP_CUSTOMERS, splits: Splits = SPLITS) -> DataFrame:
     """Customers of the ``most`` largest totals before the validation weeks, ties included."""
-    total = fact.where(F.col("date") <= F.lit(splits.calib_end).cast("date")).groupBy("customer_id").agg(F.round(F.sum("base_amount"), 4).alias("total")).where("total > 0")
+    total = fact.where(F.col("date") <= F.lit(splits.calib_end).cast("date")).groupBy("customer_id").agg(fixed(F.sum("base_amount"), 4).alias("total")).where("total > 0")
     # the rank needs only rows down to the last total that counts
     cut = F.broadcast(total.select("total").distinct().orderBy(F.desc("total")).limit(most).agg(F.min("total").alias("cut")))
     top = total.join(cut, F.col("total") >= F.col("cut")).drop("cut")
@@ -75,7 +75,7 @@ def _before(weeks: int) -> WindowSpec:
 
 
 def _std(weeks: int) -> Column:
-    return F.round(F.stddev_samp("y").over(_before(weeks)), 9)
+    return fixed(F.stddev_samp("y").over(_before(weeks)), 9)
 
 
 def features(panel: DataFrame, splits: Splits = SPLITS) -> DataFrame:
@@ -96,7 +96,7 @@ def features(panel: DataFrame, splits: Splits = SPLITS) -> DataFrame:
     })
     angle = F.col("iso_week") * (2 * F.pi() / 52)
     out = out.withColumns({f"{n}_{k}": f(angle * k) for k in (1, 2, 3) for n, f in (("sin", F.sin), ("cos", F.cos))})
-    cv = lambda k: F.coalesce(F.round(ratio(f"std_{k}", f"mean_{k}"), 9), F.lit(0.0))
+    cv = lambda k: F.coalesce(fixed(ratio(f"std_{k}", f"mean_{k}"), 9), F.lit(0.0))
     out = out.withColumns({
         "season_group": season_group(F.col("iso_week")), "cv_4w": cv(4), "cv_12w": cv(12), "cv_13w": cv(13),
         "amplitude": F.coalesce("mean_13", F.lit(0.0)), "lag1_rel": F.coalesce(ratio("lag_1", "mean_13"), F.lit(1.0)),

@@ -6,26 +6,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import TOP_K
-from ..functions.columns import positive, ratio
-from .conformal import is_tune
+from ..functions.columns import fixed, positive, ratio
+from .conformal import with_tune
 
 POLICIES = ("A", "B", "C05", "C10", "C15", "E")
 
 
 def policy_scores(fc: DataFrame) -> DataFrame:
-    """Columns ``score_<policy>``; E weighs by amplitude over its season's training mean."""
-    mean = fc.where("split = 'TRAIN'").groupBy("season_group").agg(F.avg("amplitude").alias("_mean"))
+    """Columns ``score_<policy>``; E weighs by amplitude over its season's training mean.
+
+    That mean is rounded, so that ranks don't hang on the order in which it was summed.
+    """
+    mean = fc.where("split = 'TRAIN'").groupBy("season_group").agg(fixed(F.avg("amplitude"), 6).alias("_mean"))
     rows = fc.join(F.broadcast(mean), "season_group", "left")
     spread = lambda q: positive(F.col(q) - F.col("yhat"))
     rel = F.least(F.greatest(F.coalesce(ratio("amplitude", "_mean"), F.lit(1.0)), F.lit(0.5)), F.lit(2.0))
     out = {"A": F.col("p") * spread("q95"), "B": F.col("p") * F.col("q90"), "C05": F.sqrt("p") * spread("q95"), "C10": F.col("p") * spread("q95"), "C15": F.pow("p", F.lit(1.5)) * spread("q95"), "E": F.col("p") * F.col("q90") * rel}
-    return rows.withColumns({f"score_{k}": F.round(v, 6) for k, v in out.items()}).drop("_mean")
+    return rows.withColumns({f"score_{k}": v for k, v in out.items()}).drop("_mean")
 
 
-def stacked(fc: DataFrame) -> DataFrame:
-    """One row a policy, so that one window ranks them all."""
+def stacked(fc: DataFrame, where: str = "split = 'VAL'") -> DataFrame:
+    """One row a policy, so that one window ranks them all; ``where`` chooses rows once their scores are known."""
     pairs = F.array(*(F.struct(F.lit(k).alias("policy"), F.col(f"score_{k}").alias("score")) for k in POLICIES))
-    return policy_scores(fc).select("sku_id", "week", "season_group", "event_12w", "lost_12w", F.explode(pairs).alias("s")).select("*", "s.policy", "s.score").drop("s")
+    return policy_scores(fc).where(where).select("sku_id", "week", "season_group", "event_12w", "lost_12w", F.explode(pairs).alias("s")).select("*", "s.policy", "s.score").drop("s")
 
 
 def ranked(rows: DataFrame, *by: str, score: str = "score") -> Column:
@@ -34,7 +37,7 @@ def ranked(rows: DataFrame, *by: str, score: str = "score") -> Column:
 
 def policy_sweep(fc: DataFrame, k: int = TOP_K) -> DataFrame:
     """Precision and lift of the first k of each week, by policy and season, on the tuning weeks."""
-    rows = stacked(fc.where((F.col("split") == "VAL") & is_tune(F.col("week"))))
+    rows = stacked(with_tune(fc), "split = 'VAL' and tune")
     base = rows.where(F.col("policy") == POLICIES[0]).groupBy("season_group").agg(F.avg("event_12w").alias("base_rate"))
     top = rows.withColumn("rank", ranked(rows, "policy", "week")).where(F.col("rank") <= k)
     out = top.groupBy("policy", "season_group").agg(F.count("*").alias("alerts"), F.sum("event_12w").alias("hits"), F.sum("lost_12w").alias("lost"))
@@ -43,12 +46,12 @@ def policy_sweep(fc: DataFrame, k: int = TOP_K) -> DataFrame:
 
 
 def policy_best(sweep: DataFrame) -> DataFrame:
-    return sweep.groupBy("policy").agg(F.round(F.avg("lift"), 9).alias("mean_lift"), F.sum("lost").alias("lost")).orderBy(F.desc("mean_lift"), "policy").limit(1)
+    return sweep.groupBy("policy").agg(fixed(F.avg("lift"), 9).alias("mean_lift"), F.sum("lost").alias("lost")).orderBy(F.desc("mean_lift"), "policy").limit(1)
 
 
 def alerts(fc: DataFrame, best: DataFrame, k: int = TOP_K) -> DataFrame:
     """The first k of each validation week by the chosen policy."""
-    rows = stacked(fc.where("split = 'VAL'")).join(F.broadcast(best.select("policy")), "policy")
+    rows = stacked(fc).join(F.broadcast(best.select("policy")), "policy")
     return rows.withColumn("rank", ranked(rows, "week")).where(F.col("rank") <= k)
 
 
@@ -60,7 +63,7 @@ def alert_eval(fc: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def probability_comparison(fc: DataFrame) -> DataFrame:
-    """Brier score, log-loss and correlation of the probability and of a constant."""
+    """Brier score, log-loss and correlation of the probability, by season."""
     label, p = F.col("event_12w").cast("double"), F.col("p")
     log_loss = -(label * F.log(F.greatest(p, F.lit(1e-7))) + (1 - label) * F.log(F.greatest(1 - p, F.lit(1e-7))))
     return fc.where("split = 'VAL'").groupBy("season_group").agg(F.count("*").alias("n"), F.avg(F.pow(p - label, F.lit(2.0))).alias("brier"), F.avg(log_loss).alias("log_loss"), F.avg(p).alias("mean_p"), F.avg(label).alias("rate"), F.corr(p, label).alias("corr"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ACTIVE_AMPLITUDE
-from ..functions.columns import clip
+from ..functions.columns import clip, fixed
 
 FEATURES = ("lag_1", "lag_2", "lag_4", "lag_8", "lag_12", "lag_13", "lag_26", "lag_52", "mean_4", "mean_8", "mean_12", "mean_13", "std_4", "std_12", "std_13", "sale_freq_12w", "zero_share_13w", "zero_share_26w", "sin_1", "cos_1", "sin_2", "cos_2", "cv_4w", "cv_12w", "cv_13w", "amplitude", "lag1_rel", "oos_lag_1", "oos_lag_2", "oos_lag_4", "weeks_since_start")
 
@@ -20,11 +20,11 @@ def closed_form(rows: DataFrame) -> DataFrame:
 def base_scores(rows: DataFrame) -> DataFrame:
     """Rows with ``yhat`` and ``p`` get the scale of their residuals and the active flag."""
     scale = F.greatest(F.lit(1.0), F.coalesce("std_13", F.lit(0.0)) * F.sqrt(F.lit(12.0)), F.sqrt(F.coalesce("mean_13", F.lit(0.0)) * 12 + 1))
-    return rows.withColumns({"scale": F.round(scale, 9), "active": F.col("amplitude") >= ACTIVE_AMPLITUDE})
+    return rows.withColumns({"scale": fixed(scale, 9), "active": F.col("amplitude") >= ACTIVE_AMPLITUDE})
 
 
 def conformal_score() -> Column:
-    return F.when(F.col("active"), F.round((F.col("y_12w") - F.col("yhat")) / F.col("scale"), 9))
+    return F.when(F.col("active"), fixed((F.col("y_12w") - F.col("yhat")) / F.col("scale"), 9))
 
 
 def fit_trees(train: DataFrame, label: str, classify: bool, rounds: int = 20, depth: int = 4, step: float = 0.1):

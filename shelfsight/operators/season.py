@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import clip, iso_week, iso_year, quantile, ratio, share
+from ..functions.columns import clip, fixed, iso_week, iso_year, quantile, ratio, share
 from .conformal import contract
 
 #: Weeks on either side that count as neighbours.
@@ -33,12 +33,12 @@ def season_profile(scores: DataFrame) -> DataFrame:
     )
     annual = past.groupBy("sku_id").agg(F.avg("y").alias("mean_year"), F.avg("pos").alias("pos_year"))
     out = out.join(annual, "sku_id", "left").withColumns({"mean_year": zero(F.col("mean_year")), "pos_year": zero(F.col("pos_year"))})
-    return out.withColumns({"index": ratio("mean_same", "mean_year"), "pos_index": ratio("pos_same", "pos_year"), "slope": F.round(F.col("pos_after") - F.col("pos_before"), 9)})
+    return out.withColumns({"index": ratio("mean_same", "mean_year"), "pos_index": ratio("pos_same", "pos_year"), "slope": fixed(F.col("pos_after") - F.col("pos_before"), 9)})
 
 
 def season_state() -> Column:
     """The first rule that fits names the state."""
-    pos, year, index = F.col("pos_same"), F.col("pos_year"), F.round("index", 9)
+    pos, year, index = F.col("pos_same"), F.col("pos_year"), fixed("index", 9)
     middling = pos.between(0.15, 0.50)
     return (
         F.when(F.col("n_obs") < 3, "UNKNOWN_FALLBACK")
@@ -47,7 +47,7 @@ def season_state() -> Column:
         .when((pos >= 0.40) & (index >= 1.25), "IN_SEASON")
         .when((F.col("slope") > 0.10) & middling, "TRANSITION_UP")
         .when((F.col("slope") < -0.10) & middling, "TRANSITION_DOWN")
-        .when((year < 0.35) & (F.abs(F.round("pos_index", 9) - 1) < 0.40), "INTERMITTENT_RANDOM")
+        .when((year < 0.35) & (F.abs(fixed("pos_index", 9) - 1) < 0.40), "INTERMITTENT_RANDOM")
         .when((F.col("season_group") == "REST") & (index < 0.60), "REST_OFFPEAK")
         .otherwise("IN_SEASON")
     )

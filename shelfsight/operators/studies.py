@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import positive, quantile, ratio, share
+from ..functions.columns import fixed, positive, quantile, ratio, share
 from .panel import by_sku
 from .season import zero_regime
 
@@ -25,8 +25,8 @@ def demand_class(panel: DataFrame, until: str) -> DataFrame:
     """Mean gap between sales and squared variation of sales of each SKU, and the class they give."""
     rows = panel.where(F.col("week") <= F.lit(until).cast("date"))
     sold = F.when(F.col("y") > 0, F.col("y"))
-    out = rows.groupBy("sku_id").agg(F.count("*").alias("weeks"), F.count(sold).alias("sales"), F.avg(sold).alias("mean"), F.round(F.stddev_samp(sold), 9).alias("std"))
-    out = out.withColumns({"adi": ratio("weeks", "sales"), "cv2": F.round(F.pow(ratio("std", "mean"), F.lit(2.0)), 9)})
+    out = rows.groupBy("sku_id").agg(F.count("*").alias("weeks"), F.count(sold).alias("sales"), F.avg(sold).alias("mean"), fixed(F.stddev_samp(sold), 9).alias("std"))
+    out = out.withColumns({"adi": ratio("weeks", "sales"), "cv2": fixed(F.pow(ratio("std", "mean"), F.lit(2.0)), 9)})
     smooth = F.coalesce("cv2", F.lit(0.0)) < CV2
     name = F.when(F.col("sales") == 0, "NO_SALES").when((F.col("adi") < ADI) & smooth, "SMOOTH").when(F.col("adi") < ADI, "ERRATIC").when(smooth, "INTERMITTENT").otherwise("LUMPY")
     return out.withColumn("class", name)
@@ -58,12 +58,12 @@ def point_eval(stated: DataFrame) -> DataFrame:
     rows = point_candidates(stated).select("part", "y_12w", stack.alias("s")).select("part", "y_12w", "s.candidate", "s.f")
     miss, y = F.abs(F.col("y_12w") - F.col("f")), F.col("y_12w")
     out = rows.groupBy("part", "candidate").agg(F.count("*").alias("n"), ratio(F.sum(miss), F.sum(y)).alias("wmape"), ratio(F.sum(F.when(y > 0, miss)), F.sum(F.when(y > 0, y))).alias("wmape_positive"), share((y == 0) & (F.col("f") > 0)).alias("zero_over"), ratio(F.sum(F.col("f") - y), F.sum(y)).alias("bias"))
-    return out.withColumn("loss", F.round(2 * F.col("wmape_positive") + F.col("zero_over") + 0.5 * F.abs("bias"), 9))
+    return out.withColumn("loss", fixed(2 * F.col("wmape_positive") + F.col("zero_over") + 0.5 * F.abs("bias"), 9))
 
 
 def residual_spreads(stated: DataFrame, least: int = 50) -> DataFrame:
     """Quantiles of positive residuals on DEV_TUNE by season and zero regime; the total's where rows are few."""
-    rows = stated.where("part = 'DEV_TUNE'").withColumns({"regime": zero_regime(F.col("zero_share_26w")), "_r": F.round(positive(F.col("y_12w") - F.col("gated")), 9)})
+    rows = stated.where("part = 'DEV_TUNE'").withColumns({"regime": zero_regime(F.col("zero_share_26w")), "_r": fixed(positive(F.col("y_12w") - F.col("gated")), 9)})
     sets = rows.groupingSets([["season_group", "regime"], []], "season_group", "regime").agg(F.grouping_id().alias("_g"), F.count("*").alias("n"), *(quantile("_r", k).alias(f"r{k}") for k in (80, 90, 95)))
     total = sets.where("_g = 3").select(*(F.col(f"r{k}").alias(f"_t{k}") for k in (80, 90, 95)))
     out = sets.where("_g = 0").crossJoin(F.broadcast(total))
@@ -80,12 +80,12 @@ def overlay_eval(stated: DataFrame, spreads: DataFrame, part: str = "DEV_SELECT"
     stack = F.explode(F.array(*(F.struct(F.lit(f"{m}_CAP{c}").alias("candidate"), *(F.least(f(F.coalesce(f"r{k}", F.lit(0.0))), F.greatest(c * F.col("gated"), F.col("gated") + 12 * F.col("p90_same"))).alias(f"o{k}") for k in (80, 90, 95))) for m, f in methods.items() for c in (2, 3, 4))))
     long = rows.select("season_group", "gated", "y_12w", stack.alias("s")).select("season_group", "gated", "y_12w", "s.*")
     out = long.groupBy("candidate").agg(
-        F.count("*").alias("n"), *(share(F.col("y_12w") > F.round(F.col(f"o{k}"), 9)).alias(f"viol_{k}") for k in (80, 90, 95)), F.avg(F.col("o90") - F.col("gated")).alias("spread"),
+        F.count("*").alias("n"), *(share(F.col("y_12w") > fixed(F.col(f"o{k}"), 9)).alias(f"viol_{k}") for k in (80, 90, 95)), F.avg(F.col("o90") - F.col("gated")).alias("spread"),
         F.coalesce(F.avg(F.when(F.col("season_group") == "REST", F.col("o90") - F.col("gated"))), F.lit(0.0)).alias("spread_rest"), share((F.col("o90") < F.col("o80")) | (F.col("o95") < F.col("o90"))).alias("non_monotone"),
     )
     h = lambda x: F.greatest(x, F.lit(0.0))
     loss = 1.5 * (F.abs(F.col("viol_80") - 0.10) + F.abs(F.col("viol_90") - 0.04) + F.abs(F.col("viol_95") - 0.01)) + 0.1 * h(F.col("spread") - 20) + 0.05 * F.col("spread_rest") + F.when(F.col("non_monotone") > 0, 100.0).otherwise(0.0)
-    return out.withColumn("loss", F.round(loss, 6))
+    return out.withColumn("loss", fixed(loss, 6))
 
 
 def composite_loss(fc: DataFrame) -> DataFrame:
@@ -98,7 +98,7 @@ def composite_loss(fc: DataFrame) -> DataFrame:
     y = F.col("y_12w")
     out = long.groupBy("source").agg(F.count("*").alias("n"), *(share(y > F.col(c)).alias(f"v{k}") for c, k in (("a", 80), ("b", 90), ("c", 95))), ratio(F.sum(F.when(y > 0, F.abs(y - F.col("f")))), F.sum(F.when(y > 0, y))).alias("wmape_positive"), share((y == 0) & (F.col("f") > 0)).alias("zero_over"), share((F.col("b") < F.col("a")) | (F.col("c") < F.col("b"))).alias("non_monotone"))
     loss = 2 * F.abs(F.col("v80") - 0.20) + 3 * F.abs(F.col("v90") - 0.10) + 2 * F.abs(F.col("v95") - 0.05) + F.col("wmape_positive") + 0.5 * F.col("zero_over") + 10 * F.col("non_monotone")
-    return out.withColumn("loss", F.round(loss, 9))
+    return out.withColumn("loss", fixed(loss, 9))
 
 
 def newsvendor(fc: DataFrame) -> DataFrame:
@@ -138,9 +138,9 @@ def inventory_summary(rows: DataFrame) -> DataFrame:
 def whole_units(parts: DataFrame, keys: list[str], name: str, value: str) -> DataFrame:
     """Whole units by the largest remainder: floors, then one more for the largest fractions until the rounded total is met."""
     per = Window.partitionBy(*keys)
-    rows = parts.withColumn("_v", F.round(value, 6)).withColumn("_f", F.floor("_v"))
+    rows = parts.withColumn("_v", fixed(value, 6)).withColumn("_f", F.floor("_v"))
     rest = F.round(F.sum("_v").over(per)) - F.sum("_f").over(per)
-    rank = F.row_number().over(per.orderBy(F.desc(F.round(F.col("_v") - F.col("_f"), 6)), name))
+    rank = F.row_number().over(per.orderBy(F.desc(fixed(F.col("_v") - F.col("_f"), 6)), name))
     rows = rows.withColumns({"_rest": rest, "_rank": rank})
     return rows.withColumn("whole", (F.col("_f") + F.when(F.col("_rank") <= F.col("_rest"), 1).otherwise(0)).cast("long")).drop("_v", "_f", "_rest", "_rank")
 

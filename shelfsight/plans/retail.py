@@ -35,6 +35,11 @@ def forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.forecast(scores(spark, sf_dir))
 
 
+def recalibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scores(spark, sf_dir)
+    return C.recalibrated(rows, C.grid_argmin(C.grid_eval(rows)))
+
+
 KEYS = ["sku_id", "week"]
 LAGS = [*(f"lag_{k}" for k in (1, 2, 4, 8, 12, 13, 26, 52))]
 ROLLING = [*(f"mean_{k}" for k in (4, 8, 12, 13)), *(f"std_{k}" for k in (4, 12, 13)), "sold_before", "sale_freq_12w", "zero_share_13w", "zero_share_26w", "cv_4w", "cv_12w", "cv_13w", "amplitude", "lag1_rel"]
@@ -94,6 +99,8 @@ QUERIES: dict[str, Query] = {
     "calibration_grid": lambda spark, sf_dir: C.calibration_grid(spark),
     "grid_eval": _by(scores, C.grid_eval),
     "grid_argmin": _by(scores, C.grid_eval, C.grid_argmin),
+    "recalibrated_forecast": _by(recalibrated, lambda d: d.drop("config_id")),
+    "recalibrated_metrics": _by(recalibrated, C.recalibrated_metrics),
     "policy_sweep": _by(forecast, A.policy_sweep),
     "policy_best": _by(forecast, A.policy_sweep, A.policy_best),
     "alerts_topk": _by(forecast, _alerts, lambda d: d.select(*KEYS, "season_group", "policy", "score", "rank")),

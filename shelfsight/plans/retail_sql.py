@@ -65,7 +65,8 @@ STEPS["lookup"] = f"SELECT parent, child, n, CASE WHEN n >= 30 THEN 'child' ELSE
 STEPS["seasonal"] = f"SELECT season_group, {', '.join(f'{q("score", k)} AS s{k}' for k in LEVELS)} FROM resid WHERE score IS NOT NULL GROUP BY 1"
 _Z = {75: 1.036, 80: 1.282, 85: 1.440, 90: 1.645, 95: 1.960, 99: 2.576}
 STEPS["zrows"] = f"SELECT s.*, {', '.join(f'coalesce(l.z{k}, t.s{k}, {_Z[k]}) AS z{k}' for k in LEVELS)} FROM seg s LEFT JOIN lookup l ON l.child = s.child LEFT JOIN seasonal t ON t.season_group = s.season_group"
-STEPS["exceed"] = "SELECT season_group, child, (y_12w > greatest(0, yhat + z90 * scale))::INT AS x FROM zrows WHERE active AND split = 'VAL' AND weekofyear(week) <= 35"
+STEPS["tunecut"] = "SELECT list_sort(list(DISTINCT week))[floor(0.67 * count(DISTINCT week))::INT] AS cut FROM scores WHERE split = 'VAL'"
+STEPS["exceed"] = "SELECT season_group, child, (y_12w > greatest(0, yhat + z90 * scale))::INT AS x FROM zrows WHERE active AND split = 'VAL' AND week <= (SELECT cut FROM tunecut)"
 STEPS["factors"] = """SELECT season_group, child, n, viol, greatest(least(viol / 0.10, 3.0), 0.8)::DOUBLE AS factor FROM (
   SELECT k.season_group, child, k.n, CASE WHEN k.n >= 50 THEN k.v WHEN u.n >= 20 THEN u.v ELSE 0.10 END::DOUBLE AS viol
   FROM (SELECT season_group, child, count(*) AS n, avg(x) AS v FROM exceed GROUP BY 1, 2) k JOIN (SELECT season_group, count(*) AS n, avg(x) AS v FROM exceed GROUP BY 1) u USING (season_group))"""
@@ -73,7 +74,7 @@ STEPS["caps"] = f"SELECT season_group, 2 * {q('y_12w', 99)} AS cap FROM scores W
 STEPS["fraw"] = f"SELECT z.*, cap, {', '.join(f'greatest(0, yhat + z{k} * coalesce(factor, 1) * scale) AS r{k}' for k in LEVELS)} FROM zrows z LEFT JOIN factors f ON f.child = z.child LEFT JOIN caps c ON c.season_group = z.season_group"
 STEPS["fc"] = "SELECT *, least(r75, cap) AS q75, " + ", ".join(f"least(greatest(r{a}, r{b}), cap) AS q{b}" for a, b in zip(LEVELS, LEVELS[1:], strict=False)) + " FROM fraw"
 _mono = " OR ".join(f"q{b} < q{a}" for a, b in zip(LEVELS, LEVELS[1:], strict=False))
-STEPS["covrows"] = "SELECT *, unnest(CASE WHEN weekofyear(week) <= 35 THEN ['FULL_VAL'] ELSE ['FULL_VAL', 'VAL_TEST'] END) AS scope FROM fc WHERE split = 'VAL' AND active"
+STEPS["covrows"] = "SELECT *, unnest(CASE WHEN week <= (SELECT cut FROM tunecut) THEN ['FULL_VAL'] ELSE ['FULL_VAL', 'VAL_TEST'] END) AS scope FROM fc WHERE split = 'VAL' AND active"
 _cov = ", ".join(f"{share(f'y_12w > q{k}')} AS viol_{k}" for k in (80, 90, 95, 99))
 STEPS["cov"] = f"SELECT scope, season_group, count(*) AS n, {_cov} FROM covrows GROUP BY 1, 2 UNION ALL SELECT scope, 'ALL', count(*), {_cov} FROM covrows GROUP BY 1"
 STEPS["contract"] = """SELECT DISTINCT week, weekofyear(week)::INT AS iso_week, week + 7 AS target_start, week + 84 AS target_end,
@@ -89,12 +90,22 @@ STEPS["gridagg"] = f"""SELECT config_id, count(*) AS n, {share("y_12w > greatest
   {q("CASE WHEN yhat > 0 THEN round(q90 / yhat, 9) END", 50)} AS ratio_median, {share("yhat > 0 AND round(q90 / yhat, 9) > 5")} AS ratio_over_5 FROM gridrows GROUP BY 1"""
 STEPS["grideval"] = """SELECT *, round(20 * greatest(viol_90 - 0.12, 0) + 20 * greatest(0.08 - viol_90, 0) + 5 * abs(viol_90 - 0.10) + 3 * greatest(coalesce(ratio_median, 0) - 3, 0)
   + 2 * greatest(ratio_over_5 - 0.05, 0) + abs(2 * viol_90 - 0.20), 9) AS loss FROM gridagg"""
-STEPS["means"] = "SELECT season_group, avg(amplitude) AS mean FROM fc WHERE split = 'TRAIN' GROUP BY 1"
-STEPS["stack"] = "SELECT f.*, unnest([" + ", ".join(f"'{p}'" for p in POLICIES) + """]) AS policy, round(unnest([p * greatest(q95 - yhat, 0), p * q90, sqrt(p) * greatest(q95 - yhat, 0), p * greatest(q95 - yhat, 0), pow(p, 1.5) * greatest(q95 - yhat, 0),
-  p * q90 * least(greatest(coalesce(amplitude / nullif(mean, 0), 1), 0.5), 2)]), 6) AS score FROM fc f LEFT JOIN means USING (season_group)"""
+STEPS["clook"] = f"SELECT parent, {', '.join(f'{q("score", k)} AS c{k}' for k in (80, 90, 91, 92, 95, 96))} FROM resid WHERE score IS NOT NULL GROUP BY 1"
+STEPS["slook"] = f"SELECT season_group, {', '.join(f'{q("score", k)} AS d{k}' for k in (80, 90, 91, 92, 95, 96))} FROM resid WHERE score IS NOT NULL GROUP BY 1"
+_cz = {80: "1.282", 90: "1.645", 91: "NULL", 92: "NULL", 95: "1.960", 96: "NULL"}
+_c = lambda k: f"coalesce(c{k}, d{k}, {_cz[k]})"
+STEPS["recal0"] = f"""SELECT s.sku_id, s.week, s.season_group, s.yhat, cap, s.y_12w, s.event_12w, CASE WHEN weekofyear(s.week) <= 8 THEN 'DEV_TUNE' WHEN weekofyear(s.week) <= 16 THEN 'DEV_SELECT' WHEN weekofyear(s.week) <= 27 THEN 'EMBARGO' WHEN weekofyear(s.week) <= 40 THEN 'LOCKED_TEST' ELSE 'OUTSIDE' END AS part,
+  s.yhat + {_c(80)} * w AS r80, s.yhat + CASE q90_level WHEN 90 THEN {_c(90)} WHEN 91 THEN {_c(91)} ELSE {_c(92)} END * w AS r90, s.yhat + CASE q95_level WHEN 95 THEN {_c(95)} ELSE {_c(96)} END * w AS r95
+  FROM (SELECT s.*, g.*, least(greatest(coalesce(viol, 0.10) / 0.10, 0.8), clip_high) * scale * scale_multiplier AS w FROM seg s LEFT JOIN factors f ON f.child = s.child
+    CROSS JOIN (SELECT g.* FROM grid g JOIN (SELECT config_id FROM grideval ORDER BY loss, config_id LIMIT 1) USING (config_id)) g WHERE s.split = 'VAL') s
+  LEFT JOIN clook c ON c.parent = s.parent LEFT JOIN slook d ON d.season_group = s.season_group LEFT JOIN caps k ON k.season_group = s.season_group"""
+STEPS["recal"] = "SELECT sku_id, week, season_group, part, yhat, greatest(0, r80) AS q80, greatest(0, r80, r90) AS q90, greatest(0, r80, r90, r95) AS q95, cap, greatest(0, r80, r90, r95) > cap AS over_cap, CASE WHEN part <> 'OUTSIDE' THEN y_12w END AS y_12w, CASE WHEN part <> 'OUTSIDE' THEN event_12w END AS event_12w FROM recal0"
+STEPS["means"] = "SELECT season_group, round(avg(amplitude), 6) AS mean FROM fc WHERE split = 'TRAIN' GROUP BY 1"
+STEPS["stack"] = "SELECT f.*, unnest([" + ", ".join(f"'{p}'" for p in POLICIES) + """]) AS policy, unnest([p * greatest(q95 - yhat, 0), p * q90, sqrt(p) * greatest(q95 - yhat, 0), p * greatest(q95 - yhat, 0), pow(p, 1.5) * greatest(q95 - yhat, 0),
+  p * q90 * least(greatest(coalesce(amplitude / nullif(mean, 0), 1), 0.5), 2)]) AS score FROM fc f LEFT JOIN means USING (season_group)"""
 STEPS["sweep"] = """SELECT t.policy, t.season_group, count(*) AS alerts, sum(event_12w)::BIGINT AS hits, sum(lost_12w) AS lost, sum(event_12w) / count(*)::DOUBLE AS precision, (sum(event_12w) / count(*)::DOUBLE) / nullif(any_value(b.base), 0) AS lift
-  FROM (SELECT *, row_number() OVER (PARTITION BY policy, week ORDER BY score DESC, sku_id) AS rank FROM stack WHERE split = 'VAL' AND weekofyear(week) <= 35) t
-  JOIN (SELECT season_group, avg(event_12w) AS base FROM fc WHERE split = 'VAL' AND weekofyear(week) <= 35 GROUP BY 1) b ON b.season_group = t.season_group WHERE rank <= 10 GROUP BY 1, 2"""
+  FROM (SELECT *, row_number() OVER (PARTITION BY policy, week ORDER BY score DESC, sku_id) AS rank FROM stack WHERE split = 'VAL' AND week <= (SELECT cut FROM tunecut)) t
+  JOIN (SELECT season_group, avg(event_12w) AS base FROM fc WHERE split = 'VAL' AND week <= (SELECT cut FROM tunecut) GROUP BY 1) b ON b.season_group = t.season_group WHERE rank <= 10 GROUP BY 1, 2"""
 STEPS["best"] = "SELECT policy, round(avg(lift), 9) AS mean_lift, sum(lost) AS lost FROM sweep GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1"
 STEPS["found"] = """SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY week ORDER BY score DESC, sku_id)::INT AS rank FROM stack s JOIN (SELECT policy FROM best) b USING (policy) WHERE split = 'VAL') WHERE rank <= 10"""
 _eval = """count(*) AS n, avg(abs(y_12w - yhat)) AS mae, sum(abs(y_12w - yhat)) / nullif(sum(abs(y_12w)), 0) AS wmape, 100 * (sum(yhat - y_12w) / nullif(sum(y_12w), 0)) AS bias_pct"""
@@ -135,6 +146,9 @@ FINAL: dict[str, str] = {
     "calibration_grid": "SELECT * FROM grid",
     "grid_eval": f"SELECT config_id, n, {r('viol_80', 'viol_90', 'ratio_median', 'ratio_over_5', 'loss')} FROM grideval",
     "grid_argmin": f"SELECT config_id, n, {r('viol_80', 'viol_90', 'ratio_median', 'ratio_over_5', 'loss')} FROM grideval ORDER BY grideval.loss, config_id LIMIT 1",
+    "recalibrated_forecast": f"SELECT sku_id, week, season_group, part, {r('yhat', 'q80', 'q90', 'q95', 'cap', 'y_12w')}, over_cap, event_12w FROM recal",
+    "recalibrated_metrics": "SELECT part, season_group, n, " + r("wmape", "viol_80", "viol_90", "viol_95", "width", "capped") + ", CASE WHEN part <> 'LOCKED_TEST' THEN 'REPORT' WHEN viol_90 BETWEEN 0.08 AND 0.12 THEN 'PASS' ELSE 'FAIL' END AS status FROM (" + " UNION ALL ".join(
+      f"SELECT part, {g} AS season_group, count(*) AS n, sum(abs(y_12w - yhat)) / nullif(sum(y_12w), 0) AS wmape, {share('y_12w > q80')} AS viol_80, {share('y_12w > q90')} AS viol_90, {share('y_12w > q95')} AS viol_95, sum(q90) / nullif(sum(yhat), 0) AS width, {share('over_cap')} AS capped FROM recal WHERE y_12w IS NOT NULL GROUP BY 1, 2" for g in ("season_group", "'ALL'")) + ")",
     "policy_sweep": f"SELECT policy, season_group, alerts, hits, {r('lost', 'precision', 'lift')} FROM sweep",
     "policy_best": f"SELECT policy, {r('mean_lift', 'lost')} FROM best",
     "alerts_topk": f"SELECT sku_id, week, season_group, policy, {r('score')}, rank FROM found",

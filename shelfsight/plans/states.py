@@ -82,6 +82,15 @@ def recall_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.recall_eval(layered(spark, sf_dir))
 
 
+def third(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.third_layer(layered(spark, sf_dir), L.frozen_layer(recall_policies(spark, sf_dir)))
+
+
+def third_what_if(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third layer of the policy of least loss, also where none is valid."""
+    return L.third_layer(layered(spark, sf_dir), L.least_loss(recall_policies(spark, sf_dir)))
+
+
 @phase("geo")
 def geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.weekly_geo(fact(spark, sf_dir))
@@ -160,6 +169,10 @@ QUERIES: dict[str, Query] = {
     "recall_grid": lambda spark, sf_dir: L.recall_grid(spark),
     "recall_eval": _by(recall_policies),
     "recall_verdict": _two(L.recall_verdict, _recall_frozen, recall_policies),
+    "three_layer_alerts": _by(third, lambda d: d.select(*KEYS, "season_group", "source_3", "alert_3")),
+    "three_layer_metrics": _by(third, L.third_metrics),
+    "third_layer_what_if": _by(third_what_if, lambda d: d.select(*KEYS, "candidate", "third_score", "third", "source_3")),
+    "third_layer_what_if_metrics": _by(third_what_if, L.third_metrics),
     "missed_events": _by(layered, L.missed_events),
     "layer_audit": _two(L.audit, layered, layer_policies, lambda s, d: L.frozen_layer(layer_policies(s, d))),
     "sku_metadata": _by(metadata),

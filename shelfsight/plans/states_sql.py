@@ -158,6 +158,20 @@ FINAL["recall_verdict"] = """SELECT f.policy, alerts, hits, CASE WHEN f.policy =
 FINAL["missed_events"] = """SELECT stage, count(*) AS n, round(sum(expected_lost), 6) AS expected_lost, round(avg(p), 6) AS mean_p FROM (SELECT *, CASE WHEN alert = 1 THEN 'CAUGHT' WHEN difficult = 1 THEN 'DIFFICULT_NOT_SELECTED' WHEN c_run = 0 THEN 'NO_ZERO_RUN' WHEN true_zero >= 0.75 THEN 'TRUE_ZERO_LIKELY' ELSE 'OTHER' END AS stage
   FROM layered WHERE part = 'LOCKED_TEST' AND event_12w = 1) GROUP BY 1"""
 _checks = (("ROWS_PRESENT", "n", "n > 0"), ("UNIQUE_ROWS", "k", "k = n"), ("SUSPICION_BOUNDS", "oob", "oob = 0"), ("PRIORITY_NOT_NEGATIVE", "neg", "neg = 0"), ("LAYERS_APART", "lap", "lap = 0"), ("LABELS_COMPLETE", "unl", "unl = 0"), ("ALL_PARTS", "parts_n", "parts_n = 5"), ("LOCKED_WEEKS", "mis", "mis = 0"), ("GRID_SIZE", "pol", "pol = 27"), ("ONE_FROZEN_POLICY", "fro", "fro = 1"))
+_third = """SELECT l.*, c.type AS candidate, c.score_F1, c.score_F2, c.score_F3, c.gate_C, c.gate_D, c.gate_E, g.formula, g.gate AS gate_name, g.pct_high, g.pct_rest, g.quota_high, g.quota_rest
+  FROM layered l LEFT JOIN recalls c ON c.sku_id = l.sku_id AND c.week = l.week LEFT JOIN (SELECT g.* FROM rgrid g JOIN ({}) USING (policy)) g ON true"""
+for _name, _policy in (("third", "SELECT policy FROM rfrozen"), ("what", "SELECT policy FROM reval ORDER BY loss, policy LIMIT 1")):
+    FINE[f"{_name}0"] = _third.format(_policy)
+    FINE[f"{_name}1"] = f"SELECT *, CASE formula WHEN 'F1' THEN score_F1 WHEN 'F2' THEN score_F2 WHEN 'F3' THEN score_F3 END AS third_score, CASE gate_name WHEN 'C' THEN gate_C WHEN 'D' THEN gate_D WHEN 'E' THEN gate_E END AS passed FROM {_name}0"
+    FINE[f"{_name}2"] = f"SELECT *, percent_rank() OVER (PARTITION BY week, season_group ORDER BY third_score NULLS FIRST) AS pct, row_number() OVER (PARTITION BY week, season_group ORDER BY third_score DESC NULLS LAST, sku_id) AS place FROM {_name}1"
+    FINE[f"{_name}3"] = f"""SELECT * EXCLUDE (candidate), coalesce(candidate, 'NOT_CANDIDATE') AS candidate, coalesce(alert = 0 AND candidate IS NOT NULL AND passed = 1 AND pct >= CASE WHEN season_group = 'HIGH_SEASON' THEN pct_high ELSE pct_rest END
+      AND place <= CASE WHEN season_group = 'HIGH_SEASON' THEN quota_high ELSE quota_rest END, false)::INT AS third FROM {_name}2"""
+    FINE[f"{_name}4"] = f"SELECT *, CASE WHEN third = 1 THEN 'RECALL_SAFE' ELSE source END AS source_3, greatest(alert, third) AS alert_3 FROM {_name}3"
+    FINE[f"{_name}long"] = f"SELECT season_group, candidate, event_12w, expected_lost, unnest(['STABLE', 'PRIOR', 'INCREMENTAL', 'COMBINED']) AS layer, unnest([stable, alert, third, alert_3]) AS o FROM {_name}4 WHERE part = 'LOCKED_TEST'"
+    FINAL["three_layer_metrics" if _name == "third" else "third_layer_what_if_metrics"] = f"SELECT layer, scope, n, alerts, hits, events, {r('lost')}, round({div('hits', 'alerts')}, 6) AS precision, round({div('hits', 'events')}, 6) AS recall, round({div('alerts - hits', 'n - events')}, 6) AS fpr, round({div(div('hits', 'alerts'), div('events', 'n'))}, 6) AS lift FROM (" + " UNION ALL ".join(
+        f"SELECT layer, {g} AS scope, count(*) AS n, sum(o)::BIGINT AS alerts, sum(o * event_12w)::BIGINT AS hits, sum(event_12w)::BIGINT AS events, sum(o * expected_lost) AS lost FROM {_name}long GROUP BY 1, 2" for g in ("'SEASON ' || season_group", "'TYPE ' || candidate", "'ALL'")) + ")"
+FINAL["three_layer_alerts"] = "SELECT sku_id, week, season_group, source_3, alert_3 FROM third4"
+FINAL["third_layer_what_if"] = f"SELECT sku_id, week, candidate, {r('third_score')}, third, source_3 FROM what4"
 FINE["auditone"] = """SELECT count(*) AS n, count(DISTINCT (sku_id, week)) AS k, count(*) FILTER (suspected < 0 OR suspected > 1) AS oob, count(*) FILTER (priority < 0) AS neg, count(*) FILTER (stable = 1 AND second = 1) AS lap, count(*) FILTER (event_12w IS NULL) AS unl,
   count(DISTINCT part) AS parts_n, count(*) FILTER (part = 'LOCKED_TEST' AND weekofyear(week) NOT BETWEEN 28 AND 40) AS mis, (SELECT count(DISTINCT policy) FROM leval) AS pol, (SELECT count(*) FROM lfrozen) AS fro FROM layered"""
 FINAL["layer_audit"] = " UNION ALL ".join(f"SELECT {i}::INT AS check_id, '{n}' AS name, {c}::BIGINT AS value, CASE WHEN {ok} THEN 'PASS' ELSE 'FAIL' END AS status FROM auditone" for i, (n, c, ok) in enumerate(_checks, 1))
@@ -242,7 +256,7 @@ COARSE["verdicts"] = "SELECT *, CASE WHEN failed = '' THEN 'DEPLOY' ELSE 'HOLD'
 FINAL["gate_verdict"] = "SELECT b1_leakage, b3_coverage, b3c_order, b3d_cap, b4_lift, failed, verdict FROM verdicts"
 FINAL["run_summary"] = """SELECT n AS "rows", skus, weeks, val_events, round(wmape, 6) AS wmape, round(bias_pct, 6) AS bias_pct, verdict, failed, verdict || ' rows=' || n || ' skus=' || skus AS summary FROM (SELECT count(*) AS n, count(DISTINCT sku_id) AS skus, count(DISTINCT week) AS weeks, sum(event_12w) FILTER (split = 'VAL')::BIGINT AS val_events FROM fc),
   (SELECT wmape, bias_pct FROM deval WHERE season_group = 'ALL'), (SELECT verdict, failed FROM verdicts)"""
-FINAL["split_weeks"] = "SELECT week, row_number() OVER (ORDER BY week)::INT AS number, CASE WHEN weekofyear(week) <= 35 THEN 'TUNE' ELSE 'TEST' END AS part FROM (SELECT DISTINCT week FROM scores WHERE split = 'VAL')"
+FINAL["split_weeks"] = "SELECT week, row_number() OVER (ORDER BY week)::INT AS number, CASE WHEN week <= (SELECT cut FROM tunecut) THEN 'TUNE' ELSE 'TEST' END AS part FROM (SELECT DISTINCT week FROM scores WHERE split = 'VAL')"
 FINAL["split_profile"] = f"""SELECT split, n, {r("mean", "std", *(f"p{k}" for k in (5, 25, 50, 75, 95, 99)), "zero_weeks")}, round(skew, 6) AS skew, round(cv, 6) AS cv FROM (SELECT split, count(*) AS n, avg(y_12w) AS mean, stddev_samp(y_12w) AS std, sqrt(count(*)) * sum(pow(y_12w - m, 3)) / pow(sum(pow(y_12w - m, 2)), 1.5) AS skew,
   {", ".join(f"{q('y_12w', k)} AS p{k}" for k in (5, 25, 50, 75, 95, 99))}, {share("y = 0")} AS zero_weeks, stddev_samp(y_12w) / nullif(avg(y_12w), 0) AS cv FROM (SELECT *, avg(y_12w) OVER (PARTITION BY split) AS m FROM scores) GROUP BY 1)"""
 _seg = f"count(*) AS n, {share('y_12w > q90')} AS viol_90, avg(scale) AS scale, avg(abs(y_12w - yhat) / scale) AS scaled_miss FROM fc WHERE split = 'VAL' AND active GROUP BY 1"
@@ -267,5 +281,5 @@ FINAL["inventory"] = """SELECT * FROM (WITH RECURSIVE sim AS (SELECT sku_id, t,
 FINAL["smoothed_demand"] = """SELECT a.sku_id, a.week, round(sum(b.y * pow(7.0 / 9, a.at - b.at - 1)) / nullif(sum(CASE WHEN b.at IS NOT NULL THEN pow(7.0 / 9, a.at - b.at - 1) END), 0), 6) AS smoothed FROM numb a LEFT JOIN numb b ON b.sku_id = a.sku_id AND b.at < a.at AND b.at >= a.at - 26 GROUP BY 1, 2"""
 COARSE["numb"] = "SELECT sku_id, week, y, row_number() OVER (PARTITION BY sku_id ORDER BY week) AS at FROM panel"
 
-_FINE_NAMES = {"season_profile", "season_state", "state_summary", "offseason_gate", "breakdown_metrics", "state_calibration", "recent_sales", "oos_features", "oos_grid", "oos_policy_eval", "oos_frozen", "oos_scores", "flag_metrics", "topk_curve", "weekly_topk", "difficult_scores", "layer_grid", "layer_eval", "layer_frozen", "combined_alerts", "layer_metrics", "uplift_verdict", "recall_candidates", "recall_grid", "recall_eval", "recall_verdict", "missed_events", "layer_audit", "point_eval", "residual_spreads", "overlay_eval"}
+_FINE_NAMES = {"three_layer_alerts", "three_layer_metrics", "third_layer_what_if", "third_layer_what_if_metrics", "season_profile", "season_state", "state_summary", "offseason_gate", "breakdown_metrics", "state_calibration", "recent_sales", "oos_features", "oos_grid", "oos_policy_eval", "oos_frozen", "oos_scores", "flag_metrics", "topk_curve", "weekly_topk", "difficult_scores", "layer_grid", "layer_eval", "layer_frozen", "combined_alerts", "layer_metrics", "uplift_verdict", "recall_candidates", "recall_grid", "recall_eval", "recall_verdict", "missed_events", "layer_audit", "point_eval", "residual_spreads", "overlay_eval"}
 ORACLES = {name: oracle(name, FINE if name in _FINE_NAMES else COARSE, FINAL) for name in FINAL}
