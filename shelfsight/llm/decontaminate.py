@@ -3,70 +3,55 @@
 Texts and items are lower-cased with single spaces. A text holds an item if some part of it is
 within ``TOLERANCE`` of the item's length in edit distance.
 
-Item-sized windows of a text are aligned on pairs of neighbouring words that an item has too: the
-window then runs from the pair on, and so does the rest of the item. Both go through the same CGK
-random walk, which turns edit distance into Hamming distance: at each step the character under
-the pointer is written, and a random bit of step and character says whether the pointer moves.
-Each of ``REPEATS`` samples looks at ``SAMPLED`` steps; a window that agrees on all of one sample
-is a candidate. An occurrence has dozens of pairs, so one that a tenth of its characters edits
-is met by several windows and samples.
-
-Occurrences without an intact pair of words are met by pieces of ``q`` characters: an item is cut into
-floor(m / q) of them, and each edit spoils one at most, so at least floor(m / q) - edits stand in the
-text unchanged, their places shifted against each other by no more than the edits. Runs of ``q``
-characters at all offsets are looked up, and a text with so many pieces of an item within such a
-band is a candidate. No occurrence within ``TOLERANCE`` is missed, with or without words.
-
-Candidates are verified by the exact edit distance between the item and the best part of the text around.
-
-One pass over the texts, no shuffle. Items travel to the tasks in blocks of ``item_block``; a
-larger benchmark takes one pass a block. Windows are worked off in slices, so memory is bounded
-for any text.
+1. Item-sized windows. An item of m characters is cut into floor(m / q) pieces of q; each edit spoils
+   one at most, so floor(m / q) - edits of them stand in the text unchanged, their places shifted
+   against each other by no more than the edits. Runs of q characters at all offsets of a text are
+   looked up; where so many pieces of an item stand within such a band, each of them aligns a
+   window of the item's size, from the piece to the item's end and back to its beginning. No
+   occurrence is without its windows, with or without words and blanks.
+2. CGK embedding. Window and item go through the same random walk, which turns edit distance into
+   Hamming distance: at each step the character under the pointer is written, and a random bit of
+   step and character says whether the pointer moves. Walks run forward and backward from the piece.
+3. Bit-sampling LSH. A sample is a few steps of a walk, near the piece or spread over the window;
+   a window that agrees with its item on all steps of one of ``REPEATS`` samples is a candidate.
+   Several windows and samples meet each occurrence; the recall that results is measured in the
+   tests for random, even and clustered edits up to the tolerance (target: 0.99).
+4. Candidates are verified by the exact edit distance between the item and the best part of the
+   text around.
+
+One pass over the texts, no shuffle. Items travel to the tasks in blocks of ``block_chars``
+characters; a larger benchmark takes one pass a block. Offsets are worked off in slices, so memory
+is bounded for any text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches
 
 TOLERANCE = 0.1
-STEPS, REPEATS, SAMPLED = 96, 10, 5
-#: Steps before this one may still be within the pair of words that aligned the window.
-FIRST_STEP = 24
-#: A rest of an item that is shorter can't be sampled; its windows are verified at once if the item is short as a whole.
-LEAST_REST = 28
-ITEM_BLOCK = 5000
-SLICE = 200_000
+#: Steps of a walk in each direction, samples (half of them forward), steps of a sample.
+STEPS, REPEATS, SAMPLED = 96, 16, 4
+#: A sample's steps lie within so many of the piece's end, by turns.
+SPANS = (12, 24, 48, 78)
+#: Windows of items of fewer characters are verified at once: a walk over them has too few steps to sample.
+SHORT = 64
+BLOCK_CHARS = 2_000_000
 #: Length of pieces for items of at least so many and of fewer than so many characters; it leaves one piece or more beyond the edits.
 PIECES = ((8, 80, 1 << 31), (5, 10, 80), (4, 4, 10))
 #: Offsets of a text at which pieces are looked up together.
 OFFSETS = 50_000
-REMEMBERED = 150_000
+MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-class WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-        self[word] = out = xxhash.xxh64_intdigest(word)
-        return out
-
-
-def normalised_words(text: str | None) -> list[str]:
-    return (text or "").lower().split()
-
-
-def pair_keys(h: np.ndarray) -> np.ndarray:
-    """A key for each pair of neighbouring words."""
-    return (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (h[1:] >> np.uint64(31))
+def normalised(text: str | None) -> str:
+    return " ".join((text or "").lower().split())
 
 
 def codes(text: str) -> np.ndarray:
@@ -74,24 +59,67 @@ def codes(text: str) -> np.ndarray:
 
 
 def run_keys(text: np.ndarray, q: int) -> np.ndarray:
-    """A key for each run of q characters."""
-    out = np.zeros(max(0, len(text) - q + 1), dtype=np.uint64)
-    for j in range(q if len(out) else 0):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + text[j : j + len(out)]
-    return out * np.uint64(0xC2B2AE3D27D4EB4F)
+    """A key for each run of q characters, 4, 5 or 8."""
+    if len(text) < q:
+        return np.empty(0, dtype=np.uint64)
+    c = text.astype(np.uint64)
+    two = c[:-1] * MIX[0] + c[1:]
+    out = two[:-2] * MIX[1] + two[2:]
+    if q == 5:
+        out = out[:-1] * MIX[2] + c[4:]
+    elif q == 8:
+        out = out[:-4] * MIX[2] + out[4:]
+    return out * MIX[3]
+
+
+class Walk:
+    """The random walk and its samples; the same for all texts and items."""
+
+    def __init__(self, q: int, seed: int = 1):
+        rng = np.random.default_rng([seed, q])
+        self.moves = rng.integers(0, 2, (STEPS, 256)).astype(np.int64)
+        first = 2 * q
+        spans = [min(SPANS[r // 2 % len(SPANS)], STEPS - first) for r in range(REPEATS)]
+        samples = [first + rng.choice(span, SAMPLED, replace=False) for span in spans]
+        self.at_step = [[[r for r in range(way, REPEATS, 2) if t in samples[r]] for t in range(STEPS)] for way in range(2)]
+
+    def agree(self, text: np.ndarray, at: np.ndarray, item: np.ndarray, place: np.ndarray, first: np.ndarray, last: np.ndarray, q: int) -> np.ndarray:
+        """Which windows agree with their item on all steps of one sample.
+
+        at, place: where the piece begins in the text and in the joined items; first, last: the item's
+        ends there. Steps beyond an item's ends agree with nothing.
+        """
+        text, item = np.pad(text, (STEPS + 1, STEPS + q + 1)), np.pad(item, (STEPS + 1, STEPS + q + 1))
+        out = np.zeros(len(at), dtype=bool)
+        for way, step in ((0, 1), (1, -1)):
+            lead = 0 if step > 0 else q - 1
+            p, r = at + STEPS + 1 + lead, place + STEPS + 1 + lead
+            fine = np.ones((REPEATS, len(at)), dtype=bool)
+            for t in range(STEPS):
+                a, b = text[p], item[r]
+                if here := self.at_step[way][t]:
+                    same = (a == b) & (r - STEPS - 1 >= first) & (r - STEPS - 1 < last)
+                    fine[here] &= same
+                p, r = p + step * self.moves[t][a & 255], r + step * self.moves[t][b & 255]
+            out |= fine[way::2].any(axis=0)
+        return out
 
 
 class Pieces:
-    """Pieces of ``q`` characters of some items, found at all offsets of a text."""
+    """Windows of some items, aligned on their pieces of ``q`` characters."""
 
     def __init__(self, q: int, items: list[tuple[int, str, int]]):
-        self.q = q
+        self.q, self.walk = q, Walk(q)
         keys = [run_keys(codes(t), q)[::q] for _, t, _ in items]
+        self.joined = codes("".join(t for _, t, _ in items))
+        ends = np.cumsum([len(t) for _, t, _ in items])
+        per = list(map(len, keys))
         self.keys = np.concatenate(keys)
-        self.owner = np.repeat(np.array([n for n, _, _ in items], dtype=np.int64), list(map(len, keys)))
+        self.owner = np.repeat(np.array([n for n, _, _ in items], dtype=np.int64), per)
         self.offset = np.concatenate([np.arange(len(k)) * q for k in keys])
+        self.first, self.last = np.repeat(ends - [len(t) for _, t, _ in items], per), np.repeat(ends, per)
         order = np.argsort(self.keys, kind="stable")
-        self.keys, self.owner, self.offset = self.keys[order], self.owner[order], self.offset[order]
+        self.keys, self.owner, self.offset, self.first, self.last = (x[order] for x in (self.keys, self.owner, self.offset, self.first, self.last))
         self.most, self.need = np.zeros(items[-1][0] + 1, dtype=np.int64), np.ones(items[-1][0] + 1, dtype=np.int64)
         for (n, _, most), k in zip(items, keys, strict=True):
             self.most[n], self.need[n] = most, len(k) - most
@@ -100,25 +128,40 @@ class Pieces:
         self.maybe = np.zeros(1 << 64 - int(self.shift), dtype=bool)
         self.maybe[self.keys >> self.shift] = True
 
+    def windows(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets of pieces, and their numbers, that stand in a band with enough others."""
+        h = run_keys(text, self.q)
+        at = np.flatnonzero(self.maybe[h >> self.shift])
+        h = h[at]
+        low = np.searchsorted(self.keys, h)
+        many = np.searchsorted(self.keys, h, side="right") - low
+        entry = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        at = np.repeat(at, many)
+        n, start = self.owner[entry], at - self.offset[entry]
+        order = np.lexsort((start, n))
+        n, start, at, entry = n[order], start[order], at[order], entry[order]
+        place = np.arange(len(n))
+        last = place + self.need[n] - 1
+        inside = np.minimum(last, len(n) - 1)
+        begins = (last < len(n)) & (n[inside] == n) & (start[inside] - start <= self.most[n])
+        # all pieces of such a band align a window
+        cover = np.zeros(len(n) + 1, dtype=np.int64)
+        np.add.at(cover, place[begins], 1)
+        np.add.at(cover, last[begins] + 1, -1)
+        held = np.cumsum(cover[:-1]) > 0
+        return at[held], entry[held]
+
     def candidates(self, text: np.ndarray) -> set[tuple[int, int]]:
-        """Pairs (item, supposed start) with enough pieces in a band."""
+        """Pairs (item, supposed start in the text)."""
         out: set[tuple[int, int]] = set()
         for s in range(0, len(text), OFFSETS):
-            h = run_keys(text[s : s + OFFSETS + self.overlap], self.q)
-            at = np.flatnonzero(self.maybe[h >> self.shift])
-            h = h[at]
-            low = np.searchsorted(self.keys, h)
-            many = np.searchsorted(self.keys, h, side="right") - low
-            if not many.any():
+            part = text[s : s + OFFSETS + self.overlap]
+            at, entry = self.windows(part)
+            if not len(at):
                 continue
-            entry = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            n, start = self.owner[entry], np.repeat(at, many) + s - self.offset[entry]
-            order = np.lexsort((start, n))
-            n, start = n[order], start[order]
-            last = np.arange(len(n)) + self.need[n] - 1
-            inside = np.minimum(last, len(n) - 1)
-            keep = (last < len(n)) & (n[inside] == n) & (start[inside] - start <= self.most[n])
-            out.update(zip(n[keep].tolist(), start[keep].tolist(), strict=True))
+            first, last = self.first[entry], self.last[entry]
+            keep = (last - first < SHORT) | self.walk.agree(part, at, self.joined, first + self.offset[entry], first, last, self.q)
+            out.update(zip(self.owner[entry[keep]].tolist(), (at[keep] + s - self.offset[entry[keep]]).tolist(), strict=True))
         return out
 
 
@@ -147,45 +190,11 @@ def fitting_distance(item: str, text: str, most: int) -> int:
 
 
 class Benchmark:
-    """Seeds and embedded rests of a block of items."""
+    """Windows and exact distances of a block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], seed: int = 1):
-        rng = np.random.default_rng(seed)
-        self.moves = rng.integers(0, 2, (STEPS, 256)).astype(np.int64)
-        self.samples = [frozenset(rng.choice(np.arange(FIRST_STEP, STEPS), SAMPLED, replace=False).tolist()) for _ in range(REPEATS)]
-        self.at_step = [[r for r, s in enumerate(self.samples) if t in s] for t in range(STEPS)]
-        hashes = WordHashes()
-        self.ids, self.texts = [], []
-        keys, owner, offset, direct, rests, singles = [], [], [], [], [], []
-        for item_id, text in items:
-            words = normalised_words(text)
-            if not words:
-                continue
-            n = len(self.ids)
-            line = " ".join(words)
-            self.ids.append(item_id)
-            self.texts.append(line)
-            if len(words) == 1:
-                singles.append((hashes[line], n))
-                continue
-            starts = np.cumsum([0, *(len(w) + 1 for w in words[:-1])])
-            short = len(line) < 2 * LEAST_REST
-            for j, k in enumerate(pair_keys(np.array([hashes[w] for w in words], dtype=np.uint64))):
-                rest = len(line) - starts[j]
-                if short or rest >= LEAST_REST:
-                    keys.append(k)
-                    owner.append(n)
-                    offset.append(starts[j])
-                    direct.append(short)
-                    rests.append(line[starts[j] :])
-        order = np.argsort(np.array(keys, dtype=np.uint64), kind="stable")
-        self.keys = np.array(keys, dtype=np.uint64)[order]
-        self.owner, self.offset = np.array(owner, dtype=np.int64)[order], np.array(offset, dtype=np.int64)[order]
-        self.direct = np.array(direct, dtype=bool)[order]
-        self.rests = self.embed_rests([rests[i] for i in order])
-        self.same_single: dict[int, list[int]] = {}
-        for h, n in singles:
-            self.same_single.setdefault(h, []).append(n)
+    def __init__(self, items: list[tuple[int, str]]):
+        named = [(item_id, line) for item_id, text in items if (line := normalised(text))]
+        self.ids, self.texts = [i for i, _ in named], [t for _, t in named]
         self.most = [int(TOLERANCE * len(t)) for t in self.texts]
         self.pieces = []
         for q, least, below in PIECES:
@@ -193,68 +202,20 @@ class Benchmark:
                 self.pieces.append(Pieces(q, chosen))
         self.tiny = [(n, t) for n, t in enumerate(self.texts) if len(t) < PIECES[-1][1]]
 
-    def embed_rests(self, rests: list[str]) -> np.ndarray:
-        out = np.zeros((len(rests), STEPS), dtype=np.uint32)
-        for at, rest in enumerate(rests):
-            c, p = codes(rest), 0
-            for t in range(STEPS):
-                x = c[p] if p < len(c) else 0
-                out[at, t] = x
-                p += self.moves[t, x & 255]
-        return out
-
-    def sampled(self, text: np.ndarray, start: np.ndarray, entry: np.ndarray) -> np.ndarray:
-        """Which windows agree with their item's rest on all steps of one sample."""
-        text = np.concatenate([text, np.zeros(STEPS + 1, dtype=np.uint32)])
-        p = start.copy()
-        agree = np.ones((REPEATS, len(start)), dtype=bool)
-        for t in range(STEPS):
-            c = text[p]
-            if self.at_step[t]:
-                same = c == self.rests[entry, t]
-                for r in self.at_step[t]:
-                    agree[r] &= same
-            p += self.moves[t][c & 255]
-        return agree.any(axis=0)
-
-    def candidates(self, words: list[str], hashes: WordHashes) -> tuple[str, set[tuple[int, int]]]:
-        """The normalised text, and pairs (item, supposed start of the item in it)."""
-        line, out = " ".join(words), set()
-        if not words:
-            return line, out
-        h = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-        starts = None
+    def candidates(self, line: str) -> set[tuple[int, int]]:
+        """Pairs (item, supposed start of the item in the normalised text); items of up to three characters stand as they are."""
         text = codes(line)
+        out = {(n, line.index(t)) for n, t in self.tiny if t in line}
         for pieces in self.pieces:
             out |= pieces.candidates(text)
-        out.update((n, line.index(t)) for n, t in self.tiny if t in line)
-        if self.same_single:
-            for at in np.flatnonzero(np.isin(h, np.fromiter(self.same_single, dtype=np.uint64))):
-                out.update((n, sum(map(len, words[:at])) + int(at)) for n in self.same_single[int(h[at])])
-        if len(words) > 1 and len(self.keys):
-            k = pair_keys(h)
-            low = np.searchsorted(self.keys, k)
-            hit = np.flatnonzero(self.keys[np.minimum(low, len(self.keys) - 1)] == k)
-            if len(hit):
-                many = np.searchsorted(self.keys, k[hit], side="right") - low[hit]
-                starts = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
-                starts = np.concatenate([[0], starts[:-1]])
-                at = np.repeat(starts[hit], many)
-                entry = np.repeat(low[hit], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                for s in range(0, len(at), SLICE):
-                    a, e = at[s : s + SLICE], entry[s : s + SLICE]
-                    keep = self.direct[e]
-                    rest = np.flatnonzero(~keep)
-                    keep[rest] = self.sampled(text, a[rest], e[rest])
-                    out.update(zip(self.owner[e[keep]].tolist(), (a[keep] - self.offset[e[keep]]).tolist(), strict=True))
-        return line, out
-
-    def find(self, text: str | None, hashes: WordHashes) -> dict[int, int]:
+        return out
+
+    def find(self, text: str | None) -> dict[int, int]:
         """Least edit distance of each item that the text holds, by the item's number."""
-        line, found = self.candidates(normalised_words(text), hashes)
+        line = normalised(text)
         out: dict[int, int] = {}
         done: dict[int, int] = {}
-        for n, at in sorted(found):
+        for n, at in sorted(self.candidates(line)):
             item, most = self.texts[n], self.most[n]
             if out.get(n) == 0 or at < done.get(n, at):
                 continue
@@ -263,20 +224,26 @@ class Benchmark:
             if line.startswith(item, max(0, at)):
                 out[n] = 0
                 continue
-            # the supposed start is off by as many characters as were added or lost before the pair
+            # the supposed start is off by as many characters as were added or lost before the piece
             d = fitting_distance(item, line[max(0, at - 2 * most) : end + max(1, most)], most)
             if d <= most:
                 out[n] = min(d, out.get(n, d))
         return out
 
 
-def _blocks(items: DataFrame, item: str, text: str, block: int) -> Iterator[Benchmark]:
-    rows = iter((r[0], r[1]) for r in items.where(F.col(text).isNotNull()).select(item, text).distinct().orderBy(item, text).toLocalIterator())
-    while part := list(islice(rows, block)):
+def _blocks(items: DataFrame, item: str, text: str, block_chars: int) -> Iterator[Benchmark]:
+    part, size = [], 0
+    for r in items.where(F.col(text).isNotNull()).select(item, text).distinct().orderBy(item, text).toLocalIterator():
+        part.append((r[0], r[1]))
+        size += len(r[1])
+        if size >= block_chars:
+            yield Benchmark(part)
+            part, size = [], 0
+    if part:
         yield Benchmark(part)
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_block: int = ITEM_BLOCK) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``key, item, distance`` of every item that a row's text holds, with the least edit distance.
 
     Null and empty texts hold nothing, null and empty items are held by nothing; of rows with one
@@ -285,21 +252,20 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     """
     schema = f"`{key}` long, `{item}` long, distance int"
     out = docs.sparkSession.createDataFrame([], schema)
-    for bench in _blocks(items, item, "text", item_block):
+    for bench in _blocks(items, item, "text", block_chars):
 
         def run(batches: Iterator[pd.DataFrame], bench=bench) -> Iterator[pd.DataFrame]:
-            hashes = WordHashes()
             for b in batches:
-                rows = [(d, bench.ids[n], x) for d, t in zip(b[key], b[text], strict=True) for n, x in bench.find(t, hashes).items()]
+                rows = [(d, bench.ids[n], x) for d, t in zip(b[key], b[text], strict=True) for n, x in bench.find(t).items()]
                 yield pd.DataFrame(rows, columns=[key, item, "distance"])
 
         out = out.union(bounded_batches(docs).select(key, text).mapInPandas(run, schema))
     return out
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_block: int = ITEM_BLOCK) -> DataFrame:
+def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` whose text holds no item, with all columns."""
-    for bench in _blocks(items, item, "text", item_block):
+    for bench in _blocks(items, item, "text", block_chars):
         docs = bounded_batches(docs).where(~holds_any(bench)(F.col(text)))
     return docs
 
@@ -309,8 +275,7 @@ def holds_any(bench: Benchmark):
 
     @F.pandas_udf("boolean")
     def leaks(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        hashes = WordHashes()
         for texts in parts:
-            yield pd.Series([bool(bench.find(t, hashes)) for t in texts], dtype=bool)
+            yield pd.Series([bool(bench.find(t)) for t in texts], dtype=bool)
 
     return leaks

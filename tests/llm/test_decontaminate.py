@@ -1,7 +1,7 @@
 import random
 import string
 
-from shelfsight.llm.decontaminate import TOLERANCE, Benchmark, WordHashes, fitting_distance, find_leaks, normalised_words, without_leaks
+from shelfsight.llm.decontaminate import TOLERANCE, Benchmark, fitting_distance, find_leaks, normalised, without_leaks
 
 
 def slow_fit(item, text):
@@ -59,18 +59,18 @@ def test_recall_and_precision(spark):
             planted.append((d, n))
         docs.append((d, " ".join(body)))
     want = set()
-    lines = [" ".join(normalised_words(t)) for _, t in docs]
+    lines = [normalised(t) for _, t in docs]
     for d, line in enumerate(lines):
         for n, item in enumerate(items):
-            item = " ".join(normalised_words(item))
+            item = normalised(item)
             most = int(TOLERANCE * len(item))
             if len(item) >= 40 and fitting_distance(item, line, most) <= most:
                 want.add((d, n))
     extra = [(900, None), (901, ""), (902, "q " * 50000)]
     df = spark.createDataFrame([(d, t, 1) for d, t in docs + extra], "doc_id long, text string, item_id int")
     bench = spark.createDataFrame([*enumerate(items), (90, None), (91, ""), (92, " ")], "item_id long, text string")
-    for block in (5000, 17):
-        rows = find_leaks(df, bench, item_block=block).collect()
+    for block in (2_000_000, 900):
+        rows = find_leaks(df, bench, block_chars=block).collect()
         got = {(r.doc_id, r.item_id) for r in rows}
         assert len(rows) == len(got)
         long = {g for g in got if len(items[g[1]]) >= 40}
@@ -78,7 +78,7 @@ def test_recall_and_precision(spark):
         short = {p for p in planted if len(items[p[1]]) < 40}
         assert short <= got
         for r in rows:
-            assert r.distance == fitting_distance(" ".join(normalised_words(items[r.item_id])), lines[r.doc_id], 99)
+            assert r.distance == fitting_distance(normalised(items[r.item_id]), lines[r.doc_id], 99)
     clean = {r.doc_id for r in without_leaks(df, bench).collect()}
     assert clean == {d for d, _ in docs + extra} - {d for d, _ in got}
     assert find_leaks(df, bench.limit(0)).count() == 0 and find_leaks(df.limit(0), bench).count() == 0
@@ -92,16 +92,15 @@ def test_texts_that_begin_or_end_inside_an_item():
         bench, rest = Benchmark([(5, item)]), " ".join(words(rng, 30))
         for lost in range(most + 1):
             for text in (item[lost:], item[lost:] + " " + rest, item[: len(item) - lost], rest + " " + item[: len(item) - lost]):
-                want = fitting_distance(item, " ".join(normalised_words(text)), most)
-                assert bench.find(text, WordHashes()) == ({0: want} if want <= most else {}), (lost, want)
+                want = fitting_distance(item, normalised(text), most)
+                assert bench.find(text) == ({0: want} if want <= most else {}), (lost, want)
 
 
 def test_edits_that_leave_no_pair_of_words():
     rng = random.Random(4)
     items = [" ".join(words(rng, rng.randint(14, 55))) for _ in range(30)] + ["ab", "abcd", "abcdefghi", "klmn opqrst uv", "漢字仮名交じり文" * 3, "漢字仮名交じり文" * 15]
-    lines = [" ".join(normalised_words(t)) for t in items]
+    lines = [normalised(t) for t in items]
     bench = Benchmark(list(enumerate(items)))
-    hashes = WordHashes()
     met = 0
     for line in lines:
         w = line.split()
@@ -113,9 +112,9 @@ def test_edits_that_leave_no_pair_of_words():
             spread[k] = "#"
         for text in (second, joined, "".join(spread), line):
             for whole in (text, around + text + around, "x " * 49990 + around + text + around):
-                whole = " ".join(normalised_words(whole))
+                whole = normalised(whole)
                 want = {n: fitting_distance(x, whole, len(x) // 10) for n, x in enumerate(lines)} if len(whole) < 9000 else None
-                got = bench.find(whole, hashes)
+                got = bench.find(whole)
                 if want is None:
                     assert set(seen) <= set(got)
                 else:

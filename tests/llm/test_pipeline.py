@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers
 import sentencepiece
 
-from shelfsight.llm.decontaminate import fitting_distance, normalised_words
+from shelfsight.llm.decontaminate import fitting_distance, normalised
 from shelfsight.llm.simhash import drop_similar, shingles, words_of
 
 from .test_line_dedup import brute as brute_lines
@@ -82,7 +82,7 @@ def test_near_duplicates_with_repeated_ids(spark):
 
 def test_stages(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
-    items = [" ".join(normalised_words(r.text)) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]
+    items = [normalised(r.text) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]
     labels = dict(spark.read.parquet(f"{DIR}/labels.parquet").select("doc_id", "quality").collect())
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     for name, stage in corpus_pipeline.STAGES:
@@ -117,7 +117,7 @@ def test_stages(spark):
             assert set(after) == {ids[r] for r in root}
         else:
             for d, t in before.items():
-                line = " ".join(normalised_words(t))
+                line = normalised(t)
                 leak = any(i in line or fitting_distance(i, line, len(i) // 10) <= len(i) // 10 for i in items)
                 assert (d not in after) == leak
         docs = out
