@@ -34,9 +34,11 @@ def native_words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share; one of our own only where none is set and all run on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="shelfsight-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -54,12 +56,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def repeated(rows: DataFrame, key: str) -> bool:
+    """Whether a key occurs twice."""
+    return not rows.groupBy(key).count().where("count > 1").isEmpty()
+
+
 def numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``docs`` with ``_row``, a long for each pair of key and text, in the order of the keys, null last.
 
     It is the key itself where no key is null or repeated.
     """
-    if docs.groupBy(key).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col(key).isNull()).isEmpty():
+    if not repeated(docs, key) and docs.where(F.col(key).isNull()).isEmpty():
         return docs.withColumn("_row", F.col(key).cast("long"))
     own = docs.select("*", F.xxhash64(text).alias("_h1"), F.xxhash64(text, F.lit(1)).alias("_h2"), F.col(text).isNull().alias("_none"))
     marks = ["_h1", "_h2", "_none"]

@@ -23,6 +23,8 @@ counts of the classes only, a fixed number. Their table is part of one plan, whi
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ from .common import few, materialise, numbered, whole_text
 #: Similarity 4/5.
 NUM, DEN = 4, 5
 #: Hash classes in which words are counted; the table has one byte for each, whatever the corpus.
-SLOTS, CHUNK = 1 << 20, 1 << 12
+SLOTS, CHUNK = 1 << 18, 1 << 12
 #: Ranks of a doubling of the count.
 FINE = 4
 CROWD = 200
@@ -58,9 +60,10 @@ def word_class(hash_: Column) -> Column:
 def rarity(docs: DataFrame, text: str) -> Column:
     """A table of bytes by word class: the logarithm of the class's count in all documents.
 
-    Counts come to the driver as lists of at most ``CHUNK`` classes.
+    Counts come to the driver as lists of at most ``CHUNK`` classes. Words that only other white
+    space parts are counted together: that makes another order, as exact as any.
     """
-    words = docs.select(F.explode(F.split(F.replace(_spaced(F.col(text)), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    words = docs.select(F.explode(F.split(F.replace(F.lower(text), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     counts = words.groupBy(word_class(F.xxhash64("w")).alias("h")).count()
     entry = F.struct((F.col("h") % CHUNK).alias("at"), F.least(F.floor(F.log2("count") * FINE) + 1, F.lit(127)).cast("int").alias("rank"))
     table = bytearray(SLOTS)
@@ -132,6 +135,11 @@ def _earlier(y: str, x: str) -> Column:
     return (F.col(f"{y}d") < F.col(f"{x}d")) | ((F.col(f"{y}d") == F.col(f"{x}d")) & (F.col(f"{y}l") < F.col(f"{x}l")))
 
 
+def length_class(n: Column) -> Column:
+    """Classes of lengths, a tenth apart."""
+    return F.floor(F.log(n) / F.log(F.lit(1.1))).cast("int")
+
+
 POSTED = ("d", "l", "n", "i", "b", "o")
 
 
@@ -139,22 +147,38 @@ def _named(df: DataFrame, side: str) -> DataFrame:
     return df.select("k", *(F.col(c).alias(f"{side}{c}") for c in POSTED))
 
 
-def candidates(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+def candidates(sets: DataFrame, may_match: Callable[[str, str], Column], name: str) -> tuple[DataFrame, DataFrame]:
     """Pairs ``xd, xl, yd, yl`` that pass the filters, and rows of crowded words.
 
-    One join gives the pairs of words with few lines and keeps the rows of crowds, so that the
+    sets: ``d, l`` (who), ``n, b, o`` (size, and what else the filters need) and ``p``, the rarest words. One join gives the pairs of words with few lines and keeps the rows of crowds, so that the
     words are dealt out once.
     """
-    post = sets.where("p is not null").select("d", "l", "n", "b", "o", F.posexplode("p").alias("i", "k")).where("k is not null").repartition("k")
+    post = sets.where("p is not null").select("d", "l", "n", "b", "o", F.posexplode("p").alias("i", "k")).where("k is not null")
+    # size and place travel as one number
+    post = post.select("k", "d", "l", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long")).alias("ni"), "b", "o").repartition("k")
     post = post.withColumn("c", F.count("*").over(Window.partitionBy("k"))).where("c > 1")
+    post = post.select("k", "c", "d", "l", F.shiftright("ni", 32).cast("int").alias("n"), F.col("ni").bitwiseAND(0x7FFFFFFF).cast("int").alias("i"), "b", "o")
     x = post.select("k", F.col("c").alias("xc"), *(F.col(c).alias(f"x{c}") for c in POSTED))
     y = _named(post.where((F.col("c") <= CROWD) & (F.col("i") < index_length(F.col("n")))), "y").withColumnRenamed("k", "yk")
-    met = x.join(y, (F.col("k") == F.col("yk")) & (F.col("xc") <= CROWD) & _shorter("y", "x") & _may_match("x", "y"), "left")
-    met = materialise(met.where((F.col("xc") > CROWD) | F.col("yd").isNotNull()).select("xc", "k", *(f"x{c}" for c in POSTED), "yd", "yl"), "line-candidates")
+    met = x.join(y, (F.col("k") == F.col("yk")) & (F.col("xc") <= CROWD) & _shorter("y", "x") & may_match("x", "y"), "left")
+    met = materialise(met.where((F.col("xc") > CROWD) | F.col("yd").isNotNull()).select("xc", "k", *(f"x{c}" for c in POSTED), "yd", "yl"), name)
     crowd = met.where(F.col("xc") > CROWD).select("k", *(F.col(f"x{c}").alias(c) for c in POSTED))
     return met.where(F.col("xc") <= CROWD).select("xd", "xl", "yd", "yl"), crowd
 
 
+def leads(crowd: DataFrame, may_match: Callable[[str, str], Column], name: str) -> DataFrame:
+    """Pairs of each row of a crowd with the first of each class of lengths."""
+    lead = crowd.groupBy("k", length_class(F.col("n")).alias("_n")).agg(F.min(F.struct("d", "l", "n", "i", "b", "o")).alias("s")).select("k", "s.*")
+    led = _named(crowd, "x").join(materialise(_named(lead, "y"), name), "k")
+    return led.where(_earlier("y", "x") & may_match("x", "y")).select("xd", "xl", "yd", "yl")
+
+
+def rest_pairs(left: DataFrame, crowd: DataFrame, may_match: Callable[[str, str], Column]) -> DataFrame:
+    """Pairs of the rows that are left with all earlier rows of their crowd."""
+    both = _named(left, "x").join(_named(crowd, "y"), "k")
+    return both.where(_earlier("y", "x") & may_match("x", "y")).select("xd", "xl", "yd", "yl")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     """The later lines ``d, l`` of pairs ``xd, xl, yd, yl`` whose sets have the similarity."""
     pairs = materialise(pairs.distinct(), "line-pairs")
@@ -187,25 +211,18 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     sets = materialise(sets.select("h1", "h2", "first", "c", "s.*"), "line-sets")
     gone = materialise(named.select("d", "l", "h1", "h2", "place").join(sets.where("c > 1").select("h1", "h2", "first"), ["h1", "h2"]).where("first < place").select("d", "l"), "line-copies")
 
-    pairs, crowd = candidates(sets)
-    if not crowd.isEmpty():
-        lead = crowd.groupBy("k", length_class(F.col("n")).alias("_n")).agg(F.min(F.struct("d", "l", "n", "i", "b", "o")).alias("s")).select("k", "s.*")
-        led = _named(crowd, "x").join(materialise(_named(lead, "y"), "line-leads"), "k").where(_earlier("y", "x") & _may_match("x", "y")).select("xd", "xl", "yd", "yl")
-        pairs = pairs.union(led)
+    pairs, crowd = candidates(sets, _may_match, "line-candidates")
+    hot = not crowd.isEmpty()
+    if hot:
+        pairs = pairs.union(leads(crowd, _may_match, "line-leads"))
     similar = materialise(_verified(pairs, docs, key, text), "line-similar")
-    if not crowd.isEmpty():
-        left = few(crowd, similar, "d", "l", how="left_anti")
-        rest = materialise(_named(left, "x").join(_named(crowd, "y"), "k").where(_earlier("y", "x") & _may_match("x", "y")).select("xd", "xl", "yd", "yl"), "line-rest")
+    if hot:
+        rest = materialise(rest_pairs(few(crowd, similar, "d", "l", how="left_anti"), crowd, _may_match), "line-rest")
         if not rest.isEmpty():
             similar = similar.union(_verified(rest, docs, key, text))
     return lines.select("d", "l", "n"), gone.union(similar).distinct()
 
 
-def length_class(n: Column) -> Column:
-    """Classes of lengths, a tenth apart."""
-    return F.floor(F.log(n) / F.log(F.lit(1.1))).cast("int")
-
-
 def line_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_lines, n_removed, removed`` of every id: numbers of the removed lines, from 0, comma-joined.
 

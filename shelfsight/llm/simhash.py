@@ -16,7 +16,6 @@ each tile gives the links of a spanning forest, not all pairs.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -26,17 +25,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, WORD, bounded_batches, by_runs, materialise, numbered
+from .common import ASCII_LOWER, FEW, WORD, bounded_batches, by_runs, few, materialise, numbered, repeated
 from .graph import components
-from .line_dedup import index_length, overlap, probe_length
+from .line_dedup import candidates, leads, overlap, rest_pairs
 
 WORDS = re.compile(WORD)
 SEED = 42
 TILE = 256
 #: Groups of one key are compared together up to so many rows.
 PACK = 512
-#: Local groups up to this size give all their pairs when pairs are to be verified.
-SMALL = 32
 
 
 def words_of(text: str | None) -> list[str]:
@@ -69,17 +66,6 @@ def shingle_print(words: list[str], size: int) -> bytes:
     return majority_bits(shingle_hashes(words, size)).to_bytes(8, "big")
 
 
-def word_print(words: list[str]) -> bytes:
-    """128 bits: signs of the sum of the words' hashes, each weighted by the root of its count."""
-    if not words:
-        return bytes(16)
-    count = Counter(words)
-    digests = b"".join(map(xxhash.xxh3_128_digest, count))
-    bits = np.unpackbits(np.frombuffer(digests, dtype=np.uint8).reshape(-1, 16), axis=1).astype(np.float32)
-    weight = np.sqrt(np.fromiter(count.values(), dtype=np.float32, count=len(count)))
-    return np.packbits(weight @ bits * 2 > weight.sum()).tobytes()
-
-
 def fingerprints(docs: DataFrame, shingle: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, fp`` (8 bytes) of every row; a text without words has fingerprint zero."""
 
@@ -159,11 +145,8 @@ def blocks_of(width: int, blocks: int) -> list[tuple[int, int]]:
     return list(zip(edges, edges[1:], strict=False))
 
 
-def keyed(prints: DataFrame, radius: int, agree: int, size: str | None = None) -> DataFrame:
-    """``key, id, fp`` for every choice of ``agree`` blocks.
-
-    size: a column of set sizes; rows then meet only where sizes may have a ratio of 0.8 or more.
-    """
+def keyed(prints: DataFrame, radius: int, agree: int) -> DataFrame:
+    """``key, id, fp`` for every choice of ``agree`` blocks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -172,20 +155,13 @@ def keyed(prints: DataFrame, radius: int, agree: int, size: str | None = None) -
             bits = bits_of(list(b["fp"]))
             spans = blocks_of(bits.shape[1], radius + agree)
             value = [bits[:, s:e].astype(np.int64) @ (1 << np.arange(e - s)[::-1].astype(np.int64)) for s, e in spans]
-            if size:
-                step = np.floor(np.log(np.maximum(b[size].to_numpy(), 1)) / np.log(1.25) + 1e-9).astype(np.int64)
-                classes = [step, step + 1]
-            else:
-                classes = [np.zeros(len(b), dtype=np.int64)]
             for t, chosen in enumerate(combinations(range(len(spans)), agree)):
                 mixed = np.zeros(len(b), dtype=np.int64)
                 for c in chosen:
                     mixed = (mixed << (spans[c][1] - spans[c][0])) | value[c]
-                for cls in classes:
-                    yield pd.DataFrame({"key": ((cls << 8 | t) << 40) | mixed, "id": b["id"], "fp": b["fp"]})
+                yield pd.DataFrame({"key": (t << 40) | mixed, "id": b["id"], "fp": b["fp"]})
 
-    columns = ["id", "fp"] + ([size] if size else [])
-    return prints.select(*columns).mapInPandas(run, "key long, id long, fp binary")
+    return prints.select("id", "fp").mapInPandas(run, "key long, id long, fp binary")
 
 
 def dealt(rows: DataFrame) -> DataFrame:
@@ -197,7 +173,7 @@ def dealt(rows: DataFrame) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c[0] != "_" and c != "n"], F.least("_own", "_other").alias("lo"), F.greatest("_own", "_other").alias("hi"))
 
 
-def compare(rows: DataFrame, radius: int, links: Callable, extra: list[str], schema: str) -> DataFrame:
+def compare(rows: DataFrame, radius: int, links: Callable, schema: str) -> DataFrame:
     """Runs ``links(block, i, j, group)`` on blocks of whole groups of ``key, lo, hi``."""
     keys = ["key", "lo", "hi"]
 
@@ -215,7 +191,7 @@ def compare(rows: DataFrame, radius: int, links: Callable, extra: list[str], sch
                     yield links(block, i, j, g)
                 at = end
 
-    rows = rows.select(*keys, "id", "fp", *extra).repartition(*keys).sortWithinPartitions(*keys)
+    rows = rows.select(*keys, "id", "fp").repartition(*keys).sortWithinPartitions(*keys)
     return rows.mapInPandas(run, schema)
 
 
@@ -227,6 +203,11 @@ def forest(block: pd.DataFrame, i: np.ndarray, j: np.ndarray, group: np.ndarray)
     return pd.DataFrame({"a": ids[moved], "b": ids[root[moved]]})
 
 
+def near_links(prints: DataFrame, radius: int) -> DataFrame:
+    """Links ``a, b`` of ids that connect all fingerprints ``id, fp`` within the radius."""
+    return compare(dealt(keyed(prints, radius, 2)), radius, forest, "a long, b long").distinct()
+
+
 def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, fingerprint, component_id`` of every row.
 
@@ -237,8 +218,7 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 3, key: str
     """
     prints = materialise(fingerprints(docs, shingle, key, text), "prints")
     groups = materialise(prints.groupBy("fp").agg(F.min(key).alias("id"), F.count("*").alias("n")), "groups")
-    pairs = compare(dealt(keyed(groups.where("id is not null"), radius, 2)), radius, forest, [], "a long, b long").distinct()
-    found = components(pairs, "a", "b")
+    found = components(near_links(groups.where("id is not null"), radius), "a", "b")
     linked = groups.join(found, "id", "left").select("fp", "n", F.coalesce("component", "id").alias("component_id"), F.col("component").isNotNull().alias("linked"))
     shared = materialise(linked.where("n > 1 or linked").select("fp", "component_id"), "shared")
     return prints.join(shared, "fp", "left").select(key, F.lower(F.hex("fp")).alias("fingerprint"), F.coalesce("component_id", key).alias("component_id"))
@@ -246,10 +226,34 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 3, key: str
 
 # --- near-duplicates by similarity, with SimHash to find the pairs
 
-#: Shingles of the similarity, its least value, bits that words' fingerprints may differ in.
-SIMILAR_WORDS, SIMILAR, WIDE_RADIUS = 5, 0.8, 12
+#: Shingles of the similarity and its least value.
+SIMILAR_WORDS, SIMILAR = 5, 0.8
+#: Bits in which fingerprints of texts with the similarity may differ: 9.7 are expected, and more than this has odds of 1e-6.
+APART = 26
 #: Shingles in the prefixes of more texts are hot; at most so many of them come last in the order of shingles.
 HOT, LATE = 200, 50_000
+MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Distinct words whose hashes a task remembers.
+REMEMBERED = 150_000
+
+
+class WordHashes(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) > REMEMBERED:
+            self.clear()
+        self[word] = out = xxhash.xxh64_intdigest(word, SEED)
+        return out
+
+
+def run_hashes(words: list[str], size: int, known: WordHashes) -> np.ndarray:
+    """A hash of each shingle, repeats included, from the hashes of its words."""
+    h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+    n = len(h) - size + 1
+    out = np.zeros(max(n, 1) if len(h) else 0, dtype=np.uint64)
+    for part in [h[j : j + n] for j in range(size)] if n > 0 else h:
+        out = (out ^ (out >> np.uint64(29))) * MIX + part
+    out = (out ^ (out >> np.uint64(32))) * MIX
+    return out ^ (out >> np.uint64(29))
 
 
 def alike(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> bool:
@@ -260,165 +264,139 @@ def alike(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> bool:
     return both >= least * (len(a) + len(b) - both) - 1e-9
 
 
-def prefix(hashes: np.ndarray, late: np.ndarray | None = None) -> np.ndarray:
+def prefix(hashes: np.ndarray, late: np.ndarray) -> np.ndarray:
     """The first of sorted distinct hashes in the common order, ``late`` ones last: sets with the similarity share one."""
     n = len(hashes)
-    if late is not None:
-        hashes = hashes[np.argsort(np.isin(hashes.view(np.int64), late), kind="stable")]
-    return hashes.view(np.int64)[: n - -(-n * 4 // 5) + 1 if n else 0]
+    if len(late) and n:
+        place = np.minimum(np.searchsorted(late, hashes), len(late) - 1)
+        hashes = hashes[np.argsort(late[place] == hashes, kind="stable")]
+    return hashes[: n - -(-n * 4 // 5) + 1 if n else 0].view(np.int32)
+
 
+def as_set(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, dtype=np.uint32)
 
-def text_prints(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``id, whole, fp, size, head``: a digest of the words in order, their fingerprint, number and prefix of distinct shingles."""
+
+def text_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``id, whole, fp, b, n, s``: a digest of the words in order, fingerprint (bytes and long), number and sorted 32-bit hashes of distinct shingles."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = WordHashes()
         for b in batches:
             out = []
             for d, t in zip(b["id"], b[text], strict=True):
                 words = words_of(t)
-                hashes = np.unique(shingle_hashes(words, SIMILAR_WORDS))
-                out.append((d, xxhash.xxh3_128_digest(" ".join(words)), word_print(words), len(hashes), prefix(hashes)))
-            yield pd.DataFrame(out, columns=["id", "whole", "fp", "size", "head"])
+                hashes = run_hashes(words, SIMILAR_WORDS, known)
+                bits = majority_bits(hashes)
+                own = np.unique((hashes >> np.uint64(32)).astype(np.uint32))
+                out.append((d, xxhash.xxh3_128_digest(" ".join(words)), bits.to_bytes(8, "big"), bits - (1 << 64) * (bits >> 63), len(own), own.tobytes()))
+            yield pd.DataFrame(out, columns=["id", "whole", "fp", "b", "n", "s"])
 
-    return bounded_batches(docs).select(F.col(key).alias("id"), text).mapInPandas(run, "id long, whole binary, fp binary, size int, head array<long>")
+    return bounded_batches(docs).select(F.col(key).alias("id"), text).mapInPandas(run, "id long, whole binary, fp binary, b long, n int, s binary")
 
 
-def all_or_forest(block: pd.DataFrame, i: np.ndarray, j: np.ndarray, group: np.ndarray) -> pd.DataFrame:
-    """All pairs of small local groups; of large ones a link to each row's first neighbour, and the rows."""
-    ids = block["id"].to_numpy()
-    root = roots(len(block), i, j)
-    big = (np.bincount(root, minlength=len(block)) > SMALL)[root]
-    small = ~big[i]
-    first = np.full(len(block), len(block))
-    np.minimum.at(first, j[~small], i[~small])
-    has = np.flatnonzero(first < len(block))
-    a, b = np.concatenate([i[small], first[has]]), np.concatenate([j[small], has])
-    pairs = pd.DataFrame({"a": ids[a], "b": ids[b], "key": pd.array([None] * len(a), dtype="Int64"), "lo": 0, "hi": 0, "fp": None})
-    rest = block[big]
-    again = pd.DataFrame({"a": rest["id"].to_numpy(), "b": rest["id"].to_numpy(), "key": rest["key"].astype("Int64"), "lo": rest["lo"], "hi": rest["hi"], "fp": rest["fp"]})
-    return pd.concat([pairs, again], ignore_index=True)
-
-
-def across(block: pd.DataFrame, i: np.ndarray, j: np.ndarray, group: np.ndarray) -> pd.DataFrame:
-    """Pairs of different components."""
-    ids, component = block["id"].to_numpy(), block["component"].to_numpy()
-    apart = component[i] != component[j]
-    return pd.DataFrame({"a": ids[i[apart]], "b": ids[j[apart]]})
-
-
-def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The pairs ``a, b`` of keys whose texts have the similarity."""
-    pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
-    wanted = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "near-wanted")
+def hot_shingles(sets: DataFrame) -> np.ndarray:
+    """Shingles in the prefixes of about ``HOT`` texts or more, sorted; a task sends those it meets more than twice.
+
+    Only the order of shingles depends on them, and any common order is exact.
+    """
 
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "s": [np.unique(shingle_hashes(words_of(t), SIMILAR_WORDS)).tobytes() for t in b[text]]})
+            if len(b):
+                k, c = np.unique(np.concatenate([prefix(as_set(x), np.empty(0, dtype=np.uint32)) for x in b["s"]]), return_counts=True)
+                yield pd.DataFrame({"k": k[c > 2], "c": c[c > 2]})
 
-    texts = docs.select(F.col(key).alias("id"), text).join(wanted, "id", "left_semi").mapInPandas(hashed, "id long, s binary")
-    # a repeated row gives its id twice; equal rows then give equal links
-    sets = materialise(texts, "near-sets")
+    count = sets.select("s").mapInPandas(run, "k int, c long").groupBy("k").agg(F.sum("c").alias("c")).where(F.col("c") > HOT)
+    return np.sort(np.array([r[0] for r in count.orderBy(F.desc("c"), "k").limit(LATE).select("k").collect()], dtype=np.int32).view(np.uint32))
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` whose sets have the similarity."""
+    pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
+    wanted = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "near-wanted")
+    sets = materialise(few(sets.select("id", "s"), wanted, "id"), "near-sets")
     side = lambda n: sets.select(F.col("id").alias(n), F.col("s").alias(f"s{n}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
 
     def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            fine = [alike(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)) for x, y in zip(b["sa"], b["sb"], strict=True)]
+            fine = [alike(as_set(x), as_set(y)) for x, y in zip(b["sa"], b["sb"], strict=True)]
             yield b.loc[np.array(fine, dtype=bool), ["a", "b"]]
 
-    return both.mapInPandas(test, "a long, b long").distinct()
+    return materialise(both.mapInPandas(test, "a long, b long"), "near-links")
 
 
-def _parted(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """Rows with their component by the links, their own id without any."""
-    part = materialise(components(links, "a", "b"), "near-parts")
-    return rows.join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
-
-
-def _shared(post: DataFrame) -> DataFrame:
-    """``k, c``: shingles in the prefixes of texts of different components, and number of those texts."""
-    count = post.groupBy("k").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    return materialise(count.where("lo <> hi").select("k", "c"), "near-shared")
-
-
-def _post(heads: DataFrame) -> DataFrame:
-    return heads.select("id", "component", F.col("size").alias("n"), F.posexplode("head").alias("i", "k"))
+def with_component(rows: DataFrame, links: DataFrame, id_: str = "id", name: str = "o") -> DataFrame:
+    """Rows with the component of their id by the links, the id itself without any."""
+    part = materialise(components(links, "a", "b"), "near-parts").select(F.col("id").alias(id_), F.col("component").alias("_c"))
+    joined = rows.drop(name).join(F.broadcast(part) if part.count() <= FEW else part, id_, "left")
+    return joined.withColumn(name, F.coalesce("_c", id_)).drop("_c")
 
 
 def _may_be_alike(x: str, y: str) -> Column:
-    """Different components, and room for the overlap from a shared shingle on."""
+    """Different components, fingerprints not too far apart, and room for the overlap from a shared shingle on."""
     n, m, i, j = F.col(f"{x}n"), F.col(f"{y}n"), F.col(f"{x}i"), F.col(f"{y}i")
-    return (F.col(f"{x}component") != F.col(f"{y}component")) & (m * 5 >= n * 4) & (n * 5 >= m * 4) & (F.least(n - i, m - j) >= overlap(n, m))
+    near = F.bit_count(F.col(f"{x}b").bitwiseXOR(F.col(f"{y}b"))) <= APART
+    return (F.col(f"{x}o") != F.col(f"{y}o")) & (m * 5 >= n * 4) & (n * 5 >= m * 4) & (F.least(n - i, m - j) >= overlap(n, m)) & near
 
 
-def remaining_links(groups: DataFrame, links: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Verified links ``a, b`` between all alike texts that ``links`` doesn't connect yet.
+def _pairs(df: DataFrame) -> DataFrame:
+    return df.select(F.col("xd").alias("a"), F.col("yd").alias("b"))
 
-    An exact prefix join: in any common order of shingles, sets with the similarity share one of
-    their first n - ceil(0.8 n) + 1, and the first shared one leaves room for the overlap. The order
-    is by hash; shingles that many unconnected texts share come last, so that a passage common to
-    different texts seldom makes pairs.
+
+def remaining_links(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """Verified links ``a, b`` that connect all alike texts which ``links`` doesn't connect yet.
+
+    An exact prefix join, as for lines: in any common order of shingles, sets with the similarity
+    share one of their first n - ceil(0.8 n) + 1, and the first shared one leaves room for the
+    overlap. The order is by hash; shingles that many texts share come last, so that a passage
+    common to different texts seldom makes pairs. Fingerprints sift the pairs before their sets
+    are joined. First one pair of each text is verified, which connects most of a group of copies,
+    then those that are still apart.
     """
-    heads = materialise(_parted(groups.where("size > 0").select("id", "size", "head"), links), "near-heads")
-    shared = _shared(_post(heads))
-    late = np.array([r[0] for r in shared.where(F.col("c") > HOT).orderBy(F.desc("c"), "k").limit(LATE).collect()], dtype=np.int64)
-    if len(late):
-        hot = materialise(_post(heads).join(shared.where(F.col("c") > HOT), "k", "left_semi").select("id").distinct(), "near-hot")
-
-        def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                yield pd.DataFrame({"id": b["id"], "head": [prefix(np.unique(shingle_hashes(words_of(t), SIMILAR_WORDS)), late) for t in b[text]]})
-
-        texts = bounded_batches(docs).select(F.col(key).alias("id"), text).join(hot, "id", "left_semi")
-        # a repeated row gives its id twice
-        new = texts.mapInPandas(again, "id long, head array<long>").dropDuplicates(["id"])
-        new = heads.drop("head").join(new, "id").select(*heads.columns)
-        heads = materialise(heads.join(hot, "id", "left_anti").union(new), "near-heads")
-        shared = _shared(_post(heads))
-    post = materialise(_post(heads).join(shared, "k"), "near-post")
-
-    def named(df: DataFrame, side: str) -> DataFrame:
-        return df.select("k", *(F.col(c).alias(f"{side}{c}") for c in ("id", "component", "n", "i")))
-
-    # a group of many near copies is mostly connected by its first text
-    out = links.limit(0)
-    if len(late):
-        crowd = post.where(F.col("c") > HOT)
-        lead = crowd.groupBy("k", "n").agg(F.min(F.struct("id", "component", "i")).alias("s")).select("k", "n", "s.*")
-        led = named(crowd, "x").join(named(materialise(lead, "near-leads"), "y"), "k").where(_may_be_alike("x", "y"))
-        out = materialise(verified(led.select(F.col("xid").alias("a"), F.col("yid").alias("b")), docs, key, text), "near-star")
-        post = materialise(_parted(post.drop("component"), links.union(out)), "near-post")
-    x = named(post.where(F.col("i") < probe_length(F.col("n"))), "x")
-    y = named(post.where(F.col("i") < index_length(F.col("n"))), "y")
-    shorter = (F.col("yn") < F.col("xn")) | ((F.col("yn") == F.col("xn")) & (F.col("yid") < F.col("xid")))
-    pairs = x.join(y, "k").where(shorter & _may_be_alike("x", "y")).select(F.col("xid").alias("a"), F.col("yid").alias("b"))
-    return out.union(verified(pairs, docs, key, text))
+    late = hot_shingles(sets)
+
+    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(p=[prefix(as_set(x), late) for x in b["s"]]).drop(columns="s")
+
+    posted = with_component(sets.select("id", "n", "b", "s"), links).mapInPandas(heads, "id long, n int, b long, o long, p array<int>")
+    pairs, crowd = candidates(posted.select(F.col("id").alias("d"), F.lit(0).alias("l"), "n", "b", "o", "p"), _may_be_alike, "near-candidates")
+    hot = not crowd.isEmpty()
+    if hot:
+        pairs = pairs.union(leads(crowd, _may_be_alike, "near-leads"))
+    pairs = _pairs(pairs)
+    out = verified(pairs.groupBy("a").agg(F.min("b").alias("b")), sets)
+    links = materialise(links.union(out), "near-linked")
+    more = with_component(with_component(pairs, links, "a", "ca"), links, "b", "cb").where("ca <> cb").select("a", "b")
+    if hot:
+        apart = with_component(crowd.withColumnRenamed("d", "id"), links).withColumnRenamed("id", "d")
+        mixed = apart.groupBy("k").agg(F.min("o").alias("lo"), F.max("o").alias("hi")).where("lo <> hi").select("k")
+        apart = materialise(apart.join(mixed, "k", "left_semi"), "near-apart")
+        more = more.union(_pairs(rest_pairs(apart, apart, _may_be_alike)))
+    return out.union(verified(more, sets))
 
 
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """``id, whole`` of every row, and ``whole, keep``: the id that stays of each group of texts.
 
     Texts are alike if their sets of five-word shingles have Jaccard similarity of 0.8 or more,
-    or if they have the same words in order. SimHash fingerprints of the words (128 bits, counts
-    weighted by their root) within ``WIDE_RADIUS`` bits, of sets whose sizes allow the similarity,
-    give the first pairs, an exact prefix join of shingles those between texts that are not
-    connected by then; every pair is verified on the texts. Copies are one row before that.
+    or if they have the same words in order. SimHash links (64 bits over the shingles, three bits
+    or fewer apart, compared bit-sliced) give the first pairs, an exact prefix join of shingles those
+    between texts that are not connected by then; every pair is verified on the sets. Copies are one
+    row before that. Shingles are told by 32 bits of their hashes: two texts of n shingles have a
+    false common one with odds of n^2 / 2^32.
     """
-    prints = materialise(text_prints(docs, key, text), "text-prints")
-    groups = materialise(prints.where("id is not null").groupBy("whole").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("head").alias("head")), "text-groups")
-    rows = dealt(keyed(groups.where("size > 0"), WIDE_RADIUS, 1, "size"))
-    found = materialise(compare(rows, WIDE_RADIUS, all_or_forest, [], "a long, b long, key long, lo int, hi int, fp binary"), "near-found")
-    links = materialise(verified(found.where("key is null").select("a", "b"), docs, key, text), "near-links")
-    again = found.where("key is not null").select(F.col("a").alias("id"), "key", "lo", "hi", "fp").distinct()
-    if not again.isEmpty():
-        part = materialise(components(links, "a", "b"), "near-parts")
-        again = again.join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        more = compare(again, WIDE_RADIUS, across, ["component"], "a long, b long")
-        links = materialise(links.union(verified(more, docs, key, text)), "near-links")
-    links = links.union(remaining_links(groups, links, docs, key, text))
-    part = components(links, "a", "b")
-    keep = groups.join(part, "id", "left").select("whole", F.coalesce("component", "id").alias("keep"))
-    return prints.select("id", "whole"), materialise(keep, "near-keep")
+    sets = materialise(text_sets(docs, key, text), "text-sets")
+    copies = materialise(sets.where("id is not null").groupBy("whole").agg(F.min("id").alias("id")), "text-groups")
+    # a repeated row gives its id twice, with equal sets
+    own = few(sets.drop("whole").where("n > 0"), copies.select("id"), "id")
+    own = materialise(own.dropDuplicates(["id"]) if repeated(sets, "id") else own, "text-own")
+    links = verified(near_links(own, 3), own)
+    links = materialise(links.union(remaining_links(own, links)), "near-all")
+    keep = with_component(copies, links, name="keep").select("whole", "keep")
+    return sets.select("id", "whole"), materialise(keep, "near-keep")
 
 
 def drop_similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -429,6 +407,8 @@ def drop_similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """
     known = numbered(docs.where(F.col(key).isNotNull()), key, text)
     _, keep = similar_groups(known, "_row", text)
-    stays = keep.select(F.col("keep").alias("_row")).distinct()
-    known = known.join(stays, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
-    return known.union(docs.where(F.col(key).isNull()))
+    stays = materialise(keep.select(F.col("keep").alias("_row")).distinct(), "near-stays")
+    known = few(known, stays, "_row")
+    if repeated(known, "_row"):
+        known = known.dropDuplicates(["_row"])
+    return known.select(*docs.columns).union(docs.where(F.col(key).isNull()))
