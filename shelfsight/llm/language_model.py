@@ -6,9 +6,10 @@
    All other words fall into ``TAILS`` classes by their last two characters; within such a class a
    word has its smoothed share of the class's count. So every word, known or not, has a
    probability, and they add up to one.
-3. The network (one gated layer) learns by truncated backpropagation through time on at most
-   ``SAMPLE_DOCS`` training texts and ``SAMPLE_WORDS`` words, those with the least hash of their
-   id; this bounded fit runs in one task.
+3. The network (one gated layer) learns by truncated backpropagation through time on every word of
+   every training text, once. Rows fall by hash into ``ROUNDS`` rounds of growing shares; in a round
+   each partition starts from the shared weights, learns its rows in windows that carry the state
+   through whole texts, and the partitions' weights are averaged by the words they saw.
 4. Scoring is one pass: texts run side by side in lanes, in windows of ``WINDOW`` words; the state
    is carried from window to window and cleared where a text begins, so the likelihood is that of
    the whole text. The counts of the ``KNOWN`` most frequent words go along (a fixed number); what
@@ -22,7 +23,6 @@ Rows with more rare words than the rest don't make a hot key: a rare word is by
 from __future__ import annotations
 
 import heapq
-import pickle
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -37,11 +37,16 @@ from .quality import held_out
 
 #: The end of a text, which no word equals.
 END = ""
-HEAD, PER_CLASS, TAILS = 2048, 64, 32
+HEAD, PER_CLASS, TAILS = 1024, 32, 16
 CLASSES = HEAD // PER_CLASS
-HIDDEN, WIDTH = 24, 24
-WINDOW, LANES = 32, 192
-SAMPLE_DOCS, SAMPLE_WORDS, EPOCHS, RATE = 2000, 400_000, 3, 0.01
+HIDDEN = 16
+#: Words of a window, texts side by side in scoring and in learning.
+WINDOW, LANES, LEARN_LANES = 32, 256, 128
+RATE = 0.1
+#: Upper ends of the shares of the rounds.
+ROUNDS = (1 / 64, 1 / 16, 1 / 4, 1.0)
+#: Weights that travel together to be averaged, and groups of partitions averaged first.
+PIECE, SALT = 8192, 64
 #: Words known everywhere, and bins of a doubling of the count in which their least count is sought.
 KNOWN, BINS = 60_000, 64
 #: Other words whose class a task remembers.
@@ -134,32 +139,28 @@ class Vocabulary:
         return out
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
-
-
 def picked_log_softmax(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """One column's value of each row; overwrites ``x``."""
+    """One column's value of each row; leaves the softmax in ``x``."""
     x -= x.max(axis=1, keepdims=True)
     out = x[np.arange(len(x)), at]
     np.exp(x, out=x)
-    return out - np.log(x @ np.ones(x.shape[1], dtype=x.dtype))
+    total = x @ np.ones(x.shape[1], dtype=x.dtype)
+    x /= total[:, None]
+    return out - np.log(total)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
 class GatedModel:
-    """h' = z h + (1 - z) tanh(Wx + U(r h)); classes from h, words from h within their class."""
+    """h' = c + z (h - c), c = tanh(a + r (U h)); classes from h, words from h within their class."""
 
     def __init__(self, seed: int = 0):
         rng = np.random.default_rng(seed)
         small = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
-        n = HEAD + TAILS
         self.p = {
-            "emb": small(n + 1, WIDTH), "w": small(WIDTH, 3 * HIDDEN), "u": small(HIDDEN, 3 * HIDDEN), "b": np.zeros(3 * HIDDEN, np.float32),
+            "inp": small(HEAD + TAILS + 1, 3 * HIDDEN), "u": small(HIDDEN, 3 * HIDDEN), "b": np.zeros(3 * HIDDEN, np.float32),
             "cw": small(HIDDEN, CLASSES + TAILS), "cb": np.zeros(CLASSES + TAILS, np.float32), "ow": small(CLASSES, HIDDEN, PER_CLASS), "ob": np.zeros((CLASSES, PER_CLASS), np.float32),
         }
         self.p["b"][:HIDDEN] = 1.0
@@ -170,114 +171,123 @@ class GatedModel:
         self.p["cb"][:] = np.log(by_class / by_class.sum())
         self.p["ob"][:] = np.log(counts[:HEAD].reshape(CLASSES, PER_CLASS) + SMOOTH)
 
-    def inputs(self) -> np.ndarray:
-        return self.p["emb"] @ self.p["w"] + self.p["b"]
+    def flat(self) -> np.ndarray:
+        return np.concatenate([v.ravel() for v in self.p.values()])
 
-    def run(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, table: np.ndarray, keep: bool = False):
-        """States before each step's word, for steps x lanes of inputs. fresh: 1 where a text begins."""
-        u_zr, u_c = np.ascontiguousarray(self.p["u"][:, : 2 * HIDDEN]), np.ascontiguousarray(self.p["u"][:, 2 * HIDDEN :])
-        out = np.empty((len(x), x.shape[1], HIDDEN), dtype=np.float32)
+    def set_flat(self, flat: np.ndarray) -> None:
+        at = 0
+        for v in self.p.values():
+            v[...] = flat[at : at + v.size].reshape(v.shape)
+            at += v.size
+
+    def run(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool = False):
+        """States after each step's input, for steps x lanes of inputs. fresh: 1 where a text begins."""
+        u = self.p["u"]
+        inputs = (self.p["inp"] + self.p["b"])[x]
+        out = np.empty((*x.shape, HIDDEN), dtype=np.float32)
         trace = []
         for t in range(len(x)):
-            h = h * (1 - fresh[t])[:, None]
-            a = table[x[t]]
-            zr = sigmoid(a[:, : 2 * HIDDEN] + h @ u_zr)
+            if fresh[t].any():
+                h = h * (1 - fresh[t])[:, None]
+            a, hu = inputs[t], h @ u
+            zr = sigmoid(a[:, : 2 * HIDDEN] + hu[:, : 2 * HIDDEN])
             z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-            c = np.tanh(a[:, 2 * HIDDEN :] + (r * h) @ u_c)
-            new = z * h + (1 - z) * c
+            c = np.tanh(a[:, 2 * HIDDEN :] + r * hu[:, 2 * HIDDEN :])
             if keep:
-                trace.append((h, z, r, c))
-            out[t] = h = new
+                trace.append((h, z, r, c, hu[:, 2 * HIDDEN :]))
+            out[t] = h = c + z * (h - c)
         return out, h, trace
 
-    def log_probs(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Natural logarithms; of a tail id that of its class alone. h: rows x HIDDEN."""
+    def log_probs(self, h: np.ndarray, y: np.ndarray, learn: bool = False):
+        """Natural logarithms; of a tail id that of its class alone. h: rows x HIDDEN.
+
+        With ``learn`` also the gradients of the mean loss, and those by ``h``.
+        """
+        p, n = self.p, max(1, len(h))
         cls = np.where(y < HEAD, y // PER_CLASS, y - HEAD + CLASSES)
-        out = picked_log_softmax(h @ self.p["cw"] + self.p["cb"], cls)
         order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        h, y, cls = h[order], y[order], cls[order]
+        soft = h @ p["cw"] + p["cb"]
+        lp = picked_log_softmax(soft, cls)
+        g, dh = {}, None
+        if learn:
+            soft[np.arange(len(h)), cls] -= 1
+            soft /= n
+            g = {"cw": h.T @ soft, "cb": soft.sum(axis=0), "ow": np.zeros_like(p["ow"]), "ob": np.zeros_like(p["ob"])}
+            dh = soft @ p["cw"].T
+        edges = np.searchsorted(cls, np.arange(CLASSES + 1))
         for k in range(CLASSES):
-            rows = order[edges[k] : edges[k + 1]]
-            if len(rows):
-                out[rows] += picked_log_softmax(h[rows] @ self.p["ow"][k] + self.p["ob"][k], y[rows] % PER_CLASS)
-        return out
+            s = slice(edges[k], edges[k + 1])
+            if s.start < s.stop:
+                soft, at = h[s] @ p["ow"][k] + p["ob"][k], y[s] % PER_CLASS
+                lp[s] += picked_log_softmax(soft, at)
+                if learn:
+                    soft[np.arange(len(at)), at] -= 1
+                    soft /= n
+                    g["ow"][k], g["ob"][k] = h[s].T @ soft, soft.sum(axis=0)
+                    dh[s] += soft @ p["ow"][k].T
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return (lp[back], g, dh[back]) if learn else lp[back]
 
     def gradients(self, x: np.ndarray, fresh: np.ndarray, y: np.ndarray, used: np.ndarray, h0: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
         """Mean gradients over a window's used places, by backpropagation that ends at the window."""
-        p = self.p
-        states, last, trace = self.run(x, fresh, h0, self.inputs(), keep=True)
-        g = {k: np.zeros_like(v) for k, v in p.items()}
+        states, last, trace = self.run(x, fresh, h0, keep=True)
         rows = np.flatnonzero(used.ravel())
-        h, t = states.reshape(-1, HIDDEN)[rows], y.ravel()[rows]
-        n = max(1, len(rows))
-        cls = np.where(t < HEAD, t // PER_CLASS, t - HEAD + CLASSES)
-        lp = log_softmax(h @ p["cw"] + p["cb"])
-        loss = -lp[np.arange(len(t)), cls].sum()
-        d = np.exp(lp)
-        d[np.arange(len(t)), cls] -= 1
-        d /= n
-        g["cw"], g["cb"] = h.T @ d, d.sum(axis=0)
-        dh = d @ p["cw"].T
-        for k in np.unique(cls[cls < CLASSES]):
-            own = np.flatnonzero(cls == k)
-            lw = log_softmax(h[own] @ p["ow"][k] + p["ob"][k])
-            loss -= lw[np.arange(len(own)), t[own] % PER_CLASS].sum()
-            e = np.exp(lw)
-            e[np.arange(len(own)), t[own] % PER_CLASS] -= 1
-            e /= n
-            g["ow"][k], g["ob"][k] = h[own].T @ e, e.sum(axis=0)
-            dh[own] += e @ p["ow"][k].T
+        lp, g, dh = self.log_probs(states.reshape(-1, HIDDEN)[rows], y.ravel()[rows], learn=True)
         back = np.zeros((states.shape[0] * states.shape[1], HIDDEN), dtype=np.float32)
         back[rows] = dh
         back = back.reshape(states.shape)
-        u_zr, u_c = p["u"][:, : 2 * HIDDEN], p["u"][:, 2 * HIDDEN :]
-        dx = np.empty((*x.shape, 3 * HIDDEN), dtype=np.float32)
+        u = self.p["u"]
+        da = np.empty((*x.shape, 3 * HIDDEN), dtype=np.float32)
+        dhu = np.empty_like(da)
         carry = np.zeros_like(h0)
         for s in range(len(x) - 1, -1, -1):
-            before, z, r, c = trace[s]
+            before, z, r, c, hc = trace[s]
             dn = back[s] + carry
             dc = dn * (1 - z) * (1 - c * c)
-            rh = dc @ u_c.T
-            dz = dn * (before - c) * z * (1 - z)
-            dr = rh * before * r * (1 - r)
-            zr = np.concatenate([dz, dr], axis=1)
-            g["u"][:, : 2 * HIDDEN] += before.T @ zr
-            g["u"][:, 2 * HIDDEN :] += (r * before).T @ dc
-            dx[s] = np.concatenate([zr, dc], axis=1)
-            carry = (dn * z + rh * r + zr @ u_zr.T) * (1 - fresh[s])[:, None]
-        flat = dx.reshape(-1, 3 * HIDDEN)
-        g["b"] = flat.sum(axis=0)
-        g["w"] = p["emb"][x.ravel()].T @ flat
-        np.add.at(g["emb"], x.ravel(), flat @ p["w"].T)
-        return g, last, float(loss)
-
-    def fit(self, texts: list[np.ndarray], epochs: int = EPOCHS, lanes: int = 32, seed: int = 0) -> list[float]:
-        """Adam over windows of lanes; the mean loss of each epoch."""
-        rng, losses, step = np.random.default_rng(seed), [], 0
-        first, second = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
-        for epoch in range(epochs):
-            x, fresh, y, used, _ = lay_out([texts[i] for i in rng.permutation(len(texts))], lanes)
-            h, total = np.zeros((x.shape[1], HIDDEN), dtype=np.float32), 0.0
-            for s in range(0, len(x), WINDOW):
-                w = slice(s, s + WINDOW)
-                g, h, loss = self.gradients(x[w], fresh[w], y[w], used[w], h)
-                total, step = total + loss, step + 1
-                norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
-                rate = RATE * (1 - 0.3 * epoch) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-                for k, v in g.items():
-                    v *= min(1.0, 1.0 / max(norm, 1e-9))
-                    first[k] += 0.1 * (v - first[k])
-                    second[k] += 0.001 * (v * v - second[k])
-                    self.p[k] -= (rate * first[k] / (np.sqrt(second[k]) + 1e-8)).astype(np.float32)
-            losses.append(total / max(1, used.sum()))
-        return losses
+            da[s, :, :HIDDEN] = dn * (before - c) * z * (1 - z)
+            da[s, :, HIDDEN : 2 * HIDDEN] = dc * hc * r * (1 - r)
+            da[s, :, 2 * HIDDEN :] = dc
+            dhu[s, :, : 2 * HIDDEN] = da[s, :, : 2 * HIDDEN]
+            dhu[s, :, 2 * HIDDEN :] = dc * r
+            carry = dn * z + dhu[s] @ u.T
+            if fresh[s].any():
+                carry *= (1 - fresh[s])[:, None]
+        before = np.concatenate([t[0] for t in trace])
+        g["u"] = before.T @ dhu.reshape(-1, 3 * HIDDEN)
+        flat, ids = da.reshape(-1, 3 * HIDDEN), x.ravel()
+        order = np.argsort(ids, kind="stable")
+        met, first = np.unique(ids[order], return_index=True)
+        g["inp"] = np.zeros_like(self.p["inp"])
+        g["inp"][met] = np.add.reduceat(flat[order], first, axis=0)
+        g["b"] = g["inp"].sum(axis=0)
+        return g, last, -float(lp.sum())
+
+    def learn(self, texts: list[np.ndarray], past: dict[str, np.ndarray], lanes: int = LEARN_LANES) -> float:
+        """One pass over texts of ids, with a step after each window whose rate falls with the squares that were seen; the mean loss."""
+        loss, n = 0.0, 0
+        h = None
+        for x, fresh, y, used, _ in windows(texts, lanes):
+            h = np.zeros((x.shape[1], HIDDEN), dtype=np.float32) if h is None else h[: x.shape[1]]
+            g, h, part = self.gradients(x, fresh, y, used, h)
+            loss, n = loss + part, n + int(used.sum())
+            shrink = min(1.0, 1.0 / max(np.sqrt(sum(float((v * v).sum()) for v in g.values())), 1e-9))
+            for k, v in g.items():
+                v *= shrink
+                past[k] += v * v
+                self.p[k] -= RATE * v / (np.sqrt(past[k]) + 1e-4)
+        return loss / max(1, n)
+
+    def fresh_past(self) -> dict[str, np.ndarray]:
+        return {k: np.full_like(v, 1e-4) for k, v in self.p.items()}
 
 
 BEGIN = HEAD + TAILS
 
 
-def lay_out(texts: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Texts of ids end to end in lanes: inputs, beginnings, targets, used places, owners; steps x lanes."""
+def lay_out(texts: list[np.ndarray], lanes: int) -> list[list[int]]:
+    """Texts dealt to lanes of about equal length, the longest lane first."""
     lanes = max(1, min(lanes, len(texts)))
     own: list[list[int]] = [[] for _ in range(lanes)]
     load = [(0, k) for k in range(lanes)]
@@ -285,35 +295,58 @@ def lay_out(texts: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray
         n, k = heapq.heappop(load)
         own[k].append(i)
         heapq.heappush(load, (n + len(texts[i]), k))
-    steps = max(n for n, _ in load)
-    x, y = np.full((steps, lanes), BEGIN, dtype=np.int32), np.zeros((steps, lanes), dtype=np.int32)
-    fresh, owner = np.zeros((steps, lanes), dtype=np.float32), np.full((steps, lanes), -1, dtype=np.int32)
+    return [own[k] for _, k in sorted(load, reverse=True)]
+
+
+def windows(texts: list[np.ndarray], lanes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts end to end in lanes, a window at a time: inputs, beginnings, targets, used places, owners; steps x lanes.
+
+    Lanes that have ended are the last ones and are left out.
+    """
+    if not texts:
+        return
+    own = lay_out(texts, lanes)
+    size = [sum(len(texts[i]) for i in mine) for mine in own]
+    steps = max(size)
+    x, y = np.full((len(own), steps), BEGIN, dtype=np.int32), np.zeros((len(own), steps), dtype=np.int32)
+    fresh, owner = np.zeros((len(own), steps), dtype=np.float32), np.full((len(own), steps), -1, dtype=np.int32)
     for k, mine in enumerate(own):
         at = 0
         for i in mine:
             n = len(texts[i])
-            x[at + 1 : at + n, k], y[at : at + n, k], owner[at : at + n, k] = texts[i][:-1], texts[i], i
-            fresh[at, k] = 1
+            x[k, at + 1 : at + n], y[k, at : at + n], owner[k, at : at + n] = texts[i][:-1], texts[i], i
+            fresh[k, at] = 1
             at += n
-    return x, fresh, y, owner >= 0, owner
+    for s in range(0, steps, WINDOW):
+        w = (slice(0, sum(n > s for n in size)), slice(s, s + WINDOW))
+        mine = owner[w].T
+        yield x[w].T, fresh[w].T, y[w].T, mine >= 0, mine
 
 
 def score_texts(model: GatedModel, texts: list[np.ndarray], lanes: int = LANES) -> np.ndarray:
     """Natural log-likelihood of each text of ids, tail words by their class alone."""
-    out = np.zeros(len(texts))
-    if not texts:
-        return out
-    x, fresh, y, used, owner = lay_out(texts, lanes)
-    table, h = model.inputs(), np.zeros((x.shape[1], HIDDEN), dtype=np.float32)
-    for s in range(0, len(x), WINDOW):
-        w = slice(s, s + WINDOW)
-        states, h, _ = model.run(x[w], fresh[w], h, table)
-        rows = np.flatnonzero(used[w].ravel())
-        lp = model.log_probs(states.reshape(-1, HIDDEN)[rows], y[w].ravel()[rows])
-        out += np.bincount(owner[w].ravel()[rows], weights=lp, minlength=len(texts))
+    out, h = np.zeros(len(texts)), None
+    for x, fresh, y, used, owner in windows(texts, lanes):
+        h = np.zeros((x.shape[1], HIDDEN), dtype=np.float32) if h is None else h[: x.shape[1]]
+        states, h, _ = model.run(x, fresh, h)
+        rows = np.flatnonzero(used.ravel())
+        lp = model.log_probs(states.reshape(-1, HIDDEN)[rows], y.ravel()[rows])
+        out += np.bincount(owner.ravel()[rows], weights=lp, minlength=len(texts))
     return out
 
 
+def slices(texts: pd.Series) -> Iterator[slice]:
+    """Places of a batch that are worked off together: about ``SLICE_BYTES`` of text, one text at least."""
+    at, sizes = 0, [len(t) for t in texts]
+    while at < len(sizes):
+        end, size = at, 0
+        while end < len(sizes) and (end == at or size + sizes[end] <= SLICE_BYTES):
+            size += sizes[end]
+            end += 1
+        yield slice(at, end)
+        at = end
+
+
 def most_frequent(counts: DataFrame, most: int) -> list[tuple[str, int]]:
     """At most ``most`` words by falling count: all above a count that a histogram in fixed bins gives.
 
@@ -330,14 +363,34 @@ def most_frequent(counts: DataFrame, most: int) -> list[tuple[str, int]]:
     return sorted(((r["word"], r["c"]) for r in counts.where(size >= least).select("word", "c").collect()), key=lambda x: (-x[1], x[0]))
 
 
-def small_sample(docs: DataFrame, key: str, text: str, most: int) -> DataFrame:
-    """``most`` rows of least hash; a first cut by the hash leaves few more, so no task gathers texts of all others."""
-    place = F.shiftrightunsigned(F.xxhash64(key, text), 1) / float(1 << 63)
-    return docs.where(place < min(1.0, 2.0 * most / max(1, docs.count()))).orderBy(place, key, text).limit(most)
+def learned_round(rows: DataFrame, text: str, vocabulary: Vocabulary, start: np.ndarray) -> np.ndarray:
+    """The weights after one round, the mean of the partitions' by their words; ``start`` without rows."""
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, n = GatedModel(), 0
+        model.set_flat(start)
+        past = model.fresh_past()
+        for b in batches:
+            for s in slices(b[text]):
+                texts = [vocabulary.ids(vocabulary.codes([*byte_words(t), b""])) for t in b[text].iloc[s]]
+                model.learn(texts, past)
+                n += sum(map(len, texts))
+        if n:
+            flat = model.flat().astype(np.float64) * n
+            cuts = range(0, len(flat), PIECE)
+            yield pd.DataFrame({"k": range(len(cuts)), "n": n, "w": [flat[c : c + PIECE].tobytes() for c in cuts]})
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"k": [pdf["k"].iloc[0]], "n": [pdf["n"].sum()], "w": [sum(np.frombuffer(w) for w in pdf["w"]).tobytes()]})
+
+    schema = "k int, n long, w binary"
+    own = rows.select(text).mapInPandas(fit, schema).withColumn("salt", F.spark_partition_id() % SALT)
+    got = own.groupBy("k", "salt").applyInPandas(total, schema).groupBy("k").applyInPandas(total, schema).collect()
+    return np.concatenate([np.frombuffer(r["w"]) / r["n"] for r in sorted(got, key=lambda r: r["k"])]).astype(np.float32) if got else start
 
 
 def fit_model(docs: DataFrame, counts: DataFrame, key: str, text: str) -> tuple[Vocabulary, GatedModel]:
-    """The vocabulary from all counts, and the network from a bounded sample of ``docs``."""
+    """The vocabulary from all counts, and the network from all words of ``docs``."""
     top = most_frequent(counts, KNOWN)
     head = [w for w, _ in top[:HEAD]]
     rest = counts.join(F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in head], "word string")), "word", "left_anti")
@@ -345,27 +398,14 @@ def fit_model(docs: DataFrame, counts: DataFrame, key: str, text: str) -> tuple[
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     vocabulary = Vocabulary([w for w, _ in top], [c for _, c in top], tails, total["n"] or 0, total["v"])
     numbers = np.array([*(c for _, c in top[:HEAD]), *([0] * (HEAD - len(head))), *(tails.get(k, (0, 0))[0] for k in range(TAILS))], dtype=float)
-    sample = small_sample(docs.select(key, F.col(text).cast("binary").alias(text)), key, text, SAMPLE_DOCS)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        texts, n = [], 0
-        for t in pdf.sort_values([key, text])[text].sample(frac=1, random_state=0):
-            ids = vocabulary.ids(vocabulary.codes([*byte_words(t), b""]))
-            if n + len(ids) > SAMPLE_WORDS:
-                continue
-            texts.append(ids)
-            n += len(ids)
-        model = GatedModel()
-        model.start_from(numbers)
-        if texts:
-            model.fit(texts)
-        return pd.DataFrame({"model": [pickle.dumps(model.p)]})
-
-    got = sample.groupBy(F.lit(0).alias("_all")).applyInPandas(fit, "model binary").first()
     model = GatedModel()
     model.start_from(numbers)
-    if got:
-        model.p = pickle.loads(got["model"])
+    place = F.shiftrightunsigned(F.xxhash64(key, text), 1) / float(1 << 63)
+    weights, low = model.flat(), 0.0
+    for high in ROUNDS:
+        part = docs.where((place >= low) & (place < high)) if high < 1 else docs.where(place >= low)
+        weights, low = learned_round(part.select(F.col(text).cast("binary").alias(text)), text, vocabulary, weights), high
+    model.set_flat(weights)
     return vocabulary, model
 
 
@@ -387,13 +427,8 @@ def score_language(docs: DataFrame, key: str = "doc_id", text: str = "text", fol
         mass = np.log(vocabulary.tail_mass)
         logs = np.log10(vocabulary.counts + SMOOTH)
         for b in batches:
-            at = 0
-            while at < len(b):
-                end, size = at, 0
-                while end < len(b) and (end == at or size + len(b[text].iat[end]) <= SLICE_BYTES):
-                    size += len(b[text].iat[end])
-                    end += 1
-                lists = [[*byte_words(t), b""] for t in b[text].iloc[at:end]]
+            for part in slices(b[text]):
+                lists = [[*byte_words(t), b""] for t in b[text].iloc[part]]
                 codes = [vocabulary.codes(w) for w in lists]
                 score = score_texts(model, [vocabulary.ids(c) for c in codes]) / LOG10
                 out = []
@@ -404,8 +439,7 @@ def score_language(docs: DataFrame, key: str = "doc_id", text: str = "text", fol
                     others = Counter([words[i] for i in rare])
                     out.append((len(words), len(has), len(rare), logs[has].sum(), s, [decoded(w) for w in others], np.fromiter(others.values(), dtype=np.int32, count=len(others))))
                 got = pd.DataFrame(out, columns=["n", "known", "rare", "base", "score", "words", "times"])
-                yield got.assign(**{key: b[key].iloc[at:end].to_numpy()})[[key, "n", "known", "rare", "base", "score", "words", "times"]]
-                at = end
+                yield got.assign(**{key: b[key].iloc[part].to_numpy()})[[key, "n", "known", "rare", "base", "score", "words", "times"]]
 
     rows = rows.select(key, F.col(text).cast("binary").alias(text))
     parts = materialise(rows.mapInPandas(run, schema).withColumn("row", F.monotonically_increasing_id()), "word-parts")

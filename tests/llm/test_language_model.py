@@ -24,7 +24,7 @@ def test_gradients_against_differences():
         states = []
         h = h0
         for t in range(5):
-            out, h, _ = model.run(x[t : t + 1], fresh[t : t + 1], h, model.inputs())
+            out, h, _ = model.run(x[t : t + 1], fresh[t : t + 1], h)
             states.append(h)
         h = np.stack(states).reshape(-1, lm.HIDDEN)[used.ravel()]
         return -model.log_probs(h, y.ravel()[used.ravel()]).mean()
@@ -59,6 +59,54 @@ def test_lanes_and_windows_do_not_matter():
     assert np.allclose(score_texts(model, texts, lanes=3), one, rtol=1e-4)
 
 
+def test_learning_lowers_the_loss_and_the_flat_form_is_whole():
+    rng = np.random.default_rng(3)
+    model, past = GatedModel(), None
+    texts = [np.tile(rng.integers(0, 40, 5), n).astype(np.int32) for n in rng.integers(1, 60, 50)]
+    past = model.fresh_past()
+    losses = [model.learn(texts, past) for _ in range(12)]
+    assert losses[-1] < 0.7 * losses[0]
+    other = GatedModel(seed=9)
+    other.set_flat(model.flat())
+    assert all((other.p[k] == v).all() for k, v in model.p.items())
+
+
+def test_score_against_one_step_after_another(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    words = ["w%d" % int(x) for x in rng.zipf(1.3, 9000) % 5000]
+    rows = [(i, " ".join(words[i * 90 : i * 90 + int(rng.integers(0, 90))])) for i in range(100)] + [(200, "Never seen, w1 w2")]
+    kept = []
+    fit = lm.fit_model
+    monkeypatch.setattr(lm, "fit_model", lambda *a: kept.append(fit(*a)) or kept[-1])
+    got = {r.doc_id: r.score for r in score_language(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    vocabulary, model = kept[0]
+    p = {k: v.astype(float) for k, v in model.p.items()}
+    c = Counter(w for d, t in rows if zlib.crc32(str(d).encode()) % 10 for w in [*words_of(t), END])
+    head = [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))][:HEAD]
+    place = {w: i for i, w in enumerate(head)}
+    mass = Counter()
+    for w, n in c.items():
+        if w not in place:
+            mass[lm.tail_class(w)] += n + 0.1
+    n = lm.HIDDEN
+    soft = lambda v: v - v.max() - math.log(np.exp(v - v.max()).sum())
+    for d, t in rows[::9] + rows[-1:]:
+        h, x, want = np.zeros(n), HEAD + lm.TAILS, 0.0
+        for w in [*words_of(t), END]:
+            a, u = p["inp"][x] + p["b"], h @ p["u"]
+            z, r = (1 / (1 + np.exp(-(a + u)[: 2 * n]))).reshape(2, n)
+            h = z * h + (1 - z) * np.tanh(a[2 * n :] + r * u[2 * n :])
+            x = place.get(w, HEAD + lm.tail_class(w))
+            classes = soft(h @ p["cw"] + p["cb"])
+            if x < HEAD:
+                k = x // lm.PER_CLASS
+                want += classes[k] + soft(h @ p["ow"][k] + p["ob"][k])[x % lm.PER_CLASS]
+            else:
+                k = x - HEAD
+                want += classes[lm.CLASSES + k] + math.log((c[w] + 0.1) / (mass[k] + 0.1))
+        assert math.isclose(got[d], want / math.log(10), rel_tol=1e-4), (d, got[d], want / math.log(10))
+
+
 def test_scores(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     extra = spark.createDataFrame([(70001, None, "x"), (70002, "", "x"), (70003, "zzqq never seen", "x")], "doc_id long, text string, source string")
