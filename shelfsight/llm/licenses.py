@@ -12,6 +12,7 @@ a constant of the program (its size is asserted), so it is a literal of the plan
 
 from __future__ import annotations
 
+import json
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -124,9 +125,130 @@ SIGNATURES = (
 )
 
 
+#: More whole signatures, alike
+CLAUSES = (
+    ("copyright", "mit", 72, 0.8, r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("holders", "mit", 60, 0.6, r"in no event shall the authors or copyright holders be liable for any claim damages or other liability"),
+    ("permission", "mit-modern", 70, 0.7, r"permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted"),
+    ("redistributions", "bsd", 75, 0.8, r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("redistributions", "bsd", 75, 0.8, r"redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
+    ("advertising", "bsd-4-clause", 82, 0.9, r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("contributors", "bsd", 60, 0.6, r"this software is provided by the (?:copyright holders|regents) and contributors as is"),
+    ("prior", "bsd", 65, 0.7, r"may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("compliance", "apache-2.0", 80, 0.9, r"you may not use this file except in compliance with the license"),
+    ("perpetual", "apache-2.0", 78, 0.9, r"a perpetual worldwide non exclusive no charge royalty free irrevocable (?:copyright|patent) license"),
+    ("basis", "apache-2.0", 55, 0.6, r"distributed on an as is basis without warranties or conditions of any kind"),
+    ("notice", "apache-2.0", 62, 0.7, r"if the work includes a notice text file as part of its distribution"),
+    ("acknowledgment", "apache-1.1", 66, 0.7, r"this product includes software developed by the apache software foundation(?: \S+){0,6} acknowledgment"),
+    ("hope", "gpl", 70, 0.8, r"(?:is )?distributed in the hope that it will be useful"),
+    ("received", "gpl", 72, 0.8, r"you should have received a copy of the gnu (?:general|lesser general|affero general|library general) public license"),
+    ("copyleft", "gpl", 68, 0.7, r"gnu general public license(?: \S+){0,4} is a free copyleft license"),
+    ("freedoms", "gpl-3.0", 66, 0.7, r"to protect your rights we need to prevent others from denying you these rights or asking you to surrender (?:the rights|your freedoms)"),
+    ("freedoms", "gpl-3.0", 66, 0.7, r"must pass on to the recipients the same freedoms"),
+    ("preamble", "gpl", 64, 0.7, r"preamble the licenses for most software are designed to take away your freedom"),
+    ("verbatim", "gpl", 50, 0.6, r"everyone is permitted to copy and distribute verbatim copies of this license document"),
+    ("exception", "gpl-classpath", 84, 0.9, r"as a special exception the copyright holders of this library give you permission to link this library with independent modules"),
+    ("font", "gpl-font", 82, 0.9, r"as a special exception if you create a document which uses this font and embed this font"),
+    ("combined", "lgpl", 66, 0.7, r"you may convey a combined work under terms of your choice"),
+    ("library", "lgpl", 62, 0.7, r"a program that contains no derivative of any portion of the library but is designed to work with the library"),
+    ("network", "agpl", 74, 0.9, r"your modified version must prominently offer all users interacting with it remotely through a computer network"),
+    ("covered", "mpl", 70, 0.8, r"each contributor hereby grants you a world wide royalty free non exclusive license(?: \S+){0,20} covered software"),
+    ("incompatible", "mpl-2.0", 72, 0.8, r"this source code form is incompatible with secondary licenses"),
+    ("accompanying", "epl", 64, 0.7, r"this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("contents", "cddl", 68, 0.8, r"the contents of this file are subject to the terms of the common development and distribution license"),
+    ("contents", "mpl-1.1", 68, 0.8, r"the contents of this file are subject to the mozilla public license"),
+    ("netscape", "npl", 66, 0.8, r"the contents of this file are subject to the netscape public license"),
+    ("fee", "isc", 76, 0.8, r"for any purpose with or without fee is hereby granted provided that the above copyright notice"),
+    ("fee", "0bsd", 70, 0.7, r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software"),
+    ("misrepresented", "zlib", 78, 0.9, r"the origin of this software must not be misrepresented"),
+    ("altered", "zlib", 70, 0.8, r"altered source versions must be plainly marked as such"),
+    ("arising", "zlib", 58, 0.6, r"in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("machine", "boost", 70, 0.8, r"solely in the form of machine executable object code generated by a source language processor"),
+    ("unencumbered", "unlicense", 84, 1.0, r"this is free and unencumbered software released into the public domain"),
+    ("compiled", "unlicense", 66, 0.7, r"anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary"),
+    ("want", "wtfpl", 76, 0.9, r"you just do what the (?:fuck|f\S*) you want to"),
+    ("beer", "beerware", 78, 0.9, r"(?:you can )?buy me a beer in return"),
+    ("artistic", "artistic", 66, 0.7, r"terms of the perl artistic license"),
+    ("package", "artistic", 62, 0.7, r"you may make and give away verbatim copies of the source form of the standard version of this package"),
+    ("beopen", "python", 76, 0.9, r"beopen python open source license agreement(?: version 1)?"),
+    ("psf", "python", 64, 0.7, r"psf hereby grants licensee a nonexclusive royalty free world wide license"),
+    ("openssl", "openssl", 72, 0.8, r"this product includes software developed by the openssl project"),
+    ("ssleay", "ssleay", 74, 0.9, r"this product includes cryptographic software written by eric young(?: \S+){0,3} ssleay"),
+    ("ssleay", "ssleay", 74, 0.9, r"ssleay license"),
+    ("reserved", "ofl", 64, 0.7, r"no modified version of the font software may use the reserved font name"),
+    ("font", "ofl", 66, 0.8, r"the font software may be sold as part of a larger software package"),
+    ("sil", "ofl-1.1", 70, 0.9, r"this font software is licensed under the sil open font license"),
+    ("creative", "cc", 45, 0.6, r"(?:is )?licensed under a creative commons"),
+    ("adaptation", "cc", 52, 0.6, r"an adaptation under the same license"),
+    ("credit", "cc-by", 55, 0.7, r"you must give appropriate credit provide a link to the license and indicate if changes were made"),
+    ("remix", "cc-by-sa", 58, 0.7, r"if you remix transform or build upon the material you must distribute your contributions under the same license"),
+    ("remix", "cc-by-nd", 58, 0.7, r"if you remix transform or build upon the material you may not distribute the modified material"),
+    ("commercial", "cc-by-nc", 56, 0.7, r"you may not use the material for commercial purposes"),
+    ("waive", "cc0", 70, 0.9, r"(?:has waived|waive) all copyright and related or neighboring rights(?: \S+){0,4} waive"),
+    ("waive", "cc0", 70, 0.9, r"waive all copyright and related rights"),
+    ("dedicated", "cc0", 64, 0.8, r"the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("database", "odbl", 62, 0.8, r"made available under the open database license"),
+    ("odc", "odc-by", 64, 0.8, r"(?:open data commons attribution license|odc by) odc"),
+    ("odc", "odc-by", 64, 0.8, r"odc by(?: 1 0)?"),
+    ("contains", "ogl", 66, 0.8, r"contains public sector information licensed under the open government licen[cs]e"),
+    ("government", "ogl", 50, 0.7, r"open government licen[cs]e(?: v?\d(?: 0)?)?"),
+    ("universal", "upl", 60, 0.8, r"universal permissive license(?: v? ?1 0)?"),
+    ("mulan", "mulan", 60, 0.8, r"mulan (?:psl|permissive software license)(?: v?2)?"),
+    ("licensor", "bsl-1.1", 68, 0.8, r"the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use"),
+    ("clause", "commons-clause", 74, 0.9, r"(?:the )?commons clause license condition(?: v?1 0)?"),
+    ("service", "sspl", 70, 0.8, r"if you make the functionality of the program or a modified version available to third parties as a service"),
+    ("hosted", "elastic-2.0", 68, 0.8, r"you may not provide the software to third parties as a hosted or managed service"),
+    ("polyform", "polyform", 66, 0.8, r"polyform (?:noncommercial|small business|shield|strict|perimeter) license(?: 1 0 0)?"),
+    ("evil", "json", 82, 1.0, r"(?:the software )?shall be used for good not evil"),
+    ("community", "llama", 56, 0.7, r"llama(?: [234])? community license agreement"),
+    ("qt", "qpl", 60, 0.8, r"q public license(?: \S+){0,3} qt"),
+    ("qt", "qpl", 60, 0.8, r"qt public license"),
+    ("vim", "vim", 58, 0.7, r"vim license"),
+    ("php", "php", 60, 0.8, r"php license(?: version)?(?: 3 0)?"),
+    ("nasa", "nasa", 58, 0.7, r"nasa open source agreement(?: 1 3)?"),
+    ("w3c", "w3c", 62, 0.8, r"w3c software (?:notice and )?(?:and document )?license"),
+    ("unicode", "unicode", 62, 0.8, r"unicode (?:inc )?license agreement(?: data files and software)?"),
+    ("curl", "curl", 56, 0.7, r"curl license"),
+    ("zip", "info-zip", 58, 0.7, r"info zip license"),
+    ("stanford", "libtiff", 58, 0.7, r"names of sam leffler and silicon graphics(?: \S+){0,9} stanford"),
+    ("stanford", "libtiff", 58, 0.7, r"stanford university license"),
+    ("icu", "icu", 56, 0.7, r"icu license"),
+    ("historical", "hpnd", 60, 0.8, r"historical permission notice and disclaimer"),
+    ("educational", "ecl", 60, 0.8, r"educational community license(?: version)?(?: 2 0)?"),
+    ("latex", "lppl", 62, 0.8, r"latex project public license(?: version)?(?: 1 3c?)?"),
+    ("publication", "opl", 58, 0.7, r"open publication license"),
+    ("invariant", "fdl", 62, 0.8, r"with no invariant sections(?: no front cover texts)?"),
+    ("agreement", "eula", 54, 0.7, r"end user license agreement"),
+    ("install", "eula", 52, 0.6, r"by installing copying or otherwise using (?:the|this) (?:software|product)(?: \S+){0,6} install"),
+    ("install", "eula", 52, 0.6, r"you may install and use one copy"),
+    ("reverse", "proprietary", 62, 0.7, r"(?:may|shall) not reverse engineer(?: decompile or disassemble)?"),
+    ("internal", "proprietary", 52, 0.6, r"for internal use only"),
+    ("consent", "restricted", 60, 0.7, r"without the (?:prior |express |prior express )?written consent of"),
+    ("transmitted", "restricted", 64, 0.8, r"no part of this (?:publication|book|work|document) may be reproduced(?: stored in a retrieval system)? or transmitted"),
+    ("reprinted", "restricted", 54, 0.6, r"(?:reprinted|reproduced) with permission(?: \S+){0,4} reprinted"),
+    ("reprinted", "restricted", 54, 0.6, r"reprinted with(?: the)? permission"),
+    ("tous", "all-rights", 45, 0.6, r"tous droits (?:de reproduction )?reserves"),
+    ("tous", "all-rights", 45, 0.6, r"tous droits r\S*serv\S*s"),
+    ("alle", "all-rights", 45, 0.6, r"alle rechte vorbehalten"),
+    ("todos", "all-rights", 45, 0.6, r"todos los derechos reservados"),
+    ("educational", "educational", 38, 0.5, r"for (?:educational|research)(?: and (?:research|educational))? (?:use|purposes) only educational"),
+    ("educational", "educational", 38, 0.5, r"for educational (?:use|purposes) only"),
+    ("research", "research", 38, 0.5, r"for research (?:use|purposes) only"),
+    ("evaluation", "evaluation", 42, 0.5, r"for evaluation (?:use|purposes) only"),
+    ("royalty", "free-use", 40, 0.5, r"royalty free(?: license| use)?"),
+    ("government", "public-domain", 52, 0.6, r"(?:is a )?work of the (?:united states|u s|us) government"),
+    ("dual", "dual", 46, 0.6, r"dual licensed(?: under)?"),
+    ("terms", "terms", 12, 0.2, r"terms of (?:use|service)(?: apply)?"),
+    ("consequential", "disclaimer", 22, 0.4, r"(?:direct )?indirect incidental special exemplary or consequential damages"),
+    ("noninfringement", "disclaimer", 24, 0.4, r"merchantability fitness for a particular purpose and noninfringement"),
+    ("trademarks", "trademark", 20, 0.3, r"(?:are )?(?:registered )?trademarks (?:or registered trademarks )?of"),
+    ("cla", "contributor", 40, 0.5, r"contributor license agreement(?: cla)? cla"),
+)
+
+
 def build_rules() -> list[Rule]:
     """All rules in order: whole signatures, then each family's grants, versions and bare names."""
-    out = [Rule(*s) for s in SIGNATURES]
+    out = [Rule(*s) for s in (*SIGNATURES, *CLAUSES)]
     grant = r"(?:licensed|released|distributed|available|published)(?: to you)? under (?:the )?(?:terms of )?(?:the )?"
     for label, keyword, name, versions in FAMILIES:
         out.append(Rule(keyword, label, 50, 0.9, grant + name))
@@ -154,7 +276,10 @@ def _bounded(pattern: str) -> str:
 
 
 def rule_table() -> Column:
-    return F.array(*(F.struct(F.lit(i).alias("n"), F.lit(r.keyword).alias("keyword"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight"), F.lit(_bounded(r.pattern)).alias("pattern")) for i, r in enumerate(RULES)))
+    """All rules as one literal, so that planning doesn't grow with them."""
+    rows = [[i, r.keyword, r.label, r.priority, r.weight, _bounded(r.pattern)] for i, r in enumerate(RULES)]
+    named = [dict(zip(("n", "keyword", "label", "priority", "weight", "pattern"), r, strict=True)) for r in rows]
+    return F.from_json(F.lit(json.dumps(named)), "array<struct<n:int,keyword:string,label:string,priority:int,weight:double,pattern:string>>")
 
 
 def words_of(text: Column) -> Column:
