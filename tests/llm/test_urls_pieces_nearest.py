@@ -29,7 +29,7 @@ def test_urls_against_brute_force(spark):
     hosts = ["Example.ORG", "a.example.org", "b.a.example.org", "c.b.a.example.org", "xexample.org", "org", "com", "q.com", "net", "", "example.org.", "fr"]
     urls = [f"{rng.choice(['http', 'x', ''])}://{rng.choice(hosts)}{rng.choice(['', '/', '/es/', '/es/x1', '/en/12', '/fr/', '/de/3', '/es'])}{rng.choice(['', '?a=/es/', '#t', '/z?u#v'])}" for _ in range(400)] + [None, "", "example.org/es/", "://", "a://b://c/d"]
     rows = [(i, u, 9) for i, u in enumerate(urls)] + [(3, urls[3], 9)]
-    got = judge_urls(spark.createDataFrame(rows, "page_id long, url string, host int"), rules, rule_block=3).collect()
+    got = judge_urls(spark.createDataFrame(rows, "page_id long, url string, host int"), rules).collect()
     assert sorted((r.page_id, r.host, r.path, r.rule or "", r.verdict) for r in got) == sorted((i, h, p, r or "", v) for i, u, _ in rows for h, p, r, v in [brute_url(u, rules)])
     assert judge_urls(spark.createDataFrame([], "page_id long, url string"), rules).count() == 0
     assert judge_urls(spark.createDataFrame(rows, "page_id long, url string, host int"), []).where("verdict <> 'allow'").count() == 0
