@@ -20,11 +20,13 @@ from operator import itemgetter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import FEW, materialise
+
 K = 20
-QUERY_BLOCK = 4096
+QUERY_BLOCK = 16384
 BLOCK = 8192
 #: Candidate blocks whose results are merged at the first level, and queries merged by one call.
 FAN_IN = 64
@@ -79,10 +81,9 @@ def tile(queries: tuple[np.ndarray, np.ndarray], rows: tuple[np.ndarray, np.ndar
     return pd.concat(out, ignore_index=True)
 
 
-def _blocks(vectors: DataFrame, rows: int, total: int, name: str) -> DataFrame:
-    """Each row gets the number of a block of about ``rows`` rows, by a hash of its id."""
-    n = max(1, -(-total // rows))
-    return vectors.withColumn(name, F.pmod(F.xxhash64("id", F.lit(7)), F.lit(n)).cast("int"))
+def _block(rows: Column, name: str) -> Column:
+    """Each row gets the number of a block of about so many rows of its length, by a hash of its id."""
+    return F.pmod(F.xxhash64("id", F.lit(7)), rows).cast("int").alias(name)
 
 
 def valid_vectors(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -94,30 +95,30 @@ def valid_vectors(vectors: DataFrame, key: str, vector: str) -> DataFrame:
 def nearest(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding", k: int = K, query_block: int = QUERY_BLOCK, block: int = BLOCK) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k largest inner products of each query row.
 
-    ``is_query`` is a condition on the column ``id``. Null, zero and non-finite vectors, and
-    vectors of another length than most are left out; a vector isn't its own neighbour.
-    Of rows with one id the smallest vector counts. Ties go to the smaller
-    id; fewer candidates give fewer rows.
+    ``is_query`` is a condition on the column ``id``. Null, zero and non-finite vectors are left out;
+    products are defined between vectors of one length only, so each meets those of its own length.
+    A vector isn't its own neighbour. Of rows with one id the smallest vector counts. Ties go to the
+    smaller id; fewer candidates give fewer rows.
     """
-    fit = valid_vectors(vectors, key, vector).groupBy("id").agg(F.min("v").alias("v"))
-    wide = fit.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if wide is None:
+    fit = materialise(valid_vectors(vectors, key, vector).groupBy("id").agg(F.min("v").alias("v")).withColumn("n", F.size("v")), "vectors")
+    up = lambda count, rows: F.greatest(F.ceil(F.col(count) / rows), F.lit(1)).cast("int")
+    sizes = fit.groupBy("n").agg(F.count("*").alias("all"), F.count_if(is_query).alias("asked")).select("n", up("asked", query_block).alias("qbs"), up("all", block).alias("cbs"), "asked")
+    sizes = materialise(sizes, "vector-sizes")
+    total = sizes.agg(F.sum("asked").alias("asked"), F.max("cbs").alias("cbs")).first()
+    if not total["asked"]:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    fit = fit.where(F.size("v") == wide["n"])
-    asked = fit.where(is_query)
-    n_asked, n_all = asked.count(), wide["count"]
-    asked, rows = _blocks(asked, query_block, n_asked, "qb"), _blocks(fit, block, n_all, "cb")
-    q_blocks, c_blocks = max(1, -(-n_asked // query_block)), max(1, -(-n_all // block))
-    asked = asked.select(F.col("id").alias("query_id"), F.col("v").alias("query_v"), "qb").withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
-    rows = rows.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+    n_asked, c_blocks = total["asked"], total["cbs"]
+    fit = fit.join(F.broadcast(sizes.drop("asked")) if sizes.count() <= FEW else sizes.drop("asked"), "n")
+    asked = fit.where(is_query).select(F.col("n").alias("qn"), F.col("id").alias("query_id"), F.col("v").alias("query_v"), _block(F.col("qbs"), "qb"), F.explode(F.sequence(F.lit(0), F.col("cbs") - 1)).alias("cb"))
+    rows = fit.select("n", "id", "v", _block(F.col("cbs"), "cb"), F.explode(F.sequence(F.lit(0), F.col("qbs") - 1)).alias("qb"))
 
     def run(key_: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "part": []}).astype({"query_id": "int64", "vec_id": "int64", "part": "int32"})
         unpack = lambda x, i, v: (x[i].to_numpy(), np.stack(x[v].to_numpy()).astype(np.float64))
-        return tile(unpack(a, "query_id", "query_v"), unpack(b, "id", "v"), k).assign(part=np.int32(key_[1] // FAN_IN))
+        return tile(unpack(a, "query_id", "query_v"), unpack(b, "id", "v"), k).assign(part=np.int32(key_[2] // FAN_IN))
 
-    found = asked.groupBy("qb", "cb").cogroup(rows.groupBy("qb", "cb")).applyInPandas(run, "query_id long, vec_id long, score double, part int")
+    found = asked.groupBy("qn", "qb", "cb").cogroup(rows.groupBy("n", "qb", "cb")).applyInPandas(run, "query_id long, vec_id long, score double, part int")
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
