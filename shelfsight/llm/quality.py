@@ -28,8 +28,8 @@ REPEAT = "\x00repeat"
 BITS = 18
 #: Bound of the training sample, rows of each class.
 PER_CLASS = 3000
-#: Passes over the sample; more where it is small, until so many rows were seen.
-EPOCHS, UPDATES = 6, 12_000
+#: Passes over the sample.
+EPOCHS = 12
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.5
 #: Distinct tokens whose hashes a task remembers.
 REMEMBERED = 150_000
@@ -122,7 +122,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_on=None, key: str = "doc
         pdf = pdf.sort_values(key)
         rows = [(*features(t, hashes), int(y), float(w)) for t, y, w in zip(pdf["_text"], pdf["_label"], pdf["_weight"], strict=True)]
         rng = np.random.default_rng(0)
-        for _ in range(max(EPOCHS, -(-UPDATES // max(1, len(rows))))):
+        for _ in range(EPOCHS):
             for r in rng.permutation(len(rows)):
                 model.learn(*rows[r])
         w = model.weights(slice(None)).astype(np.float32)

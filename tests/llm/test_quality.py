@@ -1,6 +1,14 @@
+import math
+import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
+import xxhash
+
+from shelfsight.llm import quality
+
 
 from shelfsight.llm.quality import Ftrl, Hashes, features, score_quality
 
@@ -44,3 +52,47 @@ def test_odd_rows(spark):
     one = spark.createDataFrame([(3, 1), (3, 0), (1, None), (2, 7), (None, 1)], "doc_id long, quality int")
     assert score_quality(docs, one).count() == 5
     assert score_quality(docs.limit(0), one).count() == 0
+
+
+def plain_features(text):
+    mask = (1 << 64) - 1
+    tokens = re.findall(r"\w+|[^\w\s]+", text.lower())
+    hashes = [xxhash.xxh64_intdigest("\x00repeat" if i and t == tokens[i - 1] else t) for i, t in enumerate(tokens)]
+    count = Counter(h >> 46 for h in hashes)
+    for a, b in zip(hashes, hashes[1:], strict=False):
+        pair = (a * 0x9E3779B97F4A7C15 & mask) ^ (b * 0xC2B2AE3D27D4EB4F & mask) ^ (b >> 29)
+        count[(pair * 0x9E3779B97F4A7C15 & mask) >> 46] += 1
+    value = {i: 1 + math.log(n) for i, n in count.items()}
+    size = math.sqrt(sum(v * v for v in value.values()))
+    return {i: v / size for i, v in value.items()}
+
+
+def test_learning_and_scores_against_a_plain_form(spark):
+    rng = random.Random(3)
+    good, bad = ["the %s of word%d" % (x, i) for i in range(40) for x in "ab"], ["!! buy%d now now" % i for i in range(40)]
+    rows = [(d, " ".join(rng.choices(good if d % 2 else bad, k=rng.randint(0, 12))) + rng.choice(["", " é中", " the the the"])) for d in range(120)]
+    labels = [(d, d % 2) for d, _ in rows if d % 3]
+    got = {r.doc_id: r.score for r in score_quality(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    texts = dict(rows)
+    known = [(d, y) for d, y in labels if zlib.crc32(str(d).encode()) % 3 != 1]
+    z, n, bz, bn = {}, {}, 0.0, 0.0
+    a, b, l1, l2 = quality.ALPHA, quality.BETA, quality.L1, quality.L2
+    weight = lambda i: 0.0 if abs(z.get(i, 0)) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((b + math.sqrt(n[i])) / a + l2)
+    bias = lambda: -bz / ((b + math.sqrt(bn)) / a)
+    order = np.random.default_rng(0)
+    for _ in range(quality.EPOCHS):
+        for r in order.permutation(len(known)):
+            d, y = known[r]
+            x = plain_features(texts[d])
+            w = {i: weight(i) for i in x}
+            at = bias()
+            loss = 1 / (1 + math.exp(-(sum(w[i] * v for i, v in x.items()) + at))) - y
+            for i, v in x.items():
+                g = loss * v
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / a * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+            bz += loss - (math.sqrt(bn + loss * loss) - math.sqrt(bn)) / a * at
+            bn += loss * loss
+    for d, t in rows:
+        want = 1 / (1 + math.exp(-(sum(weight(i) * v for i, v in plain_features(t).items()) + bias())))
+        assert math.isclose(got[d], want, abs_tol=1e-5), (d, got[d], want)
