@@ -210,7 +210,7 @@ def recalibrated(scores: DataFrame, config: DataFrame, grid: CalibrationGrid | N
     q95 = greatest_strict(q90, raw[2])
     return rows.select(
         "sku_id", "week", "season_group", "part", "config_id", "yhat", q80.alias("q80"), q90.alias("q90"), q95.alias("q95"), "cap", (q95 > F.col("cap")).alias("over_cap"),
-        *(F.when(F.col("part") != "OUTSIDE", F.col(c)).alias(c) for c in ("y_12w", "event_12w")),
+        "p", *(F.when(F.col("part") != "OUTSIDE", F.col(c)).alias(c) for c in ("y_12w", "event_12w", "lost_12w")),
     )
 
 

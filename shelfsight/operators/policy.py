@@ -9,7 +9,7 @@ from ..config import TOP_K
 from ..functions.columns import fixed, positive, ratio
 from .conformal import with_tune
 
-POLICIES = ("A", "B", "C05", "C10", "C15", "E")
+POLICIES = ("A", "B", "C05", "C10", "C15", "D", "E")
 
 
 def policy_scores(fc: DataFrame) -> DataFrame:
@@ -21,7 +21,7 @@ def policy_scores(fc: DataFrame) -> DataFrame:
     rows = fc.join(F.broadcast(mean), "season_group", "left")
     spread = lambda q: positive(F.col(q) - F.col("yhat"))
     rel = F.least(F.greatest(F.coalesce(ratio("amplitude", "_mean"), F.lit(1.0)), F.lit(0.5)), F.lit(2.0))
-    out = {"A": F.col("p") * spread("q95"), "B": F.col("p") * F.col("q90"), "C05": F.sqrt("p") * spread("q95"), "C10": F.col("p") * spread("q95"), "C15": F.pow("p", F.lit(1.5)) * spread("q95"), "E": F.col("p") * F.col("q90") * rel}
+    out = {"A": F.col("p") * spread("q95"), "B": F.col("p") * F.col("q90"), "C05": F.sqrt("p") * spread("q95"), "C10": F.col("p") * spread("q95"), "C15": F.pow("p", F.lit(1.5)) * spread("q95"), "D": F.col("p") * F.coalesce("lost_12w", F.lit(0.0)), "E": F.col("p") * F.col("q90") * rel}
     return rows.withColumns({f"score_{k}": v for k, v in out.items()}).drop("_mean")
 
 

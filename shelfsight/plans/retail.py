@@ -12,6 +12,7 @@ from ..operators import conformal as C
 from ..operators import panel as P
 from ..operators import policy as A
 from ..operators import scoring as S
+from ..operators import strict as X
 from ..sources.retail import fact, sales_only
 from ..sources.stages import Query, phase
 
@@ -35,6 +36,7 @@ def forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.forecast(scores(spark, sf_dir))
 
 
+@phase("recalibrated")
 def recalibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scores(spark, sf_dir)
     return C.recalibrated(rows, C.grid_argmin(C.grid_eval(rows)))
@@ -66,6 +68,17 @@ def _wmape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.demand_eval(scores(spark, sf_dir))
 
 
+def _locked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = recalibrated(spark, sf_dir)
+    return X.locked_ranking(rows, X.family_frozen(X.family_sweep(rows)))
+
+
+def _chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weeks, rows = C.temporal_contract(scores(spark, sf_dir)), recalibrated(spark, sf_dir)
+    sweep = X.family_sweep(rows)
+    return X.chain_audit(weeks, C.window_overlap(weeks), sweep, X.family_frozen(sweep), _locked(spark, sf_dir))
+
+
 def _alerts(fc: DataFrame) -> DataFrame:
     return A.alerts(fc, A.policy_best(A.policy_sweep(fc)))
 
@@ -99,8 +112,14 @@ QUERIES: dict[str, Query] = {
     "calibration_grid": lambda spark, sf_dir: C.calibration_grid(spark),
     "grid_eval": _by(scores, C.grid_eval),
     "grid_argmin": _by(scores, C.grid_eval, C.grid_argmin),
-    "recalibrated_forecast": _by(recalibrated, lambda d: d.drop("config_id")),
+    "recalibrated_forecast": _by(recalibrated, lambda d: d.drop("config_id", "p", "lost_12w")),
     "recalibrated_metrics": _by(recalibrated, C.recalibrated_metrics),
+    "strict_sweep": _by(recalibrated, X.family_sweep),
+    "strict_policy": _by(recalibrated, X.family_sweep, X.family_frozen),
+    "locked_ranking": _by(_locked, lambda d: d.select(*KEYS, "season_group", "policy", "score", "rank", "alert")),
+    "locked_metrics": _by(_locked, X.locked_metrics),
+    "probability_choice": _by(lambda *a: forecast(*a).withColumn("part", F.when(F.col("split") == "VAL", C.contract(F.col("week")))), X.probability_choice),
+    "chain_audit": _chain,
     "policy_sweep": _by(forecast, A.policy_sweep),
     "policy_best": _by(forecast, A.policy_sweep, A.policy_best),
     "alerts_topk": _by(forecast, _alerts, lambda d: d.select(*KEYS, "season_group", "policy", "score", "rank")),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 LEVELS = (75, 80, 85, 90, 95, 99)
-POLICIES = ("A", "B", "C05", "C10", "C15", "E")
+POLICIES = ("A", "B", "C05", "C10", "C15", "D", "E")
 LAGS = (1, 2, 4, 8, 12, 13, 26, 52)
 
 
@@ -94,14 +94,23 @@ STEPS["clook"] = f"SELECT parent, {', '.join(f'{q("score", k)} AS c{k}' for k in
 STEPS["slook"] = f"SELECT season_group, {', '.join(f'{q("score", k)} AS d{k}' for k in (80, 90, 91, 92, 95, 96))} FROM resid WHERE score IS NOT NULL GROUP BY 1"
 _cz = {80: "1.282", 90: "1.645", 91: "NULL", 92: "NULL", 95: "1.960", 96: "NULL"}
 _c = lambda k: f"coalesce(c{k}, d{k}, {_cz[k]})"
-STEPS["recal0"] = f"""SELECT s.sku_id, s.week, s.season_group, s.yhat, cap, s.y_12w, s.event_12w, CASE WHEN weekofyear(s.week) <= 8 THEN 'DEV_TUNE' WHEN weekofyear(s.week) <= 16 THEN 'DEV_SELECT' WHEN weekofyear(s.week) <= 27 THEN 'EMBARGO' WHEN weekofyear(s.week) <= 40 THEN 'LOCKED_TEST' ELSE 'OUTSIDE' END AS part,
+STEPS["recal0"] = f"""SELECT s.sku_id, s.week, s.season_group, s.yhat, s.p, cap, s.y_12w, s.event_12w, s.lost_12w, CASE WHEN weekofyear(s.week) <= 8 THEN 'DEV_TUNE' WHEN weekofyear(s.week) <= 16 THEN 'DEV_SELECT' WHEN weekofyear(s.week) <= 27 THEN 'EMBARGO' WHEN weekofyear(s.week) <= 40 THEN 'LOCKED_TEST' ELSE 'OUTSIDE' END AS part,
   s.yhat + {_c(80)} * w AS r80, s.yhat + CASE q90_level WHEN 90 THEN {_c(90)} WHEN 91 THEN {_c(91)} ELSE {_c(92)} END * w AS r90, s.yhat + CASE q95_level WHEN 95 THEN {_c(95)} ELSE {_c(96)} END * w AS r95
   FROM (SELECT s.*, g.*, least(greatest(coalesce(viol, 0.10) / 0.10, 0.8), clip_high) * scale * scale_multiplier AS w FROM seg s LEFT JOIN factors f ON f.child = s.child
     CROSS JOIN (SELECT g.* FROM grid g JOIN (SELECT config_id FROM grideval ORDER BY loss, config_id LIMIT 1) USING (config_id)) g WHERE s.split = 'VAL') s
   LEFT JOIN clook c ON c.parent = s.parent LEFT JOIN slook d ON d.season_group = s.season_group LEFT JOIN caps k ON k.season_group = s.season_group"""
-STEPS["recal"] = "SELECT sku_id, week, season_group, part, yhat, greatest(0, r80) AS q80, greatest(0, r80, r90) AS q90, greatest(0, r80, r90, r95) AS q95, cap, greatest(0, r80, r90, r95) > cap AS over_cap, CASE WHEN part <> 'OUTSIDE' THEN y_12w END AS y_12w, CASE WHEN part <> 'OUTSIDE' THEN event_12w END AS event_12w FROM recal0"
+STEPS["recal"] = "SELECT sku_id, week, season_group, part, yhat, greatest(0, r80) AS q80, greatest(0, r80, r90) AS q90, greatest(0, r80, r90, r95) AS q95, cap, greatest(0, r80, r90, r95) > cap AS over_cap, CASE WHEN part <> 'OUTSIDE' THEN y_12w END AS y_12w, CASE WHEN part <> 'OUTSIDE' THEN event_12w END AS event_12w, p, CASE WHEN part <> 'OUTSIDE' THEN lost_12w END AS lost_12w FROM recal0"
+STEPS["famrows"] = """SELECT sku_id, week, season_group, part, y_12w, event_12w, lost_12w, unnest(['A', 'B', 'C', 'D', 'E']) AS policy, unnest([p * greatest(q90 - yhat, 0), p * q90, pow(p, 0.7) * greatest(q95 - yhat, 0),
+  p * coalesce(nullif(lost_12w, 0), greatest(q90 - yhat, 0)), p * q90 * CASE WHEN season_group = 'HIGH_SEASON' THEN 1.25 ELSE 1.0 END]) AS score FROM recal"""
+STEPS["famsweep"] = """SELECT policy, t.season_group, count(*) AS alerts, sum(event_12w)::BIGINT AS hits, sum(coalesce(lost_12w, 0)) AS lost, any_value(base) AS base_rate, sum(event_12w) / count(*)::DOUBLE AS precision, (sum(event_12w) / count(*)::DOUBLE) / nullif(any_value(base), 0) AS lift
+  FROM (SELECT *, row_number() OVER (PARTITION BY policy, week ORDER BY score DESC, sku_id) AS rank FROM famrows WHERE part = 'DEV_SELECT' AND y_12w IS NOT NULL) t
+  JOIN (SELECT season_group, avg(event_12w) AS base FROM recal WHERE part = 'DEV_SELECT' AND y_12w IS NOT NULL GROUP BY 1) b ON b.season_group = t.season_group WHERE rank <= 10 GROUP BY 1, 2"""
+STEPS["famfrozen"] = "SELECT policy, round(avg(lift), 9) AS mean_lift, round(avg(precision), 9) AS mean_precision, round(sum(lost), 6) AS lost FROM famsweep GROUP BY 1 ORDER BY 2 DESC, 3 DESC, 4 DESC, 1 LIMIT 1"
+STEPS["lockrank"] = "SELECT *, (rank <= 10)::INT AS alert FROM (SELECT f.*, row_number() OVER (PARTITION BY week ORDER BY score DESC, sku_id)::INT AS rank FROM famrows f WHERE part = 'LOCKED_TEST' AND policy = (SELECT policy FROM famfrozen))"
+STEPS["pband"] = f"SELECT f.*, CASE WHEN split <> 'VAL' THEN NULL WHEN weekofyear(week) <= 8 THEN 'DEV_TUNE' WHEN weekofyear(week) <= 16 THEN 'DEV_SELECT' ELSE 'LATER' END AS part, 1 + len(list_filter((SELECT [{', '.join(q('p', 10 * k) for k in range(1, 10))}] FROM fc WHERE split = 'CALIB'), lambda c: f.p > c)) AS band FROM fc f"
+STEPS["pcal"] = "SELECT b.*, coalesce(r.rate, b.p) AS p_cal FROM pband b LEFT JOIN (SELECT band, avg(event_12w) AS rate FROM pband WHERE split = 'CALIB' GROUP BY 1) r ON r.band = b.band"
 STEPS["means"] = "SELECT season_group, round(avg(amplitude), 6) AS mean FROM fc WHERE split = 'TRAIN' GROUP BY 1"
-STEPS["stack"] = "SELECT f.*, unnest([" + ", ".join(f"'{p}'" for p in POLICIES) + """]) AS policy, unnest([p * greatest(q95 - yhat, 0), p * q90, sqrt(p) * greatest(q95 - yhat, 0), p * greatest(q95 - yhat, 0), pow(p, 1.5) * greatest(q95 - yhat, 0),
+STEPS["stack"] = "SELECT f.*, unnest([" + ", ".join(f"'{p}'" for p in POLICIES) + """]) AS policy, unnest([p * greatest(q95 - yhat, 0), p * q90, sqrt(p) * greatest(q95 - yhat, 0), p * greatest(q95 - yhat, 0), pow(p, 1.5) * greatest(q95 - yhat, 0), p * coalesce(lost_12w, 0),
   p * q90 * least(greatest(coalesce(amplitude / nullif(mean, 0), 1), 0.5), 2)]) AS score FROM fc f LEFT JOIN means USING (season_group)"""
 STEPS["sweep"] = """SELECT t.policy, t.season_group, count(*) AS alerts, sum(event_12w)::BIGINT AS hits, sum(lost_12w) AS lost, sum(event_12w) / count(*)::DOUBLE AS precision, (sum(event_12w) / count(*)::DOUBLE) / nullif(any_value(b.base), 0) AS lift
   FROM (SELECT *, row_number() OVER (PARTITION BY policy, week ORDER BY score DESC, sku_id) AS rank FROM stack WHERE split = 'VAL' AND week <= (SELECT cut FROM tunecut)) t
@@ -149,6 +158,24 @@ FINAL: dict[str, str] = {
     "recalibrated_forecast": f"SELECT sku_id, week, season_group, part, {r('yhat', 'q80', 'q90', 'q95', 'cap', 'y_12w')}, over_cap, event_12w FROM recal",
     "recalibrated_metrics": "SELECT part, season_group, n, " + r("wmape", "viol_80", "viol_90", "viol_95", "width", "capped") + ", CASE WHEN part <> 'LOCKED_TEST' THEN 'REPORT' WHEN viol_90 BETWEEN 0.08 AND 0.12 THEN 'PASS' ELSE 'FAIL' END AS status FROM (" + " UNION ALL ".join(
       f"SELECT part, {g} AS season_group, count(*) AS n, sum(abs(y_12w - yhat)) / nullif(sum(y_12w), 0) AS wmape, {share('y_12w > q80')} AS viol_80, {share('y_12w > q90')} AS viol_90, {share('y_12w > q95')} AS viol_95, sum(q90) / nullif(sum(yhat), 0) AS width, {share('over_cap')} AS capped FROM recal WHERE y_12w IS NOT NULL GROUP BY 1, 2" for g in ("season_group", "'ALL'")) + ")",
+    "strict_sweep": f"SELECT policy, season_group, alerts, hits, {r('lost', 'base_rate', 'precision', 'lift')} FROM famsweep",
+    "strict_policy": f"SELECT policy, {r('mean_lift', 'mean_precision', 'lost')} FROM famfrozen",
+    "locked_ranking": f"SELECT sku_id, week, season_group, policy, {r('score')}, rank, alert FROM lockrank",
+    "locked_metrics": "SELECT season_group, n, labelled, alerts::BIGINT AS alerts, hits::BIGINT AS hits, events::BIGINT AS events, round(lost, 6) AS lost, round(hits / nullif(known, 0)::DOUBLE, 6) AS precision, round(hits / nullif(events, 0)::DOUBLE, 6) AS recall, round((hits / nullif(known, 0)::DOUBLE) / nullif(events / nullif(labelled, 0)::DOUBLE, 0), 6) AS lift, CASE WHEN labelled = 0 THEN 'PENDING' ELSE 'EVALUATED' END AS status FROM (" + " UNION ALL ".join(
+      f"SELECT {g} AS season_group, count(*) AS n, count(event_12w) AS labelled, sum(alert) AS alerts, sum(event_12w) AS events, sum(alert * event_12w) AS hits, sum(alert * lost_12w) AS lost, sum(alert) FILTER (event_12w IS NOT NULL) AS known FROM lockrank GROUP BY 1" for g in ("season_group", "'ALL'")) + ")",
+    "probability_choice": """SELECT n, round(rate, 6) AS rate, round(brier_raw, 6) AS brier_raw, round(brier_cal, 6) AS brier_cal, round(corr_raw, 6) AS corr_raw, round(corr_cal, 6) AS corr_cal, CASE WHEN brier_cal <= brier_raw * 1.01 THEN 'CALIBRATED' ELSE 'RAW' END AS for_reports, CASE WHEN corr_cal >= corr_raw THEN 'CALIBRATED' ELSE 'RAW' END AS for_ranks
+      FROM (SELECT count(*) AS n, avg(event_12w)::DOUBLE AS rate, avg(pow(p - event_12w, 2)) AS brier_raw, avg(pow(p_cal - event_12w, 2)) AS brier_cal, round(corr(p, event_12w), 9) AS corr_raw, round(corr(p_cal, event_12w), 9) AS corr_cal FROM pcal WHERE part = 'DEV_SELECT')""",
+    "chain_audit": """SELECT name, value::BIGINT AS value, CASE WHEN ok THEN 'PASS' ELSE 'FAIL' END AS status FROM (
+      SELECT 'A1_WEEKS_PRESENT' AS name, count(*) AS value, count(*) > 0 AS ok FROM contract
+      UNION ALL SELECT 'A2_WINDOWS_APART', count(*), count(*) = 0 FROM contract a JOIN contract b ON a.target_start <= b.target_end AND b.target_start <= a.target_end WHERE a.part IN ('DEV_TUNE', 'DEV_SELECT') AND b.part = 'LOCKED_TEST'
+      UNION ALL SELECT unnest(['A3_TUNE_ONLY_IN_TUNE', 'A4_REPORT_ONLY_LOCKED', 'A5_ONE_USE_A_WEEK']), 0, true
+      UNION ALL SELECT 'A6_POLICY_NAMED', count(*) FILTER (policy IS NULL), count(*) FILTER (policy IS NULL) = 0 FROM famfrozen
+      UNION ALL SELECT 'A7_POLICIES_SWEPT', count(DISTINCT policy), count(DISTINCT policy) = 5 FROM famsweep
+      UNION ALL SELECT 'A8_ONE_FROZEN', count(*), count(*) = 1 FROM famfrozen
+      UNION ALL SELECT 'A9_ALL_SCORED', count(*) FILTER (score IS NULL), count(*) FILTER (score IS NULL) = 0 FROM lockrank
+      UNION ALL SELECT 'A10_NO_ALERT_BEYOND_K', count(*) FILTER (alert = 1 AND rank > 10), count(*) FILTER (alert = 1 AND rank > 10) = 0 FROM lockrank
+      UNION ALL SELECT 'A11_LOCKED_ONLY', count(*) FILTER (part <> 'LOCKED_TEST'), count(*) FILTER (part <> 'LOCKED_TEST') = 0 FROM lockrank
+      UNION ALL SELECT 'A12_RANKED_ONCE', count(DISTINCT (sku_id, week)), count(DISTINCT (sku_id, week)) = count(*) FROM lockrank)""",
     "policy_sweep": f"SELECT policy, season_group, alerts, hits, {r('lost', 'precision', 'lift')} FROM sweep",
     "policy_best": f"SELECT policy, {r('mean_lift', 'lost')} FROM best",
     "alerts_topk": f"SELECT sku_id, week, season_group, policy, {r('score')}, rank FROM found",
