@@ -223,3 +223,18 @@ def recalibrated_metrics(rows: DataFrame) -> DataFrame:
     )
     out = out.withColumn("season_group", F.coalesce("season_group", F.lit("ALL")))
     return out.withColumn("status", F.when(F.col("part") != "LOCKED_TEST", "REPORT").when(F.col("viol_90").between(0.08, 0.12), "PASS").otherwise("FAIL"))
+
+
+def quantile_comparison(fc: DataFrame, rows: DataFrame) -> DataFrame:
+    """Coverage of the first forecast against the recalibrated one, by part and season; a side may be missing.
+
+    WIN or LOSS if the 90 % quantile's miss of 10 % changes by more than half a point.
+    """
+    mine = recalibrated_metrics(rows).select("part", "season_group", F.col("n").alias("n_new"), F.col("viol_90").alias("viol_new"), F.col("wmape").alias("wmape_new"))
+    first = fc.where("split = 'VAL'").withColumn("part", contract(F.col("week"))).groupingSets([["part", "season_group"], ["part"]], "part", "season_group").agg(F.count("*").alias("n_old"), share(F.col("y_12w") > F.col("q90")).alias("viol_old"))
+    first = first.withColumn("season_group", F.coalesce("season_group", F.lit("ALL")))
+    both = first.join(mine, ["part", "season_group"], "full")
+    off = lambda c: F.abs(F.col(c) - 0.10)
+    change = fixed(off("viol_new") - off("viol_old"), 9)
+    verdict = F.when(F.col("n_new").isNull(), "ONLY_FIRST").when(F.col("n_old").isNull(), "ONLY_RECALIBRATED").when(change < -0.005, "WIN").when(change > 0.005, "LOSS").otherwise("NEUTRAL")
+    return both.select("part", "season_group", "n_old", "n_new", "viol_old", "viol_new", "wmape_new", verdict.alias("verdict"))

@@ -240,6 +240,26 @@ def third_metrics(rows: DataFrame, part: str = "LOCKED_TEST") -> DataFrame:
     return out.select("layer", scope.alias("scope"), "n", "alerts", "hits", "events", "lost", ratio("hits", "alerts").alias("precision"), ratio("hits", "events").alias("recall"), ratio(F.col("alerts") - F.col("hits"), F.col("n") - F.col("events")).alias("fpr"), ratio(ratio("hits", "alerts"), ratio("events", "n")).alias("lift"))
 
 
+LISTS = (50, 100, 250, 500, 1000)
+
+
+def alert_lists(rows: DataFrame, part: str = "LOCKED_TEST") -> DataFrame:
+    """Alerts of one part in order of priority, with the top lists that each is in."""
+    own = rows.where((F.col("part") == part) & (F.col("alert_3") == 1))
+    # only rows down to the longest list need a rank
+    top = own.orderBy(F.desc("priority"), "sku_id", "week").limit(max(LISTS))
+    place = F.row_number().over(Window.orderBy(F.desc("priority"), "sku_id", "week"))
+    top = top.withColumn("place", place)
+    return top.select("sku_id", "week", "season_group", "source_3", "priority", "place", *((F.col("place") <= k).alias(f"top_{k}") for k in LISTS))
+
+
+def version_comparison(rows: DataFrame) -> DataFrame:
+    """How the three versions' alerts agree, by part: rows, events and expected loss of each combination."""
+    return rows.groupBy("part", "stable", "alert", "alert_3").agg(
+        F.count("*").alias("n"), F.sum("event_12w").alias("events"), F.sum("expected_lost").alias("lost"), F.bool_or(F.col("event_12w") == 1).alias("any_event"), F.bool_and(F.col("alert_3") >= F.col("alert")).alias("monotone"),
+    )
+
+
 def missed_events(rows: DataFrame, part: str = "LOCKED_TEST") -> DataFrame:
     """Where events without an alert were lost, with their expected loss."""
     own = rows.where((F.col("part") == part) & (F.col("event_12w") == 1))

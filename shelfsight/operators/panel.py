@@ -134,3 +134,23 @@ def train_calib_split(labelled: DataFrame, horizon: int = HORIZON) -> DataFrame:
     cuts = F.broadcast(demand_cuts(rows))  # two rows
     decile = F.lit(1) + F.size(F.filter("cuts", lambda c: F.col("amplitude") > c))
     return rows.join(cuts, "season_group").withColumn("decile", decile).drop("cuts")
+
+
+def market_lags(panel: DataFrame, values: DataFrame, customers: DataFrame, splits: Splits = SPLITS) -> DataFrame:
+    """Lags of value, price and customers of each SKU and week, the price's change, and the share of the span that has passed.
+
+    Weeks without sales have no price and no customers, so their lags are null.
+    """
+    keys = ["sku_id", "week"]
+    rows = panel.select(*keys).join(values.select(*keys, "base", F.col("mean_price").alias("price")), keys, "left").join(customers.select(*keys, "customers", "top_share_base", "hhi", "has_vip"), keys, "left")
+    lag = lambda c, k: F.lag(c, k).over(by_sku())
+    lags = {f"{n}_lag_{k}": lag(n, k) for n in ("base", "price") for k in (1, 4, 12, 13)} | {f"{n}_lag_{k}": lag(n, k) for n in ("customers", "top_share_base", "hhi", "has_vip") for k in (1, 4)}
+    days = F.datediff("week", F.lit(splits.start).cast("date"))
+    out = rows.withColumns(lags).withColumns({"price_change_1w": ratio("price", "price_lag_1") - 1, "life": ratio(days, F.datediff(F.lit(splits.end).cast("date"), F.lit(splits.start).cast("date")))})
+    return out.select(*keys, *lags, "price_change_1w", "life")
+
+
+def pooled_deciles(labelled: DataFrame, horizon: int = HORIZON) -> DataFrame:
+    """Deciles by rank over all splits of a season, as older reports have them: they see later weeks, so no model uses them."""
+    rows = labelled.where(F.col("n_future") == horizon).withColumn("split", split_of(F.col("week"))).where("split is not null")
+    return rows.withColumn("decile_pooled", F.ntile(10).over(Window.partitionBy("season_group").orderBy("amplitude", "sku_id", "week")))

@@ -62,6 +62,17 @@ def alert_eval(fc: DataFrame, found: DataFrame) -> DataFrame:
     return got.crossJoin(F.broadcast(total)).select("alerts", "hits", precision.alias("precision"), ratio("hits", "events").alias("recall"), ratio(precision, base).alias("lift"), ratio("lost", "all_lost").alias("lost_share"))
 
 
+def pooled_alerts(fc: DataFrame, found: DataFrame) -> DataFrame:
+    """Alerts of all weeks by season, judged by the event and by weeks ahead without any sales."""
+    zero = F.coalesce(F.col("y_12w") == 0, F.lit(False)).cast("int")
+    total = fc.where("split = 'VAL'").groupBy("season_group").agg(F.count("*").alias("n"), F.sum("event_12w").alias("events"), F.sum(zero).alias("zeros"), F.sum("lost_12w").alias("all_lost"))
+    got = found.join(fc.where("split = 'VAL'").select("sku_id", "week", zero.alias("zero")), ["sku_id", "week"])
+    got = got.groupBy("season_group").agg(F.count("*").alias("alerts"), F.sum("event_12w").alias("hits"), F.sum("zero").alias("zero_hits"), F.sum("lost_12w").alias("lost")).join(F.broadcast(total), "season_group")
+    out = {"precision": ratio("hits", "alerts"), "precision_zero": ratio("zero_hits", "alerts"), "recall": ratio("hits", "events"), "recall_zero": ratio("zero_hits", "zeros")}
+    lift = {"lift": ratio(out["precision"], ratio("events", "n")), "lift_zero": ratio(out["precision_zero"], ratio("zeros", "n")), "lost_share": ratio("lost", "all_lost")}
+    return got.select("season_group", "alerts", "hits", "zero_hits", *(v.alias(k) for k, v in (out | lift).items()))
+
+
 def probability_comparison(fc: DataFrame) -> DataFrame:
     """Brier score, log-loss and correlation of the probability, by season."""
     label, p = F.col("event_12w").cast("double"), F.col("p")

@@ -92,6 +92,8 @@ QUERIES: dict[str, Query] = {
     "value_metrics": _by(fact, P.value_metrics),
     "lag_features": _of(labelled, *KEYS, *LAGS),
     "rolling_features": _of(labelled, *KEYS, *ROLLING),
+    "market_lags": lambda spark, sf_dir: rounded(P.market_lags(panel(spark, sf_dir), P.value_metrics(fact(spark, sf_dir)), P.customer_concentration(fact(spark, sf_dir)))),
+    "pooled_deciles": _by(labelled, P.pooled_deciles, lambda d: d.select(*KEYS, "split", "season_group", "decile_pooled")),
     "fourier_season": _of(labelled, *KEYS, "season_group", *FOURIER),
     "oos_proxy": _of(labelled, *KEYS, "oos_proxy", "oos_lag_1", "oos_lag_2", "oos_lag_4", "weeks_since_start"),
     "forward_labels": _of(labelled, *KEYS, *LABELS),
@@ -124,6 +126,8 @@ QUERIES: dict[str, Query] = {
     "policy_best": _by(forecast, A.policy_sweep, A.policy_best),
     "alerts_topk": _by(forecast, _alerts, lambda d: d.select(*KEYS, "season_group", "policy", "score", "rank")),
     "alert_eval": _by(forecast, lambda d: A.alert_eval(d, _alerts(d))),
+    "alerts_pooled": _by(forecast, lambda d: A.pooled_alerts(d, _alerts(d))),
+    "quantile_comparison": lambda spark, sf_dir: rounded(C.quantile_comparison(forecast(spark, sf_dir), recalibrated(spark, sf_dir))),
     "prob_compare": _by(forecast, A.probability_comparison),
     "prob_deciles": _by(forecast, A.probability_deciles),
 }

@@ -189,6 +189,23 @@ FINAL["customer_concentration"] = f"""SELECT sku_id, week, customers, vips, (vip
   SELECT sku_id, week, count(*) AS customers, sum(coalesce(vip, 0))::BIGINT AS vips, max(units) / nullif(sum(units), 0) AS top_share_units, max(base) / nullif(sum(base), 0) AS top_share_base, sum(units * units) / nullif(sum(units) * sum(units), 0) AS hhi
   FROM ({FINAL["sku_customer_sales"].replace("round(units, 6)", "units").replace("round(base, 6)", "base")}) s LEFT JOIN (SELECT customer_id, 1 AS vip FROM ({FINAL["vip_customers"]})) v USING (customer_id) GROUP BY 1, 2)"""
 
+_lagged = [(n, k) for n in ("base", "price") for k in (1, 4, 12, 13)] + [(n, k) for n in ("customers", "top_share_base", "hhi", "has_vip") for k in (1, 4)]
+FINAL["market_lags"] = f"""SELECT sku_id, week, {", ".join(f"{n}_lag_{k}" if n in ("customers", "has_vip") else f"round({n}_lag_{k}, 6) AS {n}_lag_{k}" for n, k in _lagged)}, round(price / nullif(price_lag_1, 0) - 1, 6) AS price_change_1w, round((week - DATE '1995-01-02') / (DATE '2001-10-29' - DATE '1995-01-02')::DOUBLE, 6) AS life
+  FROM (SELECT sku_id, week, price, {", ".join(f"lag({n}, {k}) OVER (PARTITION BY sku_id ORDER BY week) AS {n}_lag_{k}" for n, k in _lagged)} FROM (
+    SELECT p.sku_id, p.week, v.base, v.price, c.customers, c.top_share_base, c.hhi, c.has_vip FROM panel p
+    LEFT JOIN (SELECT sku_id, date_trunc('week', d)::DATE AS week, sum(base_amount) AS base, avg(unit_price) AS price FROM fact WHERE units > 0 GROUP BY 1, 2) v ON v.sku_id = p.sku_id AND v.week = p.week
+    LEFT JOIN ({FINAL["customer_concentration"].replace("round(top_share_base, 6)", "top_share_base").replace("round(hhi, 6)", "hhi")}) c ON c.sku_id = p.sku_id AND c.week = p.week))"""
+FINAL["pooled_deciles"] = "SELECT sku_id, week, split, season_group, ntile(10) OVER (PARTITION BY season_group ORDER BY amplitude, sku_id, week)::INT AS decile_pooled FROM parts WHERE split IS NOT NULL"
+FINAL["alerts_pooled"] = """SELECT season_group, alerts, hits::BIGINT AS hits, zero_hits::BIGINT AS zero_hits, round(hits / alerts, 6) AS precision, round(zero_hits / alerts, 6) AS precision_zero, round(hits / nullif(events, 0), 6) AS recall, round(zero_hits / nullif(zeros, 0), 6) AS recall_zero,
+  round((hits / alerts) / nullif(events / n, 0), 6) AS lift, round((zero_hits / alerts) / nullif(zeros / n, 0), 6) AS lift_zero, round(lost / nullif(all_lost, 0), 6) AS lost_share
+  FROM (SELECT season_group, count(*) AS alerts, sum(event_12w)::DOUBLE AS hits, sum((y_12w = 0)::INT)::DOUBLE AS zero_hits, sum(lost_12w) AS lost FROM found GROUP BY 1)
+  JOIN (SELECT season_group, count(*) AS n, sum(event_12w)::DOUBLE AS events, sum((y_12w = 0)::INT)::DOUBLE AS zeros, sum(lost_12w) AS all_lost FROM fc WHERE split = 'VAL' GROUP BY 1) USING (season_group)"""
+_part = "CASE WHEN weekofyear(week) <= 8 THEN 'DEV_TUNE' WHEN weekofyear(week) <= 16 THEN 'DEV_SELECT' WHEN weekofyear(week) <= 27 THEN 'EMBARGO' WHEN weekofyear(week) <= 40 THEN 'LOCKED_TEST' ELSE 'OUTSIDE' END"
+_old = " UNION ALL ".join(f"SELECT {_part} AS part, {g} AS season_group, count(*) AS n_old, {share('y_12w > q90')} AS viol_old FROM fc WHERE split = 'VAL' GROUP BY 1, 2" for g in ("season_group", "'ALL'"))
+_new = " UNION ALL ".join(f"SELECT part, {g} AS season_group, count(*) AS n_new, {share('y_12w > q90')} AS viol_new, sum(abs(y_12w - yhat)) / nullif(sum(y_12w), 0) AS wmape_new FROM recal WHERE y_12w IS NOT NULL GROUP BY 1, 2" for g in ("season_group", "'ALL'"))
+FINAL["quantile_comparison"] = f"""SELECT part, season_group, n_old, n_new, {r("viol_old", "viol_new", "wmape_new")}, CASE WHEN n_new IS NULL THEN 'ONLY_FIRST' WHEN n_old IS NULL THEN 'ONLY_RECALIBRATED' WHEN round(abs(viol_new - 0.10) - abs(viol_old - 0.10), 9) < -0.005 THEN 'WIN'
+  WHEN round(abs(viol_new - 0.10) - abs(viol_old - 0.10), 9) > 0.005 THEN 'LOSS' ELSE 'NEUTRAL' END AS verdict FROM ({_old}) o FULL JOIN ({_new}) n USING (part, season_group)"""
+
 
 def oracle(name: str, steps: dict[str, str] | None = None, final: dict[str, str] | None = None) -> str:
     """The query's SELECT after the steps it needs."""

@@ -173,6 +173,8 @@ QUERIES: dict[str, Query] = {
     "three_layer_metrics": _by(third, L.third_metrics),
     "third_layer_what_if": _by(third_what_if, lambda d: d.select(*KEYS, "candidate", "third_score", "third", "source_3")),
     "third_layer_what_if_metrics": _by(third_what_if, L.third_metrics),
+    "alert_lists": _by(third, L.alert_lists),
+    "version_comparison": _by(third, L.version_comparison),
     "missed_events": _by(layered, L.missed_events),
     "layer_audit": _two(L.audit, layered, layer_policies, lambda s, d: L.frozen_layer(layer_policies(s, d))),
     "sku_metadata": _by(metadata),

@@ -170,6 +170,8 @@ for _name, _policy in (("third", "SELECT policy FROM rfrozen"), ("what", "SELECT
     FINE[f"{_name}long"] = f"SELECT season_group, candidate, event_12w, expected_lost, unnest(['STABLE', 'PRIOR', 'INCREMENTAL', 'COMBINED']) AS layer, unnest([stable, alert, third, alert_3]) AS o FROM {_name}4 WHERE part = 'LOCKED_TEST'"
     FINAL["three_layer_metrics" if _name == "third" else "third_layer_what_if_metrics"] = f"SELECT layer, scope, n, alerts, hits, events, {r('lost')}, round({div('hits', 'alerts')}, 6) AS precision, round({div('hits', 'events')}, 6) AS recall, round({div('alerts - hits', 'n - events')}, 6) AS fpr, round({div(div('hits', 'alerts'), div('events', 'n'))}, 6) AS lift FROM (" + " UNION ALL ".join(
         f"SELECT layer, {g} AS scope, count(*) AS n, sum(o)::BIGINT AS alerts, sum(o * event_12w)::BIGINT AS hits, sum(event_12w)::BIGINT AS events, sum(o * expected_lost) AS lost FROM {_name}long GROUP BY 1, 2" for g in ("'SEASON ' || season_group", "'TYPE ' || candidate", "'ALL'")) + ")"
+FINAL["alert_lists"] = f"SELECT sku_id, week, season_group, source_3, {r('priority')}, seat::INT AS place, {', '.join(f'seat <= {k} AS top_{k}' for k in (50, 100, 250, 500, 1000))} FROM (SELECT *, row_number() OVER (ORDER BY priority DESC, sku_id, week) AS seat FROM third4 WHERE part = 'LOCKED_TEST' AND alert_3 = 1) WHERE seat <= 1000"
+FINAL["version_comparison"] = "SELECT part, stable, alert, alert_3, count(*) AS n, sum(event_12w)::BIGINT AS events, round(sum(expected_lost), 6) AS lost, bool_or(event_12w = 1) AS any_event, bool_and(alert_3 >= alert) AS monotone FROM third4 GROUP BY 1, 2, 3, 4"
 FINAL["three_layer_alerts"] = "SELECT sku_id, week, season_group, source_3, alert_3 FROM third4"
 FINAL["third_layer_what_if"] = f"SELECT sku_id, week, candidate, {r('third_score')}, third, source_3 FROM what4"
 FINE["auditone"] = """SELECT count(*) AS n, count(DISTINCT (sku_id, week)) AS k, count(*) FILTER (suspected < 0 OR suspected > 1) AS oob, count(*) FILTER (priority < 0) AS neg, count(*) FILTER (stable = 1 AND second = 1) AS lap, count(*) FILTER (event_12w IS NULL) AS unl,
@@ -281,5 +283,5 @@ FINAL["inventory"] = """SELECT * FROM (WITH RECURSIVE sim AS (SELECT sku_id, t,
 FINAL["smoothed_demand"] = """SELECT a.sku_id, a.week, round(sum(b.y * pow(7.0 / 9, a.at - b.at - 1)) / nullif(sum(CASE WHEN b.at IS NOT NULL THEN pow(7.0 / 9, a.at - b.at - 1) END), 0), 6) AS smoothed FROM numb a LEFT JOIN numb b ON b.sku_id = a.sku_id AND b.at < a.at AND b.at >= a.at - 26 GROUP BY 1, 2"""
 COARSE["numb"] = "SELECT sku_id, week, y, row_number() OVER (PARTITION BY sku_id ORDER BY week) AS at FROM panel"
 
-_FINE_NAMES = {"three_layer_alerts", "three_layer_metrics", "third_layer_what_if", "third_layer_what_if_metrics", "season_profile", "season_state", "state_summary", "offseason_gate", "breakdown_metrics", "state_calibration", "recent_sales", "oos_features", "oos_grid", "oos_policy_eval", "oos_frozen", "oos_scores", "flag_metrics", "topk_curve", "weekly_topk", "difficult_scores", "layer_grid", "layer_eval", "layer_frozen", "combined_alerts", "layer_metrics", "uplift_verdict", "recall_candidates", "recall_grid", "recall_eval", "recall_verdict", "missed_events", "layer_audit", "point_eval", "residual_spreads", "overlay_eval"}
+_FINE_NAMES = {"alert_lists", "version_comparison", "three_layer_alerts", "three_layer_metrics", "third_layer_what_if", "third_layer_what_if_metrics", "season_profile", "season_state", "state_summary", "offseason_gate", "breakdown_metrics", "state_calibration", "recent_sales", "oos_features", "oos_grid", "oos_policy_eval", "oos_frozen", "oos_scores", "flag_metrics", "topk_curve", "weekly_topk", "difficult_scores", "layer_grid", "layer_eval", "layer_frozen", "combined_alerts", "layer_metrics", "uplift_verdict", "recall_candidates", "recall_grid", "recall_eval", "recall_verdict", "missed_events", "layer_audit", "point_eval", "residual_spreads", "overlay_eval"}
 ORACLES = {name: oracle(name, FINE if name in _FINE_NAMES else COARSE, FINAL) for name in FINAL}
