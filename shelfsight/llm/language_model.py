@@ -42,7 +42,7 @@ CLASSES = HEAD // PER_CLASS
 HIDDEN = 16
 #: Words of a window, texts side by side in scoring and in learning.
 WINDOW, LANES, LEARN_LANES = 32, 256, 128
-RATE = 0.1
+RATE = 0.2
 #: Upper ends of the shares of the rounds.
 ROUNDS = (1 / 64, 1 / 16, 1 / 4, 1.0)
 #: Weights that travel together to be averaged, and groups of partitions averaged first.
@@ -171,14 +171,18 @@ class GatedModel:
         self.p["cb"][:] = np.log(by_class / by_class.sum())
         self.p["ob"][:] = np.log(counts[:HEAD].reshape(CLASSES, PER_CLASS) + SMOOTH)
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([v.ravel() for v in self.p.values()])
+    def flat(self, past: dict[str, np.ndarray]) -> np.ndarray:
+        """Weights, then the squares that ``learn`` has seen, as one row of numbers."""
+        return np.concatenate([v.ravel() for part in (self.p, past) for v in part.values()])
 
-    def set_flat(self, flat: np.ndarray) -> None:
-        at = 0
-        for v in self.p.values():
-            v[...] = flat[at : at + v.size].reshape(v.shape)
-            at += v.size
+    def set_flat(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        """Takes the weights over and gives the squares."""
+        past, at = self.fresh_past(), 0
+        for part in (self.p, past):
+            for v in part.values():
+                v[...] = flat[at : at + v.size].reshape(v.shape)
+                at += v.size
+        return past
 
     def run(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool = False):
         """States after each step's input, for steps x lanes of inputs. fresh: 1 where a text begins."""
@@ -272,7 +276,8 @@ class GatedModel:
             h = np.zeros((x.shape[1], HIDDEN), dtype=np.float32) if h is None else h[: x.shape[1]]
             g, h, part = self.gradients(x, fresh, y, used, h)
             loss, n = loss + part, n + int(used.sum())
-            shrink = min(1.0, 1.0 / max(np.sqrt(sum(float((v * v).sum()) for v in g.values())), 1e-9))
+            # a window in which few lanes are left counts for its words only
+            shrink = min(1.0, 1.0 / max(np.sqrt(sum(float((v * v).sum()) for v in g.values())), 1e-9)) * used.sum() / (WINDOW * lanes)
             for k, v in g.items():
                 v *= shrink
                 past[k] += v * v
@@ -364,19 +369,18 @@ def most_frequent(counts: DataFrame, most: int) -> list[tuple[str, int]]:
 
 
 def learned_round(rows: DataFrame, text: str, vocabulary: Vocabulary, start: np.ndarray) -> np.ndarray:
-    """The weights after one round, the mean of the partitions' by their words; ``start`` without rows."""
+    """Weights and squares after one round, the mean of the partitions' by their words; ``start`` without rows."""
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, n = GatedModel(), 0
-        model.set_flat(start)
-        past = model.fresh_past()
+        past = model.set_flat(start)
         for b in batches:
             for s in slices(b[text]):
                 texts = [vocabulary.ids(vocabulary.codes([*byte_words(t), b""])) for t in b[text].iloc[s]]
                 model.learn(texts, past)
                 n += sum(map(len, texts))
         if n:
-            flat = model.flat().astype(np.float64) * n
+            flat = model.flat(past).astype(np.float64) * n
             cuts = range(0, len(flat), PIECE)
             yield pd.DataFrame({"k": range(len(cuts)), "n": n, "w": [flat[c : c + PIECE].tobytes() for c in cuts]})
 
@@ -401,7 +405,7 @@ def fit_model(docs: DataFrame, counts: DataFrame, key: str, text: str) -> tuple[
     model = GatedModel()
     model.start_from(numbers)
     place = F.shiftrightunsigned(F.xxhash64(key, text), 1) / float(1 << 63)
-    weights, low = model.flat(), 0.0
+    weights, low = model.flat(model.fresh_past()), 0.0
     for high in ROUNDS:
         part = docs.where((place >= low) & (place < high)) if high < 1 else docs.where(place >= low)
         weights, low = learned_round(part.select(F.col(text).cast("binary").alias(text)), text, vocabulary, weights), high

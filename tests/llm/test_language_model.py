@@ -61,14 +61,14 @@ def test_lanes_and_windows_do_not_matter():
 
 def test_learning_lowers_the_loss_and_the_flat_form_is_whole():
     rng = np.random.default_rng(3)
-    model, past = GatedModel(), None
+    model = GatedModel()
     texts = [np.tile(rng.integers(0, 40, 5), n).astype(np.int32) for n in rng.integers(1, 60, 50)]
     past = model.fresh_past()
     losses = [model.learn(texts, past) for _ in range(12)]
     assert losses[-1] < 0.7 * losses[0]
     other = GatedModel(seed=9)
-    other.set_flat(model.flat())
-    assert all((other.p[k] == v).all() for k, v in model.p.items())
+    kept = other.set_flat(model.flat(past))
+    assert all((other.p[k] == v).all() and (kept[k] == past[k]).all() for k, v in model.p.items())
 
 
 def test_score_against_one_step_after_another(spark, monkeypatch):

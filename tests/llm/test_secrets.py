@@ -1,8 +1,12 @@
 import hashlib
+import math
 import random
 import re
 import string
 
+from pyspark.sql import functions as F
+
+from shelfsight.llm import secrets
 from shelfsight.llm.secrets import find_secrets
 
 KINDS = ("assign", "access", "hex")
@@ -43,3 +47,59 @@ def test_random_runs_are_told_from_words(spark):
     wrong = sum("random" in got[1000 + i] for i in range(300))
     assert hit >= 57 and wrong <= 0.05 * (hit + wrong) + 1
     assert find_secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def tail(z):
+    return math.erfc(abs(z) / math.sqrt(2))
+
+
+def plain_battery(run):
+    """encoding, p_uniform, p_runs, p_serial, p_text by their definitions, with exact normal tails."""
+    name = next(n for n, (_, rx, _) in secrets.ENCODINGS.items() if re.search(rx, run))
+    alphabet, _, index = secrets.ENCODINGS[name]
+    run = run.lower() if name == "hex" else run.replace("-", "+").replace("_", "/")
+    n, k = len(run), len(alphabet)
+    x = [alphabet.index(c) for c in run]
+    chi = sum((run.count(c) - n / k) ** 2 / (n / k) for c in alphabet)
+    up = [v >= k / 2 for v in x]
+    a = sum(up)
+    runs = 1 + sum(p != q for p, q in zip(up, up[1:], strict=False))
+    mean_runs = 2 * a * (n - a) / n + 1
+    var_runs = (mean_runs - 1) * (mean_runs - 2) / (n - 1)
+    mean = sum(x) / n
+    serial = sum((p - mean) * (q - mean) for p, q in zip(x, x[1:], strict=False)) / sum((v - mean) ** 2 for v in x)
+    excess = n * (k * index - 1)
+    z = (chi - (k - 1 + excess)) / math.sqrt(2 * (k - 1) + 4 * excess)
+    return name, tail((chi - k + 1) / math.sqrt(2 * (k - 1))), tail((runs - mean_runs) / math.sqrt(var_runs)), tail((serial + 1 / n) * math.sqrt(n)), tail(z) / 2 if z <= 0 else 1 - tail(z) / 2
+
+
+def make_runs(rng, n):
+    kinds = (string.ascii_letters + string.digits, string.digits + "abcdef", string.ascii_uppercase + "234567", string.ascii_letters + string.digits + "-_+/", "etaoin1shrdlu2")
+    out = ("".join(rng.choices(rng.choice(kinds), k=rng.choice([20, 25, 33, 40, 64, 100, 170]))) for _ in range(n))
+    return [r for r in out if re.search("[0-9]", r) and re.search("[A-Za-z]", r)]
+
+
+def test_battery_against_its_definitions(spark):
+    runs = make_runs(random.Random(6), 150)
+    got = spark.createDataFrame([(i, r) for i, r in enumerate(runs)], "i long, r string").select("i", secrets.battery(F.col("r")).alias("t")).collect()
+    for row in got:
+        want = plain_battery(runs[row.i])
+        assert row.t["encoding"] == want[0] and row.t["len"] == len(runs[row.i])
+        assert all(abs(row.t[c] - w) < 5e-4 for c, w in zip(("p_uniform", "p_runs", "p_serial", "p_text"), want[1:], strict=True)), (runs[row.i], row.t, want)
+
+
+def test_discoveries_against_benjamini_hochberg(spark):
+    rng = random.Random(7)
+    runs = [r for r in make_runs(rng, 400) if not re.fullmatch("[0-9a-f]+", r)]
+    df = spark.createDataFrame([(i, f"see {r} there") for i, r in enumerate(runs)], "doc_id long, text string")
+    scanned = secrets.scan(df).collect()
+    # the p of a bin's upper edge, for all tested runs, by class of lengths
+    tested = {r.doc_id: r.tested[0] for r in scanned if r.tested}
+    fine = {r.doc_id for r in scanned if r.runs}
+    want = set()
+    for c in {t["class"] for t in tested.values()}:
+        ps = sorted((math.exp(-t["bin"] * secrets.BIN), d) for d, t in tested.items() if t["class"] == c)
+        last = max((k for k, (p, _) in enumerate(ps, 1) if p <= secrets.FDR * k / len(ps)), default=0)
+        want |= {d for p, d in ps if last and p <= ps[last - 1][0]} & fine
+    got = {r.doc_id for r in find_secrets(df).collect() if "random" in r.spans}
+    assert got == want and 20 < len(got) < len(runs)
