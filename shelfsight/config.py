@@ -9,6 +9,8 @@ DEMAND_LAGS = (1, 2, 4, 8, 12, 13, 26, 52)
 HIGH_SEASON_WEEKS = (20, 35)
 ACTIVE_AMPLITUDE = 10.0
 VIP_CUSTOMERS = 50
+#: Rounds of the paired bootstrap.
+ROUNDS = 5000
 HIGH_SEASON_WEIGHT = 1.25
 TOP_K = 10
 #: Quantile levels that conformal lookups hold, in percent, and normal constants where none applies.

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import ROUNDS
 from ..functions.columns import fixed, positive, quantile, ratio, share
 from .panel import by_sku
 from .season import zero_regime
@@ -70,24 +71,65 @@ def residual_spreads(stated: DataFrame, least: int = 50) -> DataFrame:
     return out.select("season_group", "regime", "n", F.when(F.col("n") >= least, "SEGMENT").otherwise("GLOBAL").alias("level"), *(F.when(F.col("n") >= least, F.col(f"r{k}")).otherwise(F.col(f"_t{k}")).alias(f"r{k}") for k in (80, 90, 95)))
 
 
-def overlay_eval(stated: DataFrame, spreads: DataFrame, part: str = "DEV_SELECT") -> DataFrame:
-    """Quantile overlays B1 (added), B2 (added on a log scale), B4 (0.8 of it), with caps; coverage and loss of each.
+#: Overlay methods, caps (multiples of the forecast; 0 for none) and least rows of a segment.
+METHODS, CAPS, LEAST_ROWS = ("C1_ABS", "C2_LOG", "C3_HYBRID", "C4_MINIMAL"), (0, 2, 3), (300, 500, 1000)
+
+
+def overlay_grid(spark) -> DataFrame:
+    rows = [(f"{m}_CAP{c}_N{n}", m, c, n) for m in METHODS for c in CAPS for n in LEAST_ROWS]
+    return spark.createDataFrame(rows, "candidate string, method string, cap int, least int")
+
+
+def overlay_spreads(stated: DataFrame) -> DataFrame:
+    """Residual quantiles on DEV_TUNE, plain and of logarithms, and the 95 % quantile of demand: by state, season and in total."""
+    rows = stated.where("part = 'DEV_TUNE'").withColumns({"_a": fixed(positive(F.col("y_12w") - F.col("gated")), 9), "_l": fixed(F.log(F.col("y_12w") + 1) - F.log(F.col("gated") + 1), 9)})
+    sets = rows.groupingSets([["state"], ["season_group"], []], "state", "season_group").agg(F.count("*").alias("n"), *(quantile(f"_{t}", k).alias(f"{t}{k}") for t in "al" for k in (80, 90, 95)), quantile("y_12w", 95).alias("hist"))
+    level = F.when(F.col("state").isNotNull(), "STATE").when(F.col("season_group").isNotNull(), "SEASON").otherwise("GLOBAL")
+    return sets.select(level.alias("level"), F.coalesce("state", "season_group", F.lit("ALL")).alias("segment"), "n", *(f"{t}{k}" for t in "al" for k in (80, 90, 95)), "hist")
+
+
+def overlaid(rows: DataFrame, spreads: DataFrame, grid: DataFrame) -> DataFrame:
+    """Rows x candidates with ``o80, o90, o95``: a state's spread, else its season's, else the total's, and the total's for small segments.
 
-    The lookup joins on season and regime, so a row meets one spread.
+    Caps are the multiple of the forecast or the forecast and the segment's 95 % demand, whichever is
+    more; quantiles are ordered from the forecast on.
     """
-    rows = stated.where(F.col("part") == part).withColumn("regime", zero_regime(F.col("zero_share_26w"))).join(F.broadcast(spreads.drop("n", "level")), ["season_group", "regime"], "left")
-    methods = {"B1": lambda r: F.col("gated") + r, "B2": lambda r: F.exp(F.log(F.col("gated") + 1) + F.log(r + 1)) - 1, "B4": lambda r: F.col("gated") + 0.8 * r}
-    stack = F.explode(F.array(*(F.struct(F.lit(f"{m}_CAP{c}").alias("candidate"), *(F.least(f(F.coalesce(f"r{k}", F.lit(0.0))), F.greatest(c * F.col("gated"), F.col("gated") + 12 * F.col("p90_same"))).alias(f"o{k}") for k in (80, 90, 95))) for m, f in methods.items() for c in (2, 3, 4))))
-    long = rows.select("season_group", "gated", "y_12w", stack.alias("s")).select("season_group", "gated", "y_12w", "s.*")
-    out = long.groupBy("candidate").agg(
-        F.count("*").alias("n"), *(share(F.col("y_12w") > fixed(F.col(f"o{k}"), 9)).alias(f"viol_{k}") for k in (80, 90, 95)), F.avg(F.col("o90") - F.col("gated")).alias("spread"),
-        F.coalesce(F.avg(F.when(F.col("season_group") == "REST", F.col("o90") - F.col("gated"))), F.lit(0.0)).alias("spread_rest"), share((F.col("o90") < F.col("o80")) | (F.col("o95") < F.col("o90"))).alias("non_monotone"),
+    names = [f"{t}{k}" for t in "al" for k in (80, 90, 95)] + ["n", "hist"]
+    side = lambda level, p: spreads.where(F.col("level") == level).select(F.col("segment").alias(f"{p}_segment"), *(F.col(c).alias(f"{p}_{c}") for c in names))
+    out = rows.join(F.broadcast(side("STATE", "s")), F.col("state") == F.col("s_segment"), "left").join(F.broadcast(side("SEASON", "g")), F.col("season_group") == F.col("g_segment"), "left")
+    out = out.join(F.broadcast(side("GLOBAL", "t")), F.lit(True), "left").crossJoin(F.broadcast(grid))
+    own = lambda c: F.coalesce(f"s_{c}", f"g_{c}", f"t_{c}")
+    pick = lambda c: F.when(own("n") >= F.col("least"), own(c)).otherwise(F.col(f"t_{c}"))
+    p50, quiet = F.col("gated"), F.col("state").isin("OFF_SEASON", "TRANSITION_DOWN") | (F.col("season_group") == "REST")
+    top = F.greatest(p50 * F.col("cap"), p50 + own("hist"))
+    last, columns = p50, {}
+    for k in (80, 90, 95):
+        plain, log = p50 + pick(f"a{k}"), F.greatest(F.lit(0.0), F.exp(F.log(p50 + 1) + pick(f"l{k}")) - 1)
+        raw = F.when(F.col("method") == "C1_ABS", plain).when(F.col("method") == "C2_LOG", log).when(F.col("method") == "C3_HYBRID", F.when(quiet, plain).otherwise(log)).otherwise(p50 + 0.5 * own(f"a{k}"))
+        columns[f"o{k}"] = last = fixed(F.greatest(last, F.when(F.col("cap") == 0, raw).otherwise(F.least(raw, top))), 9)
+    return out.withColumns(columns).drop(*(c for c in out.columns if c[:2] in ("s_", "g_", "t_")))
+
+
+def overlay_eval(stated: DataFrame, spreads: DataFrame, part: str = "DEV_SELECT") -> DataFrame:
+    """Coverage, width and loss of each of the 36 overlays on one part."""
+    rows = stated.where(F.col("part") == part).select("season_group", "state", "gated", "y_12w")
+    out = overlaid(rows, spreads, overlay_grid(stated.sparkSession)).groupBy("candidate").agg(
+        F.count("*").alias("n"), *(share(F.col("y_12w") > F.col(f"o{k}")).alias(f"viol_{k}") for k in (80, 90, 95)), F.avg(F.col("o90") - F.col("gated")).alias("spread"),
+        F.coalesce(F.avg(F.when(F.col("season_group") == "REST", F.col("o90") - F.col("gated"))), F.lit(0.0)).alias("spread_rest"),
     )
     h = lambda x: F.greatest(x, F.lit(0.0))
-    loss = 1.5 * (F.abs(F.col("viol_80") - 0.10) + F.abs(F.col("viol_90") - 0.04) + F.abs(F.col("viol_95") - 0.01)) + 0.1 * h(F.col("spread") - 20) + 0.05 * F.col("spread_rest") + F.when(F.col("non_monotone") > 0, 100.0).otherwise(0.0)
+    loss = 1.5 * (F.abs(F.col("viol_80") - 0.10) + F.abs(F.col("viol_90") - 0.04) + F.abs(F.col("viol_95") - 0.01)) + 0.1 * h(F.col("spread") - 20) + 0.05 * F.col("spread_rest")
     return out.withColumn("loss", fixed(loss, 6))
 
 
+def overlay_forecast(stated: DataFrame, spreads: DataFrame, evaluated: DataFrame) -> DataFrame:
+    """Every row of the contract's parts with the quantiles of the overlay of least loss."""
+    best = evaluated.orderBy("loss", "candidate").limit(1).select("candidate")
+    chosen = overlay_grid(stated.sparkSession).join(best, "candidate")
+    rows = stated.select("sku_id", "week", "part", "season_group", "state", "gated", zero_regime(F.col("zero_share_26w")).alias("regime"), "y_12w")
+    return overlaid(rows, spreads, chosen).select("sku_id", "week", "part", "candidate", "regime", F.col("gated").alias("p50"), "o80", "o90", "o95", (F.col("o90") - F.col("gated")).alias("spread_90"), "y_12w")
+
+
 def composite_loss(fc: DataFrame) -> DataFrame:
     """Quantile sources stacked and weighed by coverage, error, zeros and order, on the tuning part."""
     rows = fc.where("split = 'VAL'")
@@ -159,8 +201,18 @@ def smoothed(panel: DataFrame, span: int = 8, terms: int = 26) -> DataFrame:
     return rows.select("sku_id", "week", ratio(value, total).alias("smoothed"))
 
 
-def bootstrap(fc: DataFrame, rounds: int = 500) -> DataFrame:
-    """Paired difference of WMAPE between the forecast and the last week's sales, by season, with its interval.
+def poisson_weights(seeds: np.ndarray, rounds: int) -> np.ndarray:
+    """Poisson weights of mean 1, rows x rounds, from a hash of row and round: the same on any partitioning."""
+    x = seeds.astype(np.uint64)[:, None] + np.arange(1, rounds + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    share_ = (x ^ (x >> np.uint64(31))) >> np.uint64(11)
+    cdf = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+    return np.searchsorted(cdf, share_ / float(1 << 53), side="right").astype(np.float64)
+
+
+def bootstrap(fc: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """Paired difference of WMAPE between the forecast and the last week's sales, by season and for ALL, with its interval.
 
     Every row has in each round a Poisson weight that depends on its key and the round, so rounds
     are sums over partitions: a partition gives ``rounds`` sums a season, whatever its rows.
@@ -169,18 +221,22 @@ def bootstrap(fc: DataFrame, rounds: int = 500) -> DataFrame:
     def sums(batches):
         total: dict[str, np.ndarray] = {}
         for b in batches:
-            for season, part in b.groupby("season_group"):
-                weights = np.stack([np.random.default_rng(int(s)).poisson(1.0, rounds) for s in part["seed"]])
-                total[season] = total.get(season, 0) + np.stack([weights.T @ part[c].to_numpy() for c in ("miss_a", "miss_b", "y_12w")])
+            for season, rows_ in b.groupby("season_group"):
+                for at in range(0, len(rows_), 256):
+                    part = rows_.iloc[at : at + 256]
+                    weights = poisson_weights(part["seed"].to_numpy(), rounds)
+                    total[season] = total.get(season, 0) + np.stack([weights.T @ part[c].to_numpy(dtype=float) for c in ("miss_a", "miss_b", "y_12w")])
         for season, t in total.items():
             yield pd.DataFrame({"season_group": season, "round": np.arange(rounds), "a": t[0], "b": t[1], "y": t[2]})
 
-    rows = fc.where("split = 'VAL'").select("season_group", "y_12w", F.abs(F.col("y_12w") - F.col("yhat")).alias("miss_a"), F.abs(F.col("y_12w") - 12 * F.coalesce("lag_1", F.lit(0.0))).alias("miss_b"), F.abs(F.xxhash64("sku_id", "week") % (1 << 40)).alias("seed"))
-    per_round = rows.mapInPandas(sums, "season_group string, round int, a double, b double, y double").groupBy("season_group", "round").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("y").alias("y"))
+    per_round = bootstrap_rows(fc).mapInPandas(sums, "season_group string, round int, a double, b double, y double")
+    per_round = per_round.groupingSets([["season_group", "round"], ["round"]], "season_group", "round").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("y").alias("y"))
     diff = ratio(F.col("a") - F.col("b"), "y")
-    out = per_round.groupBy("season_group").agg(F.avg(diff).alias("mean"), quantile(diff, 2.5).alias("low"), quantile(diff, 97.5).alias("high"), share(diff > 0).alias("_up"), share(diff < 0).alias("_down"))
+    out = per_round.groupBy(F.coalesce("season_group", F.lit("ALL")).alias("season_group")).agg(F.avg(diff).alias("mean"), quantile(diff, 2.5).alias("low"), quantile(diff, 97.5).alias("high"), share(diff > 0).alias("_up"), share(diff < 0).alias("_down"))
     return out.select("season_group", "mean", "low", "high", F.least(F.lit(1.0), 2 * F.least("_up", "_down")).alias("p_value"))
 
 
-def normal_cdf(z: float) -> float:
-    return 0.5 * math.erfc(-z / math.sqrt(2))
+def bootstrap_rows(fc: DataFrame) -> DataFrame:
+    """Misses of both forecasts and the seed of each validation row."""
+    miss = lambda x: F.abs(F.col("y_12w") - x)
+    return fc.where("split = 'VAL'").select("season_group", "y_12w", miss(F.col("yhat")).alias("miss_a"), miss(12 * F.coalesce("lag_1", F.lit(0.0))).alias("miss_b"), F.abs(F.xxhash64("sku_id", "week") % (1 << 40)).alias("seed"))

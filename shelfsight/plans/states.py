@@ -142,6 +142,12 @@ def _spreads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.residual_spreads(stated(spark, sf_dir))
 
 
+@phase("overlays")
+def _overlays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stated(spark, sf_dir)
+    return T.overlay_eval(rows, T.overlay_spreads(rows))
+
+
 QUERIES: dict[str, Query] = {
     "season_profile": _by(states, lambda d: d.drop("state")),
     "season_state": _of(states, *KEYS, "season_group", "state"),
@@ -207,7 +213,9 @@ QUERIES: dict[str, Query] = {
     "walk_forward": _by(forecast, T.walk_forward),
     "point_eval": _by(stated, T.point_eval),
     "residual_spreads": _by(_spreads),
-    "overlay_eval": _two(T.overlay_eval, stated, _spreads),
+    "overlay_spreads": _by(stated, T.overlay_spreads),
+    "overlay_eval": _by(_overlays),
+    "overlay_forecast": lambda spark, sf_dir: rounded(T.overlay_forecast(stated(spark, sf_dir), T.overlay_spreads(stated(spark, sf_dir)), _overlays(spark, sf_dir))),
     "composite_loss": _by(forecast, T.composite_loss),
     "newsvendor": _by(forecast, T.newsvendor),
     "inventory": _by(panel, T.replenished, T.inventory_summary),

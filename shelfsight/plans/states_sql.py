@@ -189,11 +189,29 @@ _q3 = lambda a: ", ".join(f"{q('x', k)} AS {a}{k}" for k in (80, 90, 95))  # noq
 FINE["spreads"] = f"""SELECT season_group, regime, n, CASE WHEN n >= 50 THEN 'SEGMENT' ELSE 'GLOBAL' END AS level, {", ".join(f"CASE WHEN n >= 50 THEN a{k} ELSE t{k} END AS r{k}" for k in (80, 90, 95))}
   FROM (SELECT season_group, regime, count(*) AS n, {_q3("a")} FROM spreadrows GROUP BY 1, 2), (SELECT {_q3("t")} FROM spreadrows)"""
 FINAL["residual_spreads"] = f"SELECT season_group, regime, n, level, {r('r80', 'r90', 'r95')} FROM spreads"
-_over = {"B1": lambda k: f"gated + coalesce(r{k}, 0)", "B2": lambda k: f"exp(ln(gated + 1) + ln(coalesce(r{k}, 0) + 1)) - 1", "B4": lambda k: f"gated + 0.8 * coalesce(r{k}, 0)"}
-FINE["overrows"] = "SELECT x.season_group, gated, y_12w, p90_same, s.r80, s.r90, s.r95 FROM regimes x LEFT JOIN spreads s ON s.season_group = x.season_group AND s.regime = x.regime WHERE part = 'DEV_SELECT'"
-FINE["overlong"] = " UNION ALL ".join(f"SELECT '{m}_CAP{c}' AS candidate, season_group, gated, y_12w, {', '.join(f'least({f(k)}, greatest({c} * gated, gated + 12 * p90_same)) AS o{k}' for k in (80, 90, 95))} FROM overrows" for m, f in _over.items() for c in (2, 3, 4))
-FINAL["overlay_eval"] = f"""SELECT candidate, n, {r("viol_80", "viol_90", "viol_95", "spread", "spread_rest", "non_monotone")}, round(1.5 * (abs(viol_80 - 0.10) + abs(viol_90 - 0.04) + abs(viol_95 - 0.01)) + 0.1 * greatest(spread - 20, 0) + 0.05 * spread_rest + CASE WHEN non_monotone > 0 THEN 100 ELSE 0 END, 6) AS loss FROM (
-  SELECT candidate, count(*) AS n, {", ".join(f"{share(f'y_12w > round(o{k}, 9)')} AS viol_{k}" for k in (80, 90, 95))}, avg(o90 - gated) AS spread, coalesce(avg(CASE WHEN season_group = 'REST' THEN o90 - gated END), 0) AS spread_rest, {share("o90 < o80 OR o95 < o90")} AS non_monotone FROM overlong GROUP BY 1)"""
+FINE["ovrows"] = "SELECT season_group, state, y_12w, round(greatest(y_12w - gated, 0), 9) AS ra, round(ln(y_12w + 1) - ln(gated + 1), 9) AS rl FROM stated WHERE part = 'DEV_TUNE'"
+_ovq = "count(*) AS n, " + ", ".join(f"{q('r' + t, k)} AS {t}{k}" for t in "al" for k in (80, 90, 95)) + f", {q('y_12w', 95)} AS hist"
+FINE["ovspread"] = f"SELECT 'STATE' AS level, state AS segment, {_ovq} FROM ovrows GROUP BY 1, 2 UNION ALL SELECT 'SEASON', season_group, {_ovq} FROM ovrows GROUP BY 1, 2 UNION ALL SELECT 'GLOBAL', 'ALL', {_ovq} FROM ovrows"
+FINE["ovgrid"] = "SELECT method || '_CAP' || cap || '_N' || least AS candidate, method, cap::INT AS cap, least::INT AS least FROM unnest(['C1_ABS', 'C2_LOG', 'C3_HYBRID', 'C4_MINIMAL']) t(method), unnest([0, 2, 3]) u(cap), unnest([300, 500, 1000]) v(least)"
+_own = lambda c: f"coalesce(s.{c}, g.{c}, t.{c})"
+_pick = lambda c: f"CASE WHEN {_own('n')} >= k.least THEN {_own(c)} ELSE t.{c} END"
+
+
+def _raw(k: int) -> str:
+    plain, log = f"(gated + {_pick(f'a{k}')})", f"greatest(0, exp(ln(gated + 1) + {_pick(f'l{k}')}) - 1)"
+    raw = f"CASE k.method WHEN 'C1_ABS' THEN {plain} WHEN 'C2_LOG' THEN {log} WHEN 'C3_HYBRID' THEN CASE WHEN x.state IN ('OFF_SEASON', 'TRANSITION_DOWN') OR x.season_group = 'REST' THEN {plain} ELSE {log} END ELSE gated + 0.5 * {_own(f'a{k}')} END"
+    return f"CASE WHEN k.cap = 0 THEN {raw} ELSE least({raw}, greatest(gated * k.cap, gated + {_own('hist')})) END AS w{k}"
+
+
+_overlay = lambda rows, grid: f"""SELECT *, round(greatest(p80, w90), 9) AS p90 FROM (SELECT *, round(greatest(gated, w80), 9) AS p80 FROM (SELECT x.*, k.candidate, {_raw(80)}, {_raw(90)}, {_raw(95)} FROM ({rows}) x
+  LEFT JOIN (SELECT * FROM ovspread WHERE level = 'STATE') s ON s.segment = x.state LEFT JOIN (SELECT * FROM ovspread WHERE level = 'SEASON') g ON g.segment = x.season_group, (SELECT * FROM ovspread WHERE level = 'GLOBAL') t, {grid} k))"""
+FINE["ovlong"] = "SELECT *, round(greatest(p90, w95), 9) AS p95 FROM (" + _overlay("SELECT season_group, state, gated, y_12w FROM stated WHERE part = 'DEV_SELECT'", "ovgrid") + ")"
+FINE["oveval"] = f"""SELECT *, round(1.5 * (abs(viol_80 - 0.10) + abs(viol_90 - 0.04) + abs(viol_95 - 0.01)) + 0.1 * greatest(spread - 20, 0) + 0.05 * spread_rest, 6) AS loss FROM (
+  SELECT candidate, count(*) AS n, {", ".join(f"{share(f'y_12w > p{k}')} AS viol_{k}" for k in (80, 90, 95))}, avg(p90 - gated) AS spread, coalesce(avg(CASE WHEN season_group = 'REST' THEN p90 - gated END), 0) AS spread_rest FROM ovlong GROUP BY 1)"""
+FINAL["overlay_spreads"] = f"SELECT level, segment, n, {r(*(f'{t}{k}' for t in 'al' for k in (80, 90, 95)), 'hist')} FROM ovspread"
+FINAL["overlay_eval"] = f"SELECT candidate, n, {r('viol_80', 'viol_90', 'viol_95', 'spread', 'spread_rest', 'loss')} FROM oveval"
+FINE["ovfinal"] = "SELECT *, round(greatest(p90, w95), 9) AS p95 FROM (" + _overlay("SELECT sku_id, week, part, season_group, state, gated, regime, y_12w FROM regimes", "(SELECT g.* FROM ovgrid g JOIN (SELECT candidate FROM oveval ORDER BY loss, candidate LIMIT 1) USING (candidate))") + ")"
+FINAL["overlay_forecast"] = "SELECT sku_id, week, part, candidate, regime, round(gated, 6) AS p50, round(p80, 6) AS o80, round(p90, 6) AS o90, round(p95, 6) AS o95, round(p90 - gated, 6) AS spread_90, round(y_12w, 6) AS y_12w FROM ovfinal"
 
 # allocation, on the coarser panel
 COARSE["geo"] = "SELECT sku_id, province, date_trunc('week', d)::DATE AS week, sum(units) AS units FROM fact WHERE units > 0 GROUP BY 1, 2, 3"
@@ -283,5 +301,5 @@ FINAL["inventory"] = """SELECT * FROM (WITH RECURSIVE sim AS (SELECT sku_id, t,
 FINAL["smoothed_demand"] = """SELECT a.sku_id, a.week, round(sum(b.y * pow(7.0 / 9, a.at - b.at - 1)) / nullif(sum(CASE WHEN b.at IS NOT NULL THEN pow(7.0 / 9, a.at - b.at - 1) END), 0), 6) AS smoothed FROM numb a LEFT JOIN numb b ON b.sku_id = a.sku_id AND b.at < a.at AND b.at >= a.at - 26 GROUP BY 1, 2"""
 COARSE["numb"] = "SELECT sku_id, week, y, row_number() OVER (PARTITION BY sku_id ORDER BY week) AS at FROM panel"
 
-_FINE_NAMES = {"alert_lists", "version_comparison", "three_layer_alerts", "three_layer_metrics", "third_layer_what_if", "third_layer_what_if_metrics", "season_profile", "season_state", "state_summary", "offseason_gate", "breakdown_metrics", "state_calibration", "recent_sales", "oos_features", "oos_grid", "oos_policy_eval", "oos_frozen", "oos_scores", "flag_metrics", "topk_curve", "weekly_topk", "difficult_scores", "layer_grid", "layer_eval", "layer_frozen", "combined_alerts", "layer_metrics", "uplift_verdict", "recall_candidates", "recall_grid", "recall_eval", "recall_verdict", "missed_events", "layer_audit", "point_eval", "residual_spreads", "overlay_eval"}
+_FINE_NAMES = {"overlay_spreads", "overlay_forecast", "alert_lists", "version_comparison", "three_layer_alerts", "three_layer_metrics", "third_layer_what_if", "third_layer_what_if_metrics", "season_profile", "season_state", "state_summary", "offseason_gate", "breakdown_metrics", "state_calibration", "recent_sales", "oos_features", "oos_grid", "oos_policy_eval", "oos_frozen", "oos_scores", "flag_metrics", "topk_curve", "weekly_topk", "difficult_scores", "layer_grid", "layer_eval", "layer_frozen", "combined_alerts", "layer_metrics", "uplift_verdict", "recall_candidates", "recall_grid", "recall_eval", "recall_verdict", "missed_events", "layer_audit", "point_eval", "residual_spreads", "overlay_eval"}
 ORACLES = {name: oracle(name, FINE if name in _FINE_NAMES else COARSE, FINAL) for name in FINAL}

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -175,9 +176,20 @@ def test_tree_scores_beat_chance(spark):
     assert yes and no and wins > 0.55 * len(yes) * len(no)
 
 
-def test_bootstrap_interval_holds_its_mean(spark):
-    for r in states.QUERIES["bootstrap_wmape"](spark, DIR).collect():
-        assert r.low <= r["mean"] <= r.high and 0 <= r.p_value <= 1
+def test_bootstrap_against_sums_in_memory(spark):
+    fc = retail.forecast(spark, DIR)
+    rows = studies.bootstrap_rows(fc).toPandas()
+    weights = studies.poisson_weights(rows["seed"].to_numpy(), 400)
+    assert abs(weights.mean() - 1) < 0.02 and abs(weights.var() - 1) < 0.05
+    got = {r.season_group: r for r in studies.bootstrap(fc, 400).collect()}
+    assert set(got) == {*rows["season_group"], "ALL"}
+    for season, r in got.items():
+        own = (rows["season_group"] == season).to_numpy() | (season == "ALL")
+        a, b, y = (weights[own].T @ rows.loc[own, c].to_numpy() for c in ("miss_a", "miss_b", "y_12w"))
+        diff = np.sort((a - b) / y)
+        assert np.allclose([r["mean"], r.low, r.high], [diff.mean(), diff[9], diff[389]], rtol=1e-6)
+        assert np.isclose(r.p_value, min(1, 2 * min((diff > 0).mean(), (diff < 0).mean())))
+    assert studies.ROUNDS == 5000
 
 
 def test_csv_round_trip_and_gated_export(spark, tmp_path):
