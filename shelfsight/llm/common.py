@@ -61,21 +61,30 @@ def repeated(rows: DataFrame, key: str) -> bool:
     return not rows.groupBy(key).count().where("count > 1").isEmpty()
 
 
-def numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``docs`` with ``_row``, a long for each pair of key and text, in the order of the keys, null last.
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame, key: str, text: str, row: str) -> DataFrame:
+    """``docs`` with the column ``row``, a long for each pair of key and text, in the order of the keys, null last.
 
     It is the key itself where no key is null or repeated.
     """
     if not repeated(docs, key) and docs.where(F.col(key).isNull()).isEmpty():
-        return docs.withColumn("_row", F.col(key).cast("long"))
-    own = docs.select("*", F.xxhash64(text).alias("_h1"), F.xxhash64(text, F.lit(1)).alias("_h2"), F.col(text).isNull().alias("_none"))
-    marks = ["_h1", "_h2", "_none"]
-    rows = own.select(F.col(key).alias("_key"), *marks).distinct().orderBy(F.asc_nulls_last("_key"), *marks).withColumn("_row", F.monotonically_increasing_id())
+        return docs.withColumn(row, F.col(key).cast("long"))
+    marks = [unused(docs, m) for m in ("_h1", "_h2", "_none")]
+    own = docs.select("*", *(c.alias(m) for m, c in zip(marks, (F.xxhash64(text), F.xxhash64(text, F.lit(1)), F.col(text).isNull()), strict=True)))
+    id_ = unused(own, "_key")
+    rows = own.select(F.col(key).alias(id_), *marks).distinct().orderBy(F.asc_nulls_last(id_), *marks).withColumn(row, F.monotonically_increasing_id())
     rows = materialise(rows, "rows")
-    same = F.col(key).eqNullSafe(F.col("_key"))
+    same = own[key].eqNullSafe(rows[id_])
     for m in marks:
         same = same & (own[m] == rows[m])
-    return own.join(rows, same).select(*(own[c] for c in docs.columns), "_row")
+    return own.join(rows, same).select(*(own[c] for c in docs.columns), row)
 
 
 #: Rows of a table that every task may hold.

@@ -28,7 +28,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import few, materialise, numbered, whole_text
+from .common import few, materialise, numbered, unused, whole_text
 
 #: Similarity 4/5.
 NUM, DEN = 4, 5
@@ -243,9 +243,10 @@ def remove_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "tex
     Rows with one id and different texts, and rows without an id, are documents of their own here;
     those without an id come last. Rows with one id and one text are one document.
     """
-    rows = numbered(docs, key, text)
-    _, gone = repeated_lines(rows, "_row", text)
-    removed = materialise(gone.groupBy("d").agg(F.collect_set("l").alias("_gone")), "line-gone")
-    out = rows.join(removed.withColumnRenamed("d", "_row"), "_row", "left")
-    kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda s, i: ~F.array_contains("_gone", i)), "\n")
-    return out.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept)).select(*docs.columns)
+    row, lines_gone = unused(docs, "_row"), unused(docs, "_gone")
+    rows = numbered(docs, key, text, row)
+    _, gone = repeated_lines(rows, row, text)
+    removed = materialise(gone.groupBy(F.col("d").alias(row)).agg(F.collect_set("l").alias(lines_gone)), "line-gone")
+    out = rows.join(removed, row, "left")
+    kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda s, i: ~F.array_contains(lines_gone, i)), "\n")
+    return out.withColumn(text, F.when(F.col(lines_gone).isNull(), F.col(text)).otherwise(kept)).select(*docs.columns)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, FEW, WORD, bounded_batches, by_runs, few, materialise, numbered, repeated
+from .common import ASCII_LOWER, FEW, WORD, bounded_batches, by_runs, few, materialise, numbered, repeated, unused
 from .graph import components
 from .line_dedup import candidates, leads, overlap, rest_pairs
 
@@ -405,10 +405,11 @@ def drop_similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     Texts without words are one group. Of repeated rows with the least key one stays; a different
     text with a repeated key is a row of its own. Rows without a key stay.
     """
-    known = numbered(docs.where(F.col(key).isNotNull()), key, text)
-    _, keep = similar_groups(known, "_row", text)
-    stays = materialise(keep.select(F.col("keep").alias("_row")).distinct(), "near-stays")
-    known = few(known, stays, "_row")
-    if repeated(known, "_row"):
-        known = known.dropDuplicates(["_row"])
+    row = unused(docs, "_row")
+    known = numbered(docs.where(F.col(key).isNotNull()), key, text, row)
+    _, keep = similar_groups(known, row, text)
+    stays = materialise(keep.select(F.col("keep").alias(row)).distinct(), "near-stays")
+    known = few(known, stays, row)
+    if repeated(known, row):
+        known = known.dropDuplicates([row])
     return known.select(*docs.columns).union(docs.where(F.col(key).isNull()))

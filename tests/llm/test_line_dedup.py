@@ -62,3 +62,10 @@ def test_rows_without_an_id_or_with_a_repeated_one(spark):
     rows = [(1, f"{a}\n{b}", 0), (None, f"{c}\n{a}", 1), (None, f"{d}\nclean words here", 2), (1, f"{e}\n{e}", 3), (1, "s t u\nv w x", 4), (None, None, 5)]
     got = {r.n: r.text for r in remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect()}
     assert got == {0: f"{a}\n{b}", 1: c, 2: f"{d}\nclean words here", 3: e, 4: "s t u\nv w x", 5: None}
+
+
+def test_columns_with_clashing_names(spark):
+    rows = [(1, "a b c\nq", 7, "x", "d", 9), (1, "z", 8, "y", "d", 9), (2, "c b a\nr", 9, None, "e", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row int, _gone string, _d string, _h1 int")
+    got = sorted(map(tuple, remove_repeated_lines(df).collect()))
+    assert got == [(1, "a b c\nq", 7, "x", "d", 9), (1, "z", 8, "y", "d", 9), (2, "r", 9, None, "e", 9)]
