@@ -27,7 +27,7 @@ def conformal_score() -> Column:
     return F.when(F.col("active"), fixed((F.col("y_12w") - F.col("yhat")) / F.col("scale"), 9))
 
 
-def fit_trees(train: DataFrame, label: str, classify: bool, rounds: int = 20, depth: int = 4, step: float = 0.1):
+def fit_trees(train: DataFrame, label: str, classify: bool, rounds: int, depth: int, step: float = 0.1):
     """A pipeline of median imputation, assembly and boosted trees, with class weights for a classifier."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
@@ -47,7 +47,7 @@ def fit_trees(train: DataFrame, label: str, classify: bool, rounds: int = 20, de
     return Pipeline(stages=[imputer, VectorAssembler(inputCols=names, outputCol="features"), trees]).fit(rows)
 
 
-def tree_scores(rows: DataFrame, split: str = "TRAIN") -> DataFrame:
+def tree_scores(rows: DataFrame, split: str = "TRAIN", rounds: int = 50, depth: int = 6) -> DataFrame:
     """``p`` from a classifier, Platt-scaled on CALIB with the better of both polarities, and ``yhat`` from a regressor."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
@@ -55,13 +55,13 @@ def tree_scores(rows: DataFrame, split: str = "TRAIN") -> DataFrame:
 
     wide = rows.select(*rows.columns[:0], "*", *(F.col(c).cast("double").alias(f"_{c}") for c in FEATURES)).select("sku_id", "week", "split", *(F.col(f"_{c}").alias(c) for c in FEATURES), "event_12w", "y_12w")
     train = wide.where(F.col("split") == split)
-    classifier = fit_trees(train, "event_12w", True)
+    classifier = fit_trees(train, "event_12w", True, rounds, depth)
     scored = classifier.transform(wide).withColumn("p_raw", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction", *(f"{c}_in" for c in FEATURES))
     sign = scored.where("split = 'CALIB'").agg(F.corr("p_raw", "event_12w")).first()[0]
     scored = scored.withColumn("p_raw", 1 - F.col("p_raw")) if (sign or 0) < 0 else scored
     one = VectorAssembler(inputCols=["p_raw"], outputCol="v")
     platt = LogisticRegression(featuresCol="v", labelCol="event_12w", regParam=0.001, probabilityCol="pv").fit(one.transform(scored.where("split = 'CALIB'")))
     scored = platt.transform(one.transform(scored)).withColumn("p", vector_to_array("pv")[1]).drop("v", "pv", "rawPrediction", "prediction")
-    demand = fit_trees(train, "y_12w", False)
+    demand = fit_trees(train, "y_12w", False, rounds, depth)
     scored = demand.transform(scored).withColumn("yhat", F.greatest(F.col("prediction"), F.lit(0.0)))
     return scored.select("sku_id", "week", "split", "event_12w", "y_12w", "p_raw", "p", "yhat")

@@ -166,7 +166,7 @@ def test_features_hold_no_label():
 
 
 def test_tree_scores_beat_chance(spark):
-    rows = scoring.tree_scores(panel.train_calib_split(retail.labelled(spark, DIR)))
+    rows = scoring.tree_scores(panel.train_calib_split(retail.labelled(spark, DIR)), rounds=15, depth=4)
     val = rows.where("split = 'VAL'")
     got = val.agg(F.min("p"), F.max("p"), F.min("yhat")).first()
     assert 0 <= got[0] <= got[1] <= 1 and got[2] >= 0
