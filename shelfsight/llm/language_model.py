@@ -242,25 +242,23 @@ class GatedModel:
         back = np.zeros((states.shape[0] * states.shape[1], HIDDEN), dtype=np.float32)
         back[rows] = dh
         back = back.reshape(states.shape)
-        u = self.p["u"]
-        da = np.empty((*x.shape, 3 * HIDDEN), dtype=np.float32)
-        dhu = np.empty_like(da)
+        before, z, r, c, hc = (np.stack(x) for x in zip(*trace, strict=True))
+        # what a state's gradient gives for the candidate, z and r, but for the gradient itself
+        to_c, to_z, to_r = (1 - z) * (1 - c * c), (before - c) * z * (1 - z), hc * r * (1 - r)
+        keep = 1 - fresh[:, :, None]
+        d = np.empty((*x.shape, 4 * HIDDEN), dtype=np.float32)
+        u, n = self.p["u"], HIDDEN
+        by_h = np.concatenate([u[:, : 2 * n].T, np.zeros((n, n), u.dtype), u[:, 2 * n :].T])
         carry = np.zeros_like(h0)
         for s in range(len(x) - 1, -1, -1):
-            before, z, r, c, hc = trace[s]
             dn = back[s] + carry
-            dc = dn * (1 - z) * (1 - c * c)
-            da[s, :, :HIDDEN] = dn * (before - c) * z * (1 - z)
-            da[s, :, HIDDEN : 2 * HIDDEN] = dc * hc * r * (1 - r)
-            da[s, :, 2 * HIDDEN :] = dc
-            dhu[s, :, : 2 * HIDDEN] = da[s, :, : 2 * HIDDEN]
-            dhu[s, :, 2 * HIDDEN :] = dc * r
-            carry = dn * z + dhu[s] @ u.T
-            if fresh[s].any():
-                carry *= (1 - fresh[s])[:, None]
-        before = np.concatenate([t[0] for t in trace])
-        g["u"] = before.T @ dhu.reshape(-1, 3 * HIDDEN)
-        flat, ids = da.reshape(-1, 3 * HIDDEN), x.ravel()
+            dc = dn * to_c[s]
+            d[s, :, :n], d[s, :, n : 2 * n], d[s, :, 2 * n : 3 * n], d[s, :, 3 * n :] = dn * to_z[s], dc * to_r[s], dc, dc * r[s]
+            carry = (dn * z[s] + d[s] @ by_h) * keep[s]
+        flat, ids = d.reshape(-1, 4 * n), x.ravel()
+        by_state = before.reshape(-1, n).T @ flat
+        g["u"] = np.concatenate([by_state[:, : 2 * n], by_state[:, 3 * n :]], axis=1)
+        flat = flat[:, : 3 * n]
         order = np.argsort(ids, kind="stable")
         met, first = np.unique(ids[order], return_index=True)
         g["inp"] = np.zeros_like(self.p["inp"])
