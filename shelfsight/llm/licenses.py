@@ -143,7 +143,7 @@ CLAUSES = (
     ("hope", "gpl", 70, 0.8, r"(?:is )?distributed in the hope that it will be useful"),
     ("received", "gpl", 72, 0.8, r"you should have received a copy of the gnu (?:general|lesser general|affero general|library general) public license"),
     ("copyleft", "gpl", 68, 0.7, r"gnu general public license(?: \S+){0,4} is a free copyleft license"),
-    ("freedoms", "gpl-3.0", 66, 0.7, r"to protect your rights we need to prevent others from denying you these rights or asking you to surrender (?:the rights|your freedoms)"),
+    ("surrender", "gpl-3.0", 66, 0.7, r"to protect your rights we need to prevent others from denying you these rights or asking you to surrender (?:the rights|your freedoms)"),
     ("freedoms", "gpl-3.0", 66, 0.7, r"must pass on to the recipients the same freedoms"),
     ("preamble", "gpl", 64, 0.7, r"preamble the licenses for most software are designed to take away your freedom"),
     ("verbatim", "gpl", 50, 0.6, r"everyone is permitted to copy and distribute verbatim copies of this license document"),
