@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_bpe import bpe_digests
 from .common import LOWER, UPPER, table
+from .conversations import damaged, repair_report
 from .language_model import score_language
 from .licenses import scan_licenses
 from .decontaminate import find_leaks
@@ -13,6 +15,7 @@ from .line_dedup import line_report
 from .nearest import nearest
 from .pieces import piece_digests
 from .quality import score_quality
+from .runs import periodic_runs, planted_text, run_report
 from .secrets import find_secrets
 from .simhash import simhash_groups
 from .url_filter import judge_urls
@@ -20,6 +23,7 @@ from .url_filter import judge_urls
 #: verdict, host, path
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 PIECE_MODEL = "piece_bpe_32k.model"
+BYTE_RANKS = "byte_bpe_50k.tiktoken"
 
 
 def tokenizer_path(name: str) -> str:
@@ -28,6 +32,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def token_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -68,6 +78,19 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return run_report(periodic_runs(docs.withColumn("text", planted_text(F.col("doc_id"), F.col("text")))))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_RANKS), token_pattern())
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(damaged(table(spark, sf_dir, "conversations")))
+
+
 OP2_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
@@ -99,5 +122,9 @@ SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.verdict, 'allow') AS verdic
 FROM u LEFT JOIN f ON f.page_id = u.page_id AND f.n = 1
 """
 
-QUERIES = {"op1_quality": op1_quality, "op2_nearest": op2_nearest, "op3_simhash": op3_simhash, "op4_decontaminate": op4_decontaminate, "op5_line_dedup": op5_line_dedup, "op6_language_model": op6_language_model, "op7_licenses": op7_licenses, "op8_url_filter": op8_url_filter, "op9_pieces": op9_pieces, "op10_secrets": op10_secrets}
+QUERIES = {
+    "op1_quality": op1_quality, "op2_nearest": op2_nearest, "op3_simhash": op3_simhash, "op4_decontaminate": op4_decontaminate, "op5_line_dedup": op5_line_dedup,
+    "op6_language_model": op6_language_model, "op7_licenses": op7_licenses, "op8_url_filter": op8_url_filter, "op9_pieces": op9_pieces, "op10_secrets": op10_secrets,
+    "op11_runs": op11_runs, "op12_byte_bpe": op12_byte_bpe, "op13_conversations": op13_conversations,
+}
 ORACLES = {"op2_nearest": OP2_SQL, "op8_url_filter": OP8_SQL}
