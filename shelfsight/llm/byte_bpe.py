@@ -10,8 +10,10 @@ own, so nothing is joined across matches. Ids are decoded by the inverse mapping
 A match that is a token itself is that token, as in the rank file's own library; the model gives
 the same, which the constructor checks for every token of the vocabulary.
 
-Each task keeps the matches it has seen in a table, which is emptied at ``table_rows`` matches;
-matches over ``LONG`` characters aren't kept, so memory is bounded whatever the corpus holds.
+No match goes from a character that isn't white space over to a space, so a text may be cut before a
+space between two such characters, and its matches are those of the chunks. Each task keeps the chunks and the matches it has
+seen in a table, which is emptied at ``table_rows`` rows; those over ``LONG`` characters aren't
+kept, so memory is bounded whatever the corpus holds.
 The rank file is read on the driver (under a megabyte) and its model sent with the task.
 """
 
@@ -19,8 +21,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from pathlib import Path
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -29,9 +33,13 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches
 
-TABLE_ROWS = 200_000
-#: Matches of more characters are encoded anew at each place.
+TABLE_ROWS = 300_000
+#: Characters of texts that are encoded together.
+GROUP = 1 << 20
+#: Chunks and matches of more characters are encoded anew at each place.
 LONG = 64
+#: A chunk ends before a space that follows a character other than white space and is followed by one.
+CHUNK = re.compile(r"\s*\S+(?:(?! \S)\s+\S*)*|\s+")
 #: Where the characters of bytes begin.
 BASE = 0x100
 LETTERS = {b: chr(BASE + b) for b in range(256)}
@@ -84,36 +92,53 @@ class MatchTable:
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.cut = regex.compile(pattern).findall
         self.bytes_of = [as_bytes(self.sp.id_to_piece(i)) for i in range(1, self.sp.get_piece_size())]
-        self.rows, self.seen = table_rows, {}
+        self.rows = table_rows
+        self.ids_of: dict[str, bytes] = {}  # of matches and chunks
+        self.bytes_at: dict[str, bytes] = {}
 
     def whole_tokens(self) -> bool:
         """Whether every token of the vocabulary is encoded as itself."""
         n = len(self.bytes_of)
         return self.sp.encode([self.sp.id_to_piece(i) for i in range(1, n + 1)], num_threads=1) == [[i] for i in range(1, n + 1)]
 
-    def entries(self, matches: list[str]) -> list[tuple[int, bytes, bytes]]:
-        """Number of ids, ids as little-endian unsigned 32-bit integers and decoded bytes of each match."""
-        ids = self.sp.encode([as_piece(m.encode()) for m in matches], num_threads=1)
-        out = []
-        for own in ids:
-            tokens = np.array(own, dtype="<u4") - np.uint32(1)
-            out.append((len(own), tokens.tobytes(), b"".join([self.bytes_of[i] for i in tokens])))
+    def learn(self, chunks: set[str]) -> list[str]:
+        """Put ids and bytes of new chunks into the tables; those that are too long to stay."""
+        cuts = {c: self.cut(c) for c in chunks}
+        new = list({m for own in cuts.values() for m in own if m not in self.ids_of})
+        of = self.bytes_of
+        for m, ids in zip(new, self.sp.encode([as_piece(m.encode()) for m in new], num_threads=1), strict=True):
+            tokens = [i - 1 for i in ids]
+            self.ids_of[m] = pack(f"<{len(ids)}I", *tokens)
+            self.bytes_at[m] = b"".join([of[i] for i in tokens])
+        for c, own in cuts.items():
+            if len(own) > 1:
+                self.ids_of[c] = b"".join([self.ids_of[m] for m in own])
+                self.bytes_at[c] = b"".join([self.bytes_at[m] for m in own])
+        return [x for x in (*new, *cuts) if len(x) > LONG]
+
+    def encode_all(self, texts: list[str]) -> list[tuple[int, bytes, bytes]]:
+        """Number of ids, ids as little-endian unsigned 32-bit integers and decoded bytes of each text."""
+        out, at = [], 0
+        while at < len(texts):
+            stop, chars = at, 0
+            while stop < len(texts) and chars < GROUP:
+                chars += len(texts[stop])
+                stop += 1
+            if len(self.ids_of) > self.rows:
+                self.ids_of.clear()
+                self.bytes_at.clear()
+            chunks = [CHUNK.findall(x) for x in texts[at:stop]]
+            long = self.learn({c for own in chunks for c in own if c not in self.ids_of})
+            for own in chunks:
+                ids = b"".join(map(self.ids_of.__getitem__, own))
+                out.append((len(ids) // 4, ids, b"".join(map(self.bytes_at.__getitem__, own))))
+            for x in set(long):
+                del self.ids_of[x], self.bytes_at[x]
+            at = stop
         return out
 
-    def look_up(self, text: str) -> list[tuple[int, bytes, bytes]]:
-        matches = self.cut(text)
-        if len(self.seen) > self.rows:
-            self.seen = {}
-        new = [m for m in set(matches) if m not in self.seen]
-        found = dict(zip(new, self.entries(new), strict=True)) if new else {}
-        got = [self.seen.get(m) or found[m] for m in matches]
-        self.seen.update((m, e) for m, e in found.items() if len(m) <= LONG)
-        return got
-
     def encode(self, text: str) -> tuple[int, bytes, bytes]:
-        """Number of ids, the packed ids and the decoded bytes of a text."""
-        got = self.look_up(text)
-        return sum([g[0] for g in got]), b"".join([g[1] for g in got]), b"".join([g[2] for g in got])
+        return self.encode_all([text])[0]
 
     def ids(self, text: str) -> np.ndarray:
         return np.frombuffer(self.encode(text)[1], dtype="<u4")
@@ -177,7 +202,7 @@ def bpe_digests(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_
         table = MatchTable(model, pattern)
         sha = lambda s: hashlib.sha256(s).hexdigest()
         for b in batches:
-            got = [table.encode(x) for x in b[text]]
+            got = table.encode_all(list(b[text]))
             yield pd.DataFrame({key: b[key], "n_tokens": [g[0] for g in got], "ids_sha256": [sha(g[1]) for g in got], "decoded_sha256": [sha(g[2]) for g in got]})
 
     return _narrow(docs, key, text).mapInPandas(run, _schema(docs, key, "n_tokens long, ids_sha256 string, decoded_sha256 string"))
