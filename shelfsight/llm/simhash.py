@@ -228,8 +228,6 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 3, key: str
 
 #: Shingles of the similarity and its least value.
 SIMILAR_WORDS, SIMILAR = 5, 0.8
-#: Bits in which fingerprints of texts with the similarity may differ: 9.7 are expected, and more than this has odds of 1e-6.
-APART = 26
 #: Shingles in the prefixes of more texts are hot; at most so many of them come last in the order of shingles.
 HOT, LATE = 200, 50_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -277,8 +275,13 @@ def as_set(x: bytes) -> np.ndarray:
     return np.frombuffer(x, dtype=np.uint32)
 
 
+def parity_map(own: np.ndarray) -> int:
+    """64 parities of a set's hashes by their last bits, as a signed number: two maps differ in no more bits than the sets in members."""
+    return int(np.bitwise_xor.reduce(np.int64(1) << (own & np.uint32(63)).astype(np.int64), initial=np.int64(0)))
+
+
 def text_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``id, whole, fp, b, n, s``: a digest of the words in order, fingerprint (bytes and long), number and sorted 32-bit hashes of distinct shingles."""
+    """``id, whole, fp, b, n, s``: a digest of the words in order, fingerprint, and of the distinct shingles a parity map, their number and sorted 32-bit hashes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
@@ -289,7 +292,7 @@ def text_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
                 hashes = run_hashes(words, SIMILAR_WORDS, known)
                 bits = majority_bits(hashes)
                 own = np.unique((hashes >> np.uint64(32)).astype(np.uint32))
-                out.append((d, xxhash.xxh3_128_digest(" ".join(words)), bits.to_bytes(8, "big"), bits - (1 << 64) * (bits >> 63), len(own), own.tobytes()))
+                out.append((d, xxhash.xxh3_128_digest(" ".join(words)), bits.to_bytes(8, "big"), parity_map(own), len(own), own.tobytes()))
             yield pd.DataFrame(out, columns=["id", "whole", "fp", "b", "n", "s"])
 
     return bounded_batches(docs).select(F.col(key).alias("id"), text).mapInPandas(run, "id long, whole binary, fp binary, b long, n int, s binary")
@@ -335,10 +338,11 @@ def with_component(rows: DataFrame, links: DataFrame, id_: str = "id", name: str
 
 
 def _may_be_alike(x: str, y: str) -> Column:
-    """Different components, fingerprints not too far apart, and room for the overlap from a shared shingle on."""
+    """Different components, parity maps no further apart than alike sets, and room for the overlap from a shared shingle on."""
     n, m, i, j = F.col(f"{x}n"), F.col(f"{y}n"), F.col(f"{x}i"), F.col(f"{y}i")
-    near = F.bit_count(F.col(f"{x}b").bitwiseXOR(F.col(f"{y}b"))) <= APART
-    return (F.col(f"{x}o") != F.col(f"{y}o")) & (m * 5 >= n * 4) & (n * 5 >= m * 4) & (F.least(n - i, m - j) >= overlap(n, m)) & near
+    need = overlap(n, m)
+    near = F.bit_count(F.col(f"{x}b").bitwiseXOR(F.col(f"{y}b"))) <= n + m - 2 * need
+    return (F.col(f"{x}o") != F.col(f"{y}o")) & (m * 5 >= n * 4) & (n * 5 >= m * 4) & (F.least(n - i, m - j) >= need) & near
 
 
 def _pairs(df: DataFrame) -> DataFrame:
@@ -351,8 +355,8 @@ def remaining_links(sets: DataFrame, links: DataFrame) -> DataFrame:
     An exact prefix join, as for lines: in any common order of shingles, sets with the similarity
     share one of their first n - ceil(0.8 n) + 1, and the first shared one leaves room for the
     overlap. The order is by hash; shingles that many texts share come last, so that a passage
-    common to different texts seldom makes pairs. Fingerprints sift the pairs before their sets
-    are joined. First one pair of each text is verified, which connects most of a group of copies,
+    common to different texts seldom makes pairs. Sizes, places and parity maps sift the pairs before their
+    sets are joined; none of them drops a pair that is alike. First one pair of each text is verified, which connects most of a group of copies,
     then those that are still apart.
     """
     late = hot_shingles(sets)
