@@ -79,4 +79,15 @@ class RecallGrid:
     quotas: dict = field(default_factory=lambda: {"Q1": (30, 20), "Q2": (60, 40), "Q3": (90, 60)})
 
 
+@dataclass(frozen=True)
+class Service:
+    """Least, most and ideal share of demand served, most stock to demand, most stock where nothing sells (fixed values)."""
+
+    fill_target: float = 0.9091
+    fill_max: float = 0.9180
+    fill_ideal: float = 0.912
+    ratio_max: float = 1.80
+    zeros_max: int = 120_000
+
+
 SPLITS = Splits()

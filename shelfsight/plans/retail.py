@@ -111,7 +111,6 @@ QUERIES: dict[str, Query] = {
     "demand_eval": _by(forecast, C.demand_eval),
     "temporal_contract": _by(scores, C.temporal_contract),
     "window_overlap": _by(scores, C.temporal_contract, C.window_overlap),
-    "calibration_grid": lambda spark, sf_dir: C.calibration_grid(spark),
     "grid_eval": _by(scores, C.grid_eval),
     "grid_argmin": _by(scores, C.grid_eval, C.grid_argmin),
     "recalibrated_forecast": _by(recalibrated, lambda d: d.drop("config_id", "p", "lost_12w")),

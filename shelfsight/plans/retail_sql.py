@@ -152,7 +152,6 @@ FINAL: dict[str, str] = {
     "temporal_contract": "SELECT *, part = 'DEV_TUNE' AS can_tune, part = 'DEV_SELECT' AS can_select, part = 'LOCKED_TEST' AS can_report FROM contract",
     "window_overlap": """SELECT a.part AS part_a, b.part AS part_b, count(*) AS overlaps FROM contract a JOIN contract b ON a.target_start <= b.target_end AND b.target_start <= a.target_end
       WHERE a.part IN ('DEV_TUNE', 'DEV_SELECT') AND b.part = 'LOCKED_TEST' GROUP BY 1, 2""",
-    "calibration_grid": "SELECT * FROM grid",
     "grid_eval": f"SELECT config_id, n, {r('viol_80', 'viol_90', 'ratio_median', 'ratio_over_5', 'loss')} FROM grideval",
     "grid_argmin": f"SELECT config_id, n, {r('viol_80', 'viol_90', 'ratio_median', 'ratio_over_5', 'loss')} FROM grideval ORDER BY grideval.loss, config_id LIMIT 1",
     "recalibrated_forecast": f"SELECT sku_id, week, season_group, part, {r('yhat', 'q80', 'q90', 'q95', 'cap', 'y_12w')}, over_cap, event_12w FROM recal",

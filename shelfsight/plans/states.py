@@ -157,7 +157,6 @@ QUERIES: dict[str, Query] = {
     "state_calibration": _by(stated, N.state_calibration),
     "recent_sales": _by(fine_panel, O.recent_sales),
     "oos_features": _of(oos_features, *KEYS, "part", "run_bucket", *O.COMPONENTS, "gap", "true_zero"),
-    "oos_grid": lambda spark, sf_dir: O.policy_grid(spark),
     "oos_policy_eval": _by(oos_policies),
     "oos_frozen": _by(oos_policies, O.frozen_policy),
     "oos_scores": _of(oos_scores, *KEYS, "part", "suspected", "expected_lost", "priority", "flag", "difficult"),
@@ -165,14 +164,12 @@ QUERIES: dict[str, Query] = {
     "topk_curve": _by(oos_scores, O.top_k_curve),
     "weekly_topk": _by(oos_scores, O.weekly_top_k),
     "difficult_scores": _by(oos_scores, L.difficult_scores, lambda d: d.select(*KEYS, "season_group", *(f"pr_{c}" for c in L.RANKED[:5]), "score", "rank", "gate_A", "gate_B", "gate_C")),
-    "layer_grid": lambda spark, sf_dir: L.layer_grid(spark),
     "layer_eval": _by(layer_policies),
     "layer_frozen": _by(layer_policies, L.frozen_layer),
     "combined_alerts": _of(layered, *KEYS, "season_group", "source", "alert"),
     "layer_metrics": _by(layered, L.layer_metrics),
     "uplift_verdict": _by(layered, L.layer_metrics, L.uplift_verdict),
     "recall_candidates": _by(layered, L.recall_scores, lambda d: d.select(*KEYS, "type", "segment", "score_F1", "score_F2", "score_F3", "gate_C", "gate_D", "gate_E")),
-    "recall_grid": lambda spark, sf_dir: L.recall_grid(spark),
     "recall_eval": _by(recall_policies),
     "recall_verdict": _two(L.recall_verdict, _recall_frozen, recall_policies),
     "three_layer_alerts": _by(third, lambda d: d.select(*KEYS, "season_group", "source_3", "alert_3")),

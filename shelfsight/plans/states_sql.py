@@ -68,7 +68,6 @@ FINAL["oos_features"] = f"SELECT sku_id, week, part, run_bucket, {r(*_c, 'gap',
 FINE["weights"] = "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {', '.join(f'{x}::DOUBLE' for x in w)})" for k, w in WEIGHTS.items()) + ") t(policy, w1, w2, w3, w4, w5, w6)"
 FINE["ogrid"] = """SELECT row_number() OVER (ORDER BY policy, t, j)::INT AS candidate_id, policy, t::DOUBLE AS threshold, scope, top_n::INT AS top_n FROM weights, unnest([0.30, 0.40, 0.50, 0.60]) x(t),
   (VALUES (1, 'global', 50), (2, 'global', 100), (3, 'global', 200), (4, 'season', 20), (5, 'season', 50)) n(j, scope, top_n)"""
-FINAL["oos_grid"] = "SELECT candidate_id, policy, threshold, scope, top_n FROM ogrid"
 _susp = "round(greatest(least((" + " + ".join(f"w{i} * {c}" for i, c in enumerate(_c, 1)) + ") * (1 - true_zero), 1), 0), 9)"
 _prio = "round(suspected * ln(1 + gap) * CASE WHEN season_group = 'HIGH_SEASON' THEN 1.2 ELSE 1.0 END, 9)"
 FINE["tried"] = f"SELECT *, {_prio} AS priority FROM (SELECT f.*, w.policy, {_susp} AS suspected FROM oosf f, weights w WHERE part = 'DEV_SELECT')"
@@ -107,7 +106,6 @@ FINE["hard"] = "SELECT *, row_number() OVER (PARTITION BY week, season_group ORD
 FINAL["difficult_scores"] = f"SELECT sku_id, week, season_group, {r(*(f'pr_{c}' for c in _ranked[:5]), 'score')}, rank, gate_A, gate_B, gate_C FROM hard"
 _pct = "(VALUES ('P1', {}), ('P2', {}), ('P3', {})) p(pn, pct_high, pct_rest), (VALUES ('Q1', {}), ('Q2', {}), ('Q3', {})) q(qn, quota_high, quota_rest)"
 FINE["lgrid"] = "SELECT 'GATE_' || gate || '_' || pn || '_' || qn AS policy, gate, pct_high::DOUBLE AS pct_high, pct_rest::DOUBLE AS pct_rest, quota_high::INT AS quota_high, quota_rest::INT AS quota_rest FROM (VALUES ('A'), ('B'), ('C')) g(gate), " + _pct.format("0.94, 0.94", "0.90, 0.92", "0.85, 0.87", "5, 8", "10, 15", "20, 30")
-FINAL["layer_grid"] = "SELECT * FROM lgrid"
 _alert = "score >= CASE WHEN season_group = 'HIGH_SEASON' THEN pct_high ELSE pct_rest END AND rank <= CASE WHEN season_group = 'HIGH_SEASON' THEN quota_high ELSE quota_rest END AND CASE gate WHEN 'A' THEN gate_A WHEN 'B' THEN gate_B ELSE gate_C END = 1"
 FINE["lhits"] = f"SELECT policy, week, event_12w, expected_lost FROM hard, lgrid WHERE part = 'DEV_SELECT' AND {_alert}"
 FINE["lweek"] = "SELECT policy, week, count(*) AS a, sum(event_12w) AS h, sum(expected_lost) AS lost FROM lhits GROUP BY 1, 2"
@@ -142,7 +140,6 @@ FINE["recalls"] = f"""SELECT *, {_mix((0.30, 0.25, 0.20, 0.15, 0.10, 0))} AS sco
   {_gate(1, 0.25, 0.01, 0.01)}::INT AS gate_C, ({_gate(0.5, 0.10, 0.005, 0.005)} AND {_z})::INT AS gate_D, (expected_lost >= 1 AND gated >= 1 AND {_z})::INT AS gate_E FROM recall0"""
 FINAL["recall_candidates"] = f"SELECT sku_id, week, type, segment, {r('score_F1', 'score_F2', 'score_F3')}, gate_C, gate_D, gate_E FROM recalls"
 FINE["rgrid"] = "SELECT formula || '_' || gate || '_' || pn || '_' || qn AS policy, formula, gate, pct_high::DOUBLE AS pct_high, pct_rest::DOUBLE AS pct_rest, quota_high::INT AS quota_high, quota_rest::INT AS quota_rest FROM (VALUES ('F1'), ('F2'), ('F3')) f(formula), (VALUES ('C'), ('D'), ('E')) g(gate), " + _pct.format("0.87, 0.85", "0.83, 0.80", "0.80, 0.75", "30, 20", "60, 40", "90, 60")
-FINAL["recall_grid"] = "SELECT * FROM rgrid"
 FINE["rlong"] = "SELECT sku_id, week, season_group, event_12w, expected_lost, gate_C, gate_D, gate_E, unnest(['F1', 'F2', 'F3']) AS form, unnest([score_F1, score_F2, score_F3]) AS raw FROM recalls WHERE part = 'DEV_SELECT'"
 FINE["rrank"] = "SELECT *, percent_rank() OVER (PARTITION BY form, week ORDER BY raw) AS score, row_number() OVER (PARTITION BY form, week, season_group ORDER BY raw DESC, sku_id) AS rank FROM rlong"
 FINE["rfound"] = f"SELECT policy, count(*) AS alerts, sum(event_12w)::BIGINT AS hits, sum(expected_lost) AS lost FROM rrank JOIN rgrid ON form = formula WHERE {_alert.replace('gate_A', 'gate_C').replace('gate_B', 'gate_D').replace('ELSE gate_C', 'ELSE gate_E').replace(chr(39) + 'A' + chr(39), chr(39) + 'C' + chr(39)).replace(chr(39) + 'B' + chr(39), chr(39) + 'D' + chr(39))} GROUP BY 1"
@@ -301,5 +298,5 @@ FINAL["inventory"] = """SELECT * FROM (WITH RECURSIVE sim AS (SELECT sku_id, t,
 FINAL["smoothed_demand"] = """SELECT a.sku_id, a.week, round(sum(b.y * pow(7.0 / 9, a.at - b.at - 1)) / nullif(sum(CASE WHEN b.at IS NOT NULL THEN pow(7.0 / 9, a.at - b.at - 1) END), 0), 6) AS smoothed FROM numb a LEFT JOIN numb b ON b.sku_id = a.sku_id AND b.at < a.at AND b.at >= a.at - 26 GROUP BY 1, 2"""
 COARSE["numb"] = "SELECT sku_id, week, y, row_number() OVER (PARTITION BY sku_id ORDER BY week) AS at FROM panel"
 
-_FINE_NAMES = {"overlay_spreads", "overlay_forecast", "alert_lists", "version_comparison", "three_layer_alerts", "three_layer_metrics", "third_layer_what_if", "third_layer_what_if_metrics", "season_profile", "season_state", "state_summary", "offseason_gate", "breakdown_metrics", "state_calibration", "recent_sales", "oos_features", "oos_grid", "oos_policy_eval", "oos_frozen", "oos_scores", "flag_metrics", "topk_curve", "weekly_topk", "difficult_scores", "layer_grid", "layer_eval", "layer_frozen", "combined_alerts", "layer_metrics", "uplift_verdict", "recall_candidates", "recall_grid", "recall_eval", "recall_verdict", "missed_events", "layer_audit", "point_eval", "residual_spreads", "overlay_eval"}
+_FINE_NAMES = {"overlay_spreads", "overlay_forecast", "alert_lists", "version_comparison", "three_layer_alerts", "three_layer_metrics", "third_layer_what_if", "third_layer_what_if_metrics", "season_profile", "season_state", "state_summary", "offseason_gate", "breakdown_metrics", "state_calibration", "recent_sales", "oos_features", "oos_policy_eval", "oos_frozen", "oos_scores", "flag_metrics", "topk_curve", "weekly_topk", "difficult_scores", "layer_eval", "layer_frozen", "combined_alerts", "layer_metrics", "uplift_verdict", "recall_candidates", "recall_eval", "recall_verdict", "missed_events", "layer_audit", "point_eval", "residual_spreads", "overlay_eval"}
 ORACLES = {name: oracle(name, FINE if name in _FINE_NAMES else COARSE, FINAL) for name in FINAL}

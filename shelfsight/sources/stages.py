@@ -1,7 +1,9 @@
 """Phase tables: what several later phases read is written once into the shared folder.
 
 A phase is written by the first query of a session that needs it and read by all others, so a
-long chain of phases stays a chain of short plans, and a lost executor costs a re-read.
+long chain of phases stays a chain of short plans, and a lost executor costs a re-read. A phase
+holds for the tables as they were: once a table changes, it is written anew. What was
+written goes when the driver's JVM ends, or by ``drop_written``.
 """
 
 from __future__ import annotations
@@ -14,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_WRITTEN: dict[tuple[str, str, str], str] = {}
+_PHASES: dict[tuple[str, str, str, str], str] = {}
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,17 +31,53 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _at(spark: SparkSession, path: str):
+    """A path and its file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _write(df: DataFrame, name: str) -> str:
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at, files = _at(spark, path)
+    df.write.parquet(path)
+    files.deleteOnExit(at)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table, written into the shared folder and read back."""
+    return df.sparkSession.read.schema(df.schema).parquet(_write(df, name))
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Delete every table of this session in the shared folder; their number."""
+    own = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in own:
+        at, files = _at(spark, path)
+        files.delete(at, True)
+    for key in [k for k in _PHASES if k[0] == spark.sparkContext.applicationId]:
+        del _PHASES[key]
+    return len(own)
+
+
+def tables_state(spark: SparkSession, sf_dir: str) -> str:
+    """Names, sizes and times of the tables of a folder: one listing. A table in several files changes its folder's time."""
+    at, files = _at(spark, sf_dir)
+    return ",".join(sorted(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in files.listStatus(at)))
+
+
 def phase(name: str) -> Callable[[Query], Query]:
     """Marks a function of (spark, sf_dir) as a phase table."""
 
     def wrap(build: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            key = (spark.sparkContext.applicationId, sf_dir, name)
-            if key not in _WRITTEN:
-                path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-                build(spark, sf_dir).write.parquet(path)
-                _WRITTEN[key] = path
-            return spark.read.parquet(_WRITTEN[key])
+            key = (spark.sparkContext.applicationId, sf_dir, name, tables_state(spark, sf_dir))
+            if key not in _PHASES:
+                _PHASES[key] = _write(build(spark, sf_dir), name)
+            return spark.read.parquet(_PHASES[key])
 
         run.__name__ = name
         return run
