@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +31,20 @@ def with_segments(scores: DataFrame, cuts: DataFrame | None = None) -> DataFrame
     return out.withColumns(names).drop(*(f"cut_{k}" for k in range(1, BUCKETS)))
 
 
-def residuals(scores: DataFrame) -> DataFrame:
-    return with_segments(scores).where("split = 'CALIB'").withColumn("score", conformal_score())
+@dataclass(frozen=True)
+class Calibration:
+    """What CALIB and the tuning weeks say about scores; tables of segments, but for the residuals. Written ones are read, not recomputed."""
+
+    cuts: DataFrame
+    resid: DataFrame
+    lookup: DataFrame
+    season: DataFrame
+    caps: DataFrame
+    factors: DataFrame | None = None
+
+
+def residuals(scores: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
+    return with_segments(scores.where("split = 'CALIB'"), bucket_cuts(scores) if cuts is None else cuts).withColumn("score", conformal_score())
 
 
 def quantile_lookup(resid: DataFrame, least: int = MIN_CHILD) -> DataFrame:
@@ -51,9 +65,9 @@ def season_lookup(resid: DataFrame) -> DataFrame:
     return resid.where("score is not null").groupBy("season_group").agg(*(quantile("score", k).alias(f"s{k}") for k in LEVELS))
 
 
-def z_of(rows: DataFrame, resid: DataFrame) -> DataFrame:
+def z_of(rows: DataFrame, known: Calibration) -> DataFrame:
     """z75 to z99 of each row: its segment's, else its season's, else the normal constants."""
-    out = rows.join(F.broadcast(quantile_lookup(resid).drop("parent", "n", "level")), "child", "left").join(F.broadcast(season_lookup(resid)), "season_group", "left")
+    out = rows.join(F.broadcast(known.lookup.drop("parent", "n", "level")), "child", "left").join(F.broadcast(known.season), "season_group", "left")
     return out.withColumns({f"z{k}": F.coalesce(f"z{k}", f"s{k}", F.lit(NORMAL_Z[k])) for k in LEVELS}).drop(*(f"s{k}" for k in LEVELS))
 
 
@@ -64,9 +78,9 @@ def with_tune(rows: DataFrame) -> DataFrame:
     return rows.crossJoin(F.broadcast(cut)).withColumn("tune", F.coalesce(F.col("week") <= F.col("_cut"), F.lit(False))).drop("_cut")
 
 
-def correction_factors(scores: DataFrame, resid: DataFrame) -> DataFrame:
+def correction_factors(scores: DataFrame, known: Calibration) -> DataFrame:
     """By segment: how often the provisional 90 % quantile is exceeded on the tuning weeks, over 0.10, clipped."""
-    rows = z_of(with_segments(with_tune(scores), bucket_cuts(scores)), resid).where("active and split = 'VAL' and tune")
+    rows = z_of(with_segments(with_tune(scores.where("split = 'VAL'")).where("active and tune"), known.cuts), known)
     rows = rows.withColumn("exceeded", (F.col("y_12w") > F.greatest(F.lit(0.0), F.col("yhat") + F.col("z90") * F.col("scale"))).cast("int"))
     both = rows.groupingSets([["season_group", "child"], ["season_group"]], "season_group", "child").agg(F.grouping("child").alias("_up"), F.count("*").alias("n"), F.avg("exceeded").alias("viol"))
     kids = both.where("_up = 0")
@@ -79,11 +93,10 @@ def quantile_caps(scores: DataFrame) -> DataFrame:
     return scores.where("split in ('TRAIN', 'CALIB')").groupBy("season_group").agg((2 * quantile("y_12w", 99)).alias("cap"))
 
 
-def forecast(scores: DataFrame) -> DataFrame:
+def forecast(scores: DataFrame, known: Calibration) -> DataFrame:
     """q75 to q99 of every row: yhat + z * factor * scale, pairwise ordered, floored at 0 and capped by season."""
-    resid = residuals(scores)
-    rows = z_of(with_segments(scores), resid)
-    rows = rows.join(F.broadcast(correction_factors(scores, resid).select("child", "factor")), "child", "left").join(F.broadcast(quantile_caps(scores)), "season_group", "left")
+    rows = z_of(with_segments(scores, known.cuts), known)
+    rows = rows.join(F.broadcast(known.factors.select("child", "factor")), "child", "left").join(F.broadcast(known.caps), "season_group", "left")
     raw = {f"r{k}": greatest_strict(F.lit(0.0), F.col("yhat") + F.col(f"z{k}") * F.coalesce("factor", F.lit(1.0)) * F.col("scale")) for k in LEVELS}
     rows = rows.withColumns(raw)
     out = {}
@@ -156,19 +169,17 @@ def calibration_grid(spark, grid: CalibrationGrid | None = None) -> DataFrame:
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows, 1)], "config_id int, scale_multiplier double, q90_level int, q95_level int, clip_high double")
 
 
-def grid_eval(scores: DataFrame, part: str = "DEV_TUNE", grid: CalibrationGrid | None = None) -> DataFrame:
+def grid_eval(scores: DataFrame, known: Calibration, part: str = "DEV_TUNE", grid: CalibrationGrid | None = None) -> DataFrame:
     """Loss of every configuration on one part of the contract.
 
     The grid is broadcast against that part's rows only and aggregated at once.
     """
     g = grid or CalibrationGrid()
-    resid = residuals(scores)
     levels = sorted({*g.q90, *g.q95})
-    extra = resid.where("score is not null").groupBy("parent").agg(quantile("score", 80).alias("x80"), *(quantile("score", k).alias(f"x{k}") for k in levels))
-    rows = with_segments(scores).where(F.col("active") & (F.col("split") == "VAL") & (contract(F.col("week")) == part))
+    extra = known.resid.where("score is not null").groupBy("parent").agg(quantile("score", 80).alias("x80"), *(quantile("score", k).alias(f"x{k}") for k in levels))
+    rows = with_segments(scores.where(F.col("active") & (F.col("split") == "VAL") & (contract(F.col("week")) == part)), known.cuts)
     rows = rows.join(F.broadcast(extra), "parent").select("child", "y_12w", "yhat", "scale", "x80", *(f"x{k}" for k in levels))
-    factors = correction_factors(scores, resid).select("child", F.col("viol"))
-    rows = rows.join(F.broadcast(factors), "child", "left").crossJoin(F.broadcast(calibration_grid(scores.sparkSession, g)))
+    rows = rows.join(F.broadcast(known.factors.select("child", "viol")), "child", "left").crossJoin(F.broadcast(calibration_grid(scores.sparkSession, g)))
     f = F.least(F.greatest(F.coalesce("viol", F.lit(0.10)) / 0.10, F.lit(g.clip_low)), F.col("clip_high"))
     pick = lambda name: F.coalesce(*(F.when(F.col(name) == k, F.col(f"x{k}")) for k in levels))
     width = f * F.col("scale") * F.col("scale_multiplier")
@@ -184,21 +195,20 @@ def grid_argmin(evaluated: DataFrame) -> DataFrame:
     return evaluated.orderBy("loss", "config_id").limit(1)
 
 
-def recalibrated(scores: DataFrame, config: DataFrame, grid: CalibrationGrid | None = None) -> DataFrame:
+def recalibrated(scores: DataFrame, config: DataFrame, known: Calibration, grid: CalibrationGrid | None = None) -> DataFrame:
     """Quantiles of every validation row by one configuration of the grid, in cumulative order.
 
     config: one row with ``config_id``. The cap of the season is carried and flagged, not applied;
     labels stay out of the strict parts (``OUTSIDE``).
     """
     g = grid or CalibrationGrid()
-    resid = residuals(scores)
     levels = sorted({*g.q90, *g.q95})
     quantiles = lambda name: [quantile("score", k).alias(f"{name}{k}") for k in (80, *levels)]
-    known = resid.where("score is not null")
-    by_parent, by_season = known.groupBy("parent").agg(*quantiles("x")), known.groupBy("season_group").agg(*quantiles("s"))
-    rows = with_segments(scores).where("split = 'VAL'").withColumn("part", contract(F.col("week")))
+    scored = known.resid.where("score is not null")
+    by_parent, by_season = scored.groupBy("parent").agg(*quantiles("x")), scored.groupBy("season_group").agg(*quantiles("s"))
+    rows = with_segments(scores.where("split = 'VAL'"), known.cuts).withColumn("part", contract(F.col("week")))
     rows = rows.join(F.broadcast(by_parent), "parent", "left").join(F.broadcast(by_season), "season_group", "left")
-    rows = rows.join(F.broadcast(correction_factors(scores, resid).select("child", "viol")), "child", "left").join(F.broadcast(quantile_caps(scores)), "season_group", "left")
+    rows = rows.join(F.broadcast(known.factors.select("child", "viol")), "child", "left").join(F.broadcast(known.caps), "season_group", "left")
     one = calibration_grid(scores.sparkSession, g).join(config.select("config_id"), "config_id")
     rows = rows.crossJoin(F.broadcast(one))
     z = lambda k: F.coalesce(f"x{k}", f"s{k}", F.lit(NORMAL_Z.get(k)))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import LayerGrid, RecallGrid
 from ..functions.columns import fixed, positive, ratio
+from .ranks import percent_ranks
 
 #: Shares of the percentiles of suspicion, priority, expected loss, probability, forecast.
 DIFFICULT_WEIGHTS = (0.30, 0.25, 0.20, 0.15, 0.10)
@@ -35,7 +36,7 @@ def passes(gate: tuple[float, float, float, float]) -> Column:
 
 def percentiles(rows: DataFrame, by: Sequence[str], columns: Sequence[str] = RANKED) -> DataFrame:
     """``pr_<column>``: percent rank within the groups."""
-    return rows.withColumns({f"pr_{c}": F.percent_rank().over(Window.partitionBy(*by).orderBy(fixed(c, 9))) for c in columns})
+    return percent_ranks(rows, by, {f"pr_{c}": fixed(c, 9) for c in columns})
 
 
 def weighted(weights: Sequence[float]) -> Column:
@@ -172,7 +173,7 @@ def recall_eval(rows: DataFrame, part: str = "DEV_SELECT", grid: RecallGrid | No
     own = rows.where(F.col("part") == part)
     total = own.agg(F.count("*").alias("all"), F.sum("event_12w").alias("events"), F.sum("alert").alias("prior"), F.sum(F.col("alert") * F.col("event_12w")).alias("prior_hits"))
     long = recall_scores(own).select("sku_id", "week", "season_group", "event_12w", "expected_lost", "gate_C", "gate_D", "gate_E", F.explode(F.array(*(F.struct(F.lit(k).alias("formula"), F.col(f"score_{k}").alias("score")) for k in SCORES))).alias("s")).select("*", "s.formula", F.col("s.score").alias("raw")).drop("s")
-    long = long.withColumns({"score": F.percent_rank().over(Window.partitionBy("formula", "week").orderBy("raw")), "rank": F.row_number().over(Window.partitionBy("formula", "week", "season_group").orderBy(F.desc("raw"), "sku_id"))})
+    long = percent_ranks(long, ["formula", "week"], {"score": F.col("raw")}).withColumns({"rank": F.row_number().over(Window.partitionBy("formula", "week", "season_group").orderBy(F.desc("raw"), "sku_id"))})
     hits = _alerts(long, recall_grid(spark, g), g.gates, "formula")
     found = hits.groupBy("policy").agg(F.count("*").alias("alerts"), F.sum("event_12w").alias("hits"), F.sum("expected_lost").alias("lost"))
     out = recall_grid(spark, g).select("policy").join(found, "policy", "left").crossJoin(F.broadcast(total))
@@ -219,7 +220,7 @@ def third_layer(rows: DataFrame, frozen: DataFrame, grid: RecallGrid | None = No
     pick = lambda name, of, kind: F.coalesce(*(F.when(F.col(name) == k, F.col(f"{kind}_{k}")) for k in of))
     both = both.withColumns({"third_score": pick("formula", SCORES, "score"), "_gate": pick("gate", g.gates, "gate")})
     week = Window.partitionBy("week", "season_group")
-    both = both.withColumns({"_pct": F.percent_rank().over(week.orderBy(F.asc_nulls_first("third_score"))), "_rank": F.row_number().over(week.orderBy(F.desc_nulls_last("third_score"), "sku_id"))})
+    both = percent_ranks(both, ["week", "season_group"], {"_pct": F.col("third_score")}).withColumns({"_rank": F.row_number().over(week.orderBy(F.desc_nulls_last("third_score"), "sku_id"))})
     high = F.col("season_group") == "HIGH_SEASON"
     on = (F.col("alert") == 0) & F.col("candidate").isNotNull() & (F.col("_gate") == 1) & (F.col("_pct") >= F.when(high, F.col("pct_high")).otherwise(F.col("pct_rest"))) & (F.col("_rank") <= F.when(high, F.col("quota_high")).otherwise(F.col("quota_rest")))
     third = F.coalesce(on, F.lit(False)).cast("int")

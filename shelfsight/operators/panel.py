@@ -8,6 +8,7 @@ from pyspark.sql.window import WindowSpec
 
 from ..config import DEMAND_LAGS, HORIZON, SPLITS, VIP_CUSTOMERS, Splits
 from ..functions.columns import fixed, iso_week, iso_year, monday, positive, quantile, ratio, season_group
+from .ranks import tiles
 
 
 def by_sku() -> WindowSpec:
@@ -153,4 +154,4 @@ def market_lags(panel: DataFrame, values: DataFrame, customers: DataFrame, split
 def pooled_deciles(labelled: DataFrame, horizon: int = HORIZON) -> DataFrame:
     """Deciles by rank over all splits of a season, as older reports have them: they see later weeks, so no model uses them."""
     rows = labelled.where(F.col("n_future") == horizon).withColumn("split", split_of(F.col("week"))).where("split is not null")
-    return rows.withColumn("decile_pooled", F.ntile(10).over(Window.partitionBy("season_group").orderBy("amplitude", "sku_id", "week")))
+    return tiles(rows, ["season_group"], [F.asc("amplitude"), F.asc("sku_id"), F.asc("week")], 10, "decile_pooled")

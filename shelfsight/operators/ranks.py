@@ -35,10 +35,10 @@ def running_sum(rows: DataFrame, by: Sequence[str], order: Sequence[Column], amo
     dealt = written(dealt.withColumn(PART, F.spark_partition_id()), "ranges")
     sums = dealt.groupBy(*by, PART).agg(F.sum(HERE).alias("_sum"))
     earlier = Window.partitionBy(*by).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*(F.col(c).alias(f"_g_{c}") for c in by), F.col(PART).alias("_g_part"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias(BEFORE))
+    starts = sums.select(*(F.col(c).alias(f"_g_{c}") for c in by), F.col(PART).alias("_range"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias(BEFORE))
     within = Window.partitionBy(PART, *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = dealt.withColumn(name, F.sum(HERE).over(within))
-    both = local.join(starts, _same(local, starts, by, "_g_") & (local[PART] == starts["_g_part"]))
+    both = local.join(starts, _same(local, starts, by, "_g_") & (local[PART] == starts["_range"]))
     return both.select(*rows.columns, (F.col(name) + F.col(BEFORE)).alias(name))
 
 

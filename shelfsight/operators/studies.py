@@ -187,18 +187,31 @@ def whole_units(parts: DataFrame, keys: list[str], name: str, value: str) -> Dat
     return rows.withColumn("whole", (F.col("_f") + F.when(F.col("_rank") <= F.col("_rest"), 1).otherwise(0)).cast("long")).drop("_v", "_f", "_rest", "_rank")
 
 
-def smoothed(panel: DataFrame, span: int = 8, terms: int = 26) -> DataFrame:
-    """Exponentially weighted mean of the last ``terms`` weeks before each week, weights brought to one.
+#: Weeks whose discounted sums are taken together; the decay to this power must stay a normal number.
+BLOCK = 64
 
-    Lists of at most ``terms`` numbers a row; no Python.
+
+def smoothed(panel: DataFrame, span: int = 8) -> DataFrame:
+    """Exponentially weighted mean of all weeks before each week, weights brought to one; null in the first week.
+
+    The recurrence s = decay * s + y is a prefix scan: within blocks of ``BLOCK`` weeks a running sum of y over
+    the decay's powers, which can't overflow there, and the blocks' totals carried from one to the next. Weeks without gaps are
+    expected, as the panel has them.
     """
     decay = 1 - 2.0 / (span + 1)
-    past = F.collect_list("y").over(by_sku().rowsBetween(-terms, -1))
-    weight = F.transform("_past", lambda y, i: F.pow(F.lit(decay), F.size("_past") - 1 - i))
-    rows = panel.select("sku_id", "week", "y", past.alias("_past")).withColumn("_w", weight)
-    total = F.aggregate("_w", F.lit(0.0), lambda a, v: a + v)
-    value = F.aggregate(F.zip_with("_past", "_w", lambda y, w: y * w), F.lit(0.0), lambda a, v: a + v)
-    return rows.select("sku_id", "week", ratio(value, total).alias("smoothed"))
+    power = lambda k: F.pow(F.lit(decay), k)
+    first = Window.partitionBy("sku_id")
+    rows = panel.select("sku_id", "week", F.col("y").cast("double").alias("y")).withColumn("_t", F.datediff("week", F.min("week").over(first)) / 7)
+    rows = rows.withColumns({"_k": F.floor(F.col("_t") / BLOCK).cast("int"), "_j": (F.col("_t") % BLOCK).cast("int")})
+    block = Window.partitionBy("sku_id", "_k").orderBy("_j").rowsBetween(Window.unboundedPreceding, -1)
+    whole = rows.groupBy("sku_id", "_k").agg(F.sum(F.col("y") * power(BLOCK - 1 - F.col("_j"))).alias("_c"))
+    # a list of a number for each 64 weeks; carried[k] is the sum up to the end of block k - 1
+    lists = whole.groupBy("sku_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_c"))), lambda x: x["_c"]).alias("_cs"))
+    step = lambda a, c: F.concat(a, F.array(F.element_at(a, -1) * decay**BLOCK + c))
+    carried = lists.select("sku_id", F.aggregate("_cs", F.array(F.lit(0.0)), step).alias("_carried"))
+    local = F.coalesce(F.sum(F.col("y") * power(-F.col("_j"))).over(block), F.lit(0.0)) * power(F.col("_j") - 1)
+    weight = (1 - power(F.col("_t"))) / (1 - decay)
+    return rows.withColumn("_local", local).drop("y").join(carried, "sku_id").select("sku_id", "week", F.when(F.col("_t") > 0, (F.col("_local") + F.get("_carried", F.col("_k")) * power(F.col("_j"))) / weight).alias("smoothed"))
 
 
 def poisson_weights(seeds: np.ndarray, rounds: int) -> np.ndarray:

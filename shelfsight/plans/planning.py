@@ -1,19 +1,26 @@
-"""Registered queries of quantile regression and replenishment."""
+"""Registered queries of quantile regression, replenishment, calibration by state and deployment."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..config import SPLITS
 from ..functions.columns import rounded
 from ..operators import boosting as B
+from ..operators import allocation as G
 from ..operators import conformal as C
+from ..operators import diagnostics as D
+from ..operators import policy as A
 from ..operators import quantreg as Q
 from ..operators import replenish as R
+from ..operators import statefreeze as Z
+from ..operators import strict as X
 from ..operators import studies as T
+from ..operators import verdicts as V
 from ..sources.stages import Query, phase
-from .retail import _by, _of, panel, scores
-from .states import geo, national, province_shares, stated
+from .retail import _by, _of, forecast, panel, recalibrated, scores
+from .states import fine_residuals, geo, national, province_shares, scores_parts, stated
 
 KEYS = ["sku_id", "week"]
 
@@ -57,8 +64,6 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators import allocation as G
-
     return G.allocated(province_shares(spark, sf_dir), national(spark, sf_dir))
 
 
@@ -88,6 +93,62 @@ def _acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.acceptance(sim, R.strategy_scores(sim), _segments(spark, sf_dir), places(spark, sf_dir))
 
 
+@phase("state-rows")
+def state_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Z.with_violations(stated(spark, sf_dir), Z.segment_scores(fine_residuals(spark, sf_dir)))
+
+
+@phase("state-grid")
+def state_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Z.state_grid_eval(state_rows(spark, sf_dir))
+
+
+@phase("state-recalibrated")
+def state_recalibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Z.state_recalibrated(state_rows(spark, sf_dir), Z.state_frozen(state_grid(spark, sf_dir)))
+
+
+@phase("probabilities")
+def probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forecast with its calibrated probability."""
+    return X.banded(forecast(spark, sf_dir))
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = probabilities(spark, sf_dir)
+    return own.withColumn("part", F.when(F.col("split") == "VAL", C.contract(F.col("week"))))
+
+
+@phase("deployment-gates")
+def gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weeks = C.with_tune(scores(spark, sf_dir)).where("split = 'VAL'").select("week", "tune").distinct()
+    fc, own = forecast(spark, sf_dir), probabilities(spark, sf_dir).where("split = 'VAL'")
+    found = A.alerts(fc, A.policy_best(A.policy_sweep(fc)))
+    late = lambda d: V.gate_part(d, weeks)
+    return V.deployment_gates(V.gate_metrics(late(recalibrated(spark, sf_dir))), late(own), late(found), late(own), V.scope_check(scores(spark, sf_dir)), D.leakage_checks(scores(spark, sf_dir)))
+
+
+def _choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.probability_choice(_parts(spark, sf_dir).drop("band", "p_cal"))
+
+
+def _ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.ranking_comparison(_parts(spark, sf_dir).where("part = 'DEV_SELECT'"))
+
+
+@phase("final-forecast")
+def final_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.final_forecast(probabilities(spark, sf_dir), _choice(spark, sf_dir), _ranking(spark, sf_dir))
+
+
+@phase("final-verdict")
+def verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shares = _shares(spark, sf_dir)
+    return V.final_verdict(
+        gates(spark, sf_dir), _choice(spark, sf_dir), G.reconciliation(shares, national(spark, sf_dir)), shares, G.blind_check(G.blind(scores_parts(spark, sf_dir))), D.guardrails(forecast(spark, sf_dir)),
+    )
+
+
 SIX = R.STRATEGIES[:-1]
 
 QUERIES: dict[str, Query] = {
@@ -105,6 +166,19 @@ QUERIES: dict[str, Query] = {
     "replenishment_scores": _by(replenishment, R.strategy_scores),
     "replenishment_segments": lambda spark, sf_dir: rounded(_segments(spark, sf_dir)),
     "replenishment_acceptance": lambda spark, sf_dir: rounded(_acceptance(spark, sf_dir)),
+    "state_grid_eval": _by(state_grid),
+    "state_frozen": _by(state_grid, Z.state_frozen),
+    "state_recalibrated": _by(state_recalibrated),
+    "state_recalibrated_metrics": _by(state_recalibrated, Z.state_recalibrated_metrics),
+    "scope_check": lambda spark, sf_dir: V.scope_check(scores(spark, sf_dir)),
+    "deployment_gates": _by(gates),
+    "ranking_comparison": lambda spark, sf_dir: rounded(_ranking(spark, sf_dir)),
+    "final_forecast": _by(final_forecast),
+    "examples": _by(forecast, V.examples),
+    "final_verdict": verdict,
+    "blind_national": lambda spark, sf_dir: rounded(V.blind_national(final_forecast(spark, sf_dir), verdict(spark, sf_dir))),
+    "blind_provincial": lambda spark, sf_dir: rounded(V.blind_provincial(_shares(spark, sf_dir), verdict(spark, sf_dir))),
+    "blind_alerts": lambda spark, sf_dir: rounded(V.blind_alerts(final_forecast(spark, sf_dir), verdict(spark, sf_dir))),
     "replenishment_comparison": lambda spark, sf_dir: rounded(R.stock_comparison(plan(spark, sf_dir), R.strategy_scores(replenishment(spark, sf_dir)))),
 }
 

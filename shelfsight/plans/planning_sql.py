@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from .retail_sql import oracle, q, r
+from .retail_sql import oracle, q, r, share
 from .states_sql import COARSE, FINE, div
+from .states_sql import FINAL as BASE_FINAL
 
 COARSE, FINE = dict(COARSE), dict(FINE)
 FINAL: dict[str, str] = {}
@@ -60,5 +61,91 @@ COARSE["rscore"] = """SELECT *, round(abs(fill - 0.912) + 2 * greatest(stock_rat
   coalesce(fill BETWEEN 0.9091 AND 0.9180 AND stock_ratio <= 1.80 AND idle <= 120000, false) AS valid FROM rfig"""
 FINAL["replenishment_fill"] = f"SELECT strategy, n, {r('demand', 'replenished', 'fill', 'stock_ratio', 'short', 'last_stock', 'mean_stock', 'idle', 'excess', 'score')}, valid, row_number() OVER (ORDER BY valid DESC, score, strategy) = 1 AS chosen FROM rscore"
 
-_FINE_NAMES = {"qr_features"}
+# calibration by season and state
+_levels = (80, 90, 91, 92, 95, 96)
+FINE["xchild"] = f"SELECT child, {', '.join(f'{q("score", k)} AS x{k}' for k in _levels)} FROM resid WHERE score IS NOT NULL GROUP BY 1"
+FINE["srows0"] = "SELECT s.*, x80, x90, x91, x92, x95, x96 FROM stated s LEFT JOIN xchild x ON x.child = s.child"
+FINE["stune"] = "SELECT child, state, season_group, (y_12w > greatest(0, gated + coalesce(x90, 1.645) * scale))::INT AS x FROM srows0 WHERE part = 'DEV_TUNE' AND y_12w IS NOT NULL"
+FINE["srows"] = """SELECT s.*, coalesce(f.v, g.v, (SELECT avg(x) FROM stune), 0.10)::DOUBLE AS viol FROM srows0 s LEFT JOIN (SELECT child, state, season_group, avg(x) AS v FROM stune GROUP BY 1, 2, 3) f ON f.child = s.child AND f.state = s.state AND f.season_group = s.season_group
+  LEFT JOIN (SELECT state, season_group, avg(x) AS v FROM stune GROUP BY 1, 2) g ON g.state = s.state AND g.season_group = s.season_group"""
+FINE["sgrid"] = """SELECT row_number() OVER (ORDER BY s, a, b, c)::INT AS config_id, s::DOUBLE AS scale_multiplier, a::INT AS q90_level, b::INT AS q95_level, c::DOUBLE AS clip_high
+  FROM unnest([0.85, 0.90, 0.92, 0.95, 1.00]) t(s), unnest([90, 91, 92]) u(a), unnest([95, 96]) v(b), unnest([0.80, 0.90, 1.00, 1.10, 1.20, 1.50]) w(c)"""
+_sq = """greatest(0, gated + coalesce(x80, 1.282) * w) AS g80, greatest(0, gated + CASE q90_level WHEN 90 THEN coalesce(x90, 1.645) WHEN 91 THEN coalesce(x91, x90, 1.645) ELSE coalesce(x92, x90, 1.645) END * w) AS g90,
+  greatest(0, gated + CASE q95_level WHEN 95 THEN coalesce(x95, 1.960) ELSE coalesce(x96, x95, 1.960) END * w) AS g95"""
+_sw = "least(clip_high, greatest(0.80, viol / 0.10)) * scale * scale_multiplier AS w"
+FINE["stried"] = f"SELECT config_id, state, season_group, y_12w, gated, {_sq} FROM (SELECT r.*, g.*, {_sw} FROM srows r, sgrid g WHERE part = 'DEV_TUNE' AND y_12w IS NOT NULL)"
+FINE["seval0"] = f"""SELECT config_id, state, season_group, count(*) AS n, {", ".join(f"{share(f'y_12w > g{k}')} AS viol_{k}" for k in (80, 90, 95))}, {q("CASE WHEN gated > 0 THEN round(g90 / gated, 9) END", 50)} AS ratio_median, {share("gated > 0 AND round(g90 / gated, 9) > 5")} AS ratio_over_5 FROM stried GROUP BY 1, 2, 3"""
+FINE["seval"] = """SELECT *, round(20 * greatest(viol_90 - 0.12, 0) + 20 * greatest(0.08 - viol_90, 0) + CASE WHEN viol_90 < 0.02 THEN 50 ELSE 0 END + 5 * abs(viol_90 - 0.10) + 3 * greatest(coalesce(ratio_median, 0) - 3, 0) + 2 * ratio_over_5 + abs(viol_80 - 0.20) + CASE WHEN viol_80 < 0.02 THEN 30 ELSE 0 END, 5) AS loss FROM seval0"""
+_flags = "'DEV_TUNE' AS evaluated_on_split, false AS used_locked_test"
+FINAL["state_grid_eval"] = f"SELECT config_id, state, season_group, n, {r('viol_80', 'viol_90', 'viol_95', 'ratio_median', 'ratio_over_5', 'loss')}, {_flags} FROM seval"
+FINE["sown"] = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY state, season_group ORDER BY loss, config_id) AS place FROM seval WHERE n >= 200) WHERE place = 1"
+FINE["sfrozen"] = """SELECT state, season_group, 'STATE' AS level, config_id, n, viol_80, viol_90, viol_95, loss FROM sown UNION ALL SELECT * FROM (
+  SELECT 'GLOBAL_FALLBACK' AS state, 'ALL', 'GLOBAL_FALLBACK', config_id, sum(n)::BIGINT, avg(viol_80), avg(viol_90), avg(viol_95), round(avg(loss), 9) AS loss FROM seval GROUP BY config_id ORDER BY loss, config_id LIMIT 1) WHERE state NOT IN (SELECT state FROM sown)"""
+FINAL["state_frozen"] = f"SELECT state, season_group, level, config_id, n, {r('viol_80', 'viol_90', 'viol_95', 'loss')}, {_flags} FROM sfrozen"
+FINE["sapplied0"] = """SELECT r.*, CASE WHEN f.config_id IS NOT NULL THEN 'STATE' WHEN z.config_id IS NOT NULL THEN 'GLOBAL_FALLBACK' END AS level, coalesce(f.config_id, z.config_id) AS chosen FROM srows r
+  LEFT JOIN (SELECT * FROM sfrozen WHERE level = 'STATE') f ON f.state = r.state AND f.season_group = r.season_group LEFT JOIN (SELECT * FROM sfrozen WHERE level <> 'STATE') z ON true"""
+FINE["sapplied"] = f"SELECT *, greatest(gated, g80) AS p80, greatest(gated, g80, g90) AS p90, greatest(gated, g80, g90, g95) AS p95 FROM (SELECT *, {_sq} FROM (SELECT a.*, g.*, {_sw} FROM sapplied0 a LEFT JOIN sgrid g ON g.config_id = a.chosen))"
+FINAL["state_recalibrated"] = "SELECT sku_id, week, part, state, season_group, level, config_id, round(gated, 6) AS p50, round(y_12w, 6) AS y_12w, round(p80, 6) AS q80, round(p90, 6) AS q90, round(p95, 6) AS q95 FROM sapplied"
+FINAL["state_recalibrated_metrics"] = f"SELECT part, level, season_group, n, {r('viol_80', 'viol_90', 'viol_95', 'wmape', 'width', 'non_monotone')}, part AS evaluated_on_split FROM (" + " UNION ALL ".join(
+    f"SELECT part, {a} AS level, {b} AS season_group, count(*) AS n, {', '.join(f'{share(f"y_12w > p{k}")} AS viol_{k}' for k in (80, 90, 95))}, {div('sum(abs(y_12w - gated))', 'sum(y_12w)')} AS wmape, {div('sum(p90)', 'sum(gated)')} AS width, {share('p90 < p80 OR p95 < p90')} AS non_monotone FROM sapplied WHERE y_12w IS NOT NULL GROUP BY 1, 2, 3" for a, b in (("level", "season_group"), ("'ALL'", "'ALL'"))) + ")"
+
+# deployment
+_span = ", ".join(f"{f}(week) FILTER (split = '{s}') AS {s.lower()}_{n}" for s in ("TRAIN", "CALIB", "VAL") for n, f in (("first", "min"), ("last", "max")))
+COARSE["scope"] = f"""SELECT *, CASE WHEN incomplete > 0 THEN 'FAIL: incomplete labels' WHEN outside > 0 THEN 'FAIL: validation weeks outside their year' WHEN point_forecasts > 0 THEN 'FAIL: point forecasts' ELSE 'OK' END AS status FROM (
+  SELECT {_span}, count(*) FILTER (n_future <> 12) AS incomplete, count(*) FILTER (split = 'VAL' AND week NOT BETWEEN DATE '2000-01-03' AND DATE '2000-12-31') AS outside, count(*) FILTER (n_future = 1) AS point_forecasts FROM scores)"""
+FINAL["scope_check"] = "SELECT * FROM scope"
+_late = "week > (SELECT cut FROM tunecut)"
+COARSE["pall"] = "SELECT b.*, coalesce(r.rate, b.p) AS p_cal FROM pband b LEFT JOIN (SELECT band, avg(event_12w) AS rate FROM pband WHERE split = 'CALIB' GROUP BY 1) r ON r.band = b.band"
+COARSE["gfig"] = f"""SELECT count(*) AS n, {share("y_12w > q90")} AS viol_90, {share("y_12w > q95")} AS viol_95, {share("q90 >= cap")} AS cap_rate, {q("round(q90 / nullif(yhat, 0), 9)", 50)} AS ratio_median, count(*) FILTER (q90 < q80 OR q95 < q90) AS non_monotone,
+  {div("sum(greatest(q90 - y_12w, 0))", "sum(greatest(y_12w - q90, 0))")} AS over_under, {div("sum(abs(y_12w - yhat))", "sum(abs(y_12w))")} AS wmape, 100 * {div("sum(yhat - y_12w)", "sum(y_12w)")} AS bias_pct FROM recal WHERE y_12w IS NOT NULL AND {_late}"""
+COARSE["gall"] = f"""SELECT g.*, (SELECT {div("sum(abs(y_12w - yhat))", "sum(abs(y_12w))")} FROM fc WHERE split = 'VAL' AND y_12w IS NOT NULL AND {_late}) AS wmape_first, alerts, precision, {div("hits", "events")} AS recall, precision / nullif({div("events", "rows_")}, 0) AS lift, brier, brier_raw,
+  (SELECT count(*) FROM leaks WHERE status = 'FAIL') AS bad, (SELECT status FROM scope) AS scope_ FROM gfig g, (SELECT count(*) AS alerts, sum(event_12w) AS hits, {div("sum(event_12w)", "count(*)")} AS precision FROM found WHERE {_late}) a,
+  (SELECT count(*) AS rows_, sum(event_12w) AS events, avg(pow(p - event_12w, 2)) AS brier_raw, avg(pow(p_cal - event_12w, 2)) AS brier FROM pall WHERE split = 'VAL' AND {_late}) b"""
+_g = {"b1_leakage": ("bad = 0", "FAIL"), "b2_scope": ("scope_ = 'OK'", "FAIL"), "b3_coverage": ("viol_90 BETWEEN 0.08 AND 0.12", "FAIL"), "b3b_q95": ("viol_95 BETWEEN 0.03 AND 0.08", "CONDITIONAL"), "b3c_order": ("non_monotone = 0", "FAIL"), "b3d_cap": ("cap_rate <= 0.05", "WARN"), "b3e_ratio": ("ratio_median <= 3.0", "WARN"), "b4_lift": ("lift > 1.5", "FAIL"), "b5_brier": ("brier <= brier_raw", "FAIL"), "b6_wmape": ("wmape <= 1.10 * wmape_first", "FAIL"), "b7_stock": ("over_under <= 3.0", "WARN")}
+COARSE["ggates"] = "SELECT *, " + ", ".join(f"CASE WHEN {c} THEN 'PASS' ELSE '{e}' END AS {n}" for n, (c, e) in _g.items()) + " FROM gall"
+_hard = ("b1_leakage", "b2_scope", "b3_coverage", "b3c_order", "b4_lift", "b6_wmape")
+_list = lambda names: "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} = 'FAIL' THEN '{c}' END" for c in names) + "], lambda x: x IS NOT NULL), ',')"
+FINAL["deployment_gates"] = f"SELECT n, {r('viol_90', 'viol_95', 'cap_rate', 'ratio_median', 'over_under', 'wmape', 'wmape_first', 'bias_pct', 'precision', 'recall', 'lift', 'brier', 'brier_raw')}, non_monotone, alerts, {', '.join(_g)}, {_list(_hard)} AS failed, CASE WHEN {' AND '.join(f'{c} = {chr(39)}PASS{chr(39)}' for c in _hard[:5])} THEN 'DEPLOY' ELSE 'HOLD' END AS verdict FROM ggates"
+COARSE["rktop"] = """SELECT probability, event_12w FROM (SELECT *, row_number() OVER (PARTITION BY probability, week ORDER BY score DESC, sku_id) AS rank FROM (
+  SELECT sku_id, week, event_12w, unnest(['RAW', 'CALIBRATED']) AS probability, unnest([round(p * q90, 9), round(p_cal * q90, 9)]) AS score FROM pall WHERE part = 'DEV_SELECT' AND event_12w IS NOT NULL)) WHERE rank <= 10"""
+COARSE["rkcmp0"] = f"SELECT probability, count(*) AS alerts, sum(event_12w)::BIGINT AS hits, (SELECT {div('sum(event_12w)', 'count(*)')} FROM pall WHERE part = 'DEV_SELECT' AND event_12w IS NOT NULL) AS base_rate, {div('sum(event_12w)', 'count(*)')} AS precision FROM rktop GROUP BY 1"
+COARSE["rkcmp"] = "SELECT *, precision / nullif(base_rate, 0) AS lift, row_number() OVER (ORDER BY round(precision / nullif(base_rate, 0), 9) DESC NULLS LAST, (probability = 'RAW') DESC) = 1 AS chosen FROM rkcmp0"
+FINAL["ranking_comparison"] = f"SELECT probability, alerts, hits, {r('base_rate', 'precision', 'lift')}, chosen FROM rkcmp"
+COARSE["pchoice"] = "SELECT avg(pow(p - event_12w, 2)) AS brier_raw, avg(pow(p_cal - event_12w, 2)) AS brier_cal, CASE WHEN avg(pow(p_cal - event_12w, 2)) <= avg(pow(p - event_12w, 2)) * 1.01 THEN 'CALIBRATED' ELSE 'RAW' END AS for_reports FROM pall WHERE part = 'DEV_SELECT' AND event_12w IS NOT NULL"
+COARSE["final0"] = "SELECT a.*, for_reports AS report_choice, probability AS rank_choice, CASE WHEN for_reports = 'CALIBRATED' THEN p_cal ELSE p END AS p_report, CASE WHEN probability = 'CALIBRATED' THEN p_cal ELSE p END AS p_rank FROM pall a, pchoice, (SELECT probability FROM rkcmp WHERE chosen) WHERE split = 'VAL'"
+COARSE["final"] = "SELECT sku_id, week, season_group, yhat, q80, q90, q95, p AS p_raw, p_cal, p_report, p_rank, report_choice, rank_choice, round(p_rank * q90, 9) AS score, CASE WHEN round(p_report, 9) >= 0.80 THEN 'CRITICAL' WHEN round(p_report, 9) >= 0.60 THEN 'HIGH' WHEN round(p_report, 9) >= 0.40 THEN 'MEDIUM' ELSE 'LOW' END AS tier, q90 - yhat AS buffer_90, q95 - yhat AS buffer_95 FROM final0"
+FINAL["final_forecast"] = f"SELECT sku_id, week, season_group, {r('yhat', 'q80', 'q90', 'q95', 'p_raw', 'p_cal', 'p_report', 'p_rank', 'score', 'buffer_90', 'buffer_95')}, report_choice, rank_choice, tier FROM final"
+_kinds = (("OVER_ON_ZERO", "CASE WHEN y_12w = 0 AND q90 > 0 THEN q90 END"), ("UNDER", "CASE WHEN y_12w > q90 THEN y_12w - q90 END"), ("WIDE", "CASE WHEN yhat >= 5 THEN q90 / nullif(yhat, 0) END"), ("CAPPED", "CASE WHEN q90 >= cap THEN cap END"))
+FINAL["examples"] = " UNION ALL ".join(f"SELECT * FROM (SELECT sku_id, week, season_group, round(yhat, 6) AS yhat, round(q90, 6) AS q90, round(y_12w, 6) AS y_12w, '{k}' AS kind, round({v}, 6) AS value, {i}::INT AS kind_no, row_number() OVER (ORDER BY round({v}, 6) DESC, sku_id, week)::INT AS place FROM fc WHERE split = 'VAL' AND ({v}) IS NOT NULL) WHERE place <= 20" for i, (k, v) in enumerate(_kinds, 1))
+COARSE["guard"] = BASE_FINAL["guardrails"]
+COARSE["recon"] = BASE_FINAL["reconciliation"]
+COARSE["bcheck"] = BASE_FINAL["blind_check"]
+COARSE["fverd0"] = """SELECT g.*, (SELECT CASE WHEN CASE WHEN for_reports = 'CALIBRATED' THEN brier_cal ELSE brier_raw END <= brier_raw * 1.01 THEN 'PASS' ELSE 'FAIL' END FROM pchoice) AS b5_probability, (SELECT for_reports FROM pchoice) AS probability,
+  (SELECT CASE WHEN coalesce(sum(n) FILTER (status = 'FAIL'), 0) = 0 THEN 'PASS' ELSE 'FAIL' END FROM recon) AS d1_reconciled, d2_weights, d3_no_duplicate, b.status AS blind_leakage, CASE WHEN labels = 0 AND events = 0 THEN 'PASS' ELSE 'FAIL' END AS blind_labels, CASE WHEN first_week = 28 AND last_week <= 40 THEN 'PASS' ELSE 'FAIL' END AS blind_range,
+  (SELECT coalesce(min(status) FILTER (starts_with(status, 'FAIL')), max(CASE WHEN status = 'WARN_RATIO' THEN status END), 'PASS') FROM guard) AS ratio_gate FROM ggates g, bcheck b, (SELECT CASE WHEN max(abs(s - 1)) <= 1e-9 THEN 'PASS' ELSE 'FAIL' END AS d2_weights, CASE WHEN count(*) FILTER (s > 1.000001) = 0 THEN 'PASS' ELSE 'FAIL' END AS d3_no_duplicate FROM (SELECT sum(share) AS s FROM alloc GROUP BY sku_id, week))"""
+_fshown = [*(c for c in _g if c != "b5_brier"), "b5_probability", "d1_reconciled", "d2_weights", "d3_no_duplicate", "blind_leakage", "blind_labels", "blind_range", "ratio_gate"]
+_fnames = ("b1_leakage", "b2_scope", "b3_coverage", "b3c_order", "b4_lift", "b5_probability", "d1_reconciled", "d2_weights", "d3_no_duplicate", "blind_leakage", "blind_labels")
+_pass = lambda *c: " AND ".join(f"{x} = 'PASS'" for x in c)
+COARSE["fverdict"] = f"""SELECT {", ".join(_fshown)}, probability, {_list(_fnames).replace("], lambda", ", CASE WHEN starts_with(ratio_gate, 'FAIL') THEN 'ratio_gate' END], lambda")} AS failed,
+  CASE WHEN {_pass("b1_leakage", "b3_coverage", "b4_lift", "b5_probability", "blind_leakage")} THEN CASE WHEN {_pass("b2_scope", "b3c_order", "d1_reconciled", "d3_no_duplicate", "blind_labels")} AND NOT starts_with(ratio_gate, 'FAIL') THEN 'DEPLOY_FULL' ELSE 'DEPLOY_NATIONAL_ONLY' END ELSE 'HOLD' END AS verdict FROM fverd0"""
+FINAL["final_verdict"] = "SELECT * FROM fverdict"
+
+
+def _sentinel(rows: str, columns: dict[str, str], allowed: tuple[str, ...]) -> str:
+    """Rows if the verdict is allowed, else one row of nulls with the failed gates."""
+    yes = f"verdict IN ({', '.join(chr(39) + v + chr(39) for v in allowed)})"
+    nulls = ", ".join(f"NULL::{t} AS {c}" for c, t in columns.items())
+    return f"SELECT {', '.join(columns)}, 'DEPLOYED' AS status FROM ({rows}) x, fverdict WHERE {yes} UNION ALL SELECT {nulls}, 'HOLD_NOT_GENERATED: ' || failed FROM fverdict WHERE NOT {yes}"
+
+
+_num = lambda *c: dict.fromkeys(c, "DOUBLE")
+_key = {"sku_id": "VARCHAR", "week": "DATE"}
+_weeks = "weekofyear(week) BETWEEN 28 AND 40"
+_both = ("DEPLOY_FULL", "DEPLOY_NATIONAL_ONLY")
+_nat = ("yhat", "q80", "q90", "q95", "p_report", "score")
+FINAL["blind_national"] = _sentinel(f"SELECT sku_id, week, season_group, {r(*_nat, 'buffer_90', 'buffer_95')}, tier, NULL::DOUBLE AS y_12w, NULL::INT AS event_12w FROM final WHERE {_weeks}", {**_key, "season_group": "VARCHAR", **_num(*_nat, "buffer_90", "buffer_95"), "tier": "VARCHAR", "y_12w": "DOUBLE", "event_12w": "INT"}, _both)
+FINAL["blind_provincial"] = _sentinel(f"SELECT sku_id, week, province, {r('share', 'yhat', 'q80', 'q90', 'q95')} FROM alloc WHERE {_weeks}", {**_key, "province": "VARCHAR", **_num("share", "yhat", "q80", "q90", "q95")}, _both[:1])
+FINAL["blind_alerts"] = _sentinel(f"SELECT * FROM (SELECT sku_id, week, season_group, {r('score', 'p_rank', 'q90')}, row_number() OVER (PARTITION BY week ORDER BY final.score DESC, sku_id)::INT AS rank FROM final WHERE {_weeks}) WHERE rank <= 10", {**_key, "season_group": "VARCHAR", **_num("score", "p_rank", "q90"), "rank": "INT"}, _both)
+
+_FINE_NAMES = {"qr_features", "state_grid_eval", "state_frozen", "state_recalibrated", "state_recalibrated_metrics"}
 ORACLES = {name: oracle(name, FINE if name in _FINE_NAMES else COARSE, FINAL) for name in FINAL}

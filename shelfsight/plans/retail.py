@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +18,28 @@ from ..sources.retail import fact, sales_only
 from ..sources.stages import Query, phase
 
 
+@phase("fact")
+def fact_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fact(spark, sf_dir)
+
+
+@phase("panel")
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.dense_spine(sales_only(spark, sf_dir))
 
 
+def calibrated(name: str, source: Query) -> Callable[[SparkSession, str], C.Calibration]:
+    """The calibration of scores, each of its tables a phase."""
+    cuts = phase(f"{name}-cuts")(lambda s, d: C.bucket_cuts(source(s, d)))
+    resid = phase(f"{name}-residuals")(lambda s, d: C.residuals(source(s, d), cuts(s, d)))
+    lookup = phase(f"{name}-lookup")(lambda s, d: C.quantile_lookup(resid(s, d)))
+    season = phase(f"{name}-season")(lambda s, d: C.season_lookup(resid(s, d)))
+    caps = phase(f"{name}-caps")(lambda s, d: C.quantile_caps(source(s, d)))
+    part = lambda s, d: C.Calibration(cuts(s, d), resid(s, d), lookup(s, d), season(s, d), caps(s, d))
+    factors = phase(f"{name}-factors")(lambda s, d: C.correction_factors(source(s, d), part(s, d)))
+    return lambda s, d: replace(part(s, d), factors=factors(s, d))
+
+
 @phase("labelled")
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.forward_labels(P.features(panel(spark, sf_dir)))
@@ -31,15 +50,22 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.base_scores(S.closed_form(P.train_calib_split(labelled(spark, sf_dir))))
 
 
+known = calibrated("coarse", scores)
+
+
 @phase("forecast")
 def forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.forecast(scores(spark, sf_dir))
+    return C.forecast(scores(spark, sf_dir), known(spark, sf_dir))
+
+
+@phase("grid")
+def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.grid_eval(scores(spark, sf_dir), known(spark, sf_dir))
 
 
 @phase("recalibrated")
 def recalibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scores(spark, sf_dir)
-    return C.recalibrated(rows, C.grid_argmin(C.grid_eval(rows)))
+    return C.recalibrated(scores(spark, sf_dir), C.grid_argmin(grid(spark, sf_dir)), known(spark, sf_dir))
 
 
 KEYS = ["sku_id", "week"]
@@ -86,24 +112,24 @@ def _alerts(fc: DataFrame) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "wmape_by_season": _by(_wmape),
     "dense_spine": _of(panel, "sku_id", "week", "iso_year", "iso_week", "y", "days_active", "days_nonzero"),
-    "sku_customer_sales": _by(fact, P.sku_customer_sales),
-    "vip_customers": _by(fact, P.vip_customers),
-    "customer_concentration": _by(fact, P.customer_concentration),
-    "value_metrics": _by(fact, P.value_metrics),
+    "sku_customer_sales": _by(fact_table, P.sku_customer_sales),
+    "vip_customers": _by(fact_table, P.vip_customers),
+    "customer_concentration": _by(fact_table, P.customer_concentration),
+    "value_metrics": _by(fact_table, P.value_metrics),
     "lag_features": _of(labelled, *KEYS, *LAGS),
     "rolling_features": _of(labelled, *KEYS, *ROLLING),
-    "market_lags": lambda spark, sf_dir: rounded(P.market_lags(panel(spark, sf_dir), P.value_metrics(fact(spark, sf_dir)), P.customer_concentration(fact(spark, sf_dir)))),
+    "market_lags": lambda spark, sf_dir: rounded(P.market_lags(panel(spark, sf_dir), P.value_metrics(fact_table(spark, sf_dir)), P.customer_concentration(fact_table(spark, sf_dir)))),
     "pooled_deciles": _by(labelled, P.pooled_deciles, lambda d: d.select(*KEYS, "split", "season_group", "decile_pooled")),
     "fourier_season": _of(labelled, *KEYS, "season_group", *FOURIER),
     "oos_proxy": _of(labelled, *KEYS, "oos_proxy", "oos_lag_1", "oos_lag_2", "oos_lag_4", "weeks_since_start"),
     "forward_labels": _of(labelled, *KEYS, *LABELS),
     "split_deciles": _by(labelled, P.train_calib_split, lambda d: d.select(*KEYS, "split", "season_group", "decile")),
     "base_scores": _of(scores, *KEYS, "split", "yhat", "p", "scale", "active", "y_12w", "event_12w"),
-    "conformal_residuals": _by(scores, C.residuals, lambda d: d.select(*KEYS, "child", "parent", "bucket", "score")),
-    "volatility_thresholds": _by(scores, C.bucket_cuts),
-    "quantile_lookup": _by(scores, C.residuals, C.quantile_lookup),
-    "correction_factors": _by(scores, lambda d: C.correction_factors(d, C.residuals(d))),
-    "quantile_caps": _by(scores, C.quantile_caps),
+    "conformal_residuals": _by(lambda *a: known(*a).resid, lambda d: d.select(*KEYS, "child", "parent", "bucket", "score")),
+    "volatility_thresholds": _by(lambda *a: known(*a).cuts),
+    "quantile_lookup": _by(lambda *a: known(*a).lookup),
+    "correction_factors": _by(lambda *a: known(*a).factors),
+    "quantile_caps": _by(lambda *a: known(*a).caps),
     "forecast_quantiles": _of(forecast, *KEYS, *QUANTILES),
     "quantile_sanity": _by(forecast, C.quantile_sanity),
     "coverage": _by(forecast, C.coverage),
@@ -111,8 +137,8 @@ QUERIES: dict[str, Query] = {
     "demand_eval": _by(forecast, C.demand_eval),
     "temporal_contract": _by(scores, C.temporal_contract),
     "window_overlap": _by(scores, C.temporal_contract, C.window_overlap),
-    "grid_eval": _by(scores, C.grid_eval),
-    "grid_argmin": _by(scores, C.grid_eval, C.grid_argmin),
+    "grid_eval": _by(grid),
+    "grid_argmin": _by(grid, C.grid_argmin),
     "recalibrated_forecast": _by(recalibrated, lambda d: d.drop("config_id", "p", "lost_12w")),
     "recalibrated_metrics": _by(recalibrated, C.recalibrated_metrics),
     "strict_sweep": _by(recalibrated, X.family_sweep),

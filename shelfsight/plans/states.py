@@ -20,9 +20,9 @@ from ..operators import policy as A
 from ..operators import scoring as S
 from ..operators import season as N
 from ..operators import studies as T
-from ..sources.retail import fact, sales_only
+from ..sources.retail import sales_only
 from ..sources.stages import Query, phase
-from .retail import _by, _of, forecast, labelled, panel, scores
+from .retail import _by, _of, calibrated, fact_table, forecast, labelled, panel, scores
 
 KEYS = ["sku_id", "week"]
 
@@ -32,14 +32,26 @@ def fine_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.dense_spine(sales_only(spark, sf_dir, 1))
 
 
-@phase("fine-forecast")
-def fine_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = P.forward_labels(P.features(fine_panel(spark, sf_dir)))
-    return C.forecast(_fine_scores(spark, sf_dir, rows))
+@phase("fine-labelled")
+def fine_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.forward_labels(P.features(fine_panel(spark, sf_dir)))
+
+
+@phase("fine-scores")
+def fine_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.base_scores(S.closed_form(P.train_calib_split(fine_labelled(spark, sf_dir))))
+
 
+fine_known = calibrated("fine", fine_scores)
 
-def _fine_scores(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
-    return phase("fine-scores")(lambda *_: S.base_scores(S.closed_form(P.train_calib_split(rows))))(spark, sf_dir)
+
+def fine_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fine_known(spark, sf_dir).resid
+
+
+@phase("fine-forecast")
+def fine_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.forecast(fine_scores(spark, sf_dir), fine_known(spark, sf_dir))
 
 
 @phase("season-states")
@@ -93,12 +105,12 @@ def third_what_if(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @phase("geo")
 def geo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.weekly_geo(fact(spark, sf_dir))
+    return G.weekly_geo(fact_table(spark, sf_dir))
 
 
 @phase("sku-metadata")
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.sku_metadata(fact(spark, sf_dir))
+    return G.sku_metadata(fact_table(spark, sf_dir))
 
 
 def national(spark: SparkSession, sf_dir: str) -> DataFrame:

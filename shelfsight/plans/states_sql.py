@@ -295,7 +295,7 @@ COARSE["flows"] = "SELECT sku_id, week, row_number() OVER (PARTITION BY sku_id O
 FINAL["inventory"] = """SELECT * FROM (WITH RECURSIVE sim AS (SELECT sku_id, t, week, demand, least(repl, demand) AS served, repl - least(repl, demand) AS ending FROM flows WHERE t = 1
   UNION ALL SELECT f.sku_id, f.t, f.week, f.demand, least(s.ending + f.repl, f.demand), s.ending + f.repl - least(s.ending + f.repl, f.demand) FROM sim s JOIN flows f ON f.sku_id = s.sku_id AND f.t = s.t + 1)
   SELECT sku_id, sum(demand) AS demand, sum(served) AS served, round(sum(served) / nullif(sum(demand), 0), 6) AS fill, count(*) FILTER (demand > served) AS short_weeks, round(avg(ending), 6) AS mean_stock, arg_max(ending, week) AS last_stock FROM sim GROUP BY 1)"""
-FINAL["smoothed_demand"] = """SELECT a.sku_id, a.week, round(sum(b.y * pow(7.0 / 9, a.at - b.at - 1)) / nullif(sum(CASE WHEN b.at IS NOT NULL THEN pow(7.0 / 9, a.at - b.at - 1) END), 0), 6) AS smoothed FROM numb a LEFT JOIN numb b ON b.sku_id = a.sku_id AND b.at < a.at AND b.at >= a.at - 26 GROUP BY 1, 2"""
+FINAL["smoothed_demand"] = """SELECT a.sku_id, a.week, round(sum(b.y * pow(7.0::DOUBLE / 9, a.at - b.at - 1)) / nullif(sum(CASE WHEN b.at IS NOT NULL THEN pow(7.0::DOUBLE / 9, a.at - b.at - 1) END), 0), 6) AS smoothed FROM numb a LEFT JOIN numb b ON b.sku_id = a.sku_id AND b.at < a.at GROUP BY 1, 2"""
 COARSE["numb"] = "SELECT sku_id, week, y, row_number() OVER (PARTITION BY sku_id ORDER BY week) AS at FROM panel"
 
 _FINE_NAMES = {"overlay_spreads", "overlay_forecast", "alert_lists", "version_comparison", "three_layer_alerts", "three_layer_metrics", "third_layer_what_if", "third_layer_what_if_metrics", "season_profile", "season_state", "state_summary", "offseason_gate", "breakdown_metrics", "state_calibration", "recent_sales", "oos_features", "oos_policy_eval", "oos_frozen", "oos_scores", "flag_metrics", "topk_curve", "weekly_topk", "difficult_scores", "layer_eval", "layer_frozen", "combined_alerts", "layer_metrics", "uplift_verdict", "recall_candidates", "recall_eval", "recall_verdict", "missed_events", "layer_audit", "point_eval", "residual_spreads", "overlay_eval"}
