@@ -44,6 +44,39 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+class Scratch:
+    """Tables written within a ``with`` block; all but those that are kept go with it.
+
+    What the block gives back may read kept tables only. Blocks nest: what an inner one
+    keeps belongs to the outer one.
+    """
+
+    open_: list[Scratch] = []
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.kept = spark, [], set()
+
+    def __enter__(self) -> Scratch:
+        self.open_.append(self)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.open_.pop()
+        if self.open_:
+            self.open_[-1].paths += [p for p in self.paths if p in self.kept]
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in self.paths:
+            if path not in self.kept:
+                at = jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(conf).delete(at, True)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Write a table that outlives the block."""
+        out = materialise(df, name)
+        self.kept.add(self.paths[-1])
+        return out
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write a table into the shared folder and read it back.
 
@@ -53,6 +86,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if Scratch.open_:
+        Scratch.open_[-1].paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -28,7 +28,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import few, materialise, numbered, unused, whole_text
+from .common import Scratch, few, materialise, numbered, unused, whole_text
 
 #: Similarity 4/5.
 NUM, DEN = 4, 5
@@ -245,8 +245,9 @@ def remove_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "tex
     """
     row, lines_gone = unused(docs, "_row"), unused(docs, "_gone")
     rows = numbered(docs, key, text, row)
-    _, gone = repeated_lines(rows, row, text)
-    removed = materialise(gone.groupBy(F.col("d").alias(row)).agg(F.collect_set("l").alias(lines_gone)), "line-gone")
+    with Scratch(docs.sparkSession) as scratch:
+        _, gone = repeated_lines(rows, row, text)
+        removed = scratch.keep(gone.groupBy(F.col("d").alias(row)).agg(F.collect_set("l").alias(lines_gone)), "line-gone")
     out = rows.join(removed, row, "left")
     kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda s, i: ~F.array_contains(lines_gone, i)), "\n")
     return out.withColumn(text, F.when(F.col(lines_gone).isNull(), F.col(text)).otherwise(kept)).select(*docs.columns)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, FEW, WORD, bounded_batches, by_runs, few, materialise, numbered, repeated, unused
+from .common import ASCII_LOWER, FEW, WORD, Scratch, bounded_batches, by_runs, few, materialise, numbered, repeated, unused
 from .graph import components
 from .line_dedup import candidates, leads, overlap, rest_pairs
 
@@ -280,8 +280,26 @@ def parity_map(own: np.ndarray) -> int:
     return int(np.bitwise_xor.reduce(np.int64(1) << (own & np.uint32(63)).astype(np.int64), initial=np.int64(0)))
 
 
+def wide_map(own: np.ndarray) -> bytes:
+    """The same with two to four bits a member, at least 64; a power of two, so a longer map folds to a shorter one."""
+    width = 1 << max(6, (2 * len(own) - 1).bit_length())
+    odd = np.bincount(own & np.uint32(width - 1), minlength=width).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """Bits in which two wide maps differ, at the length of the shorter one: no more than their sets do in members."""
+    a, b, long, short = int.from_bytes(x, "little"), int.from_bytes(y, "little"), len(x), len(y)
+    if long < short:
+        a, b, long, short = b, a, short, long
+    while long > short:
+        long //= 2
+        a = (a >> 8 * long) ^ (a & ((1 << 8 * long) - 1))
+    return (a ^ b).bit_count()
+
+
 def text_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``id, whole, fp, b, n, s``: a digest of the words in order, fingerprint, and of the distinct shingles a parity map, their number and sorted 32-bit hashes."""
+    """``id, whole, fp, b, m, n, s``: a digest of the words in order, fingerprint, and of the distinct shingles a parity map, a wide one, their number and sorted 32-bit hashes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
@@ -292,10 +310,10 @@ def text_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
                 hashes = run_hashes(words, SIMILAR_WORDS, known)
                 bits = majority_bits(hashes)
                 own = np.unique((hashes >> np.uint64(32)).astype(np.uint32))
-                out.append((d, xxhash.xxh3_128_digest(" ".join(words)), bits.to_bytes(8, "big"), parity_map(own), len(own), own.tobytes()))
-            yield pd.DataFrame(out, columns=["id", "whole", "fp", "b", "n", "s"])
+                out.append((d, xxhash.xxh3_128_digest(" ".join(words)), bits.to_bytes(8, "big"), parity_map(own), wide_map(own), len(own), own.tobytes()))
+            yield pd.DataFrame(out, columns=["id", "whole", "fp", "b", "m", "n", "s"])
 
-    return bounded_batches(docs).select(F.col(key).alias("id"), text).mapInPandas(run, "id long, whole binary, fp binary, b long, n int, s binary")
+    return bounded_batches(docs).select(F.col(key).alias("id"), text).mapInPandas(run, "id long, whole binary, fp binary, b long, m binary, n int, s binary")
 
 
 def hot_shingles(sets: DataFrame) -> np.ndarray:
@@ -315,19 +333,31 @@ def hot_shingles(sets: DataFrame) -> np.ndarray:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` whose sets have the similarity."""
-    pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
-    wanted = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "near-wanted")
-    sets = materialise(few(sets.select("id", "s"), wanted, "id"), "near-sets")
-    side = lambda n: sets.select(F.col("id").alias(n), F.col("s").alias(f"s{n}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
+    """The pairs ``a, b`` whose sets have the similarity.
+
+    Wide parity maps, a sixteenth of a set, drop nearly all pairs that aren't alike, and none that are, before the sets themselves are joined.
+    """
+
+    def may(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            fine = [apart(x, y) <= n + m - 2 * -(-(n + m) * 4 // 9) for x, y, n, m in zip(b["ma"], b["mb"], b["na"], b["nb"], strict=True)]
+            yield b.loc[np.array(fine, dtype=bool), ["a", "b"]]
 
     def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fine = [alike(as_set(x), as_set(y)) for x, y in zip(b["sa"], b["sb"], strict=True)]
             yield b.loc[np.array(fine, dtype=bool), ["a", "b"]]
 
-    return materialise(both.mapInPandas(test, "a long, b long"), "near-links")
+    def beside(pairs: DataFrame, columns: list[str], name: str) -> DataFrame:
+        wanted = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"{name}-wanted")
+        own = few(sets.select("id", *columns), wanted, "id")
+        side = lambda n: own.select(F.col("id").alias(n), *(F.col(c).alias(f"{c}{n}") for c in columns))
+        return pairs.join(side("a"), "a").join(side("b"), "b")
+
+    with Scratch(sets.sparkSession) as scratch:
+        pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
+        close = materialise(beside(pairs, ["n", "m"], "map").mapInPandas(may, "a long, b long"), "near-close")
+        return scratch.keep(beside(close, ["s"], "set").mapInPandas(test, "a long, b long"), "near-links")
 
 
 def with_component(rows: DataFrame, links: DataFrame, id_: str = "id", name: str = "o") -> DataFrame:
@@ -392,15 +422,17 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     row before that. Shingles are told by 32 bits of their hashes: two texts of n shingles have a
     false common one with odds of n^2 / 2^32.
     """
-    sets = materialise(text_sets(docs, key, text), "text-sets")
-    copies = materialise(sets.where("id is not null").groupBy("whole").agg(F.min("id").alias("id")), "text-groups")
-    # a repeated row gives its id twice, with equal sets
-    own = few(sets.drop("whole").where("n > 0"), copies.select("id"), "id")
-    own = materialise(own.dropDuplicates(["id"]) if repeated(sets, "id") else own, "text-own")
+    with Scratch(docs.sparkSession) as scratch:
+        sets = materialise(text_sets(docs, key, text), "text-sets")
+        ids = scratch.keep(sets.select("id", "whole"), "text-ids")
+        copies = scratch.keep(ids.where("id is not null").groupBy("whole").agg(F.min("id").alias("id")), "text-groups")
+        # a repeated row gives its id twice, with equal sets
+        own = few(sets.drop("whole").where("n > 0"), copies.select("id"), "id")
+        own = scratch.keep(own.dropDuplicates(["id"]) if repeated(ids, "id") else own, "text-own")
     links = verified(near_links(own, 3), own)
     links = materialise(links.union(remaining_links(own, links)), "near-all")
     keep = with_component(copies, links, name="keep").select("whole", "keep")
-    return sets.select("id", "whole"), materialise(keep, "near-keep")
+    return ids, materialise(keep, "near-keep")
 
 
 def drop_similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -411,8 +443,9 @@ def drop_similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """
     row = unused(docs, "_row")
     known = numbered(docs.where(F.col(key).isNotNull()), key, text, row)
-    _, keep = similar_groups(known, row, text)
-    stays = materialise(keep.select(F.col("keep").alias(row)).distinct(), "near-stays")
+    with Scratch(docs.sparkSession) as scratch:
+        _, keep = similar_groups(known, row, text)
+        stays = scratch.keep(keep.select(F.col("keep").alias(row)).distinct(), "near-stays")
     known = few(known, stays, row)
     if repeated(known, row):
         known = known.dropDuplicates([row])

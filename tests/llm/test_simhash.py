@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 
 from shelfsight.llm.graph import components
-from shelfsight.llm.simhash import WORDS, bits_of, near_pairs, roots, simhash_groups, within
+from shelfsight.llm.simhash import WORDS, apart, bits_of, near_pairs, parity_map, roots, simhash_groups, wide_map, within
 
 
 def union(n, pairs):
@@ -76,3 +76,13 @@ def test_groups_against_brute_force(spark):
     want = sorted((d, f"{p:016x}", least[r]) for (d, _, _), p, r in zip(rows, prints, root, strict=True))
     assert sorted({tuple(r) for r in got}) == want and len(got) == len(rows) + 1
     assert simhash_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_parity_maps_never_differ_more_than_sets():
+    rng = np.random.default_rng(5)
+    for _ in range(800):
+        a = np.unique(rng.integers(0, 2**32, int(rng.integers(1, 900)), dtype=np.uint32))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.random()], rng.integers(0, 2**32, int(rng.integers(1, 300)), dtype=np.uint32)]))
+        d = len(np.setxor1d(a, b))
+        assert apart(wide_map(a), wide_map(b)) == apart(wide_map(b), wide_map(a)) <= d
+        assert (parity_map(a) ^ parity_map(b)).__and__((1 << 64) - 1).bit_count() <= d
