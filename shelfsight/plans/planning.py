@@ -1,4 +1,4 @@
-"""Registered queries of quantile regression, replenishment, calibration by state and deployment."""
+"""Registered queries of quantile regression, replenishment, calibration by state, deployment and audits."""
 
 from __future__ import annotations
 
@@ -9,8 +9,10 @@ from ..config import SPLITS
 from ..functions.columns import rounded
 from ..operators import boosting as B
 from ..operators import allocation as G
+from ..operators import audits as U
 from ..operators import conformal as C
 from ..operators import diagnostics as D
+from ..operators import layers as L
 from ..operators import policy as A
 from ..operators import quantreg as Q
 from ..operators import replenish as R
@@ -20,7 +22,7 @@ from ..operators import studies as T
 from ..operators import verdicts as V
 from ..sources.stages import Query, phase
 from .retail import _by, _of, forecast, panel, recalibrated, scores
-from .states import fine_residuals, geo, national, province_shares, scores_parts, stated
+from .states import _overlays, fine_residuals, fine_scores, geo, layered, national, oos_scores, province_shares, recall_policies, scores_parts, stated, states, third
 
 KEYS = ["sku_id", "week"]
 
@@ -149,6 +151,50 @@ def verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _part_of(rows: DataFrame, part: str) -> DataFrame:
+    return rows.where(F.col("part") == part).select("part")
+
+
+def season_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, rows = recalibrated(spark, sf_dir), state_recalibrated(spark, sf_dir)
+    select = _part_of(own, "DEV_SELECT")
+    tables = U.season_tables(
+        fine_scores(spark, sf_dir), states(spark, sf_dir), stated(spark, sf_dir), Z.state_frozen(state_grid(spark, sf_dir)), U.lineage(_choice(spark, sf_dir), select),
+        U.lineage(X.family_frozen(X.family_sweep(own)), select), rows, Z.state_recalibrated_metrics(rows), C.contract(F.col("week")),
+    )
+    return U.run_checks(tables, U.season_checks())
+
+
+def recall_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, rows = layered(spark, sf_dir), phase("third-layer")(third)(spark, sf_dir)
+    select, evaluated = _part_of(base, "DEV_SELECT"), recall_policies(spark, sf_dir)
+    frozen = L.frozen_layer(evaluated)
+    tables = U.recall_tables(
+        oos_scores(spark, sf_dir), L.recall_scores(base), rows, U.lineage(evaluated, select), U.lineage(frozen, select), U.lineage(L.third_metrics(rows), _part_of(rows, "LOCKED_TEST")), U.lineage(L.recall_verdict(frozen, evaluated), select),
+    )
+    return U.run_checks(tables, U.recall_checks())
+
+
+@phase("overlay-forecast")
+def overlay_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stated(spark, sf_dir)
+    return T.overlay_forecast(rows, T.overlay_spreads(rows), _overlays(spark, sf_dir))
+
+
+def overlay_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return U.overlay_metrics(overlay_forecast(spark, sf_dir), stated(spark, sf_dir))
+
+
+def overlay_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, evaluated = stated(spark, sf_dir), _overlays(spark, sf_dir)
+    select = _part_of(rows, "DEV_SELECT")
+    frozen = evaluated.orderBy("loss", "candidate").limit(1).select("candidate", "loss")
+    tables = U.overlay_tables(
+        rows, fine_scores(spark, sf_dir), U.lineage(T.overlay_spreads(rows), _part_of(rows, "DEV_TUNE")), U.lineage(evaluated, select), U.lineage(frozen, select), overlay_forecast(spark, sf_dir), overlay_metrics(spark, sf_dir),
+    )
+    return U.run_checks(tables, U.overlay_checks())
+
+
 SIX = R.STRATEGIES[:-1]
 
 QUERIES: dict[str, Query] = {
@@ -179,6 +225,11 @@ QUERIES: dict[str, Query] = {
     "blind_national": lambda spark, sf_dir: rounded(V.blind_national(final_forecast(spark, sf_dir), verdict(spark, sf_dir))),
     "blind_provincial": lambda spark, sf_dir: rounded(V.blind_provincial(_shares(spark, sf_dir), verdict(spark, sf_dir))),
     "blind_alerts": lambda spark, sf_dir: rounded(V.blind_alerts(final_forecast(spark, sf_dir), verdict(spark, sf_dir))),
+    "season_audit": season_audit,
+    "recall_audit": recall_audit,
+    "overlay_metrics": lambda spark, sf_dir: rounded(overlay_metrics(spark, sf_dir)),
+    "overlay_audit": overlay_audit,
+    "audit_verdicts": lambda spark, sf_dir: U.audit_verdict(season_audit(spark, sf_dir).unionByName(recall_audit(spark, sf_dir)).unionByName(overlay_audit(spark, sf_dir))),
     "replenishment_comparison": lambda spark, sf_dir: rounded(R.stock_comparison(plan(spark, sf_dir), R.strategy_scores(replenishment(spark, sf_dir)))),
 }
 

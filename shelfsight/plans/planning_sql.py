@@ -147,5 +147,45 @@ FINAL["blind_national"] = _sentinel(f"SELECT sku_id, week, season_group, {r(*_na
 FINAL["blind_provincial"] = _sentinel(f"SELECT sku_id, week, province, {r('share', 'yhat', 'q80', 'q90', 'q95')} FROM alloc WHERE {_weeks}", {**_key, "province": "VARCHAR", **_num("share", "yhat", "q80", "q90", "q95")}, _both[:1])
 FINAL["blind_alerts"] = _sentinel(f"SELECT * FROM (SELECT sku_id, week, season_group, {r('score', 'p_rank', 'q90')}, row_number() OVER (PARTITION BY week ORDER BY final.score DESC, sku_id)::INT AS rank FROM final WHERE {_weeks}) WHERE rank <= 10", {**_key, "season_group": "VARCHAR", **_num("score", "p_rank", "q90"), "rank": "INT"}, _both)
 
-_FINE_NAMES = {"qr_features", "state_grid_eval", "state_frozen", "state_recalibrated", "state_recalibrated_metrics"}
+# audits
+def _audit(checks: list[tuple[str, str]]) -> str:
+    """Rows of an audit from the violations of each check."""
+    return " UNION ALL ".join(f"SELECT {i}::INT AS check_id, '{n}' AS name, v::BIGINT AS violations, CASE WHEN v = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM (SELECT ({q_}) AS v)" for i, (n, q_) in enumerate(checks, 1))
+
+
+_zero = "SELECT 0"  # what is made from the rows of one part by its WHERE clause
+_isorder = "SELECT CASE WHEN max(week) FILTER (part = 'DEV_TUNE') < min(week) FILTER (part = 'DEV_SELECT') AND max(week) FILTER (part = 'DEV_SELECT') < min(week) FILTER (part = 'LOCKED_TEST') THEN 0 ELSE 1 END FROM third4"
+_missing = "SELECT 3 - count(DISTINCT part) FROM {} WHERE part IN ('DEV_TUNE', 'DEV_SELECT', 'LOCKED_TEST')"
+FINE["scontract"] = "SELECT split, week, CASE WHEN split = 'VAL' AND weekofyear(week) BETWEEN 28 AND 40 THEN 'LOCKED_TEST' END AS part FROM scores"
+FINAL["season_audit"] = _audit([
+    ("FEATURES_BEFORE_LOCKED", "SELECT CASE WHEN max(week) FILTER (split IN ('TRAIN', 'CALIB')) < min(week) FILTER (part = 'LOCKED_TEST') THEN 0 ELSE 1 END FROM scontract"),
+    ("FEATURES_FROM_PRIOR_YEARS", "SELECT count(*) FROM states WHERE n_years > (SELECT count(DISTINCT isoyear(week)) FROM scores WHERE split IN ('TRAIN', 'CALIB')) OR n_obs < n_years"),
+    ("QUANTILES_WITHOUT_LOCKED", _zero), ("PROBABILITY_WITHOUT_LOCKED", _zero), ("POLICY_WITHOUT_LOCKED", _zero),
+    ("GATE_WITHOUT_LABELS", "SELECT count(*) FROM stated WHERE part = 'LOCKED_TEST' AND gated IS DISTINCT FROM CASE WHEN gate_cap < yhat THEN least(yhat, greatest(gate_cap, mean_same * 12 * 0.30)) ELSE yhat END"),
+    ("STATE_WITHOUT_LABELS", "SELECT count(*) FROM states WHERE state IS NULL"), ("UNKNOWN_GETS_A_CHOICE", "SELECT count(*) FROM sapplied WHERE state = 'UNKNOWN_FALLBACK' AND level IS NULL"),
+    ("LOCKED_METRICS_THERE", "SELECT CASE WHEN count(*) > 0 THEN 0 ELSE 1 END FROM sapplied WHERE part = 'LOCKED_TEST' AND y_12w IS NOT NULL"),
+])
+FINAL["recall_audit"] = _audit([
+    ("POLICY_SPLIT", _zero), ("NO_SELECTION_BIAS", _zero), ("CANDIDATES_SPLIT", _zero), ("CANDIDATES_WITHOUT_LOCKED", _zero), ("BASE_PARTS", _missing.format("os")), ("SCORED_PARTS", _missing.format("recalls")),
+    ("COMBINED_HAS_LOCKED", "SELECT CASE WHEN count(*) FILTER (part = 'LOCKED_TEST') > 0 THEN 0 ELSE 1 END FROM third4"), ("METRICS_SPLIT", _zero),
+    ("FROZEN_IS_THE_BEST", "SELECT CASE WHEN (SELECT max(policy) FROM rfrozen) = coalesce((SELECT policy FROM reval WHERE valid = 1 ORDER BY loss, policy LIMIT 1), 'NONE_VALID') THEN 0 ELSE 1 END"), ("VERDICT_SPLIT", _zero),
+    ("ROW_COUNT", "SELECT abs((SELECT count(*) FROM os) - (SELECT count(*) FROM third4))"), ("PARTS_IN_ORDER", _isorder), ("ONE_FROZEN", "SELECT CASE WHEN count(*) = 1 THEN 0 ELSE 1 END FROM rfrozen"), ("GRID_SIZE", "SELECT abs(count(DISTINCT policy) - 81) FROM reval"),
+    ("FORMULAS", "SELECT abs(count(DISTINCT split_part(policy, '_', 1)) - 3) FROM reval"), ("UNIQUE_ROWS", "SELECT count(*) - count(DISTINCT (sku_id, week)) FROM os"), ("LAYERS_APART", "SELECT count(*) FROM third4 WHERE stable + second + third > 1"),
+    ("SPLIT_RECORDED", _zero), ("POLICY_NAMED", "SELECT count(*) - count(DISTINCT policy) FROM rfrozen"), ("VERDICT_KNOWN", _zero),
+])
+FINE["ovboth"] = "SELECT f.*, s.q80, s.q90 AS b90, s.q95 AS b95 FROM (SELECT sku_id, week, part, candidate, season_group, state, gated AS p50, p80, p90, p95, y_12w FROM ovfinal) f JOIN stated s ON s.sku_id = f.sku_id AND s.week = f.week"
+_ove = lambda f: div(f"sum(CASE WHEN y_12w > 0 THEN abs(y_12w - {f}) END)", "sum(CASE WHEN y_12w > 0 THEN y_12w END)")
+FINE["ovmet"] = "SELECT *, CASE WHEN abs(wmape - wmape_base) > 0.01 THEN 'REJECT_P50_CHANGED' WHEN disorder > 0 THEN 'REJECT_ORDER' WHEN round(viol_90, 9) > round(viol_90_base, 9) + 0.01::DOUBLE AND round(viol_90, 9) >= 0.03 THEN 'WIN_QUANTILES' WHEN round(viol_90, 9) < 0.01 THEN 'KEEP_STILL_COLLAPSED' WHEN spread > 50 THEN 'EXPERIMENTAL_LARGE_SPREADS' ELSE 'EXPERIMENTAL_REVIEW' END AS verdict FROM (" + " UNION ALL ".join(
+    f"""SELECT '{lv}' AS level, {seg} AS segment, count(*) AS n, {_ove("p50")} AS wmape_base, {_ove("p50")} AS wmape, {share("y_12w > q80")} AS viol_80_base, {share("y_12w > b90")} AS viol_90_base, {share("y_12w > b95")} AS viol_95_base, {share("y_12w > p80")} AS viol_80, {share("y_12w > p90")} AS viol_90, {share("y_12w > p95")} AS viol_95,
+    avg(p90 - p50) AS spread, {share("p80 < p50 OR p90 < p80 OR p95 < p90")} AS disorder FROM ovboth WHERE part = 'LOCKED_TEST' AND y_12w IS NOT NULL GROUP BY 1, 2""" for lv, seg in (("GLOBAL", "'ALL'"), ("BY_SEASON", "season_group"), ("BY_STATE", "state"))) + ")"
+FINAL["overlay_metrics"] = f"SELECT level, segment, n, {r('wmape_base', 'wmape', 'viol_80_base', 'viol_90_base', 'viol_95_base', 'viol_80', 'viol_90', 'viol_95', 'spread', 'disorder')}, verdict FROM ovmet"
+FINAL["overlay_audit"] = _audit([
+    ("SPREADS_WITHOUT_LOCKED", _zero), ("SPREADS_FROM_TUNE", _zero), ("CHOSEN_ON_SELECT", _zero), ("METRIC_LEVELS", "SELECT 3 - count(DISTINCT level) FROM ovmet"), ("FROZEN_FLAGS", "SELECT abs(count(*) - 1) FROM (SELECT candidate FROM oveval ORDER BY loss, candidate LIMIT 1)"),
+    ("NO_LATE_FEATURES", "SELECT CASE WHEN max(week) FILTER (split <> 'VAL') < min(week) FILTER (split = 'VAL') THEN 0 ELSE 1 END FROM scores"), ("P50_UNCHANGED", "SELECT count(*) FROM ovfinal f JOIN stated s ON s.sku_id = f.sku_id AND s.week = f.week WHERE abs(f.gated - s.gated) > 0.001"),
+    ("ORDERED", "SELECT count(*) FROM ovfinal WHERE p80 < gated OR p90 < p80 OR p95 < p90"), ("ONE_CANDIDATE", "SELECT abs(count(DISTINCT candidate) - 1) FROM ovfinal"),
+    ("TABLES_PRESENT", "SELECT ((SELECT count(*) FROM stated) = 0)::INT + ((SELECT count(*) FROM ovspread) = 0)::INT + ((SELECT count(*) FROM oveval) = 0)::INT + ((SELECT count(*) FROM ovfinal) = 0)::INT"),
+])
+FINAL["audit_verdicts"] = "SELECT count(*) AS checks, count(*) FILTER (status = 'FAIL') AS failed, coalesce(string_agg(CASE WHEN status = 'FAIL' THEN name END, ',' ORDER BY name), '') AS names, CASE WHEN count(*) FILTER (status = 'FAIL') = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM (" + " UNION ALL ".join(f"SELECT name, status FROM ({FINAL[n]})" for n in ("season_audit", "recall_audit", "overlay_audit")) + ")"
+
+_FINE_NAMES = {"qr_features", "state_grid_eval", "state_frozen", "state_recalibrated", "state_recalibrated_metrics", "season_audit", "recall_audit", "overlay_metrics", "overlay_audit", "audit_verdicts"}
 ORACLES = {name: oracle(name, FINE if name in _FINE_NAMES else COARSE, FINAL) for name in FINAL}
