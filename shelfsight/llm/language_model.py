@@ -304,26 +304,30 @@ def lay_out(texts: list[np.ndarray], lanes: int) -> list[list[int]]:
 def windows(texts: list[np.ndarray], lanes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Texts end to end in lanes, a window at a time: inputs, beginnings, targets, used places, owners; steps x lanes.
 
-    Lanes that have ended are the last ones and are left out.
+    Lanes that have ended are the last ones and are left out. Memory grows with the words, not
+    with lanes times the longest lane: only the window is a table.
     """
     if not texts:
         return
     own = lay_out(texts, lanes)
     size = [sum(len(texts[i]) for i in mine) for mine in own]
-    steps = max(size)
-    x, y = np.full((len(own), steps), BEGIN, dtype=np.int32), np.zeros((len(own), steps), dtype=np.int32)
-    fresh, owner = np.zeros((len(own), steps), dtype=np.float32), np.full((len(own), steps), -1, dtype=np.int32)
-    for k, mine in enumerate(own):
-        at = 0
-        for i in mine:
-            n = len(texts[i])
-            x[k, at + 1 : at + n], y[k, at : at + n], owner[k, at : at + n] = texts[i][:-1], texts[i], i
-            fresh[k, at] = 1
-            at += n
-    for s in range(0, steps, WINDOW):
-        w = (slice(0, sum(n > s for n in size)), slice(s, s + WINDOW))
-        mine = owner[w].T
-        yield x[w].T, fresh[w].T, y[w].T, mine >= 0, mine
+    ends = [np.concatenate([texts[i] for i in mine]).astype(np.int32) for mine in own]
+    begins = [np.cumsum([0, *(len(texts[i]) for i in mine[:-1])]) for mine in own]
+    owners = [np.repeat(np.array(mine, dtype=np.int32), [len(texts[i]) for i in mine]) for mine in own]
+    inputs, starts = [], []
+    for y, at in zip(ends, begins, strict=True):
+        x, fresh = np.concatenate([[BEGIN], y[:-1]]).astype(np.int32), np.zeros(len(y), dtype=np.float32)
+        x[at], fresh[at] = BEGIN, 1
+        inputs.append(x)
+        starts.append(fresh)
+    for s in range(0, max(size), WINDOW):
+        live, steps = sum(n > s for n in size), min(WINDOW, max(size) - s)
+        x, y = np.full((steps, live), BEGIN, dtype=np.int32), np.zeros((steps, live), dtype=np.int32)
+        fresh, owner = np.zeros((steps, live), dtype=np.float32), np.full((steps, live), -1, dtype=np.int32)
+        for k in range(live):
+            here, n = slice(s, s + steps), min(size[k] - s, steps)
+            x[:n, k], y[:n, k], fresh[:n, k], owner[:n, k] = inputs[k][here], ends[k][here], starts[k][here], owners[k][here]
+        yield x, fresh, y, owner >= 0, owner
 
 
 def score_texts(model: GatedModel, texts: list[np.ndarray], lanes: int = LANES) -> np.ndarray:
@@ -414,7 +418,9 @@ def fit_model(docs: DataFrame, counts: DataFrame, key: str, text: str) -> tuple[
 def score_language(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 10, fold: int = 0) -> DataFrame:
     """``key, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
-    Learns from rows that aren't held out. A null or empty text is one end. Repeated rows each
+    Learns from rows that aren't held out. In a round each partition learns alone and weights are averaged, so
+    scores depend on how the input is split: runs over the same files with the same settings give the same scores, other splits
+    other ones of like quality. A null or empty text is one end. Repeated rows each
     give a row, and count as often in training; other columns are left out. Without training rows
     all words are unknown.
     """

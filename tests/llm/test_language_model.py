@@ -130,3 +130,25 @@ def test_odd_tables(spark):
     assert score_language(none).count() == 0
     only = spark.createDataFrame([(i, "a b") for i in range(60) if zlib.crc32(str(i).encode()) % 10 == 0], "doc_id long, text string")
     assert {(r.n_known, r.train_tokens) for r in score_language(only).collect()} == {(0, 0)}
+
+
+def test_one_long_text_beside_many_short_ones_takes_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 500, 300_000)] + [rng.integers(0, 500, 5) for _ in range(400)]
+    tracemalloc.start()
+    seen = np.zeros(len(texts), dtype=np.int64)
+    for x, fresh, y, used, owner in lm.windows(texts, 64):
+        assert x.shape == fresh.shape == y.shape == used.shape == owner.shape
+        seen += np.bincount(owner[used], minlength=len(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen.tolist() == [len(t) for t in texts] and peak < 40e6
+
+
+def test_clashing_columns(spark):
+    rows = [(i, "the same words again and again " * 4, 1, 2, 3, "w", i) for i in range(12)]  # 24 words and the end
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int, known int, score int, words string, row int")
+    out = score_language(df).collect()
+    assert sorted(r.doc_id for r in out) == list(range(12)) and all(r.n_tokens == 25 for r in out)
