@@ -19,6 +19,7 @@ from ..operators import replenish as R
 from ..operators import statefreeze as Z
 from ..operators import strict as X
 from ..operators import studies as T
+from ..operators import tweedie as W
 from ..operators import verdicts as V
 from ..sources.stages import Query, phase
 from .retail import _by, _of, forecast, panel, recalibrated, scores
@@ -195,6 +196,13 @@ def overlay_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.run_checks(tables, U.overlay_checks())
 
 
+@phase("tweedie")
+def tweedie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = T.demand_class(panel(spark, sf_dir), SPLITS.train_end)
+    keep = ["sku_id", "week", "split", "season_group", "y_12w", "yhat", "class", "candidate", "mu"]
+    return W.tweedie_forecast(scores(spark, sf_dir), classes)[1].select(*keep)
+
+
 SIX = R.STRATEGIES[:-1]
 
 QUERIES: dict[str, Query] = {
@@ -230,6 +238,8 @@ QUERIES: dict[str, Query] = {
     "overlay_metrics": lambda spark, sf_dir: rounded(overlay_metrics(spark, sf_dir)),
     "overlay_audit": overlay_audit,
     "audit_verdicts": lambda spark, sf_dir: U.audit_verdict(season_audit(spark, sf_dir).unionByName(recall_audit(spark, sf_dir)).unionByName(overlay_audit(spark, sf_dir))),
+    "tweedie_forecast": _by(tweedie),
+    "tweedie_eval": _by(tweedie, W.tweedie_eval),
     "replenishment_comparison": lambda spark, sf_dir: rounded(R.stock_comparison(plan(spark, sf_dir), R.strategy_scores(replenishment(spark, sf_dir)))),
 }
 

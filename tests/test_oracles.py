@@ -52,7 +52,7 @@ def test_query_matches_sql(spark, duck, name):
 #: Resampling, fitted trees and a search: tested against plain versions instead.
 PLAIN = {
     "bootstrap_wmape", "tree_scores", "qr_scores", "qr_eval", "qr_frozen", "qr_locked_metrics", "qr_criteria", "qr_audit", "qr_models",
-    "replenishment_scores", "replenishment_segments", "replenishment_acceptance", "replenishment_comparison",
+    "replenishment_scores", "replenishment_segments", "replenishment_acceptance", "replenishment_comparison", "tweedie_forecast", "tweedie_eval",
 }
 
 
