@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import SPLITS
 from ..functions.columns import rounded
 from ..operators import boosting as B
+from ..operators import candidates as J
 from ..operators import allocation as G
 from ..operators import audits as U
 from ..operators import conformal as C
@@ -203,6 +204,23 @@ def tweedie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.tweedie_forecast(scores(spark, sf_dir), classes)[1].select(*keep)
 
 
+@phase("point-rows")
+def point_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stated(spark, sf_dir)
+    return J.with_points(rows, J.shrink_grid(rows))
+
+
+@phase("joint-rows")
+def joint_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = point_rows(spark, sf_dir)
+    return J.with_methods(rows.where("part in ('DEV_SELECT', 'LOCKED_TEST')"), J.spreads(rows))
+
+
+def _joint_locked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = joint_rows(spark, sf_dir)
+    return J.joint_locked(rows, J.joint_frozen(J.joint_eval(rows)))
+
+
 SIX = R.STRATEGIES[:-1]
 
 QUERIES: dict[str, Query] = {
@@ -240,6 +258,11 @@ QUERIES: dict[str, Query] = {
     "audit_verdicts": lambda spark, sf_dir: U.audit_verdict(season_audit(spark, sf_dir).unionByName(recall_audit(spark, sf_dir)).unionByName(overlay_audit(spark, sf_dir))),
     "tweedie_forecast": _by(tweedie),
     "tweedie_eval": _by(tweedie, W.tweedie_eval),
+    "shrink_grid": _by(stated, J.shrink_grid),
+    "joint_spreads": _by(point_rows, J.spreads),
+    "joint_eval": _by(joint_rows, J.joint_eval),
+    "joint_frozen": _by(joint_rows, J.joint_eval, J.joint_frozen),
+    "joint_locked_metrics": lambda spark, sf_dir: rounded(_joint_locked(spark, sf_dir)),
     "replenishment_comparison": lambda spark, sf_dir: rounded(R.stock_comparison(plan(spark, sf_dir), R.strategy_scores(replenishment(spark, sf_dir)))),
 }
 

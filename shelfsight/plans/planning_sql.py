@@ -187,5 +187,36 @@ FINAL["overlay_audit"] = _audit([
 ])
 FINAL["audit_verdicts"] = "SELECT count(*) AS checks, count(*) FILTER (status = 'FAIL') AS failed, coalesce(string_agg(CASE WHEN status = 'FAIL' THEN name END, ',' ORDER BY name), '') AS names, CASE WHEN count(*) FILTER (status = 'FAIL') = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM (" + " UNION ALL ".join(f"SELECT name, status FROM ({FINAL[n]})" for n in ("season_audit", "recall_audit", "overlay_audit")) + ")"
 
-_FINE_NAMES = {"qr_features", "state_grid_eval", "state_frozen", "state_recalibrated", "state_recalibrated_metrics", "season_audit", "recall_audit", "overlay_metrics", "overlay_audit", "audit_verdicts"}
+# joint choice of points and quantiles
+_quiet = "(season_group = 'REST' OR coalesce(state = 'OFF_SEASON', false))"
+_err = lambda f: f"{div(f'sum(abs(y_12w - {f}))', 'sum(y_12w)')} AS wmape, {div(f'sum(CASE WHEN y_12w > 0 THEN abs(y_12w - {f}) END)', 'sum(CASE WHEN y_12w > 0 THEN y_12w END)')} AS wmape_positive, {div(f'sum({f}) - sum(y_12w)', 'sum(y_12w)')} AS bias, {share(f'y_12w = 0 AND {f} > 0')} AS zero_over"
+FINE["jshrink0"] = f"SELECT shrink, count(*) AS n, {_err('f')} FROM (SELECT shrink, y_12w, CASE WHEN {_quiet} THEN gated * shrink ELSE gated END AS f FROM stated, (SELECT unnest([0.70, 0.75, 0.80, 0.85, 0.90, 0.95, 1.00])::DOUBLE AS shrink) WHERE part = 'DEV_TUNE' AND y_12w IS NOT NULL) GROUP BY 1"
+FINE["jshrink"] = "SELECT *, row_number() OVER (ORDER BY loss, shrink) = 1 AS chosen FROM (SELECT *, round(2 * wmape_positive + zero_over + 0.5 * abs(bias), 9) AS loss FROM jshrink0)"
+FINAL["shrink_grid"] = f"SELECT shrink, n, {r('wmape', 'wmape_positive', 'bias', 'zero_over', 'loss')}, chosen FROM jshrink"
+FINE["jpoints"] = f"""SELECT sku_id, week, part, season_group, state, regime, y_12w, unnest(['A0', 'A1', 'A2', 'A3']) AS point, unnest([yhat, gated, CASE WHEN {_quiet} THEN gated * shrink ELSE gated END,
+  CASE WHEN coalesce(zero_share_26w >= 0.80 AND median_same = 0 AND zero_share_13w >= 0.70, false) THEN 0 ELSE gated END]) AS p50 FROM regimes, (SELECT shrink FROM jshrink WHERE chosen)"""
+FINE["jtune"] = "SELECT *, round(greatest(y_12w - p50, 0), 9) AS ra, round(ln(y_12w + 1) - ln(p50 + 1), 9) AS rl FROM jpoints WHERE part = 'DEV_TUNE' AND y_12w IS NOT NULL"
+_jq = "count(*) AS n, " + ", ".join(f"{q('r' + t, k)} AS {t}{k}" for t in "al" for k in (50, 80, 90, 95))
+FINE["jspread"] = f"SELECT point, 'STATE' AS level, state AS segment, regime, {_jq} FROM jtune GROUP BY 1, 3, 4 UNION ALL SELECT point, 'SEASON', season_group, regime, {_jq} FROM jtune GROUP BY 1, 3, 4 UNION ALL SELECT point, 'GLOBAL', 'ALL', 'ALL', {_jq} FROM jtune GROUP BY 1"
+FINAL["joint_spreads"] = f"SELECT point, level, segment, regime, n, {r(*(f'{t}{k}' for t in 'al' for k in (50, 80, 90, 95)))} FROM jspread"
+_jp = lambda c: f"coalesce(s.{c}, g.{c}, t.{c})"
+_ja = lambda k, w="": f"p50 + {w}{_jp(f'a{k}')}"
+_jl = lambda k: f"greatest(0, exp(ln(p50 + 1) + {_jp(f'l{k}')}) - 1)"
+_jquiet = _quiet.replace("season_group", "x.season_group").replace("state", "x.state")
+FINE["joint"] = "SELECT sku_id, week, part, season_group, state, regime, y_12w, point, p50, method, " + ", ".join(f"round(w{k}, 9) AS j{k}" for k in (80, 90, 95)) + " FROM (SELECT x.*, unnest(['B1_ABS', 'B2_LOG', 'B3_HYBRID', 'B4_TIGHT']) AS method, " + ", ".join(
+    f"unnest([{_ja(k)}, {_jl(k)}, CASE WHEN {_jquiet} THEN {_ja(k)} ELSE {_jl(k)} END, {_ja(k, '0.80::DOUBLE * ')}]) AS w{k}" for k in (80, 90, 95)) + """ FROM jpoints x LEFT JOIN (SELECT * FROM jspread WHERE level = 'STATE' AND n >= 50) s ON s.point = x.point AND s.segment = x.state AND s.regime = x.regime
+  LEFT JOIN (SELECT * FROM jspread WHERE level = 'SEASON' AND n >= 200) g ON g.point = x.point AND g.segment = x.season_group AND g.regime = x.regime LEFT JOIN (SELECT * FROM jspread WHERE level = 'GLOBAL') t ON t.point = x.point WHERE x.part IN ('DEV_SELECT', 'LOCKED_TEST'))"""
+_jm = f"count(*) AS n, {_err('p50')}, " + ", ".join(f"{share(f'y_12w > j{k}')} AS viol_{k}" for k in (80, 90, 95)) + f", {share('j80 < p50 OR j90 < j80 OR j95 < j90')} AS disorder"
+FINE["jseason"] = f"SELECT point, method, max(e) FILTER (season_group = 'REST') AS rest, max(e) FILTER (season_group = 'HIGH_SEASON') AS high FROM (SELECT point, method, season_group, {div('sum(CASE WHEN y_12w > 0 THEN abs(y_12w - p50) END)', 'sum(CASE WHEN y_12w > 0 THEN y_12w END)')} AS e FROM joint WHERE part = 'DEV_SELECT' AND y_12w IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2"
+_jh = " + ".join(f"CASE WHEN round(viol_{k}, 9) < {lo} THEN ({lo}::DOUBLE - round(viol_{k}, 9)) * {b} WHEN round(viol_{k}, 9) > {hi} THEN (round(viol_{k}, 9) - {hi}::DOUBLE) * {a} ELSE 0 END" for k, (lo, hi, b, a) in {80: (0.10, 0.25, 5.0, 2.0), 90: (0.04, 0.15, 8.0, 3.0), 95: (0.01, 0.08, 10.0, 4.0)}.items())
+_jw = lambda c, slack, w: f"CASE WHEN {c} > b{c} * {slack}::DOUBLE THEN ({c} - b{c}) * {w} ELSE 0 END"
+FINE["jeval"] = f"""SELECT *, point || '_' || method AS candidate, round(2 * wmape + 2 * wmape_positive + zero_over + 0.5 * abs(bias) + 0.8 * ({_jh}) + {_jw("rest", 1.05, 2.0)} + {_jw("high", 1.10, 3.0)} + 10 * disorder, 9) AS loss FROM (
+  SELECT m.*, rest, high, (SELECT max(rest) FROM jseason WHERE point = 'A1') AS brest, (SELECT max(high) FROM jseason WHERE point = 'A1') AS bhigh FROM (SELECT point, method, {_jm} FROM joint WHERE part = 'DEV_SELECT' AND y_12w IS NOT NULL GROUP BY 1, 2) m JOIN jseason USING (point, method))"""
+FINAL["joint_eval"] = f"SELECT point, method, candidate, n, {r('wmape', 'wmape_positive', 'bias', 'zero_over', 'viol_80', 'viol_90', 'viol_95', 'disorder', 'rest', 'high', 'loss')} FROM jeval"
+FINE["jfrozen"] = "SELECT * FROM jeval ORDER BY loss NULLS LAST, candidate LIMIT 1"
+FINAL["joint_frozen"] = "SELECT candidate, point, method, round(loss, 6) AS loss, 'DEV_SELECT' AS evaluated_on_split, false AS used_locked_test FROM jfrozen"
+FINE["jlocked"] = "SELECT j.* EXCLUDE (j80, j90, j95), f.candidate, greatest(p50, j80) AS j80, greatest(p50, j80, j90) AS j90, greatest(p50, j80, j90, j95) AS j95 FROM joint j JOIN jfrozen f ON f.point = j.point AND f.method = j.method WHERE part = 'LOCKED_TEST' AND y_12w IS NOT NULL"
+FINAL["joint_locked_metrics"] = f"SELECT candidate, level, segment, n, {r('wmape', 'wmape_positive', 'bias', 'zero_over', 'viol_80', 'viol_90', 'viol_95', 'disorder', 'spread')} FROM (" + " UNION ALL ".join(f"SELECT candidate, '{lv}' AS level, {sg} AS segment, {_jm}, avg(j90 - p50) AS spread FROM jlocked GROUP BY 1, 2, 3" for lv, sg in (("GLOBAL", "'ALL'"), ("BY_SEASON", "season_group"), ("BY_STATE", "state"))) + ")"
+
+_FINE_NAMES = {"qr_features", "state_grid_eval", "state_frozen", "state_recalibrated", "state_recalibrated_metrics", "shrink_grid", "joint_spreads", "joint_eval", "joint_frozen", "joint_locked_metrics", "season_audit", "recall_audit", "overlay_metrics", "overlay_audit", "audit_verdicts"}
 ORACLES = {name: oracle(name, FINE if name in _FINE_NAMES else COARSE, FINAL) for name in FINAL}
