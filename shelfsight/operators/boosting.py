@@ -154,30 +154,42 @@ def sketch(values: np.ndarray, size: int) -> tuple[np.ndarray, float]:
     return values[((np.arange(size) + 0.5) * len(values) / size).astype(np.int64)], len(values) / size
 
 
-class _Batches:
-    """Rows of a partition with their predictions brought up to date."""
+@dataclass
+class _Pass:
+    """What a pass over the rows of one round needs: which target each model learns, quantiles, trees the rows don't hold yet."""
 
-    def __init__(self, model: Ensemble, p: Boosting, since: list[list[Tree]], round_: int):
-        self.model, self.p, self.since, self.round_ = model, p, since, round_
+    targets: list[int]
+    quantiles: list[float]
+    width: int
+    p: Boosting
+    since: list[list[Tree]]
+    round_: int
 
-    def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Bins, and what is left of each model's target; NaN where it doesn't learn from a row."""
         for b in batches:
             if len(b):
                 x = np.frombuffer(b"".join(b["x"]), np.uint8).reshape(len(b), -1)
-                f = add_rounds(np.stack(b["f"].to_numpy()), x, self.since, self.model.step)
-                left = np.stack(b["t"].to_numpy())[:, self.model.targets] - f  # NaN where a model doesn't learn from the row
+                f = add_rounds(np.stack(b["f"].to_numpy()), x, self.since, self.p.step)
+                left = np.stack(b["t"].to_numpy())[:, self.targets] - f
                 left[~in_sample(b["id"].to_numpy(), self.round_, self.p)] = np.nan
-                yield x, left, f
+                yield x, left
+
+
+def _reduced(rows: DataFrame, alone: bool, first, middle: str, second, schema: str, *keys: str) -> DataFrame:
+    """``second`` over what ``first`` gives, brought together by key; at once where the rows are one partition."""
+    if alone:
+        return rows.mapInPandas(lambda batches: second(first(batches)), schema)
+    return rows.mapInPandas(first, middle).repartition(*keys).mapInPandas(second, schema)
 
 
-def _counts(rows: DataFrame, read: _Batches, trees: list[Tree], open_: list[list[int]], level: int) -> DataFrame:
+def _counts(rows: DataFrame, alone: bool, read: _Pass, trees: list[Tree], open_: list[list[int]], level: int) -> DataFrame:
     """The split of every open node: ``model, node, gain, feature, bin``."""
-    bins, width = read.p.bins, len(read.model.features)
-    alphas, leaf_rows = read.model.quantiles, read.p.leaf_rows
+    bins, width, alphas, leaf_rows = read.p.bins, read.width, read.quantiles, read.p.leaf_rows
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[tuple[int, int], np.ndarray] = {}
-        for x, left, _ in read(batches):
+        for x, left in read(batches):
             cells = np.arange(width) * bins + x
             for m, tree in enumerate(trees):
                 at = tree.node(x, level)
@@ -197,16 +209,16 @@ def _counts(rows: DataFrame, read: _Batches, trees: list[Tree], open_: list[list
         found = [(m, node, *best_split(c.reshape(width, bins, 2), alphas[m], leaf_rows)) for (m, node), c in total.items()]
         yield pd.DataFrame(found, columns=["model", "node", "gain", "feature", "bin"])
 
-    return rows.mapInPandas(count, "model int, node int, counts binary").repartition("model", "node").mapInPandas(split, "model int, node int, gain double, feature int, bin int")
+    return _reduced(rows, alone, count, "model int, node int, counts binary", split, "model int, node int, gain double, feature int, bin int", "model", "node")
 
 
-def _leaves(rows: DataFrame, read: _Batches, trees: list[Tree]) -> DataFrame:
+def _leaves(rows: DataFrame, alone: bool, read: _Pass, trees: list[Tree]) -> DataFrame:
     """``model, leaf, value``: the quantile of what is left in each leaf."""
-    p, alphas = read.p, read.model.quantiles
+    p, alphas = read.p, read.quantiles
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
-        for x, left, _ in read(batches):
+        for x, left in read(batches):
             for m, tree in enumerate(trees):
                 leaf = tree.node(x, p.depth) - len(tree.feature)
                 learns = ~np.isnan(left[:, m])
@@ -224,7 +236,7 @@ def _leaves(rows: DataFrame, read: _Batches, trees: list[Tree]) -> DataFrame:
         found = [(m, k, weighted_quantile(*(np.concatenate([q[j] for q in parts]) for j in (0, 1)), alphas[m])) for (m, k), parts in held.items()]
         yield pd.DataFrame(found, columns=["model", "leaf", "value"])
 
-    return rows.mapInPandas(gather, "model int, leaf int, values binary, weights binary").repartition("model", "leaf").mapInPandas(value, "model int, leaf int, value double")
+    return _reduced(rows, alone, gather, "model int, leaf int, values binary, weights binary", value, "model int, leaf int, value double", "model", "leaf")
 
 
 def fit(train: DataFrame, numbers: list[str], classes: list[str], targets: list[str], models: list[tuple[str, int, float]], p: Boosting | None = None, key: tuple[str, ...] = ("sku_id", "week"), week: str = "week") -> Ensemble:
@@ -271,23 +283,25 @@ def fit(train: DataFrame, numbers: list[str], classes: list[str], targets: list[
         return written(rows.mapInPandas(run, schema), "boost-rows")
 
     since: list[list[Tree]] = []
+    alone = rows.rdd.getNumPartitions() == 1
     for r in range(p.rounds if any(model.rows) else 0):
         trees = [Tree.empty(p.depth) for _ in models]
-        read, open_ = _Batches(model, p, since, r), [[0] if n else [] for n in model.rows]
+        read, open_ = _Pass(model.targets, model.quantiles, len(model.features), p, since, r), [[0] if n else [] for n in model.rows]
         for level in range(p.depth):
-            splits = [s for s in _counts(rows, read, trees, open_, level).collect() if s["gain"] > 1e-9]
+            splits = [s for s in _counts(rows, alone, read, trees, open_, level).collect() if s["gain"] > 1e-9]
             open_ = [[] for _ in models]
             for s in splits:
                 trees[s["model"]].feature[s["node"]], trees[s["model"]].bin[s["node"]] = s["feature"], s["bin"]
                 open_[s["model"]] += [2 * s["node"] + 1, 2 * s["node"] + 2]
             if not splits:
                 break
-        for s in _leaves(rows, read, trees).collect():
+        for s in _leaves(rows, alone, read, trees).collect():
             trees[s["model"]].leaf[s["leaf"]] = s["value"]
         model.rounds.append(trees)
         since = [*since, trees]
         if len(since) == p.keep and r + 1 < p.rounds:
             rows, since = advanced(rows, since), []
+            alone = rows.rdd.getNumPartitions() == 1
     return model
 
 

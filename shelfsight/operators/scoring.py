@@ -10,6 +10,12 @@ from ..functions.columns import clip, fixed
 
 FEATURES = ("lag_1", "lag_2", "lag_4", "lag_8", "lag_12", "lag_13", "lag_26", "lag_52", "mean_4", "mean_8", "mean_12", "mean_13", "std_4", "std_12", "std_13", "sale_freq_12w", "zero_share_13w", "zero_share_26w", "sin_1", "cos_1", "sin_2", "cos_2", "cv_4w", "cv_12w", "cv_13w", "amplitude", "lag1_rel", "oos_lag_1", "oos_lag_2", "oos_lag_4", "weeks_since_start")
 
+#: Lags of value, price and customers, and the age of the span; they come from ``market_lags``.
+MARKET = (
+    "base_lag_1", "base_lag_4", "base_lag_12", "base_lag_13", "price_lag_1", "price_lag_4", "price_lag_12", "price_lag_13", "customers_lag_1", "customers_lag_4", "top_share_base_lag_1", "top_share_base_lag_4",
+    "hhi_lag_1", "hhi_lag_4", "has_vip_lag_1", "has_vip_lag_4", "price_change_1w", "life",
+)
+
 
 def closed_form(rows: DataFrame) -> DataFrame:
     """A deterministic forecast and stock-out probability from the recent past."""
@@ -27,15 +33,15 @@ def conformal_score() -> Column:
     return F.when(F.col("active"), fixed((F.col("y_12w") - F.col("yhat")) / F.col("scale"), 9))
 
 
-def fit_trees(train: DataFrame, label: str, classify: bool, rounds: int, depth: int, step: float = 0.1):
+def fit_trees(train: DataFrame, label: str, classify: bool, rounds: int, depth: int, features: tuple[str, ...] = FEATURES, step: float = 0.1):
     """A pipeline of median imputation, assembly and boosted trees, with class weights for a classifier."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import Imputer, VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    names = [f"{c}_in" for c in FEATURES]
-    rows = train.select(*(F.col(c).cast("double").alias(c) for c in FEATURES), F.col(label).cast("double").alias("label"))
+    names = [f"{c}_in" for c in features]
+    rows = train.select(*(F.col(c).cast("double").alias(c) for c in features), F.col(label).cast("double").alias("label"))
     shared = {"featuresCol": "features", "labelCol": "label", "maxIter": rounds, "maxDepth": depth, "stepSize": step, "subsamplingRate": 0.8, "seed": 7}
     if classify:
         rate = rows.agg(F.avg("label")).first()[0] or 0.5
@@ -43,25 +49,30 @@ def fit_trees(train: DataFrame, label: str, classify: bool, rounds: int, depth:
         trees = GBTClassifier(weightCol="weight", **shared)
     else:
         trees = GBTRegressor(**shared)
-    imputer = Imputer(inputCols=list(FEATURES), outputCols=names, strategy="median", relativeError=0.01)
+    imputer = Imputer(inputCols=list(features), outputCols=names, strategy="median", relativeError=0.01)
     return Pipeline(stages=[imputer, VectorAssembler(inputCols=names, outputCol="features"), trees]).fit(rows)
 
 
-def tree_scores(rows: DataFrame, split: str = "TRAIN", rounds: int = 50, depth: int = 6) -> DataFrame:
-    """``p`` from a classifier, Platt-scaled on CALIB with the better of both polarities, and ``yhat`` from a regressor."""
+def tree_scores(rows: DataFrame, split: str = "TRAIN", rounds: int = 50, depth: int = 6, features: tuple[str, ...] = FEATURES) -> DataFrame:
+    """``p`` from a classifier, Platt-scaled on CALIB with the better of both polarities, and ``yhat`` from a regressor that knows ``p``.
+
+    A feature that is null throughout TRAIN is left out, as it has no median.
+    """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    wide = rows.select(*rows.columns[:0], "*", *(F.col(c).cast("double").alias(f"_{c}") for c in FEATURES)).select("sku_id", "week", "split", *(F.col(f"_{c}").alias(c) for c in FEATURES), "event_12w", "y_12w")
+    wide = rows.select("sku_id", "week", "split", *(F.col(c).cast("double").alias(c) for c in features), "event_12w", "y_12w")
     train = wide.where(F.col("split") == split)
-    classifier = fit_trees(train, "event_12w", True, rounds, depth)
-    scored = classifier.transform(wide).withColumn("p_raw", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction", *(f"{c}_in" for c in FEATURES))
+    seen = train.agg(*(F.count(c).alias(c) for c in features)).first()
+    features = tuple(c for c in features if seen[c])
+    classifier = fit_trees(train, "event_12w", True, rounds, depth, features)
+    scored = classifier.transform(wide).withColumn("p_raw", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction", *(f"{c}_in" for c in features))
     sign = scored.where("split = 'CALIB'").agg(F.corr("p_raw", "event_12w")).first()[0]
     scored = scored.withColumn("p_raw", 1 - F.col("p_raw")) if (sign or 0) < 0 else scored
     one = VectorAssembler(inputCols=["p_raw"], outputCol="v")
     platt = LogisticRegression(featuresCol="v", labelCol="event_12w", regParam=0.001, probabilityCol="pv").fit(one.transform(scored.where("split = 'CALIB'")))
     scored = platt.transform(one.transform(scored)).withColumn("p", vector_to_array("pv")[1]).drop("v", "pv", "rawPrediction", "prediction")
-    demand = fit_trees(train, "y_12w", False, rounds, depth)
+    demand = fit_trees(scored.where(F.col("split") == split), "y_12w", False, rounds, depth, (*features, "p"))
     scored = demand.transform(scored).withColumn("yhat", F.greatest(F.col("prediction"), F.lit(0.0)))
     return scored.select("sku_id", "week", "split", "event_12w", "y_12w", "p_raw", "p", "yhat")

@@ -68,6 +68,12 @@ def recalibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.recalibrated(scores(spark, sf_dir), C.grid_argmin(grid(spark, sf_dir)), known(spark, sf_dir))
 
 
+@phase("market-lags")
+def market(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fact_table(spark, sf_dir)
+    return P.market_lags(panel(spark, sf_dir), P.value_metrics(rows), P.customer_concentration(rows))
+
+
 KEYS = ["sku_id", "week"]
 LAGS = [*(f"lag_{k}" for k in (1, 2, 4, 8, 12, 13, 26, 52))]
 ROLLING = [*(f"mean_{k}" for k in (4, 8, 12, 13)), *(f"std_{k}" for k in (4, 12, 13)), "sold_before", "sale_freq_12w", "zero_share_13w", "zero_share_26w", "cv_4w", "cv_12w", "cv_13w", "amplitude", "lag1_rel"]
@@ -118,7 +124,7 @@ QUERIES: dict[str, Query] = {
     "value_metrics": _by(fact_table, P.value_metrics),
     "lag_features": _of(labelled, *KEYS, *LAGS),
     "rolling_features": _of(labelled, *KEYS, *ROLLING),
-    "market_lags": lambda spark, sf_dir: rounded(P.market_lags(panel(spark, sf_dir), P.value_metrics(fact_table(spark, sf_dir)), P.customer_concentration(fact_table(spark, sf_dir)))),
+    "market_lags": _by(market),
     "pooled_deciles": _by(labelled, P.pooled_deciles, lambda d: d.select(*KEYS, "split", "season_group", "decile_pooled")),
     "fourier_season": _of(labelled, *KEYS, "season_group", *FOURIER),
     "oos_proxy": _of(labelled, *KEYS, "oos_proxy", "oos_lag_1", "oos_lag_2", "oos_lag_4", "weeks_since_start"),

@@ -22,7 +22,7 @@ from ..operators import season as N
 from ..operators import studies as T
 from ..sources.retail import sales_only
 from ..sources.stages import Query, phase
-from .retail import _by, _of, calibrated, fact_table, forecast, labelled, panel, scores
+from .retail import _by, _of, calibrated, fact_table, forecast, labelled, market, panel, scores
 
 KEYS = ["sku_id", "week"]
 
@@ -230,5 +230,5 @@ QUERIES: dict[str, Query] = {
     "inventory": _by(panel, T.replenished, T.inventory_summary),
     "smoothed_demand": _by(panel, T.smoothed),
     "bootstrap_wmape": _by(forecast, T.bootstrap),
-    "tree_scores": _by(labelled, P.train_calib_split, S.tree_scores),
+    "tree_scores": lambda spark, sf_dir: rounded(S.tree_scores(P.train_calib_split(labelled(spark, sf_dir)).join(market(spark, sf_dir), KEYS, "left"), features=(*S.FEATURES, *S.MARKET))),
 }

@@ -13,6 +13,7 @@ from shelfsight.operators import boosting as B
 from shelfsight.operators import quantreg as Q
 from shelfsight.operators import ranks
 from shelfsight.operators import replenish as R
+from shelfsight.operators import scoring
 
 
 def rows_of(df):
@@ -100,13 +101,18 @@ def sample(spark):
 MODELS = [("y50", 0, 0.5), ("y90", 0, 0.9), ("z80", 1, 0.8)]
 
 
-def test_boosting_equals_a_plain_version(sample):
+B_written = B.written
+
+
+def test_boosting_equals_a_plain_version(sample, monkeypatch):
     p = B.Boosting(rounds=5, depth=3, step=0.3, leaf_rows=15, bins=8, keep=2)
+    one = B.fit(sample.coalesce(1), ["a", "b"], ["c"], ["y", "z"], MODELS, p)  # in one partition and in several
+    monkeypatch.setattr(B, "written", lambda df, name: B_written(df, name).repartition(3, "id"))
     model = B.fit(sample, ["a", "b"], ["c"], ["y", "z"], MODELS, p)
     rows = sample.withColumn("id", F.xxhash64("sku_id", "week")).toPandas()
     x = model.binned(rows)
     want = plain_boosting(x, [rows["y"].to_numpy(float), rows["z"].to_numpy(float)], MODELS, rows["id"].to_numpy(), p)
-    assert np.abs(model.predict(x) - want).max() < 1e-9
+    assert np.abs(model.predict(x) - want).max() < 1e-9 and np.abs(one.predict(x) - want).max() < 1e-9
     got = {r.sku_id: (r.y50, r.y90, r.z80) for r in B.predictions(sample, model, ["sku_id"]).collect()}
     assert np.allclose([got[s] for s in rows["sku_id"]], want)
     assert model.rows == [400, 400, int(rows["z"].notna().sum())] and model.span == ("2000-01-03", "2000-01-31")
@@ -145,7 +151,7 @@ def test_boosting_without_rows(sample):
 
 
 def test_no_label_is_a_feature():
-    assert not set(Q.LABELS) & {*Q.NUMBERS, *Q.CLASSES}
+    assert not set(Q.LABELS) & {*Q.NUMBERS, *Q.CLASSES} and not set(Q.LABELS) & {*scoring.FEATURES, *scoring.MARKET}
 
 
 @pytest.fixture(scope="module")
