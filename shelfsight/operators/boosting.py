@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import ACCURACY
 from ..functions.columns import quantile
 from ..sources.stages import written
 
@@ -247,17 +248,18 @@ def fit(train: DataFrame, numbers: list[str], classes: list[str], targets: list[
     """
     p = p or Boosting()
     number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-    cuts = [[quantile(number(c), 100 * k / p.bins) for k in range(1, p.bins)] for c in numbers]
+    shares = F.array(*(F.lit(k / p.bins) for k in range(1, p.bins)))
+    cuts = [F.percentile_approx(number(c), shares, F.lit(ACCURACY)) for c in numbers]
     base = [quantile(F.col(targets[t]).cast("double"), 100 * a) for _, t, a in models]
     known = [F.sort_array(F.collect_set(F.coalesce(F.col(c), F.lit(MISSING)))) for c in classes]
     found = train.agg(
-        *(F.array(*c).alias(f"c{k}") for k, c in enumerate(cuts)), *(k.alias(f"k{i}") for i, k in enumerate(known)), *(b.alias(f"b{i}") for i, b in enumerate(base)),
+        *(c.alias(f"c{k}") for k, c in enumerate(cuts)), *(k.alias(f"k{i}") for i, k in enumerate(known)), *(b.alias(f"b{i}") for i, b in enumerate(base)),
         *(F.count(t).alias(f"n{i}") for i, t in enumerate(targets)), F.min(week).cast("string").alias("since"), F.max(week).cast("string").alias("until"),
     ).first()
     named = {c: found[f"k{i}"] for i, c in enumerate(classes)}
     if any(len(v) > p.bins for v in named.values()):
         raise ValueError(f"a feature has more than {p.bins} classes")
-    edges = [np.array(sorted({v for v in found[f"c{k}"] if v is not None})) for k in range(len(numbers))]
+    edges = [np.array(sorted(set(found[f"c{k}"] or ()))) for k in range(len(numbers))]
     model = Ensemble(
         list(numbers), named, edges, [m[0] for m in models], [m[1] for m in models], [m[2] for m in models], p.step,
         np.array([found[f"b{i}"] or 0.0 for i in range(len(models))]), [found[f"n{t}"] for _, t, _ in models], (found["since"] or "", found["until"] or ""),
