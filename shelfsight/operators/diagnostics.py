@@ -137,3 +137,14 @@ def segment_diagnostics(fc: DataFrame) -> DataFrame:
 
 def active_scope(scores: DataFrame) -> DataFrame:
     return with_segments(scores).groupBy("split", "season_group").agg(F.count("*").alias("n"), share(F.col("active")).alias("active"), F.avg("amplitude").alias("amplitude"), F.count_distinct("child").alias("segments"))
+
+
+def fit_quality(fc: DataFrame) -> DataFrame:
+    """R squared, mean error and its root square, and the band of residuals of validation rows, by season and in all."""
+    rows = fc.where("split = 'VAL'").withColumn("_e", F.col("y_12w") - F.col("yhat"))
+    y, e = F.col("y_12w"), F.col("_e")
+    out = rows.groupingSets([["season_group"], []], "season_group").agg(
+        F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - ratio(F.sum(e * e), F.var_pop(y) * F.count("*"))).alias("r2"),
+        *(quantile(fixed("_e", 9), k).alias(f"residual_{k}") for k in (5, 25, 50, 75, 95)), share(e < 0).alias("over_share"),
+    )
+    return out.withColumn("season_group", F.coalesce("season_group", F.lit("ALL")))

@@ -119,6 +119,21 @@ def forward_labels(feats: DataFrame, horizon: int = HORIZON) -> DataFrame:
     })
 
 
+def closed_labels(labelled: DataFrame, horizon: int = HORIZON, spans: tuple[int, ...] = (4, 8, 13)) -> DataFrame:
+    """Rolling mean, deviation and zero share of labels whose window had closed before each week.
+
+    The label of week t - 13 covers the weeks up to t - 1; later ones are still open and aren't looked at.
+    """
+    y = F.when(F.col("n_future") == horizon, F.col("y_12w"))
+    frame = lambda k: by_sku().rowsBetween(-(horizon + k), -(horizon + 1))
+    out = {}
+    for k in spans:
+        w = frame(k)
+        zeros = F.sum(F.when(y == 0, 1).when(y.isNotNull(), 0)).over(w)
+        out |= {f"label_mean_{k}": F.avg(y).over(w), f"label_std_{k}": fixed(F.stddev_samp(y).over(w), 9), f"label_zero_{k}": ratio(zeros, F.count(y).over(w))}
+    return labelled.select("sku_id", "week", *(v.alias(n) for n, v in out.items()))
+
+
 def split_of(week: Column, splits: Splits = SPLITS) -> Column:
     d = lambda s: F.lit(s).cast("date")
     return F.when(week <= d(splits.train_end), "TRAIN").when(week <= d(splits.calib_end), "CALIB").when(week.between(d(splits.val_start), d(splits.val_end)), "VAL")

@@ -14,6 +14,7 @@ from ..operators import audits as U
 from ..operators import conformal as C
 from ..operators import diagnostics as D
 from ..operators import layers as L
+from ..operators import panel as P
 from ..operators import policy as A
 from ..operators import quantreg as Q
 from ..operators import replenish as R
@@ -23,7 +24,7 @@ from ..operators import studies as T
 from ..operators import tweedie as W
 from ..operators import verdicts as V
 from ..sources.stages import Query, phase
-from .retail import _by, _of, forecast, panel, recalibrated, scores
+from .retail import _by, _of, forecast, labelled, panel, recalibrated, scores
 from .states import _overlays, fine_residuals, fine_scores, geo, layered, national, oos_scores, province_shares, recall_policies, scores_parts, stated, states, third
 
 KEYS = ["sku_id", "week"]
@@ -263,6 +264,8 @@ QUERIES: dict[str, Query] = {
     "joint_eval": _by(joint_rows, J.joint_eval),
     "joint_frozen": _by(joint_rows, J.joint_eval, J.joint_frozen),
     "joint_locked_metrics": lambda spark, sf_dir: rounded(_joint_locked(spark, sf_dir)),
+    "closed_labels": _by(labelled, P.closed_labels),
+    "fit_quality": _by(forecast, D.fit_quality),
     "replenishment_comparison": lambda spark, sf_dir: rounded(R.stock_comparison(plan(spark, sf_dir), R.strategy_scores(replenishment(spark, sf_dir)))),
 }
 

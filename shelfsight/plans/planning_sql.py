@@ -218,5 +218,11 @@ FINAL["joint_frozen"] = "SELECT candidate, point, method, round(loss, 6) AS loss
 FINE["jlocked"] = "SELECT j.* EXCLUDE (j80, j90, j95), f.candidate, greatest(p50, j80) AS j80, greatest(p50, j80, j90) AS j90, greatest(p50, j80, j90, j95) AS j95 FROM joint j JOIN jfrozen f ON f.point = j.point AND f.method = j.method WHERE part = 'LOCKED_TEST' AND y_12w IS NOT NULL"
 FINAL["joint_locked_metrics"] = f"SELECT candidate, level, segment, n, {r('wmape', 'wmape_positive', 'bias', 'zero_over', 'viol_80', 'viol_90', 'viol_95', 'disorder', 'spread')} FROM (" + " UNION ALL ".join(f"SELECT candidate, '{lv}' AS level, {sg} AS segment, {_jm}, avg(j90 - p50) AS spread FROM jlocked GROUP BY 1, 2, 3" for lv, sg in (("GLOBAL", "'ALL'"), ("BY_SEASON", "season_group"), ("BY_STATE", "state"))) + ")"
 
+_closed = lambda k: f"OVER (PARTITION BY sku_id ORDER BY week ROWS BETWEEN {12 + k} PRECEDING AND 13 PRECEDING)"
+FINAL["closed_labels"] = "SELECT sku_id, week, " + ", ".join(f"round(avg(y) {_closed(k)}, 6) AS label_mean_{k}, round(round(stddev_samp(y) {_closed(k)}, 9), 6) AS label_std_{k}, round((count(*) FILTER (y = 0) {_closed(k)}) / nullif((count(y) {_closed(k)})::DOUBLE, 0), 6) AS label_zero_{k}" for k in (4, 8, 13)) + " FROM (SELECT sku_id, week, CASE WHEN n_future = 12 THEN y_12w END AS y FROM labelled)"
+_fq = f"count(*) AS n, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse, 1 - {div('sum(e * e)', 'var_pop(y) * count(*)')} AS r2, " + ", ".join(f"{q('round(e, 9)', k)} AS residual_{k}" for k in (5, 25, 50, 75, 95)) + f", {share('e < 0')} AS over_share"
+COARSE["fitrows"] = "SELECT season_group, y_12w AS y, y_12w - yhat AS e FROM fc WHERE split = 'VAL'"
+FINAL["fit_quality"] = f"SELECT season_group, n, {r('mae', 'rmse', 'r2', *(f'residual_{k}' for k in (5, 25, 50, 75, 95)), 'over_share')} FROM (SELECT season_group, {_fq} FROM fitrows GROUP BY 1 UNION ALL SELECT 'ALL', {_fq} FROM fitrows)"
+
 _FINE_NAMES = {"qr_features", "state_grid_eval", "state_frozen", "state_recalibrated", "state_recalibrated_metrics", "shrink_grid", "joint_spreads", "joint_eval", "joint_frozen", "joint_locked_metrics", "season_audit", "recall_audit", "overlay_metrics", "overlay_audit", "audit_verdicts"}
 ORACLES = {name: oracle(name, FINE if name in _FINE_NAMES else COARSE, FINAL) for name in FINAL}

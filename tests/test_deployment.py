@@ -162,3 +162,17 @@ def test_phases_follow_their_tables_and_go(spark, tmp_path):
     assert all(Path(p).exists() for p in own) and stages.drop_written(spark) == len(own)
     assert not any(Path(p).exists() for p in own)
     assert counted(spark, f"file://{folder}").first().n == 5 and len(made) == 3
+
+
+def test_only_closed_labels_are_features(spark):
+    from shelfsight.operators.panel import closed_labels, forward_labels
+
+    rng = random.Random(4)
+    ys = [float(rng.choice([0, 0, 3, 7])) for _ in range(60)]
+    rows = [("s", DAY + dt.timedelta(7 * t), y, 0, None, None, None) for t, y in enumerate(ys)]
+    labelled = forward_labels(spark.createDataFrame(rows, "sku_id string, week date, y double, oos_proxy int, mean_12 double, mean_13 double, mean_4 double"))
+    got = [r.label_mean_4 for r in closed_labels(labelled).orderBy("week").collect()]
+    label = [sum(ys[t + 1 : t + 13]) for t in range(48)]
+    for t in range(60):
+        known = label[max(0, t - 16) : max(0, t - 12)]  # the last of them covers the weeks up to t - 1
+        assert got[t] is None if not known else abs(got[t] - sum(known) / len(known)) < 1e-9
