@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import fixed, positive, quantile, ratio, share
+from ..functions.columns import fixed, positive, ratio, share
+from .ranks import quantiles
 from .season import zero_regime
 
 SHRINKS = (0.70, 0.75, 0.80, 0.85, 0.90, 0.95, 1.00)
@@ -55,10 +56,8 @@ def spreads(rows: DataFrame) -> DataFrame:
     """Quantiles of positive residuals and of differences of logarithms on DEV_TUNE, by point and state, season (each with regime) and in all."""
     tune = rows.where("part = 'DEV_TUNE' and y_12w is not null")
     own = tune.withColumns({"_a": fixed(positive(F.col("y_12w") - F.col("p50")), 9), "_l": fixed(F.log(F.col("y_12w") + 1) - F.log(F.col("p50") + 1), 9)})
-    sets = own.groupingSets([["point", "state", "regime"], ["point", "season_group", "regime"], ["point"]], "point", "state", "season_group", "regime").agg(
-        F.grouping("state").alias("_s"), F.grouping("season_group").alias("_g"), F.count("*").alias("n"), *(quantile(f"_{t}", k).alias(f"{t}{k}") for t in "al" for k in LEVELS)
-    )
-    level = F.when(F.col("_s") == 0, "STATE").when(F.col("_g") == 0, "SEASON").otherwise("GLOBAL")
+    sets = quantiles(own, ["point", "state", "season_group", "regime"], {f"{t}{k}": (f"_{t}", k) for t in "al" for k in LEVELS}, [["point", "state", "regime"], ["point", "season_group", "regime"], ["point"]])
+    level = F.when(F.col("_set") == 0, "STATE").when(F.col("_set") == 1, "SEASON").otherwise("GLOBAL")
     return sets.select("point", level.alias("level"), F.coalesce("state", "season_group", F.lit("ALL")).alias("segment"), F.coalesce("regime", F.lit("ALL")).alias("regime"), "n", *(f"{t}{k}" for t in "al" for k in LEVELS))
 
 

@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import HORIZON, SPLITS
-from ..functions.columns import fixed, quantile, ratio, share
+from ..functions.columns import fixed, ratio, share
 from .conformal import coverage_gate, demand_eval, quantile_sanity, residuals, with_segments, with_tune
+from .ranks import quantiles, with_quantiles
 from .scoring import conformal_score
 
 
 def score_shift(scores: DataFrame) -> DataFrame:
     """Residual scores of active rows by split and season."""
     rows = scores.where("split in ('CALIB', 'VAL')").withColumn("s", conformal_score())
-    return rows.groupBy("split", "season_group").agg(F.count("s").alias("n"), F.avg("s").alias("mean"), F.stddev_samp("s").alias("std"), *(quantile("s", k).alias(f"s{k}") for k in (10, 50, 90, 95)))
+    out = rows.groupBy("split", "season_group").agg(F.count("s").alias("n"), F.avg("s").alias("mean"), F.stddev_samp("s").alias("std"))
+    return with_quantiles(out, rows, ["split", "season_group"], {f"s{k}": ("s", k) for k in (10, 50, 90, 95)})
 
 
 def distribution_shift(scores: DataFrame) -> DataFrame:
@@ -53,10 +55,10 @@ def quantile_collapse(fc: DataFrame) -> DataFrame:
 
 def guardrails(fc: DataFrame) -> DataFrame:
     """Balance of the upper quantile by season: ratios to the forecast, over and under forecast, cap, and the first failing rule."""
-    rows = fc.where("split = 'VAL'")
-    big = F.when(F.col("yhat") >= 5, fixed(ratio("q90", "yhat"), 9))
+    rows = fc.where("split = 'VAL'").withColumn("_big", F.when(F.col("yhat") >= 5, fixed(ratio("q90", "yhat"), 9)))
     over, under = F.sum(F.greatest(F.col("q90") - F.col("y_12w"), F.lit(0.0))), F.sum(F.greatest(F.col("y_12w") - F.col("q90"), F.lit(0.0)))
-    out = rows.groupBy("season_group").agg(F.count("*").alias("n"), quantile(big, 50).alias("ratio_median"), quantile(big, 90).alias("ratio_90"), ratio(F.sum("q90"), F.sum("yhat")).alias("ratio_weighted"), ratio(over, under).alias("over_under"), share(F.col("q90") >= F.col("cap")).alias("cap_rate"), share(F.col("y_12w") > F.col("q90")).alias("viol_90"))
+    out = rows.groupBy("season_group").agg(F.count("*").alias("n"), ratio(F.sum("q90"), F.sum("yhat")).alias("ratio_weighted"), ratio(over, under).alias("over_under"), share(F.col("q90") >= F.col("cap")).alias("cap_rate"), share(F.col("y_12w") > F.col("q90")).alias("viol_90"))
+    out = with_quantiles(out, rows, ["season_group"], {"ratio_median": ("_big", 50), "ratio_90": ("_big", 90)})
     status = (
         F.when(F.col("cap_rate") > 0.05, "FAIL_CAP").when(F.col("over_under") > 3, "FAIL_OVER_UNDER").when(~F.col("viol_90").between(0.08, 0.12), "FAIL_COVERAGE")
         .when(F.col("ratio_median") <= 3.5, "PASS_MEDIAN").when(F.col("ratio_weighted") <= 3.5, "PASS_WEIGHTED").otherwise("WARN_RATIO")
@@ -124,7 +126,8 @@ def split_weeks(scores: DataFrame) -> DataFrame:
 def split_profile(scores: DataFrame) -> DataFrame:
     """Moments, percentiles, zero share and intermittency of demand by split."""
     y = F.col("y_12w")
-    return scores.groupBy("split").agg(F.count("*").alias("n"), F.avg(y).alias("mean"), F.stddev_samp(y).alias("std"), fixed(F.skewness(y), 6).alias("skew"), *(quantile(y, k).alias(f"p{k}") for k in (5, 25, 50, 75, 95, 99)), share(F.col("y") == 0).alias("zero_weeks"), fixed(ratio(F.stddev_samp(y), F.avg(y)), 9).alias("cv"))
+    out = scores.groupBy("split").agg(F.count("*").alias("n"), F.avg(y).alias("mean"), F.stddev_samp(y).alias("std"), fixed(F.skewness(y), 6).alias("skew"), share(F.col("y") == 0).alias("zero_weeks"), fixed(ratio(F.stddev_samp(y), F.avg(y)), 9).alias("cv"))
+    return with_quantiles(out, scores, ["split"], {f"p{k}": ("y_12w", k) for k in (5, 25, 50, 75, 95, 99)})
 
 
 def segment_diagnostics(fc: DataFrame) -> DataFrame:
@@ -141,10 +144,12 @@ def active_scope(scores: DataFrame) -> DataFrame:
 
 def fit_quality(fc: DataFrame) -> DataFrame:
     """R squared, mean error and its root square, and the band of residuals of validation rows, by season and in all."""
-    rows = fc.where("split = 'VAL'").withColumn("_e", F.col("y_12w") - F.col("yhat"))
+    rows = fc.where("split = 'VAL'").withColumn("_e", F.col("y_12w") - F.col("yhat")).withColumn("_r", fixed("_e", 9))
     y, e = F.col("y_12w"), F.col("_e")
     out = rows.groupingSets([["season_group"], []], "season_group").agg(
         F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - ratio(F.sum(e * e), F.var_pop(y) * F.count("*"))).alias("r2"),
-        *(quantile(fixed("_e", 9), k).alias(f"residual_{k}") for k in (5, 25, 50, 75, 95)), share(e < 0).alias("over_share"),
+        share(e < 0).alias("over_share"),
     )
-    return out.withColumn("season_group", F.coalesce("season_group", F.lit("ALL")))
+    bands = quantiles(rows, ["season_group"], {f"residual_{k}": ("_r", k) for k in (5, 25, 50, 75, 95)}, [["season_group"], []]).drop("n", "_set")
+    named = lambda d: d.withColumn("season_group", F.coalesce("season_group", F.lit("ALL")))
+    return named(out).join(F.broadcast(named(bands)), "season_group")

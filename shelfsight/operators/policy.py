@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import TOP_K
 from ..functions.columns import fixed, positive, ratio
 from .conformal import with_tune
+from .ranks import quantiles
 
 POLICIES = ("A", "B", "C05", "C10", "C15", "D", "E")
 
@@ -82,6 +83,7 @@ def probability_comparison(fc: DataFrame) -> DataFrame:
 
 def probability_deciles(fc: DataFrame) -> DataFrame:
     """Mean probability and rate in ten bands of the probability, cut on CALIB."""
-    cuts = fc.where("split = 'CALIB'").agg(F.array(*(F.percentile_approx("p", k / 10, 100_000) for k in range(1, 10))).alias("cuts"))
+    cuts = {f"_{k}": ("p", 10 * k) for k in range(1, 10)}
+    cuts = quantiles(fc.where("split = 'CALIB'"), [], cuts).select(F.array(*cuts).alias("cuts"))
     rows = fc.where("split = 'VAL'").crossJoin(F.broadcast(cuts)).withColumn("band", F.lit(1) + F.size(F.filter("cuts", lambda c: F.col("p") > c)))
     return rows.groupBy("band").agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.avg("event_12w").alias("rate"))

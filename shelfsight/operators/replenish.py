@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Service
-from ..functions.columns import fixed, positive, quantile, ratio
+from ..functions.columns import fixed, positive, ratio
 from ..sources.stages import written
-from .ranks import running_sum
+from .ranks import quantiles, running_sum
 from .studies import Z_CRITICAL, inventory
 
 KEYS = ["sku_id", "province"]
@@ -45,7 +45,7 @@ def tiers(geo: DataFrame, until: str) -> DataFrame:
 def abc_classes(panel: DataFrame, until: str) -> DataFrame:
     """A for SKUs with training units at the 80 % quantile or more, B at the median or more, else C."""
     sold = panel.where(F.col("week") <= F.lit(until).cast("date")).groupBy("sku_id").agg(F.sum("y").alias("_u"))
-    cuts = sold.agg(quantile("_u", 80).alias("_a"), quantile("_u", 50).alias("_b"))
+    cuts = quantiles(sold, [], {"_a": ("_u", 80), "_b": ("_u", 50)}).drop("n")
     return sold.crossJoin(F.broadcast(cuts)).select("sku_id", F.when(F.col("_u") >= F.col("_a"), "A").when(F.col("_u") >= F.col("_b"), "B").otherwise("C").alias("abc"))
 
 
@@ -93,7 +93,7 @@ def with_release(rows: DataFrame, by: list[str], name: str, least: float) -> Dat
     most, evenly, the rest one each to the first ones by score.
     """
     per = Window.partitionBy(*by)
-    cut = rows.groupBy(*by).agg(fixed(F.sum("pred"), 6).alias("_g")).agg(quantile("_g", 60).alias("_q60"))
+    cut = quantiles(rows.groupBy(*by).agg(fixed(F.sum("pred"), 6).alias("_g")), [], {"_q60": ("_g", 60)}).drop("n")
     rows = rows.withColumns({"_total": fixed(F.sum("stock").over(per), 6), "_pred": fixed(F.sum("pred").over(per), 6), "_n": F.count("*").over(per)}).crossJoin(F.broadcast(cut))
     key = (F.col("abc") == "A") | F.col("demand").isin(*UNEVEN) | (F.col("tier") <= 3)
     up = F.max(key.cast("int")).over(per) + (F.col("_pred") >= F.col("_q60")).cast("int") + (F.col("_total") >= least).cast("int") > 0

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import HORIZON, SPLITS, TOP_K
-from ..functions.columns import fixed, positive, quantile, ratio, share
+from ..functions.columns import fixed, positive, ratio, share
 from .allocation import service_tier
+from .ranks import with_quantiles
 
 EXAMPLES = 20
 
@@ -32,11 +33,13 @@ def scope_check(rows: DataFrame) -> DataFrame:
 def gate_metrics(rows: DataFrame) -> DataFrame:
     """One row of figures of labelled gate weeks: coverage, caps, order, balance, error."""
     y, q90 = F.col("y_12w"), F.col("q90")
-    return rows.where("y_12w is not null").agg(
-        F.count("*").alias("n"), share(y > q90).alias("viol_90"), share(y > F.col("q95")).alias("viol_95"), share(q90 >= F.col("cap")).alias("cap_rate"), quantile(fixed(ratio("q90", "yhat"), 9), 50).alias("ratio_median"),
+    rows = rows.where("y_12w is not null").withColumn("_ratio", fixed(ratio("q90", "yhat"), 9))
+    out = rows.agg(
+        F.count("*").alias("n"), share(y > q90).alias("viol_90"), share(y > F.col("q95")).alias("viol_95"), share(q90 >= F.col("cap")).alias("cap_rate"),
         F.count_if((q90 < F.col("q80")) | (F.col("q95") < q90)).alias("non_monotone"), ratio(F.sum(positive(q90 - y)), F.sum(positive(y - q90))).alias("over_under"), ratio(F.sum(F.abs(y - F.col("yhat"))), F.sum(F.abs(y))).alias("wmape"),
         (100 * ratio(F.sum(F.col("yhat") - y), F.sum(y))).alias("bias_pct"),
     )
+    return with_quantiles(out, rows, [], {"ratio_median": ("_ratio", 50)})
 
 
 def _one(*tables: DataFrame) -> DataFrame:
