@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from ..config import Service
 from ..functions.columns import fixed, positive, ratio
 from ..sources.stages import written
-from .ranks import quantiles, running_sum
-from .studies import Z_CRITICAL, inventory
+from .ranks import quantiles, running_sum, running_sums
+from .studies import Z_CRITICAL, inventories
 
 KEYS = ["sku_id", "province"]
 STRATEGIES = ("weekly_round", "weekly_priority", "monthly_release", "block3_release", "horizon_release", "hybrid", "hybrid_topup")
@@ -109,7 +109,8 @@ def with_release(rows: DataFrame, by: list[str], name: str, least: float) -> Dat
 def with_strategies(rows: DataFrame) -> DataFrame:
     """The plan with six ways to whole units; ``hybrid`` takes one of the others by class, tier and demand."""
     out = rows.withColumn("weekly_round", F.bround("stock").cast("long"))
-    out = with_priority(out)
+    # all windows below are within a SKU and province, so one shuffle serves them
+    out = with_priority(out).repartition(*KEYS)
     out = with_release(out, [*KEYS, "month"], "monthly_release", 0.50)
     out = with_release(out, [*KEYS, "block3"], "block3_release", 0.50)
     out = with_release(out, KEYS, "horizon_release", 0.35)
@@ -125,10 +126,9 @@ def with_strategies(rows: DataFrame) -> DataFrame:
 
 def _fill(rows: DataFrame, amounts: dict[int, Column]) -> dict[int, float]:
     """Share of demand that each of several replenishments serves, in one pass."""
-    stack = F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("_try"), a.cast("double").alias("replenishment")) for k, a in amounts.items())))
-    long = rows.select(*KEYS, "week", F.col("real").alias("demand"), stack.alias("_s")).select(*KEYS, "week", "demand", "_s.*")
-    out = inventory(long, [*KEYS, "_try"], "week").groupBy("_try").agg(ratio(F.sum("served"), F.sum("demand")).alias("fill"))
-    return {r["_try"]: r["fill"] or 0.0 for r in out.collect()}
+    own = rows.select(*KEYS, "week", F.col("real").alias("demand"), *(a.cast("double").alias(f"_r_{k}") for k, a in amounts.items()))
+    out = inventories(own, KEYS, "week", {str(k): f"_r_{k}" for k in amounts}, "_try").groupBy("_try").agg(ratio(F.sum("served"), F.sum("demand")).alias("fill"))
+    return {int(r["_try"]): r["fill"] or 0.0 for r in out.collect()}
 
 
 def with_topup(rows: DataFrame, s: Service | None = None, ways: int = 8, parts: int | None = None) -> DataFrame:
@@ -151,8 +151,7 @@ def with_topup(rows: DataFrame, s: Service | None = None, ways: int = 8, parts:
     dull = (F.col("pred") <= 0.01) & (F.col("prob") <= 0.50) & ~((F.col("abc") == "A") & (F.col("tier") <= 3))
     rows = rows.withColumn("_can", F.when(dull, 0).otherwise(F.greatest(cap - F.col("_base"), F.lit(0))).cast("long"))
     order = [F.desc("score"), F.asc("sku_id"), F.asc("province"), F.asc("week")]
-    rows = running_sum(rows, [], order, F.col("_can"), "_upto", parts)
-    rows = written(running_sum(rows, [], order, F.when(F.col("real") == 0, F.col("_can")).otherwise(0), "_idle", parts), "topup")
+    rows = written(running_sums(rows, [], order, {"_upto": F.col("_can"), "_idle": F.when(F.col("real") == 0, F.col("_can")).otherwise(0)}, parts), "topup")
     sums = rows.agg(F.sum("real").alias("real"), F.sum("_base").alias("base"), F.sum("_can").alias("can"), F.coalesce(F.sum(F.when(F.col("real") == 0, F.col("_base"))), F.lit(0)).alias("idle")).first()
     most = min(sums["can"] or 0, int(s.ratio_max * (sums["real"] or 0.0) - (sums["base"] or 0)))
     room = s.zeros_max - sums["idle"]
@@ -179,12 +178,12 @@ def _figures() -> list[Column]:
 
 
 def dynamic(rows: DataFrame, strategies: tuple[str, ...] = STRATEGIES) -> DataFrame:
-    """Every strategy simulated: a row for each strategy, SKU, province and week."""
-    stack = F.explode(F.array(*(F.struct(F.lit(s).alias("strategy"), F.col(s).cast("double").alias("replenishment")) for s in strategies)))
-    long = rows.select(*KEYS, "week", "abc", F.col("demand").alias("class"), "tier", F.col("real").alias("demand"), stack.alias("_s")).select(*KEYS, "week", "abc", "class", "tier", "demand", "_s.*")
-    sim = inventory(long, ["strategy", *KEYS], "week")
-    last = F.max("week").over(Window.partitionBy("strategy", *KEYS))
-    return sim.withColumn("_last", F.when(F.col("week") == last, F.col("ending")).otherwise(0.0))
+    """Every strategy simulated: a row for each strategy, SKU, province and week. Rows are shuffled and sorted once, not once a strategy."""
+    last = F.max("week").over(Window.partitionBy(*KEYS))
+    own = rows.select(*KEYS, "week", "abc", F.col("demand").alias("class"), "tier", F.col("real").alias("demand"), *(F.col(s).cast("double").alias(s) for s in strategies), last.alias("_end"))
+    sim = inventories(own, KEYS, "week", {s: s for s in strategies}, "strategy")
+    last = F.col("_end")
+    return sim.withColumn("_last", F.when(F.col("week") == last, F.col("ending")).otherwise(0.0)).drop("_end")
 
 
 def strategy_scores(sim: DataFrame, s: Service | None = None) -> DataFrame:
