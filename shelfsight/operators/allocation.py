@@ -110,7 +110,7 @@ def service_tier(p: Column) -> Column:
 def national_export(rows: DataFrame, metadata: DataFrame) -> DataFrame:
     """Forecast, buffers, tier and alert score of each validation row, with the SKU's family."""
     out = rows.where("split = 'VAL'").join(metadata.select("sku_id", "family"), "sku_id", "left")
-    score = fixed(F.col("p") * F.col("q90"), 9)
+    score = F.col("p") * F.col("q90")  # rounded once, by the query
     return out.select("sku_id", "week", "family", "yhat", "q80", "q90", "q95", (F.col("q90") - F.col("yhat")).alias("buffer_90"), (F.col("q95") - F.col("yhat")).alias("buffer_95"), service_tier(fixed("p", 9)).alias("tier"), score.alias("score"))
 
 
