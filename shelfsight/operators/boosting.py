@@ -7,8 +7,9 @@ pass: each partition counts rows and rows above the prediction by model, node, f
 partial counts are added up and turned into a split for each model and node. What reaches
 the driver is a split for each open node.
 
-Predictions so far are a column of the written rows; they are brought up to date every ``keep``
-rounds, and trees since then are applied in the pass.
+Rows are written in blocks, a feature's bins side by side, so that a node is one comparison of a
+column and a level one histogram for each model. Predictions so far are part of a block; they are
+brought up to date every ``keep`` rounds, and trees since then are applied in the pass.
 """
 
 from __future__ import annotations
@@ -58,17 +59,21 @@ class Tree:
         nodes = (1 << depth) - 1
         return Tree(np.zeros(nodes, np.int32), np.full(nodes, 255, np.int32), np.zeros(nodes + 1))
 
-    def node(self, x: np.ndarray, levels: int) -> np.ndarray:
-        """The node of each row after so many levels."""
-        at = np.zeros(len(x), np.int64)
-        rows = np.arange(len(x))
-        for _ in range(levels):
-            at = 2 * at + 1 + (x[rows, self.feature[at]] > self.bin[at])
+    def place(self, x: np.ndarray, levels: int) -> np.ndarray:
+        """The place of each row among the nodes of a level, from the left; ``x``: features x rows."""
+        at = np.zeros(x.shape[1], np.int16)
+        for level in range(levels):
+            first = (1 << level) - 1
+            right = np.zeros(len(at), bool)
+            for k in range(first, 2 * first + 1):
+                if self.bin[k] < 255:
+                    right |= (at == k - first) & (x[self.feature[k]] > int(self.bin[k]))
+            at += at
+            at += right
         return at
 
     def value(self, x: np.ndarray) -> np.ndarray:
-        levels = (len(self.leaf) - 1).bit_length()
-        return self.leaf[self.node(x, levels) - len(self.feature)]
+        return self.leaf.take(self.place(x, (len(self.leaf) - 1).bit_length()))
 
 
 @dataclass
@@ -104,13 +109,14 @@ class Ensemble:
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         """Rows x models."""
-        return add_rounds(np.tile(self.base, (len(x), 1)), x, self.rounds, self.step)
+        columns = np.ascontiguousarray(x.T)
+        return np.stack([updated(np.full(len(x), b), m, columns, self.rounds, self.step) for m, b in enumerate(self.base)], axis=1)
 
 
-def add_rounds(f: np.ndarray, x: np.ndarray, rounds: list[list[Tree]], step: float) -> np.ndarray:
+def updated(f: np.ndarray, m: int, x: np.ndarray, rounds: list[list[Tree]], step: float) -> np.ndarray:
+    """Predictions of one model with the trees of further rounds; ``x``: features x rows."""
     for trees in rounds:
-        for m, tree in enumerate(trees):
-            f[:, m] += step * tree.value(x)
+        f = f + step * trees[m].value(x)
     return f
 
 
@@ -166,15 +172,23 @@ class _Pass:
     since: list[list[Tree]]
     round_: int
 
-    def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Bins, and what is left of each model's target; NaN where it doesn't learn from a row."""
-        for b in batches:
-            if len(b):
-                x = np.frombuffer(b"".join(b["x"]), np.uint8).reshape(len(b), -1)
-                f = add_rounds(np.stack(b["f"].to_numpy()), x, self.since, self.p.step)
-                left = np.stack(b["t"].to_numpy())[:, self.targets] - f
-                left[~in_sample(b["id"].to_numpy(), self.round_, self.p)] = np.nan
-                yield x, left
+    def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, dict[int, np.ndarray]]]:
+        """Bins (features x rows) of the rows that a target's models learn from, and by model what is left of the target."""
+        for ids, x, t, f in _blocks(batches):
+            seen = in_sample(ids, self.round_, self.p)
+            for k in dict.fromkeys(self.targets):
+                own = np.flatnonzero(seen & ~np.isnan(t[k]))
+                if len(own):
+                    mine, y = x.take(own, axis=1), t[k][own]
+                    yield mine, {m: y - updated(f[m][own], m, mine, self.since, self.p.step) for m, other in enumerate(self.targets) if other == k}
+
+
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, bins, targets and predictions of each block; all but the ids have a line for each feature, target or model."""
+    for b in batches:
+        for ids, x, t, f in zip(b["id"], b["x"], b["t"], b["f"], strict=True):
+            ids = np.frombuffer(ids, np.int64)
+            yield ids, np.frombuffer(x, np.uint8).reshape(-1, len(ids)), np.frombuffer(t).reshape(-1, len(ids)), np.frombuffer(f).reshape(-1, len(ids))
 
 
 def _reduced(rows: DataFrame, alone: bool, first, middle: str, second, schema: str, *keys: str) -> DataFrame:
@@ -187,26 +201,31 @@ def _reduced(rows: DataFrame, alone: bool, first, middle: str, second, schema: s
 def _counts(rows: DataFrame, alone: bool, read: _Pass, trees: list[Tree], open_: list[list[int]], level: int) -> DataFrame:
     """The split of every open node: ``model, node, gain, feature, bin``."""
     bins, width, alphas, leaf_rows = read.p.bins, read.width, read.quantiles, read.p.leaf_rows
+    # a cell for each feature, node and sign of what is left, and bin; rows of closed nodes share one more node
+    nodes, first = 1 << level, (1 << level) - 1
+    lines = 2 * nodes + 1
+    places = [np.array([bins * (2 * k + up if first + k in own else 2 * nodes) for k in range(nodes) for up in (0, 1)]) for own in map(set, open_)]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[tuple[int, int], np.ndarray] = {}
+        total: dict[int, np.ndarray] = {}
         for x, left in read(batches):
-            cells = np.arange(width) * bins + x
-            for m, tree in enumerate(trees):
-                at = tree.node(x, level)
-                learns = ~np.isnan(left[:, m])
-                for node in open_[m]:
-                    own = learns & (at == node)
-                    up = own & (left[:, m] > 0)
-                    both = np.stack([np.bincount(cells[s].ravel(), minlength=width * bins) for s in (own, up)], axis=1)
-                    total[m, node] = total.get((m, node), 0) + both
-        yield pd.DataFrame([(m, node, c.astype(np.int64).tobytes()) for (m, node), c in total.items()], columns=["model", "node", "counts"])
+            cells = x + (np.arange(width) * (lines * bins))[:, None]
+            here = np.empty_like(cells)
+            for m in left:
+                if open_[m]:
+                    np.add(cells, places[m][2 * trees[m].place(x, level) + (left[m] > 0)], out=here)
+                    total[m] = total.get(m, 0) + np.bincount(here.ravel(), minlength=width * lines * bins)
+        out = []
+        for m, c in total.items():
+            below, up = c.reshape(width, lines, bins)[:, :-1].reshape(width, nodes, 2, bins).transpose(2, 1, 0, 3)
+            out += [(m, node, np.stack([below[node - first] + up[node - first], up[node - first]], axis=-1).astype(np.int32).tobytes()) for node in open_[m]]
+        yield pd.DataFrame(out, columns=["model", "node", "counts"])
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
             for m, node, c in zip(b["model"], b["node"], b["counts"], strict=True):
-                total[m, node] = total.get((m, node), 0) + np.frombuffer(c, np.int64)
+                total[m, node] = total.get((m, node), 0) + np.frombuffer(c, np.int32).astype(np.int64)
         found = [(m, node, *best_split(c.reshape(width, bins, 2), alphas[m], leaf_rows)) for (m, node), c in total.items()]
         yield pd.DataFrame(found, columns=["model", "node", "gain", "feature", "bin"])
 
@@ -218,26 +237,28 @@ def _leaves(rows: DataFrame, alone: bool, read: _Pass, trees: list[Tree]) -> Dat
     p, alphas = read.p, read.quantiles
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for x, left in read(batches):
-            for m, tree in enumerate(trees):
-                leaf = tree.node(x, p.depth) - len(tree.feature)
-                learns = ~np.isnan(left[:, m])
-                for k in np.unique(leaf[learns]).tolist():
-                    values, w = sketch(left[learns & (leaf == k), m], p.sketch)
-                    held.setdefault((m, k), []).append((values, np.full(len(values), w)))
-        out = [(m, k, *(np.concatenate([q[j] for q in parts]).tobytes() for j in (0, 1))) for (m, k), parts in held.items()]
-        yield pd.DataFrame(out, columns=["model", "leaf", "values", "weights"])
+            for m, rest in left.items():
+                held.setdefault(m, []).append((trees[m].place(x, p.depth), rest))
+        out = []
+        for m, parts in held.items():
+            leaf, rest = (np.concatenate([q[j] for q in parts]) for j in (0, 1))
+            for k in np.unique(leaf).tolist():
+                values, weight = sketch(rest[leaf == k], p.sketch)
+                out.append((m, k, values.tobytes(), weight))
+        yield pd.DataFrame(out, columns=["model", "leaf", "values", "weight"])
 
     def value(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
         for b in batches:
-            for m, k, v, w in zip(b["model"], b["leaf"], b["values"], b["weights"], strict=True):
-                held.setdefault((m, k), []).append((np.frombuffer(v), np.frombuffer(w)))
+            for m, k, v, w in zip(b["model"], b["leaf"], b["values"], b["weight"], strict=True):
+                v = np.frombuffer(v)
+                held.setdefault((m, k), []).append((v, np.full(len(v), w)))
         found = [(m, k, weighted_quantile(*(np.concatenate([q[j] for q in parts]) for j in (0, 1)), alphas[m])) for (m, k), parts in held.items()]
         yield pd.DataFrame(found, columns=["model", "leaf", "value"])
 
-    return _reduced(rows, alone, gather, "model int, leaf int, values binary, weights binary", value, "model int, leaf int, value double", "model", "leaf")
+    return _reduced(rows, alone, gather, "model int, leaf int, values binary, weight double", value, "model int, leaf int, value double", "model", "leaf")
 
 
 def fit(train: DataFrame, numbers: list[str], classes: list[str], targets: list[str], models: list[tuple[str, int, float]], p: Boosting | None = None, key: tuple[str, ...] = ("sku_id", "week"), week: str = "week") -> Ensemble:
@@ -267,20 +288,20 @@ def fit(train: DataFrame, numbers: list[str], classes: list[str], targets: list[
 
     def prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x = model.binned(b)
-            t = b[targets].to_numpy(dtype=float, na_value=np.nan)
-            yield pd.DataFrame({"id": b["_id"], "x": [r.tobytes() for r in x], "t": list(t), "f": [model.base] * len(b)})
+            if len(b):
+                t = np.ascontiguousarray(b[targets].to_numpy(dtype=float, na_value=np.nan).T)
+                f = np.repeat(model.base, len(b))
+                yield pd.DataFrame([(b["_id"].to_numpy(np.int64).tobytes(), model.binned(b).T.tobytes(), t.tobytes(), f.tobytes())], columns=["id", "x", "t", "f"])
 
+    schema = "id binary, x binary, t binary, f binary"
     columns = [*dict.fromkeys([*numbers, *classes, *targets])]
-    schema = "id long, x binary, t array<double>, f array<double>"
     own = train.select(F.xxhash64(*key).alias("_id"), *columns)
     rows = written(own.mapInPandas(prepare, schema), "boost-rows")
 
     def advanced(rows: DataFrame, since: list[list[Tree]]) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                x = np.frombuffer(b"".join(b["x"]), np.uint8).reshape(len(b), -1)
-                yield b.assign(f=list(add_rounds(np.stack(b["f"].to_numpy()), x, since, p.step))) if len(b) else b
+                yield b.assign(f=[np.stack([updated(f[m], m, x, since, p.step) for m in range(len(f))]).tobytes() for _, x, _, f in _blocks([b])])
 
         return written(rows.mapInPandas(run, schema), "boost-rows")
 
