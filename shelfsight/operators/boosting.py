@@ -237,16 +237,13 @@ def _leaves(rows: DataFrame, alone: bool, read: _Pass, trees: list[Tree]) -> Dat
     p, alphas = read.p, read.quantiles
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        out = []
         for x, left in read(batches):
             for m, rest in left.items():
-                held.setdefault(m, []).append((trees[m].place(x, p.depth), rest))
-        out = []
-        for m, parts in held.items():
-            leaf, rest = (np.concatenate([q[j] for q in parts]) for j in (0, 1))
-            for k in np.unique(leaf).tolist():
-                values, weight = sketch(rest[leaf == k], p.sketch)
-                out.append((m, k, values.tobytes(), weight))
+                leaf = trees[m].place(x, p.depth)
+                for k in np.unique(leaf).tolist():
+                    values, weight = sketch(rest[leaf == k], p.sketch)
+                    out.append((m, k, values.tobytes(), weight))
         yield pd.DataFrame(out, columns=["model", "leaf", "values", "weight"])
 
     def value(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
