@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import SPLITS
 from ..functions.columns import fixed, monday, ratio
+from ..sources.stages import written
 
 #: Days of trailing sales; sales exactly that old are out, those of the decision week are in.
 TRAILING = 364
@@ -20,38 +21,48 @@ def weekly_geo(fact: DataFrame) -> DataFrame:
     return fact.where("units > 0 and sku_id is not null").groupBy("sku_id", "province", monday("date").alias("week")).agg(F.sum("units").alias("units"))
 
 
+def sku_family(lines: DataFrame) -> DataFrame:
+    """The most sold family of each SKU, ties to the first name."""
+    by = lines.groupBy("sku_id", "family").agg(F.sum(F.greatest(F.col("units"), F.lit(0.0))).alias("units"))
+    return by.groupBy("sku_id").agg(F.min_by("family", F.struct(-F.col("units"), F.col("family"))).alias("family"))
+
+
 def sku_metadata(fact: DataFrame) -> DataFrame:
     """One row a SKU: its most sold family, ties to the first name; first and last day, provinces."""
-    by = fact.groupBy("sku_id", "family").agg(F.sum(F.greatest(F.col("units"), F.lit(0.0))).alias("units"))
-    family = by.groupBy("sku_id").agg(F.min_by("family", F.struct(-F.col("units"), F.col("family"))).alias("family"))
+    family = sku_family(fact)
     span = fact.groupBy("sku_id").agg(F.min("date").alias("first_day"), F.max("date").alias("last_day"), F.count_distinct("province").alias("provinces"))
     return family.join(span, "sku_id")
 
 
 def trailing_sales(geo: DataFrame, weeks: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, week, units, n_weeks`` of the trailing year of each decision week, where anything sold.
+    """``keys, week, units, n_weeks`` of the trailing year of each decision week, where anything sold, and ``sold``, the week's own units.
 
-    Decision weeks join the sales as rows of their own, so one ordered window per key gives all of
-    them without a join on ranges.
+    Each week's sales meet the decision weeks that see them, a broadcast table of at most 53 rows, and are summed up
+    where they are: sales dealt by one of the keys are not moved.
     """
     sold = geo.groupBy(*keys, "week").agg(F.sum("units").alias("u"))
-    marks = sold.select(*keys).distinct().crossJoin(F.broadcast(weeks.select("week").distinct()))  # at most 53 weeks
-    rows = sold.select(*keys, "week", "u", F.lit(1).alias("n"), F.lit(0).alias("mark")).unionByName(marks.select(*keys, "week", F.lit(0.0).alias("u"), F.lit(0).alias("n"), F.lit(1).alias("mark")))
-    year = Window.partitionBy(*keys).orderBy(F.unix_date("week")).rangeBetween(-(TRAILING - 1), 0)
-    return rows.withColumns({"units": F.sum("u").over(year), "n_weeks": F.sum("n").over(year)}).where("mark = 1 and units > 0").select(*keys, "week", "units", "n_weeks")
+    marks = F.broadcast(weeks.select(F.col("week").alias("_mark")).distinct())
+    rows = sold.join(marks, (F.col("week") <= F.col("_mark")) & (F.col("week") > F.date_sub("_mark", TRAILING)))
+    own = F.sum(F.when(F.col("week") == F.col("_mark"), F.col("u")))
+    return rows.groupBy(*keys, "_mark").agg(F.sum("u").alias("units"), F.count("*").alias("n_weeks"), own.alias("sold")).where("units > 0").select(*keys, F.col("_mark").alias("week"), "units", "n_weeks", "sold")
 
 
-def dirichlet_shares(geo: DataFrame, metadata: DataFrame, weeks: DataFrame) -> DataFrame:
+def dirichlet_shares(geo: DataFrame, metadata: DataFrame, weeks: DataFrame, sold: bool = False) -> DataFrame:
     """Smoothed share of each province in each SKU and decision week.
 
     A SKU and province with enough sales leans on its family's share with a small weight, others
-    with a larger one, then on the global share, then on equal shares.
+    with a larger one, then on the global share, then on equal shares. geo: dealt or in buckets by SKU, so that no
+    row of a share is moved. sold: the week's own sales too.
     """
-    placed = geo.join(metadata.select("sku_id", "family"), "sku_id")
+    weeks = weeks.select("week").distinct()
+    span = weeks.agg(F.date_sub(F.min("week"), TRAILING).alias("_after"), F.max("week").alias("_upto"))
+    seen = geo.crossJoin(F.broadcast(span)).where("week > _after and week <= _upto").drop("_after", "_upto")
+    placed = seen.join(metadata.select("sku_id", "family"), "sku_id")
     own = trailing_sales(placed, weeks, ["sku_id", "family", "province"])
     family = trailing_sales(placed, weeks, ["family", "province"]).select("family", "province", "week", F.col("units").alias("fu"))
     everything = trailing_sales(placed, weeks, ["province"]).select("province", "week", F.col("units").alias("gu"))
     family = family.withColumn("family_share", ratio("fu", F.sum("fu").over(Window.partitionBy("family", "week")))).drop("fu")
+    family = written(family, "family-shares")  # Spark sees its size, which doesn't grow with the sales
     total = everything.groupBy("week").agg(F.sum("gu").alias("gt"))
     everything = everything.join(F.broadcast(total), "week").select("province", "week", ratio("gu", "gt").alias("global_share"))
     rows = own.join(family, ["family", "province", "week"], "left").join(F.broadcast(everything), ["province", "week"], "left")
@@ -63,13 +74,17 @@ def dirichlet_shares(geo: DataFrame, metadata: DataFrame, weeks: DataFrame) -> D
     rows = rows.withColumns({"level": level, "prior": prior})
     alpha = F.when(F.col("level") == "sku", ALPHA["sku"]).when(F.col("level") == "family", ALPHA["family"]).otherwise(ALPHA["global"])
     rows = rows.withColumn("alpha", alpha).withColumn("weight", (F.col("units") + F.col("alpha") * F.col("prior")) / (F.col("n_total") + F.col("alpha")))
-    return rows.select("sku_id", "province", "week", "units", "n_weeks", "n_total", "level", "alpha", "prior", "weight")
+    return rows.select("sku_id", "province", "week", "units", "n_weeks", "n_total", "level", "alpha", "prior", "weight", *(["sold"] if sold else []))
+
+
+def normalized(shares: DataFrame) -> DataFrame:
+    """Shares brought to one per SKU and week."""
+    return shares.withColumn("share", ratio("weight", F.sum("weight").over(Window.partitionBy("sku_id", "week"))))
 
 
 def allocated(shares: DataFrame, national: DataFrame) -> DataFrame:
     """Shares brought to one per SKU and week, and forecasts spread by them."""
-    share = ratio("weight", F.sum("weight").over(Window.partitionBy("sku_id", "week")))
-    rows = shares.withColumn("share", share).join(national.select("sku_id", "week", *SPREAD), ["sku_id", "week"])
+    rows = normalized(shares).join(national.select("sku_id", "week", *SPREAD), ["sku_id", "week"])
     return rows.select("sku_id", "week", "province", "level", "share", *((F.col("share") * F.col(c)).alias(c) for c in SPREAD))
 
 

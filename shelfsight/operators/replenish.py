@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..config import Service
 from ..functions.columns import fixed, positive, ratio
-from ..sources.stages import written
-from .ranks import quantiles, running_sum, running_sums
+from ..sources.stages import dealt, written, written_buckets
+from .ranks import is_before, is_same, quantiles, reached, running_sums
 from .studies import Z_CRITICAL, inventories
 
 KEYS = ["sku_id", "province"]
@@ -49,79 +49,101 @@ def abc_classes(panel: DataFrame, until: str) -> DataFrame:
     return sold.crossJoin(F.broadcast(cuts)).select("sku_id", F.when(F.col("_u") >= F.col("_a"), "A").when(F.col("_u") >= F.col("_b"), "B").otherwise("C").alias("abc"))
 
 
-def plan(shares: DataFrame, national: DataFrame, geo: DataFrame, abc: DataFrame, classes: DataFrame, places: DataFrame) -> DataFrame:
-    """A row for each SKU, province and validation week: a week's share of the forecast and of the newsvendor's stock, what sold, and the scores that order rows.
+def plan(shares: DataFrame, national: DataFrame, skus: DataFrame, places: DataFrame) -> DataFrame:
+    """A row for each SKU, province and validation week: a week's share of the forecast and of the newsvendor's stock, and what sold.
 
-    Scores use what is known before the week only; ``real`` is for the simulation.
+    shares: with ``sold``, dealt by SKU as ``national`` is, so that a plan moves no rows. skus: the classes of each SKU.
+    ``with_scores`` adds what follows from a row alone.
     """
-    rows = shares.select(*KEYS, "week", "share").join(national.select("sku_id", "week", "yhat", "p", "scale"), ["sku_id", "week"])
-    rows = rows.join(geo.select(*KEYS, "week", F.col("units").alias("real")), [*KEYS, "week"], "left").withColumn("real", F.coalesce("real", F.lit(0.0)))
-    rows = rows.join(abc, "sku_id", "left").join(classes.select("sku_id", F.col("class").alias("demand")), "sku_id", "left").join(F.broadcast(places.select("province", "tier")), "province", "left")
-    rows = rows.withColumns({"abc": F.coalesce("abc", F.lit("C")), "demand": F.coalesce("demand", F.lit("NO_SALES")), "tier": F.coalesce("tier", F.lit(4))})
-    rows = rows.withColumns({
+    rows = shares.select(*KEYS, "week", "share", "sold").join(national.select("sku_id", "week", "yhat", "p", "scale"), ["sku_id", "week"])
+    rows = rows.join(skus, "sku_id", "left").join(F.broadcast(places.select("province", "tier")), "province", "left")
+    rows = rows.withColumns({"abc": F.coalesce("abc", F.lit("C")), "demand": F.coalesce("demand", F.lit("NO_SALES")), "tier": F.coalesce("tier", F.lit(4)), "real": F.coalesce("sold", F.lit(0.0))})
+    return rows.withColumns({
         "pred": fixed(F.col("share") * F.col("yhat") / 12, 6), "stock": fixed(positive(F.col("share") * (F.col("yhat") + Z_CRITICAL * F.col("scale")) / 12), 6), "prob": fixed(1 - F.col("p"), 6),
-        "week_no": F.weekofyear("week"),
-    })
-    week = F.col("week_no")
+    }).select(*KEYS, "week", "abc", "demand", "tier", "pred", "stock", "prob", "real")
+
+
+def with_scores(rows: DataFrame) -> DataFrame:
+    """The plan with month, block of weeks and the scores that order rows; they use what is known before the week only, ``real`` is for the simulation."""
+    week = F.weekofyear("week")
     uneven = F.when(F.col("demand").isin(*UNEVEN), UNEVEN_WEIGHT).otherwise(1.0)
     score = fixed(F.col("pred") * F.col("prob") * _when(ABC_WEIGHT, F.col("abc"), 0.6) * _when(TIER_WEIGHT, F.col("tier"), 1.0) * uneven, 9)
     return rows.withColumns({
         "month": F.when(week <= 4, "M01").when(week <= 8, "M02").when(week <= 13, "M03").when(week <= 17, "M04").when(week <= 22, "M05").otherwise("M06"),
         "block3": F.when(week <= 9, "B1").when(week <= 18, "B2").otherwise("B3"), "score": score,
-    }).withColumn("release", fixed(F.col("score") + 0.10 * F.col("stock") + 0.01 * F.col("pred"), 9)).select(*KEYS, "week", "month", "block3", "abc", "demand", "tier", "pred", "stock", "prob", "real", "score", "release")
+    }).withColumn("release", fixed(F.col("score") + 0.10 * F.col("stock") + 0.01 * F.col("pred"), 9))
+
+
+#: The order of candidates for one more unit, and of rows for the top-up; true where a column falls.
+PRIORITY = {"score": True, "stock": True, "prob": True, "sku_id": False, "province": False, "week": False}
+TOPUP = {"score": True, "sku_id": False, "province": False, "week": False}
 
 
 def with_priority(rows: DataFrame, threshold: float = 0.10, parts: int | None = None) -> DataFrame:
     """``weekly_priority``: floors, and one more unit for the best rows until the rounded total is met.
 
-    Rows of ``threshold`` or more that have a fraction are candidates, by score, stock and probability.
+    Rows of ``threshold`` or more that have a fraction are candidates, by score, stock and probability. The last
+    one within the total is searched; all others are held against it, so rows are not moved.
     """
-    rows = rows.withColumn("_floor", F.floor("stock"))
-    able = (F.col("stock") >= threshold) & (F.col("stock") > F.col("_floor"))
-    total = rows.agg(F.greatest(F.bround(fixed(F.sum("stock"), 6)) - F.sum("_floor"), F.lit(0.0)).alias("_budget"))
-    order = [F.desc(F.col("_able")), F.desc("score"), F.desc("stock"), F.desc("prob"), F.asc("sku_id"), F.asc("province"), F.asc("week")]
-    placed = running_sum(rows.withColumn("_able", able.cast("int")), [], order, F.col("_able"), "_place", parts)
-    more = F.when((F.col("_able") == 1) & (F.col("_place") <= F.col("_budget")), 1).otherwise(0)
-    return placed.crossJoin(F.broadcast(total)).withColumn("weekly_priority", (F.col("_floor") + more).cast("long")).drop("_floor", "_able", "_place", "_budget")
+    floor = F.floor("stock")
+    able = (F.col("stock") >= threshold) & (F.col("stock") > floor)
+    budget = int(rows.agg(F.greatest(F.bround(fixed(F.sum("stock"), 6)) - F.sum(floor), F.lit(0.0)).alias("n")).first()["n"])
+    last = reached(rows.where(able), PRIORITY, F.lit(1), budget, parts)
+    within = F.lit(budget > 0) if last is None else is_before(last, PRIORITY) | is_same(last, PRIORITY)
+    return rows.withColumn("weekly_priority", (floor + F.when(able & within, 1).otherwise(0)).cast("long"))
 
 
-def with_release(rows: DataFrame, by: list[str], name: str, least: float) -> DataFrame:
+def with_release(rows: DataFrame, by: list[str], name: str, least: float, large: float) -> DataFrame:
     """``name``: a group's stock in whole units, dealt to its best weeks.
 
-    Groups of class A, of uneven demand, in the first three tiers, of large forecast or with a stock of ``least`` or more are
+    Groups of class A, of uneven demand, in the first three tiers, of a forecast of ``large`` or with a stock of ``least`` or more are
     rounded up, others to the nearest. The units go to as many rows as there are units at
     most, evenly, the rest one each to the first ones by score.
     """
     per = Window.partitionBy(*by)
-    cut = quantiles(rows.groupBy(*by).agg(fixed(F.sum("pred"), 6).alias("_g")), [], {"_q60": ("_g", 60)}).drop("n")
-    rows = rows.withColumns({"_total": fixed(F.sum("stock").over(per), 6), "_pred": fixed(F.sum("pred").over(per), 6), "_n": F.count("*").over(per)}).crossJoin(F.broadcast(cut))
-    key = (F.col("abc") == "A") | F.col("demand").isin(*UNEVEN) | (F.col("tier") <= 3)
-    up = F.max(key.cast("int")).over(per) + (F.col("_pred") >= F.col("_q60")).cast("int") + (F.col("_total") >= least).cast("int") > 0
-    rows = rows.withColumn("_units", F.when(up & (F.col("_total") > 0), F.ceil("_total")).otherwise(F.bround("_total")).cast("long"))
-    slots = F.least(F.col("_n"), F.col("_units"))
     best = fixed(F.col("release") + 0.001 * F.col("stock") + 0.0001 * F.col("prob"), 9)
-    rows = rows.withColumns({"_slots": slots, "_rank": F.row_number().over(per.orderBy(F.desc(best), "week"))})
+    # ranked first, so that the sums find the rows in order
+    rows = rows.withColumn("_rank", F.row_number().over(per.orderBy(F.desc(best), "week")))
+    key = (F.col("abc") == "A") | F.col("demand").isin(*UNEVEN) | (F.col("tier") <= 3)
+    rows = rows.withColumns({"_total": fixed(F.sum("stock").over(per), 6), "_pred": fixed(F.sum("pred").over(per), 6), "_n": F.count("*").over(per), "_key": F.max(key.cast("int")).over(per)})
+    up = F.col("_key") + (F.col("_pred") >= large).cast("int") + (F.col("_total") >= least).cast("int") > 0
+    units = F.when(up & (F.col("_total") > 0), F.ceil("_total")).otherwise(F.bround("_total")).cast("long")
+    rows = rows.withColumn("_units", units).withColumn("_slots", F.least(F.col("_n"), F.col("_units")))
     base, rest = F.floor(F.col("_units") / F.col("_slots")), F.col("_units") % F.col("_slots")
     own = F.when((F.col("_slots") > 0) & (F.col("_rank") <= F.col("_slots")), base + F.when(F.col("_rank") <= rest, 1).otherwise(0)).otherwise(0)
-    return rows.withColumn(name, own.cast("long")).drop("_total", "_pred", "_n", "_q60", "_units", "_slots", "_rank")
+    return rows.withColumn(name, own.cast("long")).drop("_total", "_pred", "_n", "_key", "_units", "_slots", "_rank")
+
+
+#: Columns that part a horizon and the least stock of a group that is rounded up, by strategy.
+RELEASES = {"monthly_release": (["month"], 0.50), "block3_release": (["block3"], 0.50), "horizon_release": ([], 0.35)}
+
+
+def large_groups(rows: DataFrame) -> dict[str, float]:
+    """The 60 % quantile of the groups' forecasts for each of ``RELEASES``."""
+    sums = [rows.groupBy(*KEYS, *by).agg(fixed(F.sum("pred"), 6).alias("_g")).select(F.lit(n).alias("_name"), "_g") for n, (by, _) in RELEASES.items()]
+    cuts = quantiles(written(reduce(DataFrame.unionByName, sums), "groups"), ["_name"], {"_q60": ("_g", 60)})
+    return {r["_name"]: r["_q60"] for r in cuts.collect()}
 
 
 def with_strategies(rows: DataFrame) -> DataFrame:
-    """The plan with six ways to whole units; ``hybrid`` takes one of the others by class, tier and demand."""
-    out = rows.withColumn("weekly_round", F.bround("stock").cast("long"))
-    # all windows below are within a SKU and province, so one shuffle serves them
-    out = with_priority(out).repartition(*KEYS)
-    out = with_release(out, [*KEYS, "month"], "monthly_release", 0.50)
-    out = with_release(out, [*KEYS, "block3"], "block3_release", 0.50)
-    out = with_release(out, KEYS, "horizon_release", 0.35)
-    month = out.groupBy(*KEYS, "month").agg(F.sum("stock").alias("_m")).groupBy(*KEYS).agg(fixed(F.avg("_m"), 6).alias("_mean"))
-    out = out.join(month, KEYS)
+    """The plan with six ways to whole units; ``hybrid`` takes one of the others by class, tier and demand.
+
+    All windows are within a SKU and province: a plan in buckets of the SKU isn't shuffled.
+    """
+    large = large_groups(rows)
+    out = with_priority(rows.withColumn("weekly_round", F.bround("stock").cast("long")))
+    for name, (by, least) in RELEASES.items():
+        out = with_release(out, [*KEYS, *by], name, least, large.get(name, 0.0))
+        if name == "monthly_release":
+            month = Window.partitionBy(*KEYS, "month")
+            out = out.withColumns({"_m": F.sum("stock").over(month), "_first": F.col("week") == F.min("week").over(month)})
+    out = out.withColumn("_mean", fixed(F.avg(F.when(F.col("_first"), F.col("_m"))).over(Window.partitionBy(*KEYS)), 6))
     uneven = F.col("demand").isin(*UNEVEN)
     hybrid = (
         F.when((F.col("abc") == "A") | (F.col("tier") <= 3), F.col("block3_release")).when(uneven & (F.col("_mean") < 1), F.col("horizon_release"))
         .when(uneven, F.col("monthly_release")).when(F.col("abc") == "C", F.col("weekly_priority")).otherwise(F.col("monthly_release"))
     )
-    return out.withColumn("hybrid", hybrid).drop("_mean")
+    return out.withColumn("hybrid", hybrid).drop("_m", "_first", "_mean")
 
 
 def _fill(rows: DataFrame, amounts: dict[int, Column]) -> dict[int, float]:
@@ -150,30 +172,55 @@ def with_topup(rows: DataFrame, s: Service | None = None, ways: int = 8, parts:
     cap = F.ceil(F.greatest(fixed(F.col("stock") * of(0), 6), fixed(F.col("pred") * of(1), 6)))
     dull = (F.col("pred") <= 0.01) & (F.col("prob") <= 0.50) & ~((F.col("abc") == "A") & (F.col("tier") <= 3))
     rows = rows.withColumn("_can", F.when(dull, 0).otherwise(F.greatest(cap - F.col("_base"), F.lit(0))).cast("long"))
-    order = [F.desc("score"), F.asc("sku_id"), F.asc("province"), F.asc("week")]
-    rows = written(running_sums(rows, [], order, {"_upto": F.col("_can"), "_idle": F.when(F.col("real") == 0, F.col("_can")).otherwise(0)}, parts), "topup")
     sums = rows.agg(F.sum("real").alias("real"), F.sum("_base").alias("base"), F.sum("_can").alias("can"), F.coalesce(F.sum(F.when(F.col("real") == 0, F.col("_base"))), F.lit(0)).alias("idle")).first()
     most = min(sums["can"] or 0, int(s.ratio_max * (sums["real"] or 0.0) - (sums["base"] or 0)))
     room = s.zeros_max - sums["idle"]
+    if room < 0 or most <= 0:  # no unit may be added, so nothing is ranked
+        return rows.withColumn("hybrid_topup", F.col("_base")).drop("_base", "_can")
+    order = [F.desc(c) if falls else F.asc(c) for c, falls in TOPUP.items()]
+    own = running_sums(rows.select(*TOPUP, "real", "_base", "_can"), [], order, {"_upto": F.col("_can"), "_idle": F.when(F.col("real") == 0, F.col("_can")).otherwise(0)}, parts)
+    own = written_buckets(dealt(own, "sku_id"), "topup", "sku_id")
     # the first row whose idle units pass the limit ends the prefix within it
-    over = rows.where((F.col("real") == 0) & (F.col("_idle") > room)).agg(F.min(F.col("_upto") - F.col("_can") + F.greatest(F.lit(room) - (F.col("_idle") - F.col("_can")), F.lit(0))).alias("n")).first()["n"]
-    most = 0 if room < 0 else min(most, int(over)) if over is not None else most
+    over = own.where((F.col("real") == 0) & (F.col("_idle") > room)).agg(F.min(F.col("_upto") - F.col("_can") + F.greatest(F.lit(room) - (F.col("_idle") - F.col("_can")), F.lit(0))).alias("n")).first()["n"]
+    most = min(most, int(over)) if over is not None else most
     add = lambda n: F.col("_base") + F.least(F.greatest(F.lit(n) - (F.col("_upto") - F.col("_can")), F.lit(0)), F.col("_can"))
-    low, high = 0, max(most, 0)  # the answer lies above low, and at high at most
-    if high and _fill(rows, {high: add(high)})[high] >= s.fill_target:
+    low, high = 0, most  # the answer lies above low, and at high at most
+    if high and _fill(own, {high: add(high)})[high] >= s.fill_target:
         while high - low > 1:
             tries = sorted({low + (high - low) * k // ways for k in range(1, ways)} - {low})
-            got = _fill(rows, {n: add(n) for n in tries})
+            got = _fill(own, {n: add(n) for n in tries})
             enough = [n for n in tries if got[n] >= s.fill_target]
             low, high = max([n for n in tries if got[n] < s.fill_target], default=low), min(enough, default=high)
-    return rows.withColumn("hybrid_topup", add(high).cast("long")).drop("_base", "_can", "_upto", "_idle")
+    last = own.where((F.col("_upto") >= high) & (F.col("_upto") - F.col("_can") < high)).first()
+    # rows before the last one that gets units are filled up; all are held against it, so none is joined
+    more = F.lit(0) if last is None else F.when(is_before(last, TOPUP), F.col("_can")).when(is_same(last, TOPUP), high - (last["_upto"] - last["_can"])).otherwise(0)
+    return rows.withColumn("hybrid_topup", (F.col("_base") + more).cast("long")).drop("_base", "_can")
+
+
+SUMS = ("n", "demand", "replenished", "served", "short", "last_stock", "ending", "idle", "nan", "negative")
+
+
+def _sums(sim: DataFrame) -> DataFrame:
+    """What figures are sums of, a row each as ``dynamic`` gives it; cells are sums already."""
+    if "replenished" in sim.columns:
+        return sim
+    r, y, e = F.col("replenishment"), F.col("demand"), F.col("ending")
+    return sim.select(
+        "strategy", "abc", "class", "province", "week", F.lit(1).cast("long").alias("n"), "demand", r.alias("replenished"), "served", "short", F.col("_last").alias("last_stock"), "ending", F.when(y == 0, r).otherwise(0.0).alias("idle"),
+        F.least(r, e).alias("least"), F.coalesce((F.isnan(r) | F.isnan("served") | F.isnan(e)).cast("long"), F.lit(0)).alias("nan"), F.coalesce(((r < 0) | (e < -1e-9)).cast("long"), F.lit(0)).alias("negative"),
+    )
+
+
+def cells(sim: DataFrame) -> DataFrame:
+    """The simulation's sums by strategy, both classes, province and week: as many rows as there are of these, however many SKUs."""
+    return _sums(sim).groupBy("strategy", "abc", "class", "province", "week").agg(*(F.sum(c).alias(c) for c in SUMS), F.min("least").alias("least"))
 
 
 def _figures() -> list[Column]:
-    r, y = F.col("replenishment"), F.col("demand")
+    total = F.sum
     return [
-        F.count("*").alias("n"), F.sum(y).alias("demand"), F.sum(r).alias("replenished"), ratio(F.sum("served"), F.sum(y)).alias("fill"), ratio(F.sum(r), F.sum(y)).alias("stock_ratio"), F.sum("short").alias("short"),
-        F.sum("_last").alias("last_stock"), F.avg("ending").alias("mean_stock"), F.sum(F.when(y == 0, r).otherwise(0.0)).alias("idle"), F.sum("ending").alias("excess"), F.min(F.least(r, F.col("ending"))).alias("least"),
+        total("n").alias("n"), total("demand").alias("demand"), total("replenished").alias("replenished"), ratio(total("served"), total("demand")).alias("fill"), ratio(total("replenished"), total("demand")).alias("stock_ratio"), total("short").alias("short"),
+        total("last_stock").alias("last_stock"), ratio(total("ending"), total("n")).alias("mean_stock"), total("idle").alias("idle"), total("ending").alias("excess"), F.min("least").alias("least"),
     ]
 
 
@@ -187,9 +234,12 @@ def dynamic(rows: DataFrame, strategies: tuple[str, ...] = STRATEGIES) -> DataFr
 
 
 def strategy_scores(sim: DataFrame, s: Service | None = None) -> DataFrame:
-    """Figures of each strategy, whether it keeps to the limits, its score (less is better), and ``chosen`` for the best valid one, or the best."""
+    """Figures of each strategy, whether it keeps to the limits, its score (less is better), and ``chosen`` for the best valid one, or the best.
+
+    sim: the simulated rows or their ``cells``, here and below.
+    """
     s = s or Service()
-    out = sim.groupBy("strategy").agg(*_figures())
+    out = _sums(sim).groupBy("strategy").agg(*_figures())
     h = lambda x: F.greatest(x, F.lit(0.0))
     fill, stock = F.col("fill"), F.col("stock_ratio")
     score = F.abs(fill - s.fill_ideal) + 2 * h(stock - 1.75) + h(F.col("idle") - 100_000) / F.greatest(F.col("demand"), F.lit(1.0)) + 5 * h(s.fill_target - fill) + 2 * h(fill - s.fill_max)
@@ -201,7 +251,7 @@ def strategy_scores(sim: DataFrame, s: Service | None = None) -> DataFrame:
 
 def segment_scores(sim: DataFrame, scores: DataFrame) -> DataFrame:
     """Figures of the chosen strategy by class of value, class of demand, both, province and week, in one pass."""
-    own = sim.join(F.broadcast(scores.where("chosen").select("strategy")), "strategy").withColumn("_class", F.col("class"))
+    own = _sums(sim).join(F.broadcast(scores.where("chosen").select("strategy")), "strategy").withColumn("_class", F.col("class"))
     sets = [["abc"], ["_class"], ["abc", "_class"], ["province"], ["week"]]
     out = own.groupingSets([["strategy", *x] for x in sets], "strategy", "abc", "_class", "province", "week").agg(F.grouping_id().alias("_g"), *_figures())
     name = F.when(F.col("_g") == 7, "ABC").when(F.col("_g") == 11, "DEMAND").when(F.col("_g") == 3, "ABC_DEMAND").when(F.col("_g") == 13, "PROVINCE").otherwise("WEEK")
@@ -217,10 +267,9 @@ def acceptance(sim: DataFrame, scores: DataFrame, segments: DataFrame, places: D
     """
     s = s or Service()
     one = scores.where("chosen").select("strategy", "fill", "stock_ratio", "idle")
-    sane = sim.join(F.broadcast(one.select("strategy")), "strategy").agg(
-        F.coalesce(F.count_if(F.isnan("replenishment") | F.isnan("served") | F.isnan("ending")), F.lit(0)).alias("_nan"), F.coalesce(F.count_if((F.col("replenishment") < 0) | (F.col("ending") < -1e-9)), F.lit(0)).alias("_negative"),
-    )
-    plain = sim.where("strategy = 'weekly_round' and abc = 'A'").groupBy("class").agg(ratio(F.sum("served"), F.sum("demand")).alias("_plain"))
+    sums = _sums(sim)
+    sane = sums.join(F.broadcast(one.select("strategy")), "strategy").agg(F.coalesce(F.sum("nan"), F.lit(0)).alias("_nan"), F.coalesce(F.sum("negative"), F.lit(0)).alias("_negative"))
+    plain = sums.where("strategy = 'weekly_round' and abc = 'A'").groupBy("class").agg(ratio(F.sum("served"), F.sum("demand")).alias("_plain"))
     mine = segments.where("level = 'ABC_DEMAND'").select("segment", F.col("fill").alias("_mine"))
 
     def gain(name: str) -> DataFrame:
