@@ -16,7 +16,7 @@ from ..config import Service
 from ..functions.columns import fixed, positive, ratio
 from ..sources.stages import dealt, written, written_buckets
 from .ranks import is_before, is_same, quantiles, reached, running_sums
-from .studies import Z_CRITICAL, inventories
+from .studies import Z_CRITICAL, inventories, stocks
 
 KEYS = ["sku_id", "province"]
 STRATEGIES = ("weekly_round", "weekly_priority", "monthly_release", "block3_release", "horizon_release", "hybrid", "hybrid_topup")
@@ -93,57 +93,61 @@ def with_priority(rows: DataFrame, threshold: float = 0.10, parts: int | None =
     return rows.withColumn("weekly_priority", (floor + F.when(able & within, 1).otherwise(0)).cast("long"))
 
 
-def with_release(rows: DataFrame, by: list[str], name: str, least: float, large: float) -> DataFrame:
-    """``name``: a group's stock in whole units, dealt to its best weeks.
-
-    Groups of class A, of uneven demand, in the first three tiers, of a forecast of ``large`` or with a stock of ``least`` or more are
-    rounded up, others to the nearest. The units go to as many rows as there are units at
-    most, evenly, the rest one each to the first ones by score.
-    """
-    per = Window.partitionBy(*by)
-    best = fixed(F.col("release") + 0.001 * F.col("stock") + 0.0001 * F.col("prob"), 9)
-    # ranked first, so that the sums find the rows in order
-    rows = rows.withColumn("_rank", F.row_number().over(per.orderBy(F.desc(best), "week")))
-    key = (F.col("abc") == "A") | F.col("demand").isin(*UNEVEN) | (F.col("tier") <= 3)
-    rows = rows.withColumns({"_total": fixed(F.sum("stock").over(per), 6), "_pred": fixed(F.sum("pred").over(per), 6), "_n": F.count("*").over(per), "_key": F.max(key.cast("int")).over(per)})
-    up = F.col("_key") + (F.col("_pred") >= large).cast("int") + (F.col("_total") >= least).cast("int") > 0
-    units = F.when(up & (F.col("_total") > 0), F.ceil("_total")).otherwise(F.bround("_total")).cast("long")
-    rows = rows.withColumn("_units", units).withColumn("_slots", F.least(F.col("_n"), F.col("_units")))
-    base, rest = F.floor(F.col("_units") / F.col("_slots")), F.col("_units") % F.col("_slots")
-    own = F.when((F.col("_slots") > 0) & (F.col("_rank") <= F.col("_slots")), base + F.when(F.col("_rank") <= rest, 1).otherwise(0)).otherwise(0)
-    return rows.withColumn(name, own.cast("long")).drop("_total", "_pred", "_n", "_key", "_units", "_slots", "_rank")
-
-
-#: Columns that part a horizon and the least stock of a group that is rounded up, by strategy.
-RELEASES = {"monthly_release": (["month"], 0.50), "block3_release": (["block3"], 0.50), "horizon_release": ([], 0.35)}
+#: Column that parts a horizon with its values, and the least stock of a group that is rounded up, by strategy.
+RELEASES = {"monthly_release": ("month", ("M01", "M02", "M03", "M04", "M05", "M06"), 0.50), "block3_release": ("block3", ("B1", "B2", "B3"), 0.50), "horizon_release": (None, ("ALL",), 0.35)}
 
 
 def large_groups(rows: DataFrame) -> dict[str, float]:
     """The 60 % quantile of the groups' forecasts for each of ``RELEASES``."""
-    sums = [rows.groupBy(*KEYS, *by).agg(fixed(F.sum("pred"), 6).alias("_g")).select(F.lit(n).alias("_name"), "_g") for n, (by, _) in RELEASES.items()]
+    sums = [rows.groupBy(*KEYS, *filter(None, [by])).agg(fixed(F.sum("pred"), 6).alias("_g")).select(F.lit(n).alias("_name"), "_g") for n, (by, _, _) in RELEASES.items()]
     cuts = quantiles(written(reduce(DataFrame.unionByName, sums), "groups"), ["_name"], {"_q60": ("_g", 60)})
     return {r["_name"]: r["_q60"] for r in cuts.collect()}
 
 
+def with_releases(rows: DataFrame) -> DataFrame:
+    """A column for each of ``RELEASES``: a group's stock in whole units, dealt to its best weeks; and ``_mean``, the mean stock of the months.
+
+    Groups of class A, of uneven demand, in the first three tiers, of large forecast or with a stock of the least size or more are
+    rounded up, others to the nearest. The units go to as many rows as there are units at
+    most, evenly, the rest one each to the first ones by score. Groups are few for a SKU and province, whose class
+    and tier they share, so one order of its rows serves all of them.
+    """
+    large = large_groups(rows)
+    best = fixed(F.col("release") + 0.001 * F.col("stock") + 0.0001 * F.col("prob"), 9)
+    whole = Window.partitionBy(*KEYS)
+    upto = whole.orderBy(F.desc(best), "week").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = lambda by, v: F.col(by) == v if by else F.lit(True)
+    each = [(n, by, v) for n, (by, values, _) in RELEASES.items() for v in values]
+    out = rows.withColumns({f"_rank_{v}": F.count(F.when(here(by, v), 1)).over(upto) for _, by, v in each})
+    out = out.withColumns({f"_{name}_{v}": f(F.when(here(by, v), x)).over(whole) for _, by, v in each for name, f, x in (("total", F.sum, F.col("stock")), ("pred", F.sum, F.col("pred")), ("n", F.count, F.lit(1)))})
+    pick = lambda what, by, values: reduce(lambda x, v: F.when(F.col(by) == v, F.col(f"_{what}_{v}")).otherwise(x), values[1:], F.col(f"_{what}_{values[0]}"))
+    months = RELEASES["monthly_release"][1]
+    mean = reduce(lambda x, y: x + y, (F.coalesce(f"_total_{m}", F.lit(0.0)) for m in months)) / reduce(lambda x, y: x + y, ((F.col(f"_n_{m}") > 0).cast("int") for m in months))
+    picked = {f"_{what}_{name}": pick(what, by, values) for name, (by, values, _) in RELEASES.items() for what in ("rank", "total", "pred", "n")}
+    of = lambda what, name: fixed(picked[f"_{what}_{name}"], 6) if what in ("total", "pred") else picked[f"_{what}_{name}"]
+    out = out.select(*rows.columns, fixed(mean, 6).alias("_mean"), *(of(what, name).alias(f"_{what}_{name}") for name in RELEASES for what in ("rank", "total", "pred", "n")))
+    # in steps, so that no expression is worked out more than once
+    key = (F.col("abc") == "A") | F.col("demand").isin(*UNEVEN) | (F.col("tier") <= 3)
+    up = lambda name, least: key | (F.col(f"_pred_{name}") >= large.get(name, 0.0)) | (F.col(f"_total_{name}") >= least)
+    out = out.withColumns({f"_units_{n}": F.when(up(n, least) & (F.col(f"_total_{n}") > 0), F.ceil(f"_total_{n}")).otherwise(F.bround(f"_total_{n}")).cast("long") for n, (_, _, least) in RELEASES.items()})
+    out = out.withColumns({f"_slots_{n}": F.least(f"_n_{n}", f"_units_{n}") for n in RELEASES})
+    rank, units, slots = (lambda n, what=what: F.col(f"_{what}_{n}") for what in ("rank", "units", "slots"))
+    own = lambda n: F.when((slots(n) > 0) & (rank(n) <= slots(n)), F.floor(units(n) / slots(n)) + F.when(rank(n) <= units(n) % slots(n), 1).otherwise(0)).otherwise(0)
+    return out.select(*rows.columns, *(own(n).cast("long").alias(n) for n in RELEASES), "_mean")
+
+
 def with_strategies(rows: DataFrame) -> DataFrame:
     """The plan with six ways to whole units; ``hybrid`` takes one of the others by class, tier and demand.
 
     All windows are within a SKU and province: a plan in buckets of the SKU isn't shuffled.
     """
-    large = large_groups(rows)
-    out = with_priority(rows.withColumn("weekly_round", F.bround("stock").cast("long")))
-    for name, (by, least) in RELEASES.items():
-        out = with_release(out, [*KEYS, *by], name, least, large.get(name, 0.0))
-        if name == "monthly_release":
-            month = Window.partitionBy(*KEYS, "month")
-            out = out.withColumns({"_m": F.sum("stock").over(month), "_first": F.col("week") == F.min("week").over(month)})
-    out = out.withColumn("_mean", fixed(F.avg(F.when(F.col("_first"), F.col("_m"))).over(Window.partitionBy(*KEYS)), 6))
+    out = with_releases(with_priority(rows.withColumn("weekly_round", F.bround("stock").cast("long"))))
     uneven = F.col("demand").isin(*UNEVEN)
     hybrid = (
         F.when((F.col("abc") == "A") | (F.col("tier") <= 3), F.col("block3_release")).when(uneven & (F.col("_mean") < 1), F.col("horizon_release"))
         .when(uneven, F.col("monthly_release")).when(F.col("abc") == "C", F.col("weekly_priority")).otherwise(F.col("monthly_release"))
     )
-    return out.withColumn("hybrid", hybrid).drop("_m", "_first", "_mean")
+    return out.withColumn("hybrid", hybrid).drop("_mean")
 
 
 def _fill(rows: DataFrame, amounts: dict[int, Column]) -> dict[int, float]:
@@ -153,30 +157,31 @@ def _fill(rows: DataFrame, amounts: dict[int, Column]) -> dict[int, float]:
     return {int(r["_try"]): r["fill"] or 0.0 for r in out.collect()}
 
 
-def with_topup(rows: DataFrame, s: Service | None = None, ways: int = 8, parts: int | None = None) -> DataFrame:
-    """``hybrid_topup``: the hybrid (or, where that serves too much, the release by horizon), and the fewest further units that serve the target.
+def topped_up(rows: DataFrame, s: Service | None = None, ways: int = 8, parts: int | None = None, fills: dict[str, float] | None = None) -> tuple[str, Column | None]:
+    """What ``hybrid_topup`` starts from, the hybrid (or, where that serves too much, the release by horizon), and the fewest further units that serve the target, if any.
 
     Units are added by score, to a row up to its cap, within the budget of stock and of stock where
     nothing sells. What a number of units serves never falls with the number, so the
     least one is found by trying ``ways`` numbers at a time. It looks at what sold, so it is a
-    bound for planning, not a forecast.
+    bound for planning, not a forecast. fills: what the strategies serve, where known.
     """
     s = s or Service()
-    first = _fill(rows, {0: F.col("hybrid"), 1: F.col("horizon_release")})
-    name = "horizon_release" if first.get(0, 0.0) > s.fill_max else "hybrid"
-    fill = first.get(1 if name == "horizon_release" else 0, 0.0)
+    if fills is None:
+        fills = dict(zip(("hybrid", "horizon_release"), map(_fill(rows, {0: F.col("hybrid"), 1: F.col("horizon_release")}).get, (0, 1)), strict=True))
+    name = "horizon_release" if (fills.get("hybrid") or 0.0) > s.fill_max else "hybrid"
+    if s.fill_target <= (fills.get(name) or 0.0) <= s.fill_max:
+        return name, None
     rows = rows.withColumn("_base", F.col(name))
-    if s.fill_target <= fill <= s.fill_max:
-        return rows.withColumn("hybrid_topup", F.col("_base")).drop("_base")
     of = lambda k: _when({c: v[k] for c, v in TOPUP_CAPS.items()}, F.col("abc"), TOPUP_CAPS["C"][k])
     cap = F.ceil(F.greatest(fixed(F.col("stock") * of(0), 6), fixed(F.col("pred") * of(1), 6)))
     dull = (F.col("pred") <= 0.01) & (F.col("prob") <= 0.50) & ~((F.col("abc") == "A") & (F.col("tier") <= 3))
-    rows = rows.withColumn("_can", F.when(dull, 0).otherwise(F.greatest(cap - F.col("_base"), F.lit(0))).cast("long"))
+    can = F.when(dull, 0).otherwise(F.greatest(cap - F.col(name), F.lit(0))).cast("long")
+    rows = rows.withColumn("_can", can)
     sums = rows.agg(F.sum("real").alias("real"), F.sum("_base").alias("base"), F.sum("_can").alias("can"), F.coalesce(F.sum(F.when(F.col("real") == 0, F.col("_base"))), F.lit(0)).alias("idle")).first()
     most = min(sums["can"] or 0, int(s.ratio_max * (sums["real"] or 0.0) - (sums["base"] or 0)))
     room = s.zeros_max - sums["idle"]
     if room < 0 or most <= 0:  # no unit may be added, so nothing is ranked
-        return rows.withColumn("hybrid_topup", F.col("_base")).drop("_base", "_can")
+        return name, None
     order = [F.desc(c) if falls else F.asc(c) for c, falls in TOPUP.items()]
     own = running_sums(rows.select(*TOPUP, "real", "_base", "_can"), [], order, {"_upto": F.col("_can"), "_idle": F.when(F.col("real") == 0, F.col("_can")).otherwise(0)}, parts)
     own = written_buckets(dealt(own, "sku_id"), "topup", "sku_id")
@@ -193,8 +198,13 @@ def with_topup(rows: DataFrame, s: Service | None = None, ways: int = 8, parts:
             low, high = max([n for n in tries if got[n] < s.fill_target], default=low), min(enough, default=high)
     last = own.where((F.col("_upto") >= high) & (F.col("_upto") - F.col("_can") < high)).first()
     # rows before the last one that gets units are filled up; all are held against it, so none is joined
-    more = F.lit(0) if last is None else F.when(is_before(last, TOPUP), F.col("_can")).when(is_same(last, TOPUP), high - (last["_upto"] - last["_can"])).otherwise(0)
-    return rows.withColumn("hybrid_topup", (F.col("_base") + more).cast("long")).drop("_base", "_can")
+    return name, None if last is None else F.when(is_before(last, TOPUP), can).when(is_same(last, TOPUP), high - (last["_upto"] - last["_can"])).otherwise(0)
+
+
+def with_topup(rows: DataFrame, s: Service | None = None, ways: int = 8, parts: int | None = None) -> DataFrame:
+    """``hybrid_topup``: see ``topped_up``."""
+    name, more = topped_up(rows, s, ways, parts)
+    return rows.withColumn("hybrid_topup", (F.col(name) + (F.lit(0) if more is None else more)).cast("long"))
 
 
 SUMS = ("n", "demand", "replenished", "served", "short", "last_stock", "ending", "idle", "nan", "negative")
@@ -211,9 +221,24 @@ def _sums(sim: DataFrame) -> DataFrame:
     )
 
 
-def cells(sim: DataFrame) -> DataFrame:
-    """The simulation's sums by strategy, both classes, province and week: as many rows as there are of these, however many SKUs."""
-    return _sums(sim).groupBy("strategy", "abc", "class", "province", "week").agg(*(F.sum(c).alias(c) for c in SUMS), F.min("least").alias("least"))
+def cells(rows: DataFrame, strategies: tuple[str, ...] = STRATEGIES) -> DataFrame:
+    """The sums of ``dynamic`` by strategy, both classes, province and week: as many rows as there are of these, however many SKUs.
+
+    Strategies are summed up side by side and stacked as sums.
+    """
+    own = stocks(_simulated(rows, strategies), KEYS, "week", [*strategies])
+    y, last, sums = F.col("demand"), F.col("week") == F.col("_end"), []
+    for i, c in enumerate(strategies):
+        r, end = F.col(c), F.col(f"_end_{i}")
+        served = F.col(f"_start_{i}") + r - end
+        sums += [
+            F.sum(r).alias(f"replenished_{i}"), F.sum(served).alias(f"served_{i}"), F.sum(y - served).alias(f"short_{i}"), F.sum(F.when(last, end).otherwise(0.0)).alias(f"last_stock_{i}"), F.sum(end).alias(f"ending_{i}"),
+            F.sum(F.when(y == 0, r).otherwise(0.0)).alias(f"idle_{i}"), F.min(F.least(r, end)).alias(f"least_{i}"), F.count_if(F.isnan(r) | F.isnan(served) | F.isnan(end)).alias(f"nan_{i}"), F.count_if((r < 0) | (end < -1e-9)).alias(f"negative_{i}"),
+        ]
+    by, names = ["abc", "class", "province", "week"], (*SUMS[2:], "least")
+    wide = own.groupBy(*by).agg(F.count("*").alias("n"), F.sum(y).alias("demand"), *sums)
+    each = [F.struct(F.lit(c).alias("strategy"), *(F.col(f"{x}_{i}").alias(x) for x in names)) for i, c in enumerate(strategies)]
+    return wide.select(*by, "n", "demand", F.explode(F.array(*each)).alias("_s")).select("_s.strategy", *by, "n", "demand", *(f"_s.{x}" for x in names))
 
 
 def _figures() -> list[Column]:
@@ -224,11 +249,14 @@ def _figures() -> list[Column]:
     ]
 
 
+def _simulated(rows: DataFrame, strategies: tuple[str, ...]) -> DataFrame:
+    last = F.max("week").over(Window.partitionBy(*KEYS))
+    return rows.select(*KEYS, "week", "abc", F.col("demand").alias("class"), "tier", F.col("real").alias("demand"), *(F.col(s).cast("double").alias(s) for s in strategies), last.alias("_end"))
+
+
 def dynamic(rows: DataFrame, strategies: tuple[str, ...] = STRATEGIES) -> DataFrame:
     """Every strategy simulated: a row for each strategy, SKU, province and week. Rows are shuffled and sorted once, not once a strategy."""
-    last = F.max("week").over(Window.partitionBy(*KEYS))
-    own = rows.select(*KEYS, "week", "abc", F.col("demand").alias("class"), "tier", F.col("real").alias("demand"), *(F.col(s).cast("double").alias(s) for s in strategies), last.alias("_end"))
-    sim = inventories(own, KEYS, "week", {s: s for s in strategies}, "strategy")
+    sim = inventories(_simulated(rows, strategies), KEYS, "week", {s: s for s in strategies}, "strategy")
     last = F.col("_end")
     return sim.withColumn("_last", F.when(F.col("week") == last, F.col("ending")).otherwise(0.0)).drop("_end")
 

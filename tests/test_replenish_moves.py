@@ -24,6 +24,8 @@ def executed(df):
 def test_strategies_move_no_rows_of_a_plan(spark):
     assert "Exchange" not in executed(R.with_strategies(P.plan(spark, DIR)).drop("weekly_priority"))
     assert "Exchange" not in executed(R.dynamic(P.units(spark, DIR), P.SIX))
+    # one order of the rows serves all releases
+    assert executed(R.with_releases(P.plan(spark, DIR))).count("Sort [") == 1
 
 
 def test_shares_and_plan_are_dealt_by_sku_alone(spark):
@@ -39,6 +41,7 @@ def test_cells_stand_for_the_simulated_rows(spark):
     found, sim = P.replenishment(spark, DIR), R.dynamic(R.with_topup(P.units(spark, DIR)))
     assert "sku_id" not in found.columns
     scores = R.strategy_scores(sim)
+    assert found.count() == sim.select("strategy", "abc", "class", "province", "week").distinct().count()
     key = lambda d: sorted(d.collect(), key=str)
     assert key(R.strategy_scores(found)) == key(scores)
     assert key(R.segment_scores(found, scores)) == key(R.segment_scores(sim, scores))
